@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visitlake.functions import scalars
 from visitlake.functions.predicates import in_range
 from visitlake.functions.ranges import TimeRange
 
@@ -74,11 +75,22 @@ def apply_titles(visits: DataFrame, titles: DataFrame) -> DataFrame:
     return visits.drop("title").join(titles.select("url", "title"), "url", "inner")
 
 
-def import_records(found: DataFrame, run_seq: int) -> DataFrame:
+def profile_found(found: DataFrame) -> DataFrame:
+    """Rows and last visit time per file and UTC day.
+
+    All that a run needs to know about its input besides the rows: the days it
+    touches, the import log entries and the counts of the report. One scan.
+    """
+    return found.groupBy("data_path", scalars.utc_day(F.col("visit_time")).alias("day")).agg(
+        F.count(F.lit(1)).alias("n_found"), F.max("visit_time").alias("last_time")
+    )
+
+
+def import_records(profile: DataFrame, run_seq: int) -> DataFrame:
     """Log entries of a run: the last visit time of every file with rows."""
     return (
-        found.groupBy("data_path")
-        .agg(F.max("visit_time").alias("last_import"))
+        profile.groupBy("data_path")
+        .agg(F.max("last_time").alias("last_import"))
         .withColumn("run_seq", F.lit(run_seq).cast("bigint"))
     )
 
@@ -88,14 +100,14 @@ def latest_imports(log: DataFrame) -> DataFrame:
     return log.groupBy("data_path").agg(F.max_by("last_import", "run_seq").alias("last_import"))
 
 
-def file_report(files: DataFrame, found: DataFrame, imported: DataFrame) -> DataFrame:
+def file_report(files: DataFrame, profile: DataFrame, imported: DataFrame) -> DataFrame:
     """Per file: found, imported, duplicated, error.
 
-    ``files`` has one row per source file with its error, if any; ``found`` are
-    the accepted rows of good files and ``imported`` the stored ones, which are
-    credited to the first file that had them.
+    ``files`` has one row per source file with its error, if any; ``profile`` is
+    that of the accepted rows of good files and ``imported`` the newly stored
+    rows, which are credited to the first file that had them.
     """
-    n_found = found.groupBy("data_path").agg(F.count(F.lit(1)).alias("n_found"))
+    n_found = profile.groupBy("data_path").agg(F.sum("n_found").alias("n_found"))
     n_new = imported.groupBy("data_path").agg(F.count(F.lit(1)).alias("n_new"))
     zero = F.lit(0).cast("bigint")
     return (
@@ -111,11 +123,17 @@ def file_report(files: DataFrame, found: DataFrame, imported: DataFrame) -> Data
     )
 
 
-def dry_run_report(files: DataFrame, found: DataFrame) -> DataFrame:
+def dry_run_report(files: DataFrame, profile: DataFrame) -> DataFrame:
     """Report of a run that writes nothing: only ``found`` is counted."""
+    n_found = profile.groupBy("data_path").agg(F.sum("n_found").alias("n_found"))
     zero = F.lit(0).cast("bigint")
-    counted = file_report(files, found, found.limit(0))
-    return counted.withColumns({"imported": zero, "duplicated": zero})
+    return files.join(n_found, "data_path", "left").select(
+        "data_path",
+        F.coalesce("n_found", zero).alias("found"),
+        zero.alias("imported"),
+        zero.alias("duplicated"),
+        "error",
+    )
 
 
 def run_summary(report: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlake.functions import ranges, scalars
+from visitlake.functions import ranges
 from visitlake.operators import ingest
 from visitlake.sources import history_files, normalize
 from visitlake.sources.staging import Staging
@@ -74,9 +74,10 @@ def backup_files(
     source = spark.read.format(history_files.FORMAT).options(**options).load()
     # Staged at once: reading the files again would cost more than Parquet does,
     # and a file may be replaced while the job runs.
-    raw = staging.write(source, "source")
-    files = normalize.file_status(raw).select("data_path", "error")
-    found = normalize.normalize_history(without_failed_files(raw, files))
+    # The few status rows go to a partition of their own.
+    raw = staging.write(source.withColumn("is_status", F.col("url").isNull()), "source", "is_status")
+    files = normalize.file_status(raw.filter("is_status")).select("data_path", "error")
+    found = normalize.normalize_history(without_failed_files(raw.filter("NOT is_status"), files))
     return _run(store, staging, found, files, accepted, dry_run, preview)
 
 
@@ -107,11 +108,10 @@ def without_failed_files(raw: DataFrame, files: DataFrame) -> DataFrame:
     return raw.join(failed, "data_path", "left_anti")
 
 
-def batch_days(found: DataFrame) -> list[date]:
+def batch_days(profile: DataFrame) -> list[date]:
     """UTC days of a batch. Accepted visits lie between 1970 and tomorrow, so
     the list is bounded by the calendar."""
-    days = found.select(scalars.utc_day(F.col("visit_time")).alias("day")).distinct()
-    return sorted(row["day"] for row in days.collect())
+    return sorted(row["day"] for row in profile.select("day").distinct().collect())
 
 
 def stored_on(store: VisitStore, days: list[date]) -> DataFrame:
@@ -131,30 +131,32 @@ def _run(
     dry_run: bool,
     preview: bool,
 ) -> BackupResult:
-    done = False
+    keep = False
     try:
         found = ingest.accepted_visits(found, accepted)
+        profile = staging.write(ingest.profile_found(found), "profile")
         if dry_run and not preview:
-            report = staging.write(ingest.dry_run_report(files, found), "report")
-            done = True
-            return BackupResult(None, report, staging)
+            keep = True
+            return BackupResult(None, ingest.dry_run_report(files, profile), staging)
 
-        new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored_on(store, batch_days(found)))
+        days = batch_days(profile)
+        new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored_on(store, days))
         new = staging.write(new, "new")
-        report = ingest.file_report(files, found, new)
+        report = ingest.file_report(files, profile, new)
         if dry_run:
-            report = staging.write(report, "report")
-            done = True
+            keep = True
             return BackupResult(None, report, staging)
 
         run_seq = store.next_run_seq()
-        titles = ingest.resolve_titles(ingest.first_titles(new), store.urls())
-        titles = staging.write(titles, "titles")
-        store.append_urls(titles.filter("is_new"))
-        store.append_visits(ingest.apply_titles(new, titles))
-        store.append_import_log(ingest.import_records(found, run_seq))
+        if not new.isEmpty():
+            titles = ingest.resolve_titles(ingest.first_titles(new), store.urls())
+            titles = staging.write(titles, "titles")
+            store.append_urls(titles.filter("is_new"))
+            store.append_visits(ingest.apply_titles(new, titles))
+        store.append_import_log(ingest.import_records(profile, run_seq))
         store.append_report(report.withColumn("run_seq", F.lit(run_seq).cast("bigint")))
     finally:
-        if not done:
+        if not keep:
             staging.drop()
-    return BackupResult(run_seq, store.run_reports().filter(F.col("run_seq") == run_seq).drop("run_seq"))
+    written = store.run_reports().filter(F.col("run_seq") == run_seq)
+    return BackupResult(run_seq, written.drop("run_seq"))

@@ -37,16 +37,25 @@ class Staging:
         self.spark = spark
         self.folder = new_folder(spark, label)
 
-    def write(self, frame: DataFrame, name: str) -> DataFrame:
+    def write(self, frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        frame.write.parquet(path)
+        frame.write.partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self) -> None:
         delete_folder(self.spark, self.folder)
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    fs, path = _hadoop(spark, folder)
+    fs.mkdirs(path)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = _hadoop(spark, folder)
+    fs.delete(path, True)

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from visitlake import schema
 from visitlake.functions import ranges, scalars
+from visitlake.sources.staging import make_folder
 
 TABLES = {
     "visits": schema.VISITS,
@@ -35,12 +36,8 @@ class VisitStore:
     def create(cls, spark: SparkSession, path: str) -> VisitStore:
         """Open a store, making its tables when they do not exist."""
         store = cls(spark, path)
-        for name, layout in TABLES.items():
-            empty = spark.createDataFrame([], layout)
-            writer = empty.write.mode("append")
-            if name == "visits":
-                writer = writer.partitionBy("visit_day")
-            writer.parquet(store._table(name))
+        for name in TABLES:
+            make_folder(spark, store._table(name))
         return store
 
     def _table(self, name: str) -> str:
