@@ -488,7 +488,7 @@ g AS (SELECT data_path, count(*) AS imported FROM w GROUP BY data_path)
 SELECT data_path, found, coalesce(imported, 0) AS imported, found - coalesce(imported, 0) AS duplicated
 FROM f LEFT JOIN g USING (data_path)""")
 def file_report(spark, sf):
-    return _report(spark, sf, dry=False).drop("error")
+    return _report(spark, sf, dry=False).drop("error", "last_import")
 
 
 @_query(f"""{V}, s AS (SELECT url, visit_time FROM v WHERE visit_time < {SPLIT_MS * 1000})
@@ -501,6 +501,15 @@ def incremental_new_visits(spark, sf):
     return new.select("url", "visit_time", "visit_type")
 
 
+@_query(ORACLES["incremental_new_visits"])
+def incremental_small_batch(spark, sf):
+    """The same, cutting the store to the batch's keys first."""
+    visits = _visits(spark, sf)
+    stored = visits.filter(F.col("visit_time") < SPLIT_MS * 1000)
+    new = ingest.drop_stored_visits(ingest.dedup_visits(visits), stored, small_batch=True)
+    return new.select("url", "visit_time", "visit_type")
+
+
 @_query(f"""{V}, o AS (
   SELECT url, min_by(coalesce(title, '') || ' (stored)', (visit_time, src_row)) AS stored_title
   FROM v WHERE visit_time < {SPLIT_MS * 1000} AND browser = 'safari' GROUP BY url),

@@ -34,8 +34,9 @@ def stored(store):
     return sorted(tuples(store.visits().select(*columns)))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_backups_equal_the_model(spark, tmp_path, seed):
+@pytest.mark.parametrize(("seed", "broadcast_limit"), [(1, 0), (2, 1 << 20), (3, 0)])
+def test_backups_equal_the_model(spark, tmp_path, monkeypatch, seed, broadcast_limit):
+    monkeypatch.setattr(backup, "MAX_BROADCAST_KEY_BYTES", broadcast_limit)
     rng = random.Random(seed)
     store, model = VisitStore.create(spark, str(tmp_path)), ModelStore()
     imported = duplicated = 0
@@ -111,7 +112,7 @@ def test_dry_run_and_preview_write_nothing(spark, tmp_path):
     dry = backup_visits(store, new, as_of=AS_OF, dry_run=True)
     assert tuples(dry.summary) == [(3, 0, 0, 0)]
     preview = backup_visits(store, new, as_of=AS_OF, dry_run=True, preview=True)
-    assert tuples(preview.report) == [("/b", 3, 2, 1, None)]
+    assert tuples(preview.report) == [("/b", 3, 2, 1, NOON, None)]
     dry.close()
     preview.close()
     assert store.visits().count() == 1 and store.import_log().count() == 1
@@ -121,7 +122,7 @@ def test_report_credits_the_first_file(spark, tmp_path):
     store = VisitStore.create(spark, str(tmp_path))
     batch = rows_of(0, "/a", [("u", "", NOON, 0)]) + rows_of(1, "/b", [("u", "", NOON, 0), ("w", "", NOON, 0)])
     result = backup_visits(store, found(spark, batch), as_of=AS_OF)
-    assert sorted(tuples(result.report)) == [("/a", 1, 1, 0, None), ("/b", 2, 1, 1, None)]
+    assert sorted(tuples(result.report)) == [("/a", 1, 1, 0, NOON, None), ("/b", 2, 1, 1, NOON, None)]
 
 
 def test_interrupted_run_is_repaired_by_the_next(spark, tmp_path, monkeypatch):

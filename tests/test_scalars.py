@@ -18,7 +18,7 @@ def value(spark, column):
         ("https://nohost", "https://nohost"),
         ("file:///home/user/x", "/home"),
         ("http://h?u=https://z/", "h?u=https:"),
-        ("https://a b/c", "a b"),
+        ("https://a\u2028b/c", "a\u2028b"),
         ("https://me:pw@h.example:8080/x", "me:pw@h.example:8080"),
         ("http://a\nb/://c/", "c"),
         ("", ""),

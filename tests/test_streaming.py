@@ -47,7 +47,7 @@ def test_history_files_are_taken_as_they_land(spark, tmp_path):
     assert run() == 30
     history(landing / "d9" / "places.sqlite", "firefox", entries(10, 0) + entries(5, 77))
     assert run() == 35
-    last = store.run_reports().orderBy("run_seq", ascending=False).first()
+    last = store.import_runs().orderBy("run_seq", ascending=False).first()
     assert (last.found, last.imported, last.duplicated, last.error) == (15, 5, 10, None)
 
 

@@ -32,16 +32,18 @@ def dedup_visits(found: DataFrame) -> DataFrame:
     return found.groupBy(*VISIT_KEY).agg(first.alias("row")).select(*VISIT_KEY, "row.*")
 
 
-def drop_stored_visits(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+def drop_stored_visits(candidates: DataFrame, stored: DataFrame, small_batch: bool = False) -> DataFrame:
     """Candidates whose (url, visit_time) is not in the store yet.
 
-    The stored side is first cut to the keys of the batch. In that semi-join a
-    small batch is the side that gets broadcast or turned into a runtime filter;
-    a plain anti-join could only ever build the big stored side.
+    The anti-join can only ever build its stored side, which is shuffled; the
+    candidates come out of ``dedup_visits`` partitioned by the same key. For a
+    ``small_batch``, one whose keys the caller knows to fit a broadcast, the
+    store is cut to those keys first and never shuffled.
     """
-    keys = candidates.select(*VISIT_KEY)
-    overlap = stored.select(*VISIT_KEY).join(keys, VISIT_KEY, "left_semi")
-    return candidates.join(overlap, VISIT_KEY, "left_anti")
+    known = stored.select(*VISIT_KEY)
+    if small_batch:
+        known = known.join(F.broadcast(candidates.select(*VISIT_KEY)), VISIT_KEY, "left_semi")
+    return candidates.join(known, VISIT_KEY, "left_anti")
 
 
 def first_titles(visits: DataFrame) -> DataFrame:
@@ -76,13 +78,16 @@ def apply_titles(visits: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def profile_found(found: DataFrame) -> DataFrame:
-    """Rows and last visit time per file and UTC day.
+    """Rows, last visit time and key bytes per file and UTC day.
 
     All that a run needs to know about its input besides the rows: the days it
-    touches, the import log entries and the counts of the report. One scan.
+    touches, its size, the import log entries and the counts of the report. One
+    scan.
     """
     return found.groupBy("data_path", scalars.utc_day(F.col("visit_time")).alias("day")).agg(
-        F.count(F.lit(1)).alias("n_found"), F.max("visit_time").alias("last_time")
+        F.count(F.lit(1)).alias("n_found"),
+        F.max("visit_time").alias("last_time"),
+        F.sum(F.octet_length("url") + F.lit(8)).alias("key_bytes"),
     )
 
 
@@ -101,37 +106,44 @@ def latest_imports(log: DataFrame) -> DataFrame:
 
 
 def file_report(files: DataFrame, profile: DataFrame, imported: DataFrame) -> DataFrame:
-    """Per file: found, imported, duplicated, error.
+    """Per file: found, imported, duplicated, last_import, error.
 
     ``files`` has one row per source file with its error, if any; ``profile`` is
     that of the accepted rows of good files and ``imported`` the newly stored
     rows, which are credited to the first file that had them.
     """
-    n_found = profile.groupBy("data_path").agg(F.sum("n_found").alias("n_found"))
     n_new = imported.groupBy("data_path").agg(F.count(F.lit(1)).alias("n_new"))
-    zero = F.lit(0).cast("bigint")
+    n_found = F.coalesce("n_found", F.lit(0))
+    imported_here = F.coalesce("n_new", F.lit(0))
     return (
-        files.join(n_found, "data_path", "left")
+        files.join(_per_file(profile), "data_path", "left")
         .join(n_new, "data_path", "left")
         .select(
             "data_path",
-            F.coalesce("n_found", zero).alias("found"),
-            F.coalesce("n_new", zero).alias("imported"),
-            (F.coalesce("n_found", zero) - F.coalesce("n_new", zero)).alias("duplicated"),
+            n_found.alias("found"),
+            imported_here.alias("imported"),
+            (n_found - imported_here).alias("duplicated"),
+            "last_import",
             "error",
         )
     )
 
 
+def _per_file(profile: DataFrame) -> DataFrame:
+    return profile.groupBy("data_path").agg(
+        F.sum("n_found").alias("n_found"), F.max("last_time").alias("last_import")
+    )
+
+
 def dry_run_report(files: DataFrame, profile: DataFrame) -> DataFrame:
     """Report of a run that writes nothing: only ``found`` is counted."""
-    n_found = profile.groupBy("data_path").agg(F.sum("n_found").alias("n_found"))
     zero = F.lit(0).cast("bigint")
-    return files.join(n_found, "data_path", "left").select(
+    return files.join(_per_file(profile), "data_path", "left").select(
         "data_path",
         F.coalesce("n_found", zero).alias("found"),
         zero.alias("imported"),
         zero.alias("duplicated"),
+        "last_import",
         "error",
     )
 

@@ -18,6 +18,8 @@ from visitlake.sources.store import VisitStore
 
 # A broadcast of at most this many file names stays in the low megabytes.
 MAX_BROADCAST_FILES = 10_000
+# A batch whose keys take at most this much is broadcast to the stored side.
+MAX_BROADCAST_KEY_BYTES = 32 * 1024 * 1024
 # Above this many distinct days the partition filter becomes a plain range.
 MAX_LISTED_DAYS = 400
 
@@ -108,10 +110,11 @@ def without_failed_files(raw: DataFrame, files: DataFrame) -> DataFrame:
     return raw.join(failed, "data_path", "left_anti")
 
 
-def batch_days(profile: DataFrame) -> list[date]:
-    """UTC days of a batch. Accepted visits lie between 1970 and tomorrow, so
-    the list is bounded by the calendar."""
-    return sorted(row["day"] for row in profile.select("day").distinct().collect())
+def batch_days(profile: DataFrame) -> tuple[list[date], int]:
+    """UTC days of a batch and the bytes of its keys. Accepted visits lie between
+    1970 and tomorrow, so the list is bounded by the calendar."""
+    rows = profile.groupBy("day").agg(F.sum("key_bytes").alias("key_bytes")).collect()
+    return sorted(row["day"] for row in rows), sum(row["key_bytes"] for row in rows)
 
 
 def stored_on(store: VisitStore, days: list[date]) -> DataFrame:
@@ -139,8 +142,10 @@ def _run(
             keep = True
             return BackupResult(None, ingest.dry_run_report(files, profile), staging)
 
-        days = batch_days(profile)
-        new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored_on(store, days))
+        days, key_bytes = batch_days(profile)
+        new = ingest.drop_stored_visits(
+            ingest.dedup_visits(found), stored_on(store, days), key_bytes <= MAX_BROADCAST_KEY_BYTES
+        )
         new = staging.write(new, "new")
         report = ingest.file_report(files, profile, new)
         if dry_run:
@@ -153,10 +158,9 @@ def _run(
             titles = staging.write(titles, "titles")
             store.append_urls(titles.filter("is_new"))
             store.append_visits(ingest.apply_titles(new, titles))
-        store.append_import_log(ingest.import_records(profile, run_seq))
-        store.append_report(report.withColumn("run_seq", F.lit(run_seq).cast("bigint")))
+        store.append_runs(report.withColumn("run_seq", F.lit(run_seq).cast("bigint")))
     finally:
         if not keep:
             staging.drop()
-    written = store.run_reports().filter(F.col("run_seq") == run_seq)
+    written = store.import_runs().filter(F.col("run_seq") == run_seq)
     return BackupResult(run_seq, written.drop("run_seq"))

@@ -51,17 +51,14 @@ VISITS = _struct(
     ("visit_day", T.DateType()),
 )
 
-IMPORT_RECORDS = _struct(
-    ("data_path", T.StringType()),
-    ("last_import", T.LongType()),
-    ("run_seq", T.LongType()),
-)
-
-RUN_REPORTS = _struct(
+# One row per source file and run. The import log is the part of it that has a
+# ``last_import``: files without accepted rows leave no record.
+IMPORT_RUNS = _struct(
     ("run_seq", T.LongType()),
     ("data_path", T.StringType()),
     ("found", T.LongType()),
     ("imported", T.LongType()),
     ("duplicated", T.LongType()),
+    ("last_import", T.LongType()),
     ("error", T.StringType()),
 )

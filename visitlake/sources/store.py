@@ -1,12 +1,11 @@
-"""The visit store: four Parquet tables below one folder.
+"""The visit store: three Parquet tables below one folder.
 
-``visits``          fact, partitioned by UTC day, sorted by time inside a day
-``urls``            one row per url with its first title
-``import_records``  append-only import log, latest entry per file wins
-``run_reports``     append-only per-file report of each run
+``visits``       fact, partitioned by UTC day, sorted by time inside a day
+``urls``         one row per url with its first title
+``import_runs``  append-only: what each run did with each file
 
-There is one writer at a time. Appends go urls, visits, log, report; each step
-is idempotent, so a run that died half-way is repaired by running it again.
+There is one writer at a time. Appends go urls, visits, runs; each step is
+idempotent, so a run that died half-way is repaired by running it again.
 """
 
 from __future__ import annotations
@@ -22,8 +21,7 @@ from visitlake.sources.staging import make_folder
 TABLES = {
     "visits": schema.VISITS,
     "urls": schema.URLS,
-    "import_records": schema.IMPORT_RECORDS,
-    "run_reports": schema.RUN_REPORTS,
+    "import_runs": schema.IMPORT_RUNS,
 }
 
 
@@ -59,11 +57,12 @@ class VisitStore:
     def urls(self) -> DataFrame:
         return self._read("urls")
 
-    def import_log(self) -> DataFrame:
-        return self._read("import_records")
+    def import_runs(self) -> DataFrame:
+        return self._read("import_runs")
 
-    def run_reports(self) -> DataFrame:
-        return self._read("run_reports")
+    def import_log(self) -> DataFrame:
+        """Every run's import records; ``latest_imports`` gives the current ones."""
+        return self.import_runs().filter("last_import IS NOT NULL").select("data_path", "last_import", "run_seq")
 
     def size(self) -> DataFrame:
         """Total bytes of the store's data files; lists them, opens none."""
@@ -76,13 +75,7 @@ class VisitStore:
         return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
 
     def next_run_seq(self) -> int:
-        last = (
-            self.import_log()
-            .select("run_seq")
-            .unionByName(self.run_reports().select("run_seq"))
-            .agg(F.max("run_seq").alias("last"))
-            .first()["last"]
-        )
+        last = self.import_runs().agg(F.max("run_seq").alias("last")).first()["last"]
         return 0 if last is None else last + 1
 
     # --- appending ---
@@ -106,10 +99,6 @@ class VisitStore:
             .parquet(self._table("visits"))
         )
 
-    def append_import_log(self, records: DataFrame) -> None:
-        columns = schema.IMPORT_RECORDS.names
-        records.select(*columns).write.mode("append").parquet(self._table("import_records"))
-
-    def append_report(self, report: DataFrame) -> None:
-        columns = schema.RUN_REPORTS.names
-        report.select(*columns).write.mode("append").parquet(self._table("run_reports"))
+    def append_runs(self, report: DataFrame) -> None:
+        columns = schema.IMPORT_RUNS.names
+        report.select(*columns).write.mode("append").parquet(self._table("import_runs"))
