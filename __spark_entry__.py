@@ -435,7 +435,8 @@ def export_rows(spark, sf):
 def url_first_title(spark, sf):
     rows = fixtures.repeated_visits(spark, sf)
     blank = scalars.title_or_blank(F.col("title"))
-    return ingest.first_titles(ingest.dedup_visits(rows.withColumn("title", blank)))
+    titles = ingest.first_titles(ingest.dedup_visits(rows.withColumn("title", blank)))
+    return titles.select("url", "title")
 
 
 @_query(f"{V2} SELECT url, title, visit_time, visit_type, browser, data_path, file_seq, src_row FROM w")
@@ -522,7 +523,7 @@ def url_titles_resolved(spark, sf):
     visits = _visits(spark, sf).withColumn("title", blank)
     earlier = visits.filter((F.col("visit_time") < SPLIT_MS * 1000) & (F.col("browser") == "safari"))
     stored = ingest.first_titles(earlier).withColumn("title", F.concat("title", F.lit(" (stored)")))
-    return ingest.resolve_titles(ingest.first_titles(visits), stored)
+    return ingest.resolve_titles(ingest.first_titles(visits), stored).drop("url_key")
 
 
 # --- whole jobs ---------------------------------------------------------------

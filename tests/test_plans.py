@@ -1,6 +1,7 @@
 """What the optimizer makes of the queries."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import DAY_US, NOON, found
 from visitlake import fixtures
@@ -9,6 +10,7 @@ from visitlake.operators import aggregates as A
 from visitlake.operators import ingest, search
 from visitlake.plans.backup import backup_visits, stored_on
 from visitlake.sources import normalize
+from visitlake.sources.staging import Staging
 from visitlake.sources.store import VisitStore
 
 UTC = R.zone("UTC")
@@ -85,6 +87,57 @@ def test_stored_side_of_the_dedup_is_limited_to_the_batch_days(store):
     assert "visit_day" in text.split("PartitionFilters: [")[1].split("]")[0]
 
 
+@pytest.fixture
+def tiny_partitions(spark):
+    """AQE thresholds scaled down to test data."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_hot_url_is_split_in_the_title_join(spark, tiny_partitions):
+    n = 60_000
+    rows = spark.range(0, n, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), "id")).alias("url"),
+        F.lit("t").alias("title"),
+        F.xxhash64("id").alias("visit_time"),
+        F.col("id").alias("file_seq"),
+        F.col("id").alias("src_row"),
+    )
+    staging = Staging(spark, "test")
+    titles = staging.write(ingest.first_titles(rows), "titles")  # as a backup does
+    joined = ingest.apply_titles(staging.write(rows, "new"), titles)
+    assert len(joined.collect()) == n
+    assert "skew=true" in plan(joined)
+
+
+def test_hot_day_is_split_among_writers(spark, tiny_partitions, tmp_path):
+    rows = spark.range(0, 60_000, 1, 8).select(
+        F.concat(F.lit("u"), F.xxhash64("id")).alias("url"),
+        F.lit("t").alias("title"),
+        (F.lit(NOON) + F.when(F.col("id") % 3 == 0, F.col("id") * (DAY_US // 2000)).otherwise(F.col("id"))).alias("visit_time"),
+        F.lit(0).cast("bigint").alias("visit_type"),
+        F.lit("chrome").alias("browser"),
+        F.lit("/p").alias("data_path"),
+    )
+    store = VisitStore.create(spark, str(tmp_path))
+    store.append_visits(rows)
+    assert store.visits().count() == 60_000
+    hot = store.visits().filter("visit_day = date'2024-01-15'")
+    per_file = hot.groupBy(F.input_file_name()).count().collect()
+    assert len(per_file) > 5 and max(r["count"] for r in per_file) < 40_000 / 4
+
+
 def test_landed_range_stays_on_the_raw_column(spark):
     sf = "/root/testdata/sf0.001"
     for browser, column in (("chrome", "visit_time"), ("firefox", "visit_date"), ("safari", "visit_time")):

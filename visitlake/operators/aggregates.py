@@ -16,29 +16,20 @@ from visitlake.functions.ranges import TimeRange
 TOP_K = 100
 
 
-def _n(weight: Column | None) -> Column:
-    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+def _count() -> Column:
+    return F.count(F.lit(1)).alias("cnt")
 
 
 def daily_counts(visits: DataFrame, span: TimeRange, keyword: str | None = None) -> DataFrame:
     """Visits per local day, ascending; days without a visit are absent."""
-    return count_by_day(
-        select_visits(visits, span, keyword).select(scalars.local_day(F.col("visit_time")).alias("day"))
-    )
-
-
-def count_by_day(days: DataFrame, weight: Column | None = None) -> DataFrame:
-    # Grouped by the DATE and formatted afterwards: one label per day, not per row.
-    return (
-        days.groupBy("day")
-        .agg(_n(weight).alias("cnt"))
-        .select(scalars.day_start_ms(F.col("day")).alias("day_ms"), "cnt")
-        .orderBy("day_ms")
-    )
+    rows = select_visits(visits, span, keyword)
+    # Grouped by the DATE and turned into milliseconds per day, not per row.
+    days = rows.groupBy(scalars.local_day(F.col("visit_time")).alias("day")).agg(_count())
+    return days.select(scalars.day_start_ms(F.col("day")).alias("day_ms"), "cnt").orderBy("day_ms")
 
 
-def _titled(visits: DataFrame) -> DataFrame:
-    return visits.filter(F.col("title") != "")
+def _titled(visits: DataFrame, span: TimeRange, keyword: str | None) -> DataFrame:
+    return select_visits(visits, span, keyword).filter(F.col("title") != "")
 
 
 def _top(counts: DataFrame, name: str, k: int | None) -> DataFrame:
@@ -50,19 +41,14 @@ def top_titles(
     visits: DataFrame, span: TimeRange, keyword: str | None = None, k: int | None = TOP_K
 ) -> DataFrame:
     """Most visited non-blank titles; ties by title."""
-    return count_titles(select_visits(visits, span, keyword), k)
-
-
-def count_titles(rows: DataFrame, k: int | None = TOP_K, weight: Column | None = None) -> DataFrame:
-    return _top(_titled(rows).groupBy("title").agg(_n(weight).alias("cnt")), "title", k)
+    return _top(_titled(visits, span, keyword).groupBy("title").agg(_count()), "title", k)
 
 
 def url_counts(
     visits: DataFrame, span: TimeRange, keyword: str | None = None, k: int | None = None
 ) -> DataFrame:
     """Visits per url of a titled page, most visited first."""
-    rows = _titled(select_visits(visits, span, keyword))
-    return _top(rows.groupBy("url").agg(_n(None).alias("cnt")), "url", k)
+    return _top(_titled(visits, span, keyword).groupBy("url").agg(_count()), "url", k)
 
 
 def top_domains(
@@ -76,23 +62,14 @@ def top_domains(
 
     ``compat`` counts each domain's most visited url twice.
     """
-    return count_domains(select_visits(visits, span, keyword), k, compat=compat)
-
-
-def count_domains(
-    rows: DataFrame,
-    k: int | None = TOP_K,
-    weight: Column | None = None,
-    compat: bool = False,
-) -> DataFrame:
-    rows = _titled(rows)
+    rows = _titled(visits, span, keyword)
     domain = scalars.domain_of(F.col("url")).alias("domain")
     if compat:
-        per_url = rows.groupBy("url").agg(_n(weight).alias("n"))
-        counts = per_url.groupBy(domain).agg((F.sum("n") + F.max("n")).alias("cnt"))
+        per_url = rows.groupBy("url").agg(_count())
+        counts = per_url.groupBy(domain).agg((F.sum("cnt") + F.max("cnt")).alias("cnt"))
     else:
         # Straight to the domain: far fewer domains than urls cross the shuffle.
-        counts = rows.groupBy(domain).agg(_n(weight).alias("cnt"))
+        counts = rows.groupBy(domain).agg(_count())
     return _top(counts, "domain", k)
 
 

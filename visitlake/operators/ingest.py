@@ -13,7 +13,16 @@ from visitlake.functions import scalars
 from visitlake.functions.predicates import in_range
 from visitlake.functions.ranges import TimeRange
 
-VISIT_KEY = ["url", "visit_time"]
+# The time goes first: it decides nearly every comparison of a sort by this key,
+# while urls share their first bytes, all that a sort prefix can hold.
+VISIT_KEY = ["visit_time", "url"]
+# For the same reason urls are sorted and joined by their hash first. The url
+# stays in the key, so colliding hashes do no harm.
+URL_KEY = ["url_key", "url"]
+
+
+def _url_key():
+    return F.xxhash64("url").alias("url_key")
 
 
 def accepted_visits(found: DataFrame, accepted: TimeRange) -> DataFrame:
@@ -47,22 +56,27 @@ def drop_stored_visits(candidates: DataFrame, stored: DataFrame, small_batch: bo
 
 
 def first_titles(visits: DataFrame) -> DataFrame:
-    """The first title of each url, even when that is blank.
+    """url_key, url and the first title of each url, even when that is blank.
 
     On output of ``dedup_visits`` the result is the same as on all rows: the
     first row of a url is also the first of its (url, visit_time).
     """
     order = F.struct("file_seq", "visit_time", "src_row")
-    return visits.groupBy("url").agg(F.min_by("title", order).alias("title"))
+    return visits.groupBy(_url_key(), "url").agg(F.min_by("title", order).alias("title"))
+
 
+def resolve_titles(titles: DataFrame, stored_urls: DataFrame, small_batch: bool = False) -> DataFrame:
+    """url_key, url, title, is_new: a stored title wins, blank or not.
 
-def resolve_titles(titles: DataFrame, stored_urls: DataFrame) -> DataFrame:
-    """url, title, is_new: a stored title wins, blank or not."""
-    known = stored_urls.join(titles.select("url"), "url", "left_semi").select(
-        "url", F.col("title").alias("stored_title"), F.lit(True).alias("is_known")
+    ``small_batch`` as in ``drop_stored_visits``.
+    """
+    known = stored_urls.select(
+        _url_key(), "url", F.col("title").alias("stored_title"), F.lit(True).alias("is_known")
     )
-    return titles.join(known, "url", "left").select(
-        "url",
+    if small_batch:
+        known = known.join(F.broadcast(titles.select(*URL_KEY)), URL_KEY, "left_semi")
+    return titles.join(known, URL_KEY, "left").select(
+        *URL_KEY,
         F.when(F.col("is_known"), F.col("stored_title")).otherwise(F.col("title")).alias("title"),
         F.col("is_known").isNull().alias("is_new"),
     )
@@ -74,7 +88,8 @@ def apply_titles(visits: DataFrame, titles: DataFrame) -> DataFrame:
     A url with a large part of all visits is split by AQE's skew join: titles
     has one row per url, and nothing after the join needs its partitioning.
     """
-    return visits.drop("title").join(titles.select("url", "title"), "url", "inner")
+    untitled = visits.drop("title").withColumn("url_key", _url_key())
+    return untitled.join(titles.select(*URL_KEY, "title"), URL_KEY, "inner").drop("url_key")
 
 
 def profile_found(found: DataFrame) -> DataFrame:

@@ -90,10 +90,18 @@ def backup_visits(
     as_of=None,
     dry_run: bool = False,
     preview: bool = False,
+    stage_input: bool = True,
 ) -> BackupResult:
-    """Back up visits that were normalised from landed tables."""
+    """Back up visits that were normalised from landed tables.
+
+    The input is read twice. It is staged first unless ``stage_input`` is off,
+    which saves a copy when it is no more than a scan of a table that stays as
+    it is during the run.
+    """
     staging = Staging(store.spark, "backup")
-    staged = staging.write(found.select(*normalize.FOUND_COLUMNS), "source")
+    staged = found.select(*normalize.FOUND_COLUMNS)
+    if stage_input:
+        staged = staging.write(staged, "source")
     files = staged.select("data_path").distinct().withColumn("error", F.lit(None).cast("string"))
     accepted = ranges.full_range(as_of, store.zone)
     return _run(store, staging, staged, files, accepted, dry_run, preview)
@@ -143,9 +151,8 @@ def _run(
             return BackupResult(None, ingest.dry_run_report(files, profile), staging)
 
         days, key_bytes = batch_days(profile)
-        new = ingest.drop_stored_visits(
-            ingest.dedup_visits(found), stored_on(store, days), key_bytes <= MAX_BROADCAST_KEY_BYTES
-        )
+        small = key_bytes <= MAX_BROADCAST_KEY_BYTES
+        new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored_on(store, days), small)
         new = staging.write(new, "new")
         report = ingest.file_report(files, profile, new)
         if dry_run:
@@ -154,7 +161,7 @@ def _run(
 
         run_seq = store.next_run_seq()
         if not new.isEmpty():
-            titles = ingest.resolve_titles(ingest.first_titles(new), store.urls())
+            titles = ingest.resolve_titles(ingest.first_titles(new), store.urls(), small)
             titles = staging.write(titles, "titles")
             store.append_urls(titles.filter("is_new"))
             store.append_visits(ingest.apply_titles(new, titles))

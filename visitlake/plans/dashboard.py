@@ -7,17 +7,16 @@ from datetime import tzinfo
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from visitlake.functions import ranges, scalars
+from visitlake.functions import ranges
 from visitlake.functions.predicates import select_visits
 from visitlake.functions.ranges import TimeRange
-from visitlake.operators import aggregates
+from visitlake.operators import aggregates, search
 
 
 @dataclass
 class Dashboard:
-    """Lazy panels. Use as a context manager to free the shared rollup."""
+    """Lazy panels. Use as a context manager to free the shared rows."""
 
     daily: DataFrame
     titles: DataFrame
@@ -25,13 +24,14 @@ class Dashboard:
     result_count: DataFrame
     span: DataFrame
     stats: DataFrame
-    rollup: DataFrame
+    matches: DataFrame | None
 
     def __enter__(self) -> Dashboard:
         return self
 
     def __exit__(self, *exc) -> None:
-        self.rollup.unpersist()
+        if self.matches is not None:
+            self.matches.unpersist()
 
 
 def dashboard(
@@ -44,24 +44,24 @@ def dashboard(
     k: int = aggregates.TOP_K,
     compat: bool = False,
 ) -> Dashboard:
-    """Daily counts, top lists and result count come from one scan.
+    """Daily counts, top lists and result count of the matching visits; key
+    figures and time span ignore the keyword.
 
-    They share a rollup by (local day, url, title), which is what gets cached,
-    not the rows. Key figures and time span ignore the keyword.
+    With a keyword the matching rows are kept for the four panels, so the text is
+    searched once. Without one nothing is kept: each panel then reads only its
+    own columns, which is cheaper than holding the whole range.
     """
-    rollup = (
-        select_visits(visits, span, keyword)
-        .groupBy(scalars.local_day(F.col("visit_time")).alias("day"), "url", "title")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    n = F.col("n")
+    matches = None
+    rows, found_by = visits, keyword
+    if keyword is not None:
+        matches = select_visits(visits, span, keyword).select("url", "title", "visit_time")
+        rows, found_by = matches.persist(StorageLevel.MEMORY_AND_DISK), None
     return Dashboard(
-        daily=aggregates.count_by_day(rollup, weight=n),
-        titles=aggregates.count_titles(rollup, k, weight=n),
-        domains=aggregates.count_domains(rollup, k, weight=n, compat=compat),
-        result_count=rollup.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_visits")),
+        daily=aggregates.daily_counts(rows, span, found_by),
+        titles=aggregates.top_titles(rows, span, found_by, k),
+        domains=aggregates.top_domains(rows, span, found_by, k, compat),
+        result_count=search.result_count(rows, span, found_by),
         span=aggregates.time_span(visits, fallback=ranges.full_range(as_of, tz)),
         stats=aggregates.kpi_stats(visits, span, ranges.today_range(as_of, tz)),
-        rollup=rollup,
+        matches=matches,
     )
