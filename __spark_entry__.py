@@ -563,24 +563,47 @@ def streaming_backup(spark, sf):
     return store.visits()
 
 
+def _written_homes(spark: SparkSession, sf: str) -> str:
+    """Browser history files written by Spark tasks; the glob of their homes."""
+    folder = staging.new_folder(spark, "homes")
+    staging.make_folder(spark, folder)
+    fixtures.write_history_files(_visits(spark, sf), folder).count()
+    return f"{folder}/*"
+
+
 @_query(f"""{V} SELECT url, coalesce(title, '') AS title,
   CASE browser WHEN 'safari' THEN {_SAFARI_US} ELSE visit_time END AS visit_time,
   CASE browser WHEN 'safari' THEN CAST(-1 AS BIGINT) ELSE visit_type END AS visit_type, browser FROM v""")
 def history_file_scan(spark, sf):
-    """Visits written to browser history files by Spark tasks and read back."""
-    folder = staging.new_folder(spark, "homes")
-    staging.make_folder(spark, folder)
-    fixtures.write_history_files(_visits(spark, sf), folder).count()
+    """Visits written to browser history files and read back."""
     history_files.register(spark)
     raw = (
         spark.read.format(history_files.FORMAT)
-        .options(homes=f"{folder}/*", start_ms=ALL.start_ms, end_ms=ALL.end_ms, split_bytes=1 << 20)
+        .options(homes=_written_homes(spark, sf), start_ms=ALL.start_ms, end_ms=ALL.end_ms)
+        .option("split_bytes", 1 << 20)
         .load()
     )
     found = normalize.normalize_history(raw)
     return found.select("url", "title", "visit_time", "visit_type", "browser")
 
 
+@_query(f"""{V}, c AS (SELECT count(*) AS n FROM v)
+SELECT 'first' AS run, n AS found, n AS imported, CAST(0 AS BIGINT) AS duplicated, CAST(1 AS BIGINT) AS failed FROM c
+UNION ALL
+SELECT 'again', n, CAST(0 AS BIGINT), n, CAST(1 AS BIGINT) FROM c""")
+def backup_files_twice(spark, sf):
+    """Two backups of the same history files, each with one file that is missing."""
+    store = _new_store(spark)
+    homes = _written_homes(spark, sf)
+    runs = [
+        backup.backup_files(store, homes=[homes], paths=["/missing/History"], as_of=AS_OF).summary.select(
+            F.lit(name).alias("run"), "*"
+        )
+        for name in ("first", "again")
+    ]
+    return runs[0].unionByName(runs[1])
+
+
 # --- dashboard ----------------------------------------------------------------
 
 

@@ -152,7 +152,7 @@ def test_landed_range_stays_on_the_raw_column(spark):
 def test_no_cross_join_and_no_python_in_the_queries(spark):
     import __spark_entry__ as entry
 
-    jobs = {"backup_store", "streaming_backup", "history_file_scan"}
+    jobs = {"backup_store", "backup_files_twice", "streaming_backup", "history_file_scan"}
     for name, query in entry.queries().items():
         if name in jobs:
             continue

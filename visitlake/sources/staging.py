@@ -12,18 +12,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
+_local_defaults: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Only a local master gets a default."""
-    folder = spark.conf.get(CONF, None)
+    folder = spark.conf.get(CONF, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CONF} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="visitlake-")
-    spark.conf.set(CONF, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_defaults:
+        _local_defaults[application] = tempfile.mkdtemp(prefix="visitlake-")
+    return _local_defaults[application]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
