@@ -65,6 +65,19 @@ def test_packing_and_cutting():
     assert H.plan_slices([], 1) == []
 
 
+def test_a_slice_walks_its_row_ids_only():
+    """Also where an index on the time would be at hand."""
+    for layout in H.LAYOUTS:
+        db = sqlite3.connect(":memory:")
+        for statement in fixtures._DDL[layout.browser]:
+            db.execute(statement)
+        db.execute(f"CREATE INDEX by_time ON {layout.visits} ({layout.time})")
+        db.execute(f"CREATE INDEX by_page ON {layout.visits} ({layout.page_key}, {layout.time})")
+        steps = [row[3] for row in db.execute("EXPLAIN QUERY PLAN " + H._slice_query(layout), (1, 9, 0, 10**17))]
+        assert len(steps) == 2 and all("INTEGER PRIMARY KEY" in step for step in steps)
+        assert steps[0].startswith("SEARCH v")
+
+
 def test_time_range_on_the_native_column(spark, homes):
     span = {"start_ms": US // 1000, "end_ms": US // 1000 + 3000}
     rows = normalize.normalize_history(load(spark, homes=f"{homes}/*", **span))

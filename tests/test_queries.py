@@ -107,8 +107,9 @@ def test_dashboard_panels_equal_the_single_queries(spark):
     rows = [(f"http://h{i % 7}/{i % 13}", None if i % 5 == 0 else f"T{i % 4}", NOON + i * DAY_US // 9, 0) for i in range(200)]
     v = visits(spark, rows)
     span = R.resolve_range("2024-01-16", "2024-02-05", None, UTC)
-    for keyword, compat in ((None, False), ("H3", False), ("t_", True)):
-        with dashboard(v, span, "2024-02-01", UTC, keyword, compat=compat) as panels:
+    for keyword, compat, keep in ((None, False, True), ("H3", False, True), ("t_", True, False)):
+        with dashboard(v, span, "2024-02-01", UTC, keyword, compat=compat, keep_matches=keep) as panels:
+            assert (panels.matches is not None) == (keyword == "H3")
             assert tuples(panels.daily) == tuples(A.daily_counts(v, span, keyword))
             assert tuples(panels.titles) == tuples(A.top_titles(v, span, keyword))
             assert tuples(panels.domains) == tuples(A.top_domains(v, span, keyword, compat=compat))

@@ -1,4 +1,8 @@
+import re
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from visitlake.functions import scalars as S
@@ -28,6 +32,17 @@ def test_domain(spark, url, domain):
     assert value(spark, S.domain_of(F.lit(url))) == domain
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(urls=st.lists(st.text("a:/\n\r\u2028é.", max_size=14), min_size=50, max_size=100))
+def test_domain_of_odd_urls(spark, urls):
+    def expected(url):
+        hit = re.search("://(.+?)/", url)
+        return hit.group(1) if hit else url
+
+    frame = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in frame.select(S.domain_of(F.col("u"))).collect()] == [expected(u) for u in urls]
+
+
 def test_one_instant_in_every_encoding(spark):
     us = F.lit(1705320000000000)
     assert value(spark, S.us_to_ms(us)) == 1705320000000

@@ -43,17 +43,19 @@ def dashboard(
     *,
     k: int = aggregates.TOP_K,
     compat: bool = False,
+    keep_matches: bool = True,
 ) -> Dashboard:
     """Daily counts, top lists and result count of the matching visits; key
     figures and time span ignore the keyword.
 
     With a keyword the matching rows are kept for the four panels, so the text is
-    searched once. Without one nothing is kept: each panel then reads only its
+    searched once; turn ``keep_matches`` off for a keyword that matches most of a
+    huge range. Without a keyword nothing is kept: each panel then reads only its
     own columns, which is cheaper than holding the whole range.
     """
     matches = None
     rows, found_by = visits, keyword
-    if keyword is not None:
+    if keyword is not None and keep_matches:
         matches = select_visits(visits, span, keyword).select("url", "title", "visit_time")
         rows, found_by = matches.persist(StorageLevel.MEMORY_AND_DISK), None
     return Dashboard(

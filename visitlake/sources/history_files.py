@@ -25,6 +25,7 @@ import json
 import os
 import sqlite3
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -42,6 +43,7 @@ FORMAT = "browser_history"
 DEFAULT_SPLIT_BYTES = 128 * 1024 * 1024
 OPEN_COST_BYTES = 4 * 1024 * 1024
 BATCH_ROWS = 16_384
+STAT_THREADS = 32
 
 ARROW_SCHEMA = pa.schema(
     [
@@ -143,7 +145,8 @@ def list_files(homes: list[str], paths: list[str]) -> list[tuple[str, int]]:
         except OSError:
             return 0
 
-    return [(path, size(path)) for path in found]
+    with ThreadPoolExecutor(STAT_THREADS) as pool:
+        return list(zip(found, pool.map(size, found)))
 
 
 def _decoded(values: tuple) -> pa.Array:

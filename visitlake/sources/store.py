@@ -25,6 +25,10 @@ TABLES = {
 }
 
 
+# The store is written once and read by every query.
+COMPRESSION = "zstd"
+
+
 class VisitStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -81,7 +85,7 @@ class VisitStore:
     # --- appending ---
 
     def append_urls(self, urls: DataFrame) -> None:
-        urls.select(*schema.URLS.names).write.mode("append").parquet(self._table("urls"))
+        self._append(urls, "urls")
 
     def append_visits(self, visits: DataFrame) -> None:
         """Append with few, evenly sized files per day.
@@ -96,9 +100,12 @@ class VisitStore:
             .sortWithinPartitions("visit_day", "visit_time")
             .write.mode("append")
             .partitionBy("visit_day")
-            .parquet(self._table("visits"))
+            .parquet(self._table("visits"), compression=COMPRESSION)
         )
 
     def append_runs(self, report: DataFrame) -> None:
-        columns = schema.IMPORT_RUNS.names
-        report.select(*columns).write.mode("append").parquet(self._table("import_runs"))
+        self._append(report, "import_runs")
+
+    def _append(self, rows: DataFrame, name: str) -> None:
+        columns = TABLES[name].names
+        rows.select(*columns).write.mode("append").parquet(self._table(name), compression=COMPRESSION)
