@@ -25,6 +25,11 @@ def _url_key():
     return F.xxhash64("url").alias("url_key")
 
 
+def key_bytes():
+    """Size of the visit keys of a frame, to be aggregated over it."""
+    return F.sum(F.octet_length("url") + F.lit(8))
+
+
 def accepted_visits(found: DataFrame, accepted: TimeRange) -> DataFrame:
     """Rows a backup takes: nothing before 1970 or after tomorrow midnight."""
     return found.filter(in_range(found, accepted))
@@ -93,16 +98,14 @@ def apply_titles(visits: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def profile_found(found: DataFrame) -> DataFrame:
-    """Rows, last visit time and key bytes per file and UTC day.
+    """Rows and last visit time per file and UTC day.
 
     All that a run needs to know about its input besides the rows: the days it
-    touches, its size, the import log entries and the counts of the report. One
-    scan.
+    touches, the import log entries and the counts of the report. One scan of
+    two columns.
     """
     return found.groupBy("data_path", scalars.utc_day(F.col("visit_time")).alias("day")).agg(
-        F.count(F.lit(1)).alias("n_found"),
-        F.max("visit_time").alias("last_time"),
-        F.sum(F.octet_length("url") + F.lit(8)).alias("key_bytes"),
+        F.count(F.lit(1)).alias("n_found"), F.max("visit_time").alias("last_time")
     )
 
 

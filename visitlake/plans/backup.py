@@ -77,10 +77,12 @@ def backup_files(
     # Staged at once: reading the files again would cost more than Parquet does,
     # and a file may be replaced while the job runs.
     # The few status rows go to a partition of their own.
-    raw = staging.write(source.withColumn("is_status", F.col("url").isNull()), "source", "is_status")
+    source = source.withColumn("is_status", F.col("url").isNull())
+    raw, key_bytes = staging.write_measured(source, "source", ingest.key_bytes(), "is_status")
     files = normalize.file_status(raw.filter("is_status")).select("data_path", "error")
     found = normalize.normalize_history(without_failed_files(raw.filter("NOT is_status"), files))
-    return _run(store, staging, found, files, accepted, dry_run, preview)
+    small = key_bytes <= MAX_BROADCAST_KEY_BYTES
+    return _run(store, staging, found, files, accepted, small, dry_run, preview)
 
 
 def backup_visits(
@@ -100,11 +102,13 @@ def backup_visits(
     """
     staging = Staging(store.spark, "backup")
     staged = found.select(*normalize.FOUND_COLUMNS)
+    small = False
     if stage_input:
-        staged = staging.write(staged, "source")
+        staged, key_bytes = staging.write_measured(staged, "source", ingest.key_bytes())
+        small = key_bytes <= MAX_BROADCAST_KEY_BYTES
     files = staged.select("data_path").distinct().withColumn("error", F.lit(None).cast("string"))
     accepted = ranges.full_range(as_of, store.zone)
-    return _run(store, staging, staged, files, accepted, dry_run, preview)
+    return _run(store, staging, staged, files, accepted, small, dry_run, preview)
 
 
 def without_failed_files(raw: DataFrame, files: DataFrame) -> DataFrame:
@@ -118,11 +122,10 @@ def without_failed_files(raw: DataFrame, files: DataFrame) -> DataFrame:
     return raw.join(failed, "data_path", "left_anti")
 
 
-def batch_days(profile: DataFrame) -> tuple[list[date], int]:
-    """UTC days of a batch and the bytes of its keys. Accepted visits lie between
-    1970 and tomorrow, so the list is bounded by the calendar."""
-    rows = profile.groupBy("day").agg(F.sum("key_bytes").alias("key_bytes")).collect()
-    return sorted(row["day"] for row in rows), sum(row["key_bytes"] for row in rows)
+def batch_days(profile: DataFrame) -> list[date]:
+    """UTC days of a batch. Accepted visits lie between 1970 and tomorrow, so
+    the list is bounded by the calendar."""
+    return sorted(row["day"] for row in profile.select("day").distinct().collect())
 
 
 def stored_on(store: VisitStore, days: list[date]) -> DataFrame:
@@ -139,6 +142,7 @@ def _run(
     found: DataFrame,
     files: DataFrame,
     accepted: ranges.TimeRange,
+    small: bool,
     dry_run: bool,
     preview: bool,
 ) -> BackupResult:
@@ -150,9 +154,8 @@ def _run(
             keep = True
             return BackupResult(None, ingest.dry_run_report(files, profile), staging)
 
-        days, key_bytes = batch_days(profile)
-        small = key_bytes <= MAX_BROADCAST_KEY_BYTES
-        new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored_on(store, days), small)
+        stored = stored_on(store, batch_days(profile))
+        new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored, small)
         new = staging.write(new, "new")
         report = ingest.file_report(files, profile, new)
         if dry_run:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CONF = "spark.checkpoint.dir"
 _local_defaults: dict[str, str] = {}
@@ -39,6 +39,17 @@ class Staging:
         self.spark = spark
         self.folder = new_folder(spark, label)
 
+    def write_measured(
+        self, frame: DataFrame, name: str, figure: Column, *partition_by: str
+    ) -> tuple[DataFrame, int]:
+        """Like ``write``, also returning an aggregate that is taken on the way.
+
+        A repeated task may be counted twice, so take it as an upper bound.
+        """
+        seen = Observation(name)
+        staged = self.write(frame.observe(seen, figure.alias("figure")), name, *partition_by)
+        return staged, seen.get["figure"] or 0
+
     def write(self, frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         frame.write.partitionBy(*partition_by).parquet(path)
