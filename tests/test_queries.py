@@ -84,7 +84,9 @@ def test_key_figures(spark):
     today = R.today_range("2024-01-24", UTC)
     assert tuples(A.kpi_stats(v, span, today, with_domains=True)) == [(3, 2, 2, 1, 1)]
     assert tuples(A.kpi_stats(v, span, today, approx=True)) == [(3, 2, 2, 1)]
+    assert tuples(A.kpi_stats(v, span, today, approx=True, with_domains=True)) == [(3, 2, 2, 1, 1)]
     assert tuples(A.kpi_stats(v.limit(0), span, today)) == [(0, 0, 0, 0)]
+    assert tuples(A.kpi_stats(v.limit(0), span, today, with_domains=True)) == [(0, 0, 0, 0, 0)]
 
 
 def test_share_of_top(spark):

@@ -109,9 +109,11 @@ def kpi_stats(
     """Key figures in one pass over the rows of the range or of today.
 
     ``approx`` estimates the distinct urls and domains with sketches instead of
-    shuffling them.
+    shuffling them. Exact domains are counted in a pass of their own, as each
+    further distinct count in one pass multiplies its rows.
     """
     inside, now = in_range(visits, span), in_range(visits, today)
+    domain = scalars.domain_of(F.col("url"))
     distinct = F.approx_count_distinct if approx else F.count_distinct
     figures = [
         F.count_if(inside).alias("total_visits"),
@@ -119,10 +121,18 @@ def kpi_stats(
         F.count_distinct(F.when(inside, scalars.local_day(F.col("visit_time")))).alias("active_days"),
         F.count_if(now).alias("today_visits"),
     ]
-    if with_domains:
-        domains = distinct(F.when(inside, scalars.domain_of(F.col("url"))))
-        figures.append(domains.alias("unique_domains"))
-    return visits.filter(inside | now).agg(*figures)
+    if with_domains and approx:
+        figures.append(distinct(F.when(inside, domain)).alias("unique_domains"))
+    stats = visits.filter(inside | now).agg(*figures)
+    if with_domains and not approx:
+        stats = _side_by_side(stats, visits.filter(inside).agg(distinct(domain).alias("unique_domains")))
+    return stats
+
+
+def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row out of two one-row frames of numbers, without a join."""
+    rows = left.unionByName(right, allowMissingColumns=True)
+    return rows.agg(*(F.sum(name).alias(name) for name in rows.columns))
 
 
 def browser_breakdown(visits: DataFrame) -> DataFrame:
@@ -154,8 +164,7 @@ def store_status(visits: DataFrame, imports: DataFrame) -> DataFrame:
         scalars.us_to_ms(F.coalesce(F.max("visit_time"), zero)).alias("max_ms"),
     )
     files = imports.agg(F.count(F.lit(1)).alias("n_files"))
-    rows = totals.unionByName(files, allowMissingColumns=True)
-    return rows.agg(*(F.sum(name).alias(name) for name in rows.columns))
+    return _side_by_side(totals, files)
 
 
 def import_history(imports: DataFrame) -> DataFrame:

@@ -75,8 +75,8 @@ def backup_files(
     staging = Staging(spark, "backup")
     source = spark.read.format(history_files.FORMAT).options(**options).load()
     # Staged at once: reading the files again would cost more than Parquet does,
-    # and a file may be replaced while the job runs.
-    # The few status rows go to a partition of their own.
+    # and a file may be replaced while the job runs. The few status rows go to a
+    # partition of their own.
     source = source.withColumn("is_status", F.col("url").isNull())
     raw, key_bytes = staging.write_measured(source, "source", ingest.key_bytes(), "is_status")
     files = normalize.file_status(raw.filter("is_status")).select("data_path", "error")
