@@ -72,17 +72,17 @@ def backup_files(
         options["split_bytes"] = split_bytes
     if not homes and not paths:
         raise ValueError("nothing to back up: give homes or paths")
-    staging = Staging(spark, "backup")
     source = spark.read.format(history_files.FORMAT).options(**options).load()
-    # Staged at once: reading the files again would cost more than Parquet does,
-    # and a file may be replaced while the job runs. The few status rows go to a
-    # partition of their own.
-    source = source.withColumn("is_status", F.col("url").isNull())
-    raw, key_bytes = staging.write_measured(source, "source", ingest.key_bytes(), "is_status")
-    files = normalize.file_status(raw.filter("is_status")).select("data_path", "error")
-    found = normalize.normalize_history(without_failed_files(raw.filter("NOT is_status"), files))
-    small = key_bytes <= MAX_BROADCAST_KEY_BYTES
-    return _run(store, staging, found, files, accepted, small, dry_run, preview)
+    with Staging(spark, "backup") as staging:
+        # Staged at once: reading the files again would cost more than Parquet
+        # does, and a file may be replaced while the job runs. The few status
+        # rows go to a partition of their own.
+        source = source.withColumn("is_status", F.col("url").isNull())
+        raw, key_bytes = staging.write_measured(source, "source", ingest.key_bytes(), "is_status")
+        files = normalize.file_status(raw.filter("is_status")).select("data_path", "error")
+        found = normalize.normalize_history(without_failed_files(raw.filter("NOT is_status"), files))
+        small = key_bytes <= MAX_BROADCAST_KEY_BYTES
+        return _run(store, staging, found, files, accepted, small, dry_run, preview)
 
 
 def backup_visits(
@@ -100,15 +100,15 @@ def backup_visits(
     which saves a copy when it is no more than a scan of a table that stays as
     it is during the run.
     """
-    staging = Staging(store.spark, "backup")
-    staged = found.select(*normalize.FOUND_COLUMNS)
-    small = False
-    if stage_input:
-        staged, key_bytes = staging.write_measured(staged, "source", ingest.key_bytes())
-        small = key_bytes <= MAX_BROADCAST_KEY_BYTES
-    files = staged.select("data_path").distinct().withColumn("error", F.lit(None).cast("string"))
     accepted = ranges.full_range(as_of, store.zone)
-    return _run(store, staging, staged, files, accepted, small, dry_run, preview)
+    with Staging(store.spark, "backup") as staging:
+        staged = found.select(*normalize.FOUND_COLUMNS)
+        small = False
+        if stage_input:
+            staged, key_bytes = staging.write_measured(staged, "source", ingest.key_bytes())
+            small = key_bytes <= MAX_BROADCAST_KEY_BYTES
+        files = staged.select("data_path").distinct().withColumn("error", F.lit(None).cast("string"))
+        return _run(store, staging, staged, files, accepted, small, dry_run, preview)
 
 
 def without_failed_files(raw: DataFrame, files: DataFrame) -> DataFrame:
@@ -146,31 +146,26 @@ def _run(
     dry_run: bool,
     preview: bool,
 ) -> BackupResult:
-    keep = False
-    try:
-        found = ingest.accepted_visits(found, accepted)
-        profile = staging.write(ingest.profile_found(found), "profile")
-        if dry_run and not preview:
-            keep = True
-            return BackupResult(None, ingest.dry_run_report(files, profile), staging)
-
-        stored = stored_on(store, batch_days(profile))
-        new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored, small)
-        new = staging.write(new, "new")
-        report = ingest.file_report(files, profile, new)
-        if dry_run:
-            keep = True
-            return BackupResult(None, report, staging)
-
-        run_seq = store.next_run_seq()
-        if not new.isEmpty():
-            titles = ingest.resolve_titles(ingest.first_titles(new), store.urls(), small)
-            titles = staging.write(titles, "titles")
-            store.append_urls(titles.filter("is_new"))
-            store.append_visits(ingest.apply_titles(new, titles))
-        store.append_runs(report.withColumn("run_seq", F.lit(run_seq).cast("bigint")))
-    finally:
-        if not keep:
-            staging.drop()
+    found = ingest.accepted_visits(found, accepted)
+    profile = staging.write(ingest.profile_found(found), "profile")
+    if dry_run and not preview:
+        staging.kept = True
+        return BackupResult(None, ingest.dry_run_report(files, profile), staging)
+
+    stored = stored_on(store, batch_days(profile))
+    new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored, small)
+    new = staging.write(new, "new")
+    report = ingest.file_report(files, profile, new)
+    if dry_run:
+        staging.kept = True
+        return BackupResult(None, report, staging)
+
+    run_seq = store.next_run_seq()
+    if not new.isEmpty():
+        titles = ingest.resolve_titles(ingest.first_titles(new), store.urls(), small)
+        titles = staging.write(titles, "titles")
+        store.append_urls(titles.filter("is_new"))
+        store.append_visits(ingest.apply_titles(new, titles))
+    store.append_runs(report.withColumn("run_seq", F.lit(run_seq).cast("bigint")))
     written = store.import_runs().filter(F.col("run_seq") == run_seq)
     return BackupResult(run_seq, written.drop("run_seq"))

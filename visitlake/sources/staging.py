@@ -33,11 +33,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 class Staging:
-    """Tables staged by one job; ``drop()`` removes them when it is done."""
+    """Tables staged by one job. As a context manager it removes them at the end,
+    unless ``kept`` for a result that still reads them."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.folder = new_folder(spark, label)
+        self.kept = False
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        if not self.kept:
+            self.drop()
 
     def write_measured(
         self, frame: DataFrame, name: str, figure: Column, *partition_by: str
