@@ -646,6 +646,17 @@ def dashboard_stats(spark, sf):
     return _dashboard(spark, sf).stats
 
 
+# --- training data ------------------------------------------------------------
+
+try:
+    from visitlake.llm import entries as llm_entries  # noqa: E402
+except ImportError:  # the subpackage is optional
+    llm_entries = None
+if llm_entries is not None:
+    QUERIES.update(llm_entries.QUERIES)
+    ORACLES.update(llm_entries.ORACLES)
+
+
 # --- contract -----------------------------------------------------------------
 
 
