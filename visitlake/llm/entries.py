@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from visitlake.llm import ngram_jaccard
+from visitlake.llm import ngram_jaccard, secret_scan, substring_dedup
 from visitlake.llm.tables import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +30,25 @@ def op1_ngram_jaccard_join(spark, sf):
         table(spark, sf, "documents"), stage(spark, "op1"), n=4, threshold=(85, 100)
     )
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@_query()
+def op2_substring_dedup(spark, sf):
+    kept = substring_dedup.remove_repeats(
+        table(spark, sf, "documents"), stage(spark, "op2"), k=35, with_text=False
+    )
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query()
+def op8_secret_scans(spark, sf):
+    found = secret_scan.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secret_scan.span_list(F.col("base_spans")), 256).alias("base_sha256"),
+        secret_scan.span_list(F.col("secret_spans")).alias("spans"),
+    )
