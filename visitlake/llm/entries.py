@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlake.llm import ngram_jaccard, secret_scan, substring_dedup
-from visitlake.llm.tables import stage, table
+from visitlake.llm import (
+    decontamination,
+    language_id,
+    maxent_lm,
+    ngram_jaccard,
+    quality,
+    secret_scan,
+    substring_dedup,
+    toxicity,
+)
+from visitlake.llm.tables import fold_of, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +61,51 @@ def op8_secret_scans(spark, sf):
         F.sha2(secret_scan.span_list(F.col("base_spans")), 256).alias("base_sha256"),
         secret_scan.span_list(F.col("secret_spans")).alias("spans"),
     )
+
+
+def _held_out(folds: int, rest: int):
+    return (fold_of("doc_id", folds) == rest).alias("held_out")
+
+
+@_query()
+def op3_toxicity(spark, sf):
+    fold = fold_of("doc_id", 5)
+    scored = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"), fold != 0)
+    return scored.select(
+        "doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@_query()
+def op4_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language_id.references(docs, fold_of("doc_id", 3) != 1)
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", _held_out(3, 1), "lang_pred", "score"
+    )
+
+
+@_query()
+def op5_lm_scoring(spark, sf):
+    docs = table(spark, sf, "documents")
+    scored, counts = maxent_lm.language_model(docs, fold_of("doc_id", 5) != 1, stage(spark, "op5"))
+    return scored.select(
+        "doc_id", _held_out(5, 1), "n_tokens", "n_known",
+        F.lit(counts.total).cast("bigint").alias("train_tokens"), "base_score", "score",
+    )
+
+
+@_query()
+def op6_quality_classifier(spark, sf):
+    fold = fold_of("doc_id", 5)
+    scored = quality.quality(
+        table(spark, sf, "documents"), table(spark, sf, "labels"), fold != 0, stage(spark, "op6"), threshold=0.3
+    )
+    return scored.select(
+        "doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@_query()
+def op7_benchmark_decontamination(spark, sf):
+    return decontamination.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
