@@ -21,10 +21,11 @@ from visitlake.llm import tables, words
 
 DIMS = 1 << 20
 MAX_LABELLED = 24_000  # rows to fit on
-SHARDS = 6
+SHARDS, SHARD_ROWS = 6, 2_000  # shards, and the least rows in one
 ROUNDS = 3
 OFFSETS = ((0,), (0, 1), (0, 2))
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
+POSITIVE = 2.0  # weight of a row with label 1
 
 
 @dataclass
@@ -47,7 +48,7 @@ class State:
     def learn(self, slots: np.ndarray, label: float) -> None:
         """One step on one text, given its distinct slots."""
         w = self.weights(slots)
-        gradient = _sigmoid(w.sum()) - label
+        gradient = (_sigmoid(w.sum()) - label) * (POSITIVE if label else 1.0)
         squared = gradient * gradient
         rate = (np.sqrt(self.n[slots] + squared) - np.sqrt(self.n[slots])) / ALPHA
         self.z[slots] += gradient - rate * w
@@ -108,9 +109,10 @@ def _train_shard(start, dims: int):
     return run
 
 
-def train(sample: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+def train(sample: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero weights as (slots, weights); the slot DIMS is the bias. Empty without rows."""
     context = sample.sparkSession.sparkContext
+    shards = max(1, min(SHARDS, sample.count() // SHARD_ROWS))
     dealt = sample.select("text", "label", F.xxhash64("doc_id", F.lit(2)).alias("turn"))
     dealt = dealt.repartition(shards, "turn").sortWithinPartitions("turn")
     state = None
