@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from visitlake.llm import (
     decontamination,
+    embedding_dedup,
     language_id,
     maxent_lm,
     ngram_jaccard,
@@ -109,3 +110,8 @@ def op6_quality_classifier(spark, sf):
 @_query()
 def op7_benchmark_decontamination(spark, sf):
     return decontamination.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@_query()
+def op10_embedding_near_dedup(spark, sf):
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"), stage(spark, "op10"), least=0.93)
