@@ -10,7 +10,7 @@ super-k-mer are never equal, so a string that is alone in its bucket needs no
 look at its windows.
 
 *Hot groups.* Equal strings are merged with a count before the shuffle, so a
-group of copies reaches a bucket as a row per task and batch. Which documents
+group of copies reaches a bucket as a row per some megabytes of text. Which documents
 hold a repeated string is found by a second pass and a join that AQE can split.
 Grams that are frequent in a sample of documents are ordered last, so that a
 common line does not draw windows of different contexts into one bucket. The
@@ -34,6 +34,8 @@ from visitlake.sources.staging import Staging
 GRAM_WORDS = 6
 # Ordering of frequent grams: sample rate, least count in the sample, most grams.
 SAMPLE_RATE, SAMPLE_COUNT, MOST_GRAMS = 32, 16, 1 << 16
+# Strings that are merged before they are sent on.
+MERGED_BYTES = 12 << 20
 # Removal spans are broadcast up to this size, else joined by shuffle.
 MAX_BROADCAST_BYTES = 24 << 20
 
@@ -141,12 +143,13 @@ def _frequent_grams(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _strings(docs: DataFrame, k: int, frequent) -> DataFrame:
-    """Packed super-k-mers; equal ones of a batch are one row with a count."""
+    """Packed super-k-mers; equal ones among some megabytes are one row with a count."""
 
     def run(batches):
         grams = frequent.value
         for batch in batches:
             seen: dict[bytes, list] = {}
+            size = 0
             for _, data, offsets in words.chunks(batch):
                 w = words.words(data, offsets)
                 runs = super_kmers(w, w.hashes(), k, grams)
@@ -156,18 +159,25 @@ def _strings(docs: DataFrame, k: int, frequent) -> DataFrame:
                 ):
                     if (known := seen.get(text)) is None:
                         seen[text] = [key, content, 1]
+                        size += len(text)
                     else:
                         known[2] += 1
-            rows = list(seen.values())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.int32()),
-                    pa.array(list(seen), pa.binary()),
-                ],
-                ["key", "content", "copies", "packed"],
-            )
+                if size > MERGED_BYTES:
+                    yield merged(seen)
+                    seen, size = {}, 0
+            yield merged(seen)
+
+    def merged(seen: dict[bytes, list]) -> pa.RecordBatch:
+        rows = list(seen.values())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows], pa.int64()),
+                pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([r[2] for r in rows], pa.int32()),
+                pa.array(list(seen), pa.binary()),
+            ],
+            ["key", "content", "copies", "packed"],
+        )
 
     return docs.select("text").mapInArrow(run, "key bigint, content bigint, copies int, packed binary")
 
