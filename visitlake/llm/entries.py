@@ -12,6 +12,7 @@ from visitlake.llm import (
     embedding_dedup,
     language_id,
     maxent_lm,
+    mixing,
     ngram_jaccard,
     quality,
     secret_scan,
@@ -22,6 +23,8 @@ from visitlake.llm.tables import fold_of, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# Shares of all tokens that mixing aims at.
+TARGET_SHARES = {"toxic": 0.02, "low": 0.08, "clean": 0.90}
 
 
 def _query(sql: str | None = None):
@@ -115,3 +118,23 @@ def op7_benchmark_decontamination(spark, sf):
 @_query()
 def op10_embedding_near_dedup(spark, sf):
     return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"), stage(spark, "op10"), least=0.93)
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of the labelled table: toxic, else low for poor quality, else clean."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", domain.when(F.col("quality") == 1, "clean").alias("domain"))
+
+
+@_query()
+def op9_mixing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    mixed = mixing.mix(
+        docs, labelled_domains(table(spark, sf, "labels")), TARGET_SHARES, stage(spark, "op9"),
+        lexical=("toxic",), keep=["doc_id"],
+    )
+    at = {name: i for i, name in enumerate(TARGET_SHARES)}
+    return mixed.select(
+        "doc_id", "n_tokens", *(F.col("memberships")[i].alias(f"p_{name}") for name, i in at.items()),
+        "rate", "n_copies",
+    )
