@@ -138,3 +138,10 @@ def op9_mixing(spark, sf):
         "doc_id", "n_tokens", *(F.col("memberships")[i].alias(f"p_{name}") for name, i in at.items()),
         "rate", "n_copies",
     )
+
+
+@_query()
+def pipeline(spark, sf):
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf)
