@@ -140,7 +140,7 @@ def _rare(docs: DataFrame, block: Block) -> Block:
 
     counted = docs.select("text").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
     texts = np.zeros(len(block.grams), np.int64)
-    for row in counted.toLocalIterator():  # at most one row per gram of the block
+    for row in counted.collect():  # at most one row per gram of the block
         texts[row["place"]] = row["n"]
     texts = texts[np.searchsorted(block.grams, block.grams)]  # equal grams of several items
     keep = np.zeros(len(texts), bool)
