@@ -6,6 +6,7 @@ The visit log is derived from ``events`` and ``pages`` (see
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 from collections.abc import Callable
@@ -23,7 +24,7 @@ from visitlake.plans import backup  # noqa: E402
 from visitlake.plans.dashboard import dashboard  # noqa: E402
 from visitlake.sources import export, history_files, normalize, profiles, staging  # noqa: E402
 from visitlake.sources.store import VisitStore  # noqa: E402
-from visitlake.streaming.incremental import backup_visit_stream  # noqa: E402
+from visitlake.streaming.incremental import backup_file_stream, backup_visit_stream  # noqa: E402
 
 UTC = ranges.zone("UTC")
 AS_OF = fixtures.AS_OF
@@ -39,10 +40,15 @@ ORACLES: dict[str, str] = {}
 
 def _query(sql: str | None):
     def keep(function):
-        QUERIES[function.__name__] = function
+        @functools.wraps(function)
+        def in_utc(spark, sf):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the SQL counts days in UTC
+            return function(spark, sf)
+
+        QUERIES[function.__name__] = in_utc
         if sql is not None:
             ORACLES[function.__name__] = sql
-        return function
+        return in_utc
 
     return keep
 
@@ -563,11 +569,11 @@ def streaming_backup(spark, sf):
     return store.visits()
 
 
-def _written_homes(spark: SparkSession, sf: str) -> str:
+def _written_homes(spark: SparkSession, sf: str, **layout: bool) -> str:
     """Browser history files written by Spark tasks; the glob of their homes."""
     folder = staging.new_folder(spark, "homes")
     staging.make_folder(spark, folder)
-    fixtures.write_history_files(_visits(spark, sf), folder).count()
+    fixtures.write_history_files(_visits(spark, sf), folder, **layout).count()
     return f"{folder}/*"
 
 
@@ -576,10 +582,14 @@ def _written_homes(spark: SparkSession, sf: str) -> str:
   CASE browser WHEN 'safari' THEN CAST(-1 AS BIGINT) ELSE visit_type END AS visit_type, browser FROM v""")
 def history_file_scan(spark, sf):
     """Visits written to browser history files and read back."""
+    return _scanned(spark, _written_homes(spark, sf))
+
+
+def _scanned(spark: SparkSession, homes: str) -> DataFrame:
     history_files.register(spark)
     raw = (
         spark.read.format(history_files.FORMAT)
-        .options(homes=_written_homes(spark, sf), start_ms=ALL.start_ms, end_ms=ALL.end_ms)
+        .options(homes=homes, start_ms=ALL.start_ms, end_ms=ALL.end_ms)
         .option("split_bytes", 1 << 20)
         .load()
     )
@@ -587,6 +597,65 @@ def history_file_scan(spark, sf):
     return found.select("url", "title", "visit_time", "visit_type", "browser")
 
 
+@_query(ORACLES["history_file_scan"])
+def history_wal_scan(spark, sf):
+    """The same, with every second visit still in the write-ahead log."""
+    return _scanned(spark, _written_homes(spark, sf, wal=True))
+
+
+@_query(f"""{V}, s AS (SELECT url, coalesce(title, '') AS title,
+  CASE browser WHEN 'safari' THEN {_SAFARI_US} ELSE visit_time END AS visit_time,
+  CASE browser WHEN 'safari' THEN CAST(-1 AS BIGINT) ELSE visit_type END AS visit_type, browser FROM v)
+SELECT url, title, visit_time, visit_type, browser FROM s""")
+def streaming_file_backup(spark, sf):
+    """History files taken from a landing folder as they arrive."""
+    store = _new_store(spark)
+    landing = _written_homes(spark, sf, plain=True).removesuffix("/*")
+    query = backup_file_stream(store, landing, staging.new_folder(spark, "stream"), as_of=AS_OF, max_files=4)
+    query.awaitTermination()
+    return store.visits().select("url", "title", "visit_time", "visit_type", "browser")
+
+
+# Landed visits of which some files have a row without url.
+_NULL_URL = "event_id % 97 = 0 AND user_id % 5 = 0"
+_BAD = f"""{V}, bad AS (
+  SELECT DISTINCT data_path FROM e WHERE {_NULL_URL.replace("event_id", "src_row").replace("user_id", "file_seq")})"""
+
+
+def _backup_null_urls(spark, sf):
+    store = _new_store(spark)
+    bad = (F.col("src_row") % 97 == 0) & (F.col("file_seq") % 5 == 0)
+    found = _visits(spark, sf).withColumn("url", F.when(~bad, F.col("url")))
+    found = found.withColumn("title", scalars.title_or_blank(F.col("title")))
+    runs = [backup.backup_visits(store, found, as_of=AS_OF) for _ in range(2)]
+    return store, runs
+
+
+@_query(f"""{_BAD}, g AS (SELECT * FROM v WHERE data_path NOT IN (SELECT data_path FROM bad))
+SELECT url, coalesce(title, '') AS title, visit_time, visit_type, browser, data_path,
+  CAST(make_timestamp(visit_time) AS DATE) AS visit_day FROM g""")
+def backup_null_urls(spark, sf):
+    """The store after two runs over landed visits, some files of which fail."""
+    return _backup_null_urls(spark, sf)[0].visits()
+
+
+@_query(f"""{_BAD}, f AS (
+  SELECT data_path, count(*) FILTER (data_path NOT IN (SELECT data_path FROM bad)) AS found,
+    data_path IN (SELECT data_path FROM bad) AS failed FROM v GROUP BY data_path)
+SELECT 'first' AS run, data_path, found, found AS imported, failed FROM f
+UNION ALL SELECT 'again', data_path, found, CAST(0 AS BIGINT), failed FROM f""")
+def backup_null_urls_report(spark, sf):
+    """The files' reports of these two runs."""
+    _, runs = _backup_null_urls(spark, sf)
+    named = [
+        r.report.select(
+            F.lit(name).alias("run"), "data_path", "found", "imported", F.col("error").isNotNull().alias("failed")
+        )
+        for name, r in zip(("first", "again"), runs)
+    ]
+    return named[0].unionByName(named[1])
+
+
 @_query(f"""{V}, c AS (SELECT count(*) AS n FROM v)
 SELECT 'first' AS run, n AS found, n AS imported, CAST(0 AS BIGINT) AS duplicated, CAST(1 AS BIGINT) AS failed FROM c
 UNION ALL

@@ -174,3 +174,23 @@ def test_user_facing_api(spark, homes, tmp_path):
         assert panels.result_count.first().n_visits == 14
     with pytest.raises(ValueError):
         api.search(start="tomorrow")
+
+
+@pytest.mark.parametrize("writable", [True, False])
+def test_rows_in_the_write_ahead_log_are_read(spark, tmp_path, writable):
+    home = tmp_path / "u1"
+    path = home / fixtures.PROFILE_PATH["firefox"]
+    out = fixtures.HistoryFile(str(path), "firefox", wal=True)
+    for row in entries(21):
+        out.add(*row)
+    out.close()
+    assert path.with_name(path.name + "-wal").stat().st_size > 0
+    before = sorted(p.name for p in path.parent.iterdir())
+    if not writable:
+        path.parent.chmod(0o555)
+    try:
+        rows = normalize.normalize_history(load(spark, homes=f"{tmp_path}/*", split_bytes=1000))
+        assert sorted(tuples(rows.select("url", "title", "visit_time", "visit_type"))) == sorted(entries(21))
+    finally:
+        path.parent.chmod(0o755)
+    assert sorted(p.name for p in path.parent.iterdir()) == before

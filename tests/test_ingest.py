@@ -170,3 +170,14 @@ def test_accepted_bounds_are_inclusive(spark):
     rows = found(spark, rows_of(0, "/a", [("u", "", t, 0) for t in (999, 1000, 2000, 2001)]))
     kept = ingest.accepted_visits(rows, TimeRange(1, 2))
     assert sorted(r.visit_time for r in kept.collect()) == [1000, 2000]
+
+
+def test_a_landed_visit_without_url_fails_its_file(spark, tmp_path):
+    store = VisitStore.create(spark, str(tmp_path / "store"))
+    rows = rows_of(0, "/good", [("u", "t", NOON, 1)]) + rows_of(1, "/bad", [("w", "t", NOON, 1), (None, "t", NOON, 1)])
+    for turn in range(2):
+        run = backup_visits(store, found(spark, rows), as_of="2024-01-30", stage_input=turn == 0)
+        (summary,) = tuples(run.summary)
+        assert summary == (1, 1 - turn, turn, 1)
+    assert tuples(store.visits().select("url")) == [("u",)]
+    assert store.urls().count() == 1

@@ -1,12 +1,19 @@
 import random
 
+import pytest
+
 from helpers import NOON, ModelStore, found, tuples
 from test_history_files import entries, history
 from test_ingest import random_file, rows_of, stored
 from visitlake import schema
 from visitlake.plans.backup import backup_visits
 from visitlake.sources.store import VisitStore
-from visitlake.streaming.incremental import backup_file_stream, backup_visit_stream
+from visitlake.streaming.incremental import (
+    backup_file_stream,
+    backup_visit_stream,
+    failed_files,
+    local_path,
+)
 
 AS_OF = "2024-01-30"
 
@@ -59,3 +66,36 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     for checkpoint in ("ck1", "ck2"):  # a new checkpoint replays everything
         backup_visit_stream(store, stream, str(tmp_path / checkpoint), as_of=AS_OF).awaitTermination()
     assert tuples(store.visits().select("url", "visit_type")) == [("u", 1)]
+
+
+def test_paths_are_taken_as_they_are(spark, tmp_path):
+    store = VisitStore.create(spark, str(tmp_path / "store"))
+    for i, name in enumerate(("plain", "a#b", "c?d", "a%20b", "e f")):
+        history(tmp_path / "land" / name / "History", "chrome", entries(4, i))
+    backup_file_stream(store, str(tmp_path / "land"), str(tmp_path / "ck"), as_of=AS_OF).awaitTermination()
+    assert store.import_runs().filter("error IS NOT NULL").count() == 0
+    assert store.visits().count() == 20
+
+
+def test_other_file_systems_are_refused(spark, tmp_path):
+    assert local_path("file:/a%20b/c#d") == local_path("file:///a%20b/c#d") == "/a%20b/c#d"
+    with pytest.raises(ValueError):
+        backup_file_stream(VisitStore.create(spark, str(tmp_path / "s")), "hdfs://host/land", str(tmp_path / "ck"))
+
+
+def test_a_torn_file_is_tried_again(spark, tmp_path):
+    store = VisitStore.create(spark, str(tmp_path / "store"))
+    torn = tmp_path / "land" / "u1" / "History"
+
+    def run():
+        backup_file_stream(store, str(tmp_path / "land"), str(tmp_path / "ck"), as_of=AS_OF).awaitTermination()
+        return store.visits().count(), failed_files(store).count()
+
+    torn.parent.mkdir(parents=True)
+    torn.write_bytes(b"SQLite format 3\0 torn")
+    assert run() == (0, 1)
+    torn.unlink()
+    history(torn, "chrome", entries(6))
+    assert run() == (6, 0)
+    torn.write_bytes(b"torn")
+    assert run() == (6, 0)

@@ -8,6 +8,7 @@ built backwards from the same visits.
 from __future__ import annotations
 
 import os
+import shutil
 import sqlite3
 import sys
 from collections.abc import Iterator
@@ -37,8 +38,8 @@ def _keyed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as visits, still with page ids instead of urls."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Events as visits, still with page ids instead of urls. The timestamps are
+    read in the session time zone, which is UTC in the queries."""
     n_pages = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     user, event = F.col("user_id"), F.col("event_id")
     browser = (
@@ -147,18 +148,33 @@ _DDL = {
 
 
 class HistoryFile:
-    """Writes one browser history file, row by row."""
+    """Writes one browser history file, row by row.
 
-    def __init__(self, path: str, browser: str):
+    With ``wal`` every second visit is left in the write-ahead log, as when a
+    browser is still running.
+    """
+
+    def __init__(self, path: str, browser: str, wal: bool = False):
         os.makedirs(os.path.dirname(path), exist_ok=True)
         self.path, self.browser = path, browser
         self.pages: dict[str, int] = {}
         self.partial = f"{path}.{os.getpid()}.partial"
         self.db = sqlite3.connect(self.partial)
+        self.wal, self.rows, self.late = wal, 0, []
+        if wal:
+            self.db.execute("PRAGMA journal_mode=WAL")
+            self.db.execute("PRAGMA wal_autocheckpoint=0")
         for statement in _DDL[browser]:
             self.db.execute(statement)
 
     def add(self, url, title, visit_time: int, visit_type: int) -> None:
+        self.rows += 1
+        if self.wal and self.rows % 2 == 0:
+            self.late.append((url, title, visit_time, visit_type))
+        else:
+            self._insert(url, title, visit_time, visit_type)
+
+    def _insert(self, url, title, visit_time: int, visit_type: int) -> None:
         page = self.pages.get(url)
         safari = self.browser == "safari"
         if page is None:
@@ -179,15 +195,29 @@ class HistoryFile:
 
     def close(self) -> str:
         self.db.commit()
+        if self.wal:
+            self.db.execute("PRAGMA wal_checkpoint(TRUNCATE)")
+            for row in self.late:
+                self._insert(*row)
+            self.db.commit()
+            # Closing would empty the log, so both are taken while it is open.
+            shutil.copyfile(f"{self.partial}-wal", f"{self.path}-wal")
+            shutil.copyfile(self.partial, self.path)
+            self.db.close()
+            os.remove(self.partial)
+            return self.path
         self.db.close()
         os.replace(self.partial, self.path)
         return self.path
 
 
-def write_history_files(found: DataFrame, folder: str) -> DataFrame:
+def write_history_files(
+    found: DataFrame, folder: str, wal: bool = False, plain: bool = False
+) -> DataFrame:
     """Write visits as history files, one per task and browser; returns paths.
 
-    The files lie in ``folder`` (a shared mount) like home directories.
+    The files lie in ``folder`` (a shared mount) like home directories, or, when
+    ``plain``, in one folder per file without hidden parts.
     """
     for module in (sys.modules[__name__], scalars, ranges, history_files):
         cloudpickle.register_pickle_by_value(module)
@@ -198,8 +228,11 @@ def write_history_files(found: DataFrame, folder: str) -> DataFrame:
             for row in batch.itertuples(index=False):
                 out = files.get(row.browser)
                 if out is None:
-                    home = f"{folder}/part{row.part}"
-                    out = files[row.browser] = HistoryFile(f"{home}/{PROFILE_PATH[row.browser]}", row.browser)
+                    place = PROFILE_PATH[row.browser]
+                    if plain:
+                        place = f"{row.browser}/{os.path.basename(place)}"
+                    path = f"{folder}/part{row.part}/{place}"
+                    out = files[row.browser] = HistoryFile(path, row.browser, wal)
                 title = None if pd.isna(row.title) else row.title
                 out.add(row.url, title, int(row.visit_time), int(row.visit_type))
         yield pd.DataFrame({"path": [f.close() for f in files.values()]})

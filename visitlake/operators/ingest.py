@@ -19,6 +19,7 @@ VISIT_KEY = ["visit_time", "url"]
 # For the same reason urls are sorted and joined by their hash first. The url
 # stays in the key, so colliding hashes do no harm.
 URL_KEY = ["url_key", "url"]
+NO_URL = "ValueError: a visit without a readable url"
 
 
 def _url_key():
@@ -35,6 +36,12 @@ def accepted_visits(found: DataFrame, accepted: TimeRange) -> DataFrame:
     return found.filter(in_range(found, accepted))
 
 
+def landed_files(found: DataFrame, accepted: TimeRange) -> DataFrame:
+    """data_path and error of the files that landed rows come from."""
+    bad = F.col("url").isNull() & in_range(found, accepted)
+    return found.groupBy("data_path").agg(F.max(F.when(bad, F.lit(NO_URL))).alias("error"))
+
+
 def dedup_visits(found: DataFrame) -> DataFrame:
     """First row per (url, visit_time).
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlake.functions import ranges
+from visitlake.functions.predicates import in_range
 from visitlake.operators import ingest
 from visitlake.sources import history_files, normalize
 from visitlake.sources.staging import Staging
@@ -96,18 +97,24 @@ def backup_visits(
 ) -> BackupResult:
     """Back up visits that were normalised from landed tables.
 
-    The input is read twice. It is staged first unless ``stage_input`` is off,
+    A file with a visit without url in the accepted range fails as a whole, like a
+    history file would. The input is read twice. It is staged first unless ``stage_input`` is off,
     which saves a copy when it is no more than a scan of a table that stays as
     it is during the run.
     """
     accepted = ranges.full_range(as_of, store.zone)
     with Staging(store.spark, "backup") as staging:
         staged = found.select(*normalize.FOUND_COLUMNS)
-        small = False
+        small, any_bad = False, True
         if stage_input:
-            staged, key_bytes = staging.write_measured(staged, "source", ingest.key_bytes())
-            small = key_bytes <= MAX_BROADCAST_KEY_BYTES
-        files = staged.select("data_path").distinct().withColumn("error", F.lit(None).cast("string"))
+            bad = F.count_if(F.col("url").isNull() & in_range(staged, accepted))
+            figures = {"key_bytes": ingest.key_bytes(), "n_bad": bad}
+            staged, seen = staging.write_observed(staged, "source", figures)
+            small = (seen["key_bytes"] or 0) <= MAX_BROADCAST_KEY_BYTES
+            any_bad = seen["n_bad"] > 0
+        files = ingest.landed_files(staged, accepted)
+        if any_bad:
+            staged = without_failed_files(staged, files)
         return _run(store, staging, staged, files, accepted, small, dry_run, preview)
 
 

@@ -11,7 +11,9 @@ Options (lists are JSON arrays or a single string):
 ``split_bytes`` target bytes per task; a larger file is read by several tasks
 
 Files must lie on a file system mounted by every executor. A file that cannot
-be read yields an error row instead of failing the job.
+be read yields an error row instead of failing the job. Rows that a browser has
+not yet moved from its write-ahead log, or left half-way through a change, are
+taken into account: such a file is read from a copy, as sorting this out writes.
 
 The page a visit points to lies in the same file, so the two tables are joined
 there, by primary key, and no Spark shuffle is needed to bring them together.
@@ -23,7 +25,10 @@ from __future__ import annotations
 import glob
 import json
 import os
+import shutil
 import sqlite3
+import sys
+import tempfile
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -44,6 +49,8 @@ DEFAULT_SPLIT_BYTES = 128 * 1024 * 1024
 OPEN_COST_BYTES = 4 * 1024 * 1024
 BATCH_ROWS = 16_384
 STAT_THREADS = 32
+# Endings of the files in which SQLite keeps changes beside a database.
+SIDECARS = ("-wal", "-journal")
 
 ARROW_SCHEMA = pa.schema(
     [
@@ -124,6 +131,13 @@ def plan_slices(files: list[tuple[str, int]], split_bytes: int) -> list[list[Fil
     return groups
 
 
+def _bytes(path: str) -> int:
+    try:
+        return os.path.getsize(path)
+    except OSError:
+        return 0
+
+
 def list_files(homes: list[str], paths: list[str]) -> list[tuple[str, int]]:
     """Detected files first, then the named ones, each with its size.
 
@@ -140,10 +154,7 @@ def list_files(homes: list[str], paths: list[str]) -> list[tuple[str, int]]:
             found.append(path)
 
     def size(path: str) -> int:
-        try:
-            return os.path.getsize(path)
-        except OSError:
-            return 0
+        return sum(_bytes(path + ending) for ending in ("", *SIDECARS))
 
     with ThreadPoolExecutor(STAT_THREADS) as pool:
         return list(zip(found, pool.map(size, found)))
@@ -188,9 +199,41 @@ def _row_span(db: sqlite3.Connection, layout: Layout, k: int, n: int) -> tuple[i
     return low + width * k // n, low + width * (k + 1) // n - 1
 
 
-def read_slice(part: FileSlice, start_ms: int, end_ms: int) -> Iterator[pa.RecordBatch]:
+class Opener:
+    """Opens the files of one task; copies those with changes beside them, once."""
+
+    def __init__(self):
+        self.copies: dict[str, str] = {}
+
+    def __enter__(self) -> Opener:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        for copy in self.copies.values():
+            shutil.rmtree(os.path.dirname(copy), ignore_errors=True)
+
+    def open(self, path: str) -> sqlite3.Connection:
+        if not any(_bytes(path + ending) for ending in SIDECARS):
+            return sqlite3.connect(f"file:{quote(os.path.abspath(path))}?mode=ro&immutable=1", uri=True)
+        if path not in self.copies:
+            # Scratch of this task alone, gone when it ends.
+            copy = os.path.join(tempfile.mkdtemp(prefix="history-"), "copy")
+            self.copies[path] = copy
+            for ending in ("", *SIDECARS):
+                if ending == "" or _bytes(path + ending):
+                    shutil.copyfile(path + ending, copy + ending)
+        return sqlite3.connect(f"file:{quote(self.copies[path])}?mode=rw", uri=True)
+
+
+def read_slice(
+    part: FileSlice, start_ms: int, end_ms: int, opener: Opener | None = None
+) -> Iterator[pa.RecordBatch]:
     """Rows of one slice as Arrow batches. Raises when the file is unusable."""
-    db = sqlite3.connect(f"file:{quote(os.path.abspath(part.path))}?mode=ro&immutable=1", uri=True)
+    if opener is None:
+        with Opener() as own:
+            yield from read_slice(part, start_ms, end_ms, own)
+        return
+    db = opener.open(part.path)
     try:
         db.text_factory = bytes
         names = db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")
@@ -255,14 +298,15 @@ class HistoryFileReader(DataSourceReader):
         return [SliceGroup(group) for group in groups] or [SliceGroup([])]
 
     def read(self, partition: SliceGroup) -> Iterator[pa.RecordBatch]:
-        for part in partition.slices:
-            error = None
-            try:
-                yield from read_slice(part, self.start_ms, self.end_ms)
-            except (sqlite3.Error, pa.ArrowException, ValueError, OverflowError, OSError, TypeError) as exc:
-                error = f"{type(exc).__name__}: {exc}"
-            if error is not None or part.k == 0:
-                yield status_row(part, error)
+        with Opener() as opener:
+            for part in partition.slices:
+                error = None
+                try:
+                    yield from read_slice(part, self.start_ms, self.end_ms, opener)
+                except (sqlite3.Error, pa.ArrowException, ValueError, OverflowError, OSError, TypeError) as exc:
+                    error = f"{type(exc).__name__}: {exc}"
+                if error is not None or part.k == 0:
+                    yield status_row(part, error)
 
 
 class HistoryFileSource(DataSource):
@@ -285,5 +329,5 @@ def register(spark: SparkSession) -> None:
     """
     for module in (schema, scalars, ranges, profiles):
         cloudpickle.register_pickle_by_value(module)
-    cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["FORMAT"]))
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(HistoryFileSource)

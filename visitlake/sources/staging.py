@@ -55,9 +55,17 @@ class Staging:
 
         A repeated task may be counted twice, so take it as an upper bound.
         """
+        staged, seen = self.write_observed(frame, name, {"figure": figure}, *partition_by)
+        return staged, seen["figure"] or 0
+
+    def write_observed(
+        self, frame: DataFrame, name: str, figures: dict[str, Column], *partition_by: str
+    ) -> tuple[DataFrame, dict]:
+        """The same with several aggregates by name."""
         seen = Observation(name)
-        staged = self.write(frame.observe(seen, figure.alias("figure")), name, *partition_by)
-        return staged, seen.get["figure"] or 0
+        named = [figure.alias(key) for key, figure in figures.items()]
+        staged = self.write(frame.observe(seen, *named), name, *partition_by)
+        return staged, seen.get
 
     def write(self, frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.folder}/{name}"

@@ -6,9 +6,10 @@ a micro-batch that is replayed after a failure imports nothing twice.
 
 from __future__ import annotations
 
-from urllib.parse import unquote, urlparse
+import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from visitlake.plans.backup import backup_files, backup_visits
@@ -20,6 +21,43 @@ BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, co
 HISTORY_FILE_NAMES = "{History,places.sqlite,History.db}"
 
 
+# A file that has failed in so many runs is given up; a new path starts anew.
+MAX_ATTEMPTS = 5
+
+
+def local_path(path: str) -> str:
+    """The path as the tasks open it. Spark's paths are not URL-encoded, so only a
+    ``file:`` scheme goes; paths of other file systems are refused, not rewritten."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]+):(/.*)", path)
+    if scheme is None:
+        return path
+    if scheme[1] != "file":
+        raise ValueError(f"history files are opened through a mounted path, not {path}")
+    return "/" + scheme[2].lstrip("/")
+
+
+def failed_files(store: VisitStore, below: str = "/", max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """data_path and last_run of files whose latest import failed, tried fewer than
+    ``max_attempts`` times."""
+    runs = store.import_runs().filter(F.col("data_path").startswith(below))
+    latest = runs.groupBy("data_path").agg(
+        F.max_by(F.col("error").isNotNull(), "run_seq").alias("failed"),
+        F.count_if(F.col("error").isNotNull()).alias("attempts"),
+        F.max("run_seq").alias("last_run"),
+    )
+    return latest.filter(F.col("failed") & (F.col("attempts") < max_attempts)).select("data_path", "last_run")
+
+
+def backup_failed(
+    store: VisitStore, below: str = "/", *, as_of=None, max_files: int = 5_000, max_attempts: int = MAX_ATTEMPTS
+):
+    """Try again the files whose latest import failed, those that have waited longest
+    first; None when there are none."""
+    waiting = failed_files(store, below, max_attempts).orderBy("last_run", "data_path").limit(max_files)
+    paths = [row["data_path"] for row in waiting.collect()]
+    return backup_files(store, paths=paths, as_of=as_of) if paths else None
+
+
 def _start(stream: DataFrame, run_batch, checkpoint: str, interval: str | None) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     if interval is None:
@@ -60,10 +98,15 @@ def backup_file_stream(
 ) -> StreamingQuery:
     """Back up history files as they land below a folder.
 
-    Each snapshot needs a path of its own, as a path is taken once. The stream
+    Each snapshot needs a path of its own, as a path is taken once. Like all file
+    sources of Spark the stream skips hidden folders and files. The stream
     only carries file names, at most ``max_files`` per micro-batch; the files
-    are opened by the tasks of the backup.
+    are opened by the tasks of the backup. Files that failed, for example as they
+    were still being copied, are tried again at the start and with each
+    micro-batch, up to ``MAX_ATTEMPTS`` times.
     """
+    below = local_path(landing).rstrip("/") + "/"
+    backup_failed(store, below, as_of=as_of, max_files=max_files)
     arrivals = (
         store.spark.readStream.format("binaryFile")
         .schema(BINARY_FILE_SCHEMA)
@@ -75,8 +118,12 @@ def backup_file_stream(
     )
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        paths = sorted(unquote(urlparse(row["path"]).path) for row in batch.collect())
-        if paths:
-            backup_files(VisitStore(batch.sparkSession, store.path), paths=paths, as_of=as_of)
+        own = VisitStore(batch.sparkSession, store.path)
+        paths = {local_path(row["path"]) for row in batch.collect()}
+        if not paths:
+            return
+        waiting = failed_files(own, below).orderBy("last_run", "data_path").limit(max_files)
+        paths.update(row["data_path"] for row in waiting.collect())
+        backup_files(own, paths=sorted(paths), as_of=as_of)
 
     return _start(arrivals, run_batch, checkpoint, interval)
