@@ -23,6 +23,7 @@ DIMS = 1 << 20
 MAX_LABELLED = 24_000  # rows to fit on
 SHARDS, SHARD_ROWS = 6, 2_000  # shards, and the least rows in one
 ROUNDS = 3
+LEAST_TEXTS = 2  # texts of a shard that must have a feature for its state to be merged
 OFFSETS = ((0,), (0, 1), (0, 2))
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 POSITIVE = 2.0  # weight of a row with label 1
@@ -90,6 +91,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable, lim
 def _train_shard(start, dims: int):
     def run(batches):
         state = State.empty()
+        texts = np.zeros(dims + 1, np.int32)
         if start is not None:
             at, z, n = start.value
             state.z[at], state.n[at] = z, n
@@ -100,8 +102,10 @@ def _train_shard(start, dims: int):
                 slots, cuts = slots[order], np.searchsorted(row[order], np.arange(count + 1))
                 for i, label in enumerate(rows.column("label").to_pylist()):
                     own = np.unique(slots[cuts[i] : cuts[i + 1]])
-                    state.learn(np.append(own, dims), label)
-        seen = np.flatnonzero(state.n)
+                    own = np.append(own, dims)
+                    texts[own] += 1
+                    state.learn(own, label)
+        seen = np.flatnonzero(texts >= LEAST_TEXTS)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen), pa.array(state.z[seen]), pa.array(state.n[seen])], ["slot", "z", "n"]
         )
