@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from visitlake.llm import decontamination, language_id, mixing, ngram_jaccard, secret_scan
 from visitlake.llm.entries import TARGET_SHARES, labelled_domains
-from visitlake.llm.tables import small, stage, table
+from visitlake.llm.tables import bounded_batches, small, stage, table
 
 # A text whose winning language has a smaller share than this is rejected.
 LEAST_LANGUAGE_SHARE = 0.3
@@ -21,6 +21,7 @@ LEAST_LANGUAGE_SHARE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts that fit no learned language better
     than another. Learns from all documents that have a lang."""
+    bounded_batches(spark)
     model = language_id.references(docs, F.lit(True))
     found = language_id.predict(docs, model)
     if not model.texts:
@@ -35,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id and a text are one document. Rows without an id, which
     belong to no class, stay, as do texts without words.
     """
+    bounded_batches(spark)
     staging = stage(spark, "near-duplicates")
     classes = ngram_jaccard.near_duplicates(docs, staging)
     gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
@@ -53,6 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
+    bounded_batches(spark)
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -69,6 +72,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds n_tokens, memberships, rate and n_copies, and drops what the solution
     excludes (rate 0). A reader repeats a row n_copies times or weighs it by rate."""
+    bounded_batches(spark)
     mixed = mixing.mix(
         docs, labelled_domains(table(spark, sf_dir, "labels")), TARGET_SHARES, stage(spark, "mixing"),
         lexical=("toxic",),

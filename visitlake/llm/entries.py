@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from visitlake.llm import (
     substring_dedup,
     toxicity,
 )
-from visitlake.llm.tables import fold_of, stage, table
+from visitlake.llm.tables import bounded_batches, fold_of, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,10 +30,15 @@ TARGET_SHARES = {"toxic": 0.02, "low": 0.08, "clean": 0.90}
 
 def _query(sql: str | None = None):
     def keep(function):
-        QUERIES[function.__name__] = function
+        @functools.wraps(function)
+        def bounded(spark, sf):
+            bounded_batches(spark)
+            return function(spark, sf)
+
+        QUERIES[function.__name__] = bounded
         if sql is not None:
             ORACLES[function.__name__] = sql
-        return function
+        return bounded
 
     return keep
 

@@ -9,6 +9,11 @@ there they are sorted and counted as whole strings. Two windows of one
 super-k-mer are never equal, so a string that is alone in its bucket needs no
 look at its windows.
 
+*What travels.* Minimisers are counted first, as bare numbers. A bitmap of fixed
+size marks those seen more than once and is broadcast; super-k-mers of others
+hold nothing repeated and stay where they are. A bitmap that fills up with the
+corpus lets more through and changes no result.
+
 *Hot groups.* Equal strings are merged with a count before the shuffle, so a
 group of copies reaches a bucket as a row per some megabytes of text. Which documents
 hold a repeated string is found by a second pass and a join that AQE can split.
@@ -34,6 +39,8 @@ from visitlake.sources.staging import Staging
 GRAM_WORDS = 6
 # Ordering of frequent grams: sample rate, least count in the sample, most grams.
 SAMPLE_RATE, SAMPLE_COUNT, MOST_GRAMS = 32, 16, 1 << 16
+# Bits that mark repeated minimisers: 8 MB.
+MARK_BITS = 1 << 26
 # Strings that are merged before they are sent on.
 MERGED_BYTES = 12 << 20
 # Removal spans are broadcast up to this size, else joined by shuffle.
@@ -52,6 +59,12 @@ class Runs:
     windows: np.ndarray
     content: np.ndarray
 
+    def marked(self, marks: np.ndarray) -> Runs:
+        """Those whose minimiser is marked."""
+        at = self.key & np.uint64(MARK_BITS - 1)
+        kept = (marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return Runs(self.key[kept], self.start[kept], self.windows[kept], self.content[kept])
+
 
 def _leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """For each position the index of the leftmost minimum among the next ``width``."""
@@ -142,7 +155,30 @@ def _frequent_grams(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in top.collect()], np.int64).view(np.uint64))
 
 
-def _strings(docs: DataFrame, k: int, frequent) -> DataFrame:
+def _repeated_marks(docs: DataFrame, k: int, frequent) -> np.ndarray:
+    """Bitmap of the minimisers seen more than once; MARK_BITS bits come to the driver."""
+
+    def run(batches):
+        for batch in batches:
+            keys = []
+            for _, data, offsets in words.chunks(batch):
+                w = words.words(data, offsets)
+                keys.append(super_kmers(w, w.hashes(), k, frequent.value).key)
+            key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint64), [])
+            yield pa.RecordBatch.from_arrays([pa.array(words.signed(key)), pa.array(n, pa.int64())], ["key", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    at = counted.filter("n > 1").select(F.col("key").bitwiseAND(F.lit(MARK_BITS - 1)).alias("at"))
+    bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(at & 63 AS INT)))").alias("bits")
+    )
+    found = bits.toArrow()
+    marks = np.zeros(MARK_BITS // 64, np.uint64)
+    marks[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return marks
+
+
+def _strings(docs: DataFrame, k: int, frequent, marks) -> DataFrame:
     """Packed super-k-mers; equal ones among some megabytes are one row with a count."""
 
     def run(batches):
@@ -152,7 +188,7 @@ def _strings(docs: DataFrame, k: int, frequent) -> DataFrame:
             size = 0
             for _, data, offsets in words.chunks(batch):
                 w = words.words(data, offsets)
-                runs = super_kmers(w, w.hashes(), k, grams)
+                runs = super_kmers(w, w.hashes(), k, grams).marked(marks.value)
                 texts = _packed(w, runs.start, runs.start + runs.windows + k - 2)
                 for key, content, text in zip(
                     words.signed(runs.key).tolist(), words.signed(runs.content).tolist(), texts
@@ -275,7 +311,7 @@ def _count_windows(k: int):
     return run
 
 
-def _places(docs: DataFrame, k: int, frequent) -> DataFrame:
+def _places(docs: DataFrame, k: int, frequent, marks) -> DataFrame:
     """Where each super-k-mer lies."""
 
     def run(batches):
@@ -284,7 +320,7 @@ def _places(docs: DataFrame, k: int, frequent) -> DataFrame:
             for rows, data, offsets in words.chunks(batch):
                 w = words.words(data, offsets)
                 h = w.hashes()
-                runs = super_kmers(w, h, k, grams)
+                runs = super_kmers(w, h, k, grams).marked(marks.value)
                 row = np.searchsorted(w.first, runs.start, side="right") - 1
                 keys = row_keys(w, h, rows.column(0))
                 yield pa.RecordBatch.from_arrays(
@@ -370,14 +406,15 @@ def remove_repeats(docs: DataFrame, staging: Staging, *, k: int = 50, with_text:
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent_grams(docs, k))
-    strings = _strings(docs, k, frequent).repartition("key").sortWithinPartitions("key")
+    marks = spark.sparkContext.broadcast(_repeated_marks(docs, k, frequent))
+    strings = _strings(docs, k, frequent, marks).repartition("key").sortWithinPartitions("key")
     repeated = staging.write(
         strings.select("key", "content", "copies", "packed").mapInArrow(
             _count_windows(k), "key bigint, content bigint, spans array<struct<low:int,high:int>>"
         ),
         "repeated",
     )
-    found = _places(docs, k, frequent).join(repeated, ["key", "content"])
+    found = _places(docs, k, frequent, marks).join(repeated, ["key", "content"])
     spans, size = staging.write_measured(
         _row_spans(found, k), "spans", F.sum(F.size("spans") * 8 + 32)
     )

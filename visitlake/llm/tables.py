@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts that stay in the megabytes. For this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def small(frame: DataFrame, n_rows: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The frame, to be broadcast when the measured number of rows allows it."""
     return F.broadcast(frame) if n_rows <= limit else frame

@@ -2,7 +2,7 @@
 
 Texts are taken as UTF-8 bytes. Only ASCII bytes separate words or change case,
 so nothing needs decoding. A null text counts as an empty one. Batches are cut
-into chunks of a few megabytes, which bounds memory; a text longer than that is
+into chunks of a megabyte, which bounds memory; a text longer than that is
 a chunk of its own.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BYTES = np.arange(256)
 WHITESPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
