@@ -36,10 +36,10 @@ _MARKS = [np.isin(_B, list(group)) for group in (b"!", b"|", b"#&%$@*^~<>{}[]\\/
 FIGURES = 8 + len(_MARKS) + 6
 
 
-def _row_sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+def _byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """rows x 256: how often each row has each byte."""
+    row = np.repeat(np.arange(0, 256 * (len(offsets) - 1), 256), np.diff(offsets))
+    return np.bincount(row + data, minlength=256 * (len(offsets) - 1)).reshape(-1, 256)
 
 
 def _line_repeats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -59,7 +59,8 @@ def figures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n_bytes = np.maximum(np.diff(offsets), 1)
     n = w.counts
     n_words = np.maximum(n, 1)
-    letters = np.maximum(_row_sums(_UPPER[data] | _LOWER[data], offsets), 1)
+    counts = _byte_counts(data, offsets)
+    letters = np.maximum(counts @ (_UPPER | _LOWER), 1)
     h = w.hashes()
     row = w.row_of()
     order = np.lexsort((h, row))
@@ -74,18 +75,18 @@ def figures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     length = w.ends - w.starts
     mean = np.bincount(row, length, w.rows) / n_words
     squares = np.bincount(row, length.astype(float) ** 2, w.rows) / n_words
-    ends = _row_sums(_STOP[data], offsets)
+    ends = counts @ _STOP
     columns = [
         np.log1p(n),
-        _row_sums(_UPPER[data], offsets) / letters,
-        _row_sums(_DIGIT[data], offsets) / n_bytes,
-        _row_sums(data >= 128, offsets) / n_bytes,
+        counts @ _UPPER / letters,
+        counts @ _DIGIT / n_bytes,
+        counts @ (_B >= 128) / n_bytes,
         mean,
         np.sqrt(np.maximum(squares - mean**2, 0)),
         np.log1p(n / np.maximum(ends, 1)),
         np.bincount(row, length <= 3, w.rows) / n_words,
     ]
-    columns += [np.sqrt(_row_sums(flags[data], offsets) / n_words) for flags in _MARKS]
+    columns += [np.sqrt(counts @ flags / n_words) for flags in _MARKS]
     columns += [
         distinct / n_words,
         most / n_words,
