@@ -12,7 +12,8 @@ look at its windows.
 *What travels.* Minimisers are counted first, as bare numbers. A bitmap of fixed
 size marks those seen more than once and is broadcast; super-k-mers of others
 hold nothing repeated and stay where they are. A bitmap that fills up with the
-corpus lets more through and changes no result.
+corpus lets more through and changes no result. In the same way only texts that
+hold something repeated are shuffled to meet the spans to remove.
 
 *Hot groups.* Equal strings are merged with a count before the shuffle, so a
 group of copies reaches a bucket as a row per some megabytes of text. Which documents
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlake.llm import tables, words
+from visitlake.llm import words
 from visitlake.sources.staging import Staging
 
 GRAM_WORDS = 6
@@ -43,8 +44,6 @@ SAMPLE_RATE, SAMPLE_COUNT, MOST_GRAMS = 32, 16, 1 << 16
 MARK_BITS = 1 << 26
 # Strings that are merged before they are sent on.
 MERGED_BYTES = 12 << 20
-# Removal spans are broadcast up to this size, else joined by shuffle.
-MAX_BROADCAST_BYTES = 24 << 20
 
 _ROW = np.array([0x2545F4914F6CDD1D], np.uint64)
 _LAST = np.uint64(1 << 63)
@@ -61,11 +60,27 @@ class Runs:
 
     def marked(self, marks: np.ndarray) -> Runs:
         """Those whose minimiser is marked."""
-        at = self.key & np.uint64(MARK_BITS - 1)
-        kept = (marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        kept = _is_marked(self.key, marks)
         return Runs(self.key[kept], self.start[kept], self.windows[kept], self.content[kept])
 
 
+def _is_marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(64 * len(marks) - 1)
+    return (marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _marks(keys: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of the keys in a table; MARK_BITS bits come to the driver."""
+    at = keys.select(F.col(column).bitwiseAND(F.lit(MARK_BITS - 1)).alias("at"))
+    bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(at & 63 AS INT)))").alias("bits")
+    )
+    found = bits.toArrow()
+    marks = np.zeros(MARK_BITS // 64, np.uint64)
+    marks[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return marks
+
+
 def _leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """For each position the index of the leftmost minimum among the next ``width``."""
     n = len(values) - width + 1
@@ -156,7 +171,7 @@ def _frequent_grams(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _repeated_marks(docs: DataFrame, k: int, frequent) -> np.ndarray:
-    """Bitmap of the minimisers seen more than once; MARK_BITS bits come to the driver."""
+    """Bitmap of the minimisers seen more than once."""
 
     def run(batches):
         for batch in batches:
@@ -168,14 +183,7 @@ def _repeated_marks(docs: DataFrame, k: int, frequent) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(words.signed(key)), pa.array(n, pa.int64())], ["key", "n"])
 
     counted = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    at = counted.filter("n > 1").select(F.col("key").bitwiseAND(F.lit(MARK_BITS - 1)).alias("at"))
-    bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(at & 63 AS INT)))").alias("bits")
-    )
-    found = bits.toArrow()
-    marks = np.zeros(MARK_BITS // 64, np.uint64)
-    marks[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return marks
+    return _marks(counted.filter("n > 1"), "key")
 
 
 def _strings(docs: DataFrame, k: int, frequent, marks) -> DataFrame:
@@ -352,45 +360,65 @@ def _row_spans(found: DataFrame, k: int) -> DataFrame:
 KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
-def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
+def _cut_batch(ids: list, texts: list[bytes], spans: list, with_text: bool) -> pa.RecordBatch:
+    out = []
+    for doc_id, text, gone in zip(ids, texts, spans):
+        tokens = text.split()
+        kept, done = [], 0
+        for span in gone or ():
+            kept += tokens[done : max(done, span["low"])]
+            done = max(done, span["high"])
+        kept += tokens[done:]
+        joined = b" ".join(kept)
+        digest = hashlib.sha256(joined).hexdigest()
+        whole = joined.decode() if with_text else None
+        out.append((doc_id, len(tokens), len(tokens) - len(kept), digest, whole))
+    columns = list(zip(*out)) or [[]] * 5
+    types = [pa.int64()] * 3 + [pa.string()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], KEPT_NAMES)
+
+
+KEPT_NAMES = [field.split()[0] for field in KEPT.split(", ")]
+
+
+def _by_marks(batch: pa.RecordBatch, marks: np.ndarray, marked: bool):
+    """Of each chunk of rows those whose key is, or is not, marked: ids, texts, keys."""
+    for rows, data, offsets in words.chunks(batch):
+        w = words.words(data, offsets)
+        keys = row_keys(w, w.hashes(), rows.column("doc_id"))
+        at = np.flatnonzero(_is_marked(keys, marks) == marked)
+        whole = data.tobytes()
+        ids = rows.column("doc_id").cast(pa.int64()).take(pa.array(at))
+        yield ids, [whole[offsets[i] : offsets[i + 1]] for i in at], keys[at]
+
+
+def _untouched(docs: DataFrame, marks, with_text: bool) -> DataFrame:
+    """Results of the rows that hold nothing repeated."""
+
     def run(batches):
         for batch in batches:
-            for part, data, offsets in words.chunks(batch):
-                texts = data.tobytes()
-                out = []
-                ids, spans = part.column("doc_id").to_pylist(), part.column("spans").to_pylist()
-                for i in range(part.num_rows):
-                    tokens = texts[offsets[i] : offsets[i + 1]].split()
-                    kept, done = [], 0
-                    for span in spans[i] or ():
-                        kept += tokens[done : max(done, span["low"])]
-                        done = max(done, span["high"])
-                    kept += tokens[done:]
-                    joined = b" ".join(kept)
-                    digest = hashlib.sha256(joined).hexdigest()
-                    out.append((ids[i], len(tokens), len(tokens) - len(kept), digest, joined.decode() if with_text else None))
-                columns = list(zip(*out))
-                types = [pa.int64()] * 3 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-                )
+            for ids, texts, _ in _by_marks(batch, marks.value, False):
+                yield _cut_batch(ids.to_pylist(), texts, [None] * len(texts), with_text)
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, KEPT)
+    return docs.mapInArrow(run, KEPT)
 
 
-def _with_keys(docs: DataFrame) -> DataFrame:
-    def run(batches):
+def _touched(docs: DataFrame, marks, spans: DataFrame, with_text: bool) -> DataFrame:
+    """Results of the other rows, which meet their spans by shuffle."""
+
+    def keyed(batches):
         for batch in batches:
-            for rows, data, offsets in words.chunks(batch):
-                w = words.words(data, offsets)
-                keys = row_keys(w, w.hashes(), rows.column("doc_id"))
+            for ids, texts, keys in _by_marks(batch, marks.value, True):
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id").cast(pa.int64()), rows.column("text").cast(pa.string()), pa.array(words.signed(keys))],
-                    ["doc_id", "text", "row"],
+                    [ids, pa.array(texts, pa.binary()), pa.array(words.signed(keys))], ["doc_id", "text", "row"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, row bigint")
+    def run(batches):
+        for batch in batches:
+            yield _cut_batch(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), with_text)
+
+    rows = docs.mapInArrow(keyed, "doc_id bigint, text binary, row bigint")
+    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, KEPT)
 
 
 def remove_repeats(docs: DataFrame, staging: Staging, *, k: int = 50, with_text: bool = True) -> DataFrame:
@@ -415,9 +443,6 @@ def remove_repeats(docs: DataFrame, staging: Staging, *, k: int = 50, with_text:
         "repeated",
     )
     found = _places(docs, k, frequent, marks).join(repeated, ["key", "content"])
-    spans, size = staging.write_measured(
-        _row_spans(found, k), "spans", F.sum(F.size("spans") * 8 + 32)
-    )
-    if size <= MAX_BROADCAST_BYTES:
-        spans = F.broadcast(spans)
-    return _cut(_with_keys(docs).join(spans, "row", "left"), with_text)
+    spans = staging.write(_row_spans(found, k), "spans")
+    touched = spark.sparkContext.broadcast(_marks(spans, "row"))
+    return _untouched(docs, touched, with_text).unionByName(_touched(docs, touched, spans, with_text))
