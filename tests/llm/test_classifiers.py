@@ -1,0 +1,124 @@
+"""Toxicity and quality: held-out accuracy, and rows that have nothing to offer."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from llm_helpers import AWKWARD, prose, table
+from pyspark.sql import functions as F
+
+from visitlake.llm import quality as Q
+from visitlake.llm import tables, words
+from visitlake.llm import toxicity as T
+
+INSULTS = ["scum", "fool", "rat"]
+
+
+def corpus(rng, n):
+    """Texts, toxic flags and quality flags."""
+    rows, toxic, good = [], {}, {}
+    for i in range(n):
+        text = prose(rng, rng.randrange(30, 120))
+        toxic[i] = int(rng.random() < 0.25)
+        if toxic[i]:
+            parts = text.split()
+            for _ in range(4):
+                parts.insert(rng.randrange(len(parts)), rng.choice(INSULTS))
+            text = " ".join(parts)
+        good[i] = int(rng.random() < 0.8)
+        if not good[i]:
+            text = rng.choice([text.upper().replace(" ", "!! "), text.replace(" ", " | ")])
+        rows.append((i, text))
+    return rows, toxic, good
+
+
+def labels(spark, toxic, good):
+    rows = [(i, good[i], toxic[i]) for i in toxic]
+    rows += [(None, 1, 1), (0, None, None), (10_000, 0, 1)]  # no id, no labels, no text
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rng = random.Random(8)
+    rows, toxic, good = corpus(rng, 600)
+    rows += [(1000 + i, t) for i, t in enumerate(AWKWARD)] + [(None, "scum"), rows[5], (1100, "scum " * 20_000)]
+    return table(spark, rows), labels(spark, toxic, good), rows, toxic, good
+
+
+def test_held_out_toxicity(data):
+    docs, given, rows, toxic, _ = data
+    found = T.toxicity(docs, given, F.col("doc_id") % 5 != 0).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
+    held = [(r.score >= 0.5, toxic[r.doc_id]) for r in found if r.doc_id in toxic and r.doc_id % 5 == 0]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    by = {r.doc_id: r.score for r in found}
+    assert by[1000] == by[1001] == by[1002]  # null, empty, blank
+    assert sum(r.doc_id == 5 for r in found) == 2 and len({r.score for r in found if r.doc_id == 5}) == 1
+
+
+def test_a_learning_step_follows_the_published_update():
+    state = T.State.empty()
+    rng = np.random.default_rng(1)
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0)) <= T.L1:
+            return 0.0
+        return -(z[i] - math.copysign(T.L1, z[i])) / ((T.BETA + math.sqrt(n[i])) / T.ALPHA + T.L2)
+
+    for _ in range(300):
+        slots, label = np.unique(rng.integers(0, 12, 5)), float(rng.integers(0, 2))
+        p = 1 / (1 + math.exp(-sum(weight(i) for i in slots)))
+        g = (p - label) * (T.POSITIVE if label else 1)
+        for i, w in [(i, weight(i)) for i in slots.tolist()]:
+            sigma = (math.sqrt(n.get(i, 0) + g * g) - math.sqrt(n.get(i, 0))) / T.ALPHA
+            z[i] = z.get(i, 0) + g - sigma * w
+            n[i] = n.get(i, 0) + g * g
+        state.learn(slots, label)
+    assert np.allclose(state.weights(np.arange(12)), [weight(i) for i in range(12)])
+    assert np.any(state.weights(np.arange(12)))
+
+
+def test_nothing_to_learn(spark, data):
+    docs, given, rows, _, _ = data
+    assert {r.score for r in T.toxicity(docs, given, F.lit(False)).collect()} == {0.0}
+    flat = Q.quality(docs, given, F.lit(False), tables.stage(spark, "t"), threshold=0.3).collect()
+    assert len(flat) == len(rows) and {r.score for r in flat} == {0.3}
+    assert T.toxicity(table(spark, []), given, F.lit(True)).count() == 0
+
+
+def test_held_out_quality(spark, data):
+    docs, given, rows, _, good = data
+    found = Q.quality(docs, given, F.col("doc_id") % 5 != 0, tables.stage(spark, "t"), threshold=0.3).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
+    held = [(r.score >= 0.3, good[r.doc_id]) for r in found if r.doc_id in good and r.doc_id % 5 == 0]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    assert Q.quality(table(spark, []), given, F.lit(True), tables.stage(spark, "t")).count() == 0
+
+
+def test_figures_of_simple_texts():
+    text = b"AB cd! cd 12\nline\nline\n"
+    f = Q.figures(np.frombuffer(text, np.uint8), np.array([0, len(text), len(text)]))
+    assert f.shape == (2, Q.FIGURES) and not f[1].any()
+    assert f[0, 0] == pytest.approx(math.log1p(6)) and f[0, 1] == pytest.approx(2 / 14)
+    assert f[0, 2] == pytest.approx(2 / len(text)) and f[0, 4] == pytest.approx((2 + 3 + 2 + 2 + 4 + 4) / 6)
+    assert f[0, -4] == pytest.approx(1 / 3)  # of three lines one is a repeat
+
+
+def test_words_match_python(spark):
+    rng = random.Random(3)
+    alphabet = "aB \t\n\x0b\x85 é.1"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(0, 40))) for _ in range(400)]
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    w = words.words(data, offsets, lower=True)
+    seen = {}
+    for r, t in enumerate(texts):
+        span = slice(w.first[r], w.first[r + 1])
+        own = [data[a:b].tobytes().lower() for a, b in zip(w.starts[span], w.ends[span])]
+        assert own == t.encode().lower().split()
+        for word, h in zip(own, w.hashes()[span]):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)

@@ -45,8 +45,8 @@ def test_equals_brute_force(spark, k):
     assert run(spark, rows, k) == brute(rows, k)
 
 
-def test_shuffled_spans_and_frequent_grams(spark, monkeypatch):
-    monkeypatch.setattr(S, "MAX_BROADCAST_BYTES", 0)
+def test_full_bitmaps_and_frequent_grams(spark, monkeypatch):
+    monkeypatch.setattr(S, "MARK_BITS", 64)
     monkeypatch.setattr(S, "SAMPLE_RATE", 1)
     monkeypatch.setattr(S, "SAMPLE_COUNT", 3)
     rng = random.Random(3)

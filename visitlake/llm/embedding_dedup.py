@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitlake.llm.components import components
@@ -75,10 +75,15 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def usable_vectors(vectors: DataFrame) -> DataFrame:
+def _plain() -> Column:
+    """The vector in double precision; adding zero makes -0.0 and 0.0 one value."""
+    return F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
+
+
+def _usable() -> Column:
     """Rows that can link: label and id known, vector without null or non-finite
-    parts and not zero. Vectors of unlike length never link."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    parts and not zero."""
+    v = _plain()
     fine = (
         F.col("label").isNotNull()
         & F.col("vec_id").isNotNull()
@@ -86,7 +91,7 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
         & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
         & F.exists(v, lambda x: x != 0)
     )
-    return vectors.filter(F.coalesce(fine, F.lit(False))).select("vec_id", "label", v.alias("embedding"))
+    return F.coalesce(fine, F.lit(False))
 
 
 def train(vertices: DataFrame, n: int) -> Coder | None:
@@ -253,9 +258,11 @@ def near_duplicates(vectors: DataFrame, staging: Staging, *, least: float = 0.93
     non-finite parts, links with nothing. Every link has been checked exactly;
     the tables may miss a few. The result reads tables in ``staging``.
     """
-    # -0.0 and 0.0 are one value to the cosine and to this key.
-    plain = usable_vectors(vectors).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
-    keyed = plain.withColumn("vertex", F.xxhash64("label", "embedding"))
+    own = vectors.select(
+        "vec_id", "label", _plain().alias("embedding"),
+        F.when(_usable(), F.xxhash64("label", _plain())).alias("vertex"),
+    )
+    keyed = own.filter("vertex IS NOT NULL")
     vertices = staging.write(
         keyed.groupBy("vertex").agg(
             F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"),
@@ -282,12 +289,7 @@ def near_duplicates(vectors: DataFrame, staging: Staging, *, least: float = 0.93
     )
     smallest = facts.groupBy("component").agg(F.min("first_id").alias("component_id"))
     classes = staging.write(facts.join(smallest, "component").select("vertex", "n_links", "component_id"), "classes")
-    # The key of each row once more; rows that cannot link have none.
-    own = vectors.select("vec_id", "label", "embedding").withColumn(
-        "vertex",
-        F.xxhash64("label", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))),
-    )
-    return own.join(classes, "vertex", "left").select(
+    return own.select("vec_id", "vertex").join(classes, "vertex", "left").select(
         F.col("vec_id").cast("bigint"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component_id", "vec_id").cast("bigint").alias("component_id"),

@@ -219,7 +219,7 @@ def mix(
     model = learn(docs.select("doc_id", "text"), labelled, domains, list(lexical), staging)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in keep or docs.columns if c not in COLUMNS]
-    rows = docs.select(*kept, F.col("text").alias("__text"), F.xxhash64("doc_id", "text").alias("turn"))
+    rows = docs.select(*kept, F.col("text").alias("__text"), F.xxhash64("doc_id", "text").alias("__turn"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
 
     def run(batches):
@@ -230,12 +230,12 @@ def mix(
                 p = model.memberships(model.raw(data, offsets, tables))
                 counts = words.words(data, offsets).counts
                 yield pa.RecordBatch.from_arrays(
-                    [*part.select(kept).columns, part.column("turn"), pa.array(counts),
+                    [*part.select(kept).columns, part.column("__turn"), pa.array(counts),
                      pa.array(list(p), pa.list_(pa.float64()))],
-                    [*kept, "turn", "n_tokens", "memberships"],
+                    [*kept, "__turn", "n_tokens", "memberships"],
                 )
 
-    schema = f"{fields}, turn bigint, n_tokens bigint, memberships array<double>"
+    schema = f"{fields}, __turn bigint, n_tokens bigint, memberships array<double>"
     table = staging.write(rows.mapInArrow(run, schema), "memberships")
     steps = solve(table, [targets[d] for d in domains])
     k = len(domains)
@@ -245,7 +245,7 @@ def mix(
             if not b.num_rows:
                 continue
             rate = _rates(_rows(b.column("memberships"), k), steps)
-            part = (b.column("turn").to_numpy().view(np.uint64) >> np.uint64(11)) * 2.0**-53
+            part = (b.column("__turn").to_numpy().view(np.uint64) >> np.uint64(11)) * 2.0**-53
             copies = np.floor(rate + part).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*b.select([*kept, "n_tokens", "memberships"]).columns, pa.array(rate), pa.array(copies)],

@@ -50,7 +50,7 @@ def _line_repeats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pairs = np.stack([lines.row_of().astype(np.uint64), lines.hashes()], 1)
     kinds = np.unique(pairs, axis=0) if len(pairs) < 2 else np.unique(pairs.view("u8,u8").ravel()).view("u8").reshape(-1, 2)
     distinct = np.bincount(kinds[:, 0].astype(np.int64), minlength=lines.rows)
-    return 1 - distinct / np.maximum(lines.counts, 1)
+    return (lines.counts - distinct) / np.maximum(lines.counts, 1)
 
 
 def figures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
