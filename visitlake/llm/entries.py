@@ -15,6 +15,7 @@ from visitlake.llm import (
     maxent_lm,
     mixing,
     ngram_jaccard,
+    oracles,
     quality,
     secret_scan,
     substring_dedup,
@@ -43,7 +44,7 @@ def _query(sql: str | None = None):
     return keep
 
 
-@_query()
+@_query(oracles.OP1)
 def op1_ngram_jaccard_join(spark, sf):
     found = ngram_jaccard.near_duplicates(
         table(spark, sf, "documents"), stage(spark, "op1"), n=4, threshold=(85, 100)
@@ -51,7 +52,7 @@ def op1_ngram_jaccard_join(spark, sf):
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-@_query()
+@_query(oracles.OP2)
 def op2_substring_dedup(spark, sf):
     kept = substring_dedup.remove_repeats(
         table(spark, sf, "documents"), stage(spark, "op2"), k=35, with_text=False
@@ -121,7 +122,7 @@ def op7_benchmark_decontamination(spark, sf):
     return decontamination.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-@_query()
+@_query(oracles.OP10)
 def op10_embedding_near_dedup(spark, sf):
     return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"), stage(spark, "op10"), least=0.93)
 
