@@ -4,8 +4,8 @@ A text's features are its distinct words, word pairs and pairs with one word
 between, each hashed to one of DIMS slots. Every slot has a learning rate of its
 own, and the L1 term sets the weights of uninformative slots to zero, so scoring
 broadcasts a few non-zero weights. Training takes a bounded sample of the
-labelled rows. Shards of it are trained in parallel; between rounds their states
-are averaged, slot by slot, in Spark. What comes to the driver is bounded by DIMS.
+labelled rows. Shards of it are trained in parallel; between rounds their states,
+two numbers per slot, are averaged on the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ DIMS = 1 << 20
 MAX_LABELLED = 24_000  # rows to fit on
 SHARDS, SHARD_ROWS = 6, 2_000  # shards, and the least rows in one
 ROUNDS = 3
-LEAST_TEXTS = 2  # texts of a shard that must have a feature for its state to be merged
 OFFSETS = ((0,), (0, 1), (0, 2))
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 POSITIVE = 2.0  # weight of a row with label 1
@@ -90,11 +89,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable, lim
 
 def _train_shard(start, dims: int):
     def run(batches):
-        state = State.empty()
-        texts = np.zeros(dims + 1, np.int32)
-        if start is not None:
-            at, z, n = start.value
-            state.z[at], state.n[at] = z, n
+        state = State(start.value.z.copy(), start.value.n.copy())
         for batch in batches:
             for rows, data, offsets in words.chunks(batch):
                 slots, row, count = slots_of(data, offsets)
@@ -102,12 +97,9 @@ def _train_shard(start, dims: int):
                 slots, cuts = slots[order], np.searchsorted(row[order], np.arange(count + 1))
                 for i, label in enumerate(rows.column("label").to_pylist()):
                     own = np.unique(slots[cuts[i] : cuts[i + 1]])
-                    own = np.append(own, dims)
-                    texts[own] += 1
-                    state.learn(own, label)
-        seen = np.flatnonzero(texts >= LEAST_TEXTS)
+                    state.learn(np.append(own, dims), label)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), pa.array(state.z[seen]), pa.array(state.n[seen])], ["slot", "z", "n"]
+            [pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (state.z, state.n)], ["z", "n"]
         )
 
     return run
@@ -118,23 +110,17 @@ def train(sample: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
     context = sample.sparkSession.sparkContext
     shards = max(1, min(SHARDS, sample.count() // SHARD_ROWS))
     dealt = sample.select("text", "label", F.xxhash64("doc_id", F.lit(2)).alias("turn"))
-    dealt = dealt.repartition(shards, "turn").sortWithinPartitions("turn")
-    state = None
+    dealt = dealt.repartition(shards, "turn").sortWithinPartitions("turn").select("text", "label")
+    state = State.empty()
     for _ in range(rounds):
-        start = None if state is None else context.broadcast(state)
-        merged = (
-            dealt.select("text", "label")
-            .mapInArrow(_train_shard(start, DIMS), "slot bigint, z double, n double")
-            .groupBy("slot")
-            .agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n"))
-            .orderBy("slot")
-            .toArrow()
-        )
-        state = tuple(merged.column(c).to_numpy() for c in ("slot", "z", "n"))
-    at, z, n = state
-    full = State.empty()
-    full.z[at], full.n[at] = z, n
-    w = full.weights()
+        shared = context.broadcast(state)
+        state = State.empty()
+        # One row per shard, bounded by DIMS.
+        for part in dealt.mapInArrow(_train_shard(shared, DIMS), "z binary, n binary").collect():
+            state.z += np.frombuffer(part["z"], np.float32) / shards
+            state.n += np.frombuffer(part["n"], np.float32) / shards
+        shared.unpersist()
+    w = state.weights()
     nonzero = np.flatnonzero(w)
     return nonzero, w[nonzero].astype(np.float32)
 
