@@ -21,6 +21,7 @@ from visitlake.functions import ranges, scalars  # noqa: E402
 from visitlake.functions.ranges import TimeRange  # noqa: E402
 from visitlake.operators import aggregates, ingest, search  # noqa: E402
 from visitlake.plans import backup  # noqa: E402
+from visitlake.plans.compaction import compact  # noqa: E402
 from visitlake.plans.dashboard import dashboard  # noqa: E402
 from visitlake.sources import export, history_files, normalize, profiles, staging  # noqa: E402
 from visitlake.sources.store import VisitStore  # noqa: E402
@@ -194,6 +195,19 @@ def daily_counts_keyword(spark, sf):
     return aggregates.daily_counts(_visits(spark, sf), MONTH, KEYWORD)
 
 
+@_query(f"""{V} SELECT {DAY_MS} AS day_ms, count(*) AS cnt FROM v
+WHERE {_within(MONTH)} AND (url LIKE '%The%' OR title LIKE '%The%') GROUP BY 1 ORDER BY 1""")
+def daily_counts_case(spark, sf):
+    return aggregates.daily_counts(_visits(spark, sf), MONTH, "The", case_sensitive=True)
+
+
+@_query(f"""{V} SELECT {DOMAIN} AS domain, count(*) AS cnt FROM v
+WHERE {_within(MONTH)} AND title != '' AND (url LIKE '%The%' OR title LIKE '%The%')
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""")
+def domain_top_case(spark, sf):
+    return aggregates.top_domains(_visits(spark, sf), MONTH, "The", case_sensitive=True)
+
+
 @_query(f"{V} SELECT min(visit_time) // 1000 AS min_ms, max(visit_time) // 1000 AS max_ms FROM v")
 def time_span(spark, sf):
     return aggregates.time_span(_visits(spark, sf), fallback=ALL)
@@ -289,6 +303,14 @@ def day_details(spark, sf):
     return search.day_details(_visits(spark, sf), "2024-01-10", UTC)
 
 
+@_query(f"""{V}, d AS (SELECT {_ROW}, visit_type FROM v
+  WHERE {_within(_DAY)} AND (url LIKE '%The%' OR title LIKE '%The%'))
+SELECT visit_ms, strftime({HMS_MS}, '%H:%M:%S') AS hms,
+       CASE WHEN title = '' THEN url ELSE title END AS shown_title, url, title, visit_type FROM d""")
+def day_details_case(spark, sf):
+    return search.day_details(_visits(spark, sf), "2024-01-10", UTC, "The", case_sensitive=True)
+
+
 @_query(f"""{V} SELECT {_ROW}, visit_type FROM v
 WHERE {_within(MONTH)} AND (contains(lower(url), lower('Ö_')) OR contains(lower(coalesce(title, '')), lower('Ü')))""")
 def refine_substring(spark, sf):
@@ -463,10 +485,10 @@ def import_log(spark, sf):
 
 def _report(spark, sf, dry: bool) -> DataFrame:
     found = fixtures.repeated_visits(spark, sf)
-    files = found.select("data_path").distinct().withColumn("error", F.lit(None).cast("string"))
-    profile = ingest.profile_found(found)
     if dry:
-        return ingest.dry_run_report(files, profile)
+        return ingest.dry_run_report(found.withColumn("error", F.lit(None).cast("string")), ALL)
+    files = ingest.landed_files(found, ALL)
+    profile = ingest.profile_found(found)
     return ingest.file_report(files, profile, ingest.dedup_visits(found))
 
 
@@ -504,16 +526,17 @@ def incremental_new_visits(spark, sf):
     """A batch with everything against a store that has the first half month."""
     visits = _visits(spark, sf)
     stored = visits.filter(F.col("visit_time") < SPLIT_MS * 1000)
-    new = ingest.drop_stored_visits(ingest.dedup_visits(visits), stored)
+    n_rows = ingest.MAX_BROADCAST_HASHES + 1  # as a batch that is too large for hashes
+    new = ingest.drop_stored_visits(ingest.dedup_visits(visits), stored, n_rows)
     return new.select("url", "visit_time", "visit_type")
 
 
 @_query(ORACLES["incremental_new_visits"])
 def incremental_small_batch(spark, sf):
-    """The same, cutting the store to the batch's keys first."""
+    """The same, cutting the store by the batch's hashes if it is found small enough."""
     visits = _visits(spark, sf)
     stored = visits.filter(F.col("visit_time") < SPLIT_MS * 1000)
-    new = ingest.drop_stored_visits(ingest.dedup_visits(visits), stored, small_batch=True)
+    new = ingest.drop_stored_visits(ingest.dedup_visits(visits), stored)
     return new.select("url", "visit_time", "visit_type")
 
 
@@ -561,7 +584,7 @@ def streaming_backup(spark, sf):
     """Landed visits streamed into a store, one backup run per micro-batch."""
     landing = staging.new_folder(spark, "landing")
     found = _visits(spark, sf).withColumn("title", scalars.title_or_blank(F.col("title")))
-    found.repartition(4, "src_row").write.parquet(landing)
+    found.write.parquet(landing)
     store = _new_store(spark)
     stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 2).parquet(landing)
     query = backup_visit_stream(store, stream, staging.new_folder(spark, "stream"), as_of=AS_OF)
@@ -577,6 +600,28 @@ def _written_homes(spark: SparkSession, sf: str, **layout: bool) -> str:
     return f"{folder}/*"
 
 
+@_query(ORACLES["backup_store"])
+def compacted_store(spark, sf):
+    """The same store, written by many runs and then compacted."""
+    store = _new_store(spark)
+    found = fixtures.repeated_visits(spark, sf).withColumn("title", scalars.title_or_blank(F.col("title")))
+    first = found.filter(F.col("file_seq") < 1_000_000)
+    for batch in (first.filter(F.col("visit_time") < SPLIT_MS * 1000), first, found):
+        backup.backup_visits(store, batch, as_of=AS_OF)
+    compact(store)
+    return store.visits()
+
+
+@_query(f"""{V2} SELECT count(*) AS total_visits, min(visit_time) // 1000 AS min_ms,
+  max(visit_time) // 1000 AS max_ms, (SELECT count(DISTINCT data_path) FROM r) AS n_files FROM w""")
+def stored_status(spark, sf):
+    """Status of a written store, its ends read from the first and last day."""
+    store = _new_store(spark)
+    backup.backup_visits(store, fixtures.repeated_visits(spark, sf), as_of=AS_OF)
+    imports = ingest.latest_imports(store.import_log())
+    return aggregates.store_status(store.visits(), imports, store.edge_visits())
+
+
 @_query(f"""{V} SELECT url, coalesce(title, '') AS title,
   CASE browser WHEN 'safari' THEN {_SAFARI_US} ELSE visit_time END AS visit_time,
   CASE browser WHEN 'safari' THEN CAST(-1 AS BIGINT) ELSE visit_type END AS visit_type, browser FROM v""")
@@ -677,7 +722,7 @@ def backup_files_twice(spark, sf):
 
 
 def _dashboard(spark, sf):
-    return dashboard(_visits(spark, sf), MONTH, AS_OF, UTC, KEYWORD)
+    return dashboard(_visits(spark, sf), MONTH, AS_OF, UTC, KEYWORD, keep_counts=False)
 
 
 @_query(ORACLES["daily_counts_keyword"])

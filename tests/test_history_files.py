@@ -162,7 +162,8 @@ def test_user_facing_api(spark, homes, tmp_path):
     api = History(VisitStore.create(spark, str(tmp_path / "store")), as_of=AS_OF)
     assert tuples(api.backup(homes=[f"{homes}/*"], dry_run=True).summary) == [(90, 0, 0, 0)]
     assert tuples(api.backup(homes=[f"{homes}/*"]).summary) == [(90, 90, 0, 0)]
-    assert tuples(api.status()) == [(90, US // 1000, US // 1000 + 39_000, 3)]
+    size = api.store_size().first().size_bytes
+    assert tuples(api.status()) == [(90, US // 1000, US // 1000 + 39_000, 3, str(tmp_path / "store"), size)]
     assert api.search().count() == 90 and api.search(keyword="H/3").count() == 6 + 4 + 3
     assert api.search(end="2024-01-14").count() == 0
     assert api.details("2024-01-15").count() == 90

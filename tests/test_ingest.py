@@ -36,7 +36,7 @@ def stored(store):
 
 @pytest.mark.parametrize(("seed", "broadcast_limit"), [(1, 0), (2, 1 << 20), (3, 0)])
 def test_backups_equal_the_model(spark, tmp_path, monkeypatch, seed, broadcast_limit):
-    monkeypatch.setattr(backup, "MAX_BROADCAST_KEY_BYTES", broadcast_limit)
+    monkeypatch.setattr(ingest, "MAX_BROADCAST_HASHES", broadcast_limit)
     rng = random.Random(seed)
     store, model = VisitStore.create(spark, str(tmp_path)), ModelStore()
     imported = duplicated = 0

@@ -1,5 +1,7 @@
 """What the optimizer makes of the queries."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,37 @@ def test_only_needed_columns_are_read(store):
     assert read(A.browser_breakdown(store.visits())) == "browser:string"
 
 
+def test_ends_of_a_store_are_read_from_two_days(store):
+    edges = store.edge_visits()
+    assert [d.isoformat() for d in (store.visit_days()[0], store.visit_days()[-1])] == ["2024-01-15", "2024-01-24"]
+    assert edges.count() == 2 and A.time_span(edges).collect() == A.time_span(store.visits()).collect()
+    text = plan(A.time_span(edges))
+    assert "visit_day" in text.split("PartitionFilters: [")[1].split("]")[0]
+    files = len(store.visits().filter("visit_day in (date'2024-01-15', date'2024-01-24')").inputFiles())
+    assert files_read(edges) in (files, files_read(store.visits()))
+
+
+def test_store_size_is_that_of_its_files(store):
+    import pathlib
+
+    on_disk = sum(p.stat().st_size for p in pathlib.Path(store.path).rglob("*.parquet"))
+    assert store.size().first().size_bytes == store.size_bytes() == on_disk
+
+
+def test_key_figures_multiply_no_rows(store):
+    text = plan(A.kpi_stats(store.visits(), SPAN, R.today_range("2024-01-20", UTC), with_domains=True))
+    assert "Expand" not in text
+
+
+def test_small_batches_cut_the_store_before_it_is_shuffled(spark, store):
+    batch = ingest.dedup_visits(found(spark, [("http://h/", "t", NOON, 1, "b", "p", 0, 0)]))
+    text = plan(ingest.drop_stored_visits(batch, store.visits()))
+    assert "BroadcastHashJoin [key_hash" in text.replace("xxhash64", "") or "key_hash" in text
+    assert ingest.drop_stored_visits(batch, store.visits()).count() == 0
+    large = plan(ingest.drop_stored_visits(batch, store.visits(), ingest.MAX_BROADCAST_HASHES + 1))
+    assert "key_hash" not in large
+
+
 def test_top_lists_need_no_full_sort(store):
     for frame in (
         A.top_titles(store.visits(), SPAN),
@@ -152,9 +185,9 @@ def test_landed_range_stays_on_the_raw_column(spark):
 def test_no_cross_join_and_no_python_in_the_queries(spark):
     import __spark_entry__ as entry
 
-    jobs = {"backup_store", "backup_files_twice", "streaming_backup", "history_file_scan"}
+    jobs = re.compile(r"backup|streaming|history_(file|wal)_scan|stored_status|op\d+_|pipeline$")
     for name, query in entry.queries().items():
-        if name in jobs:
+        if jobs.match(name):
             continue
         text = plan(query(spark, "/root/testdata/sf0.001"))
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name

@@ -110,11 +110,25 @@ def test_dashboard_panels_equal_the_single_queries(spark):
     v = visits(spark, rows)
     span = R.resolve_range("2024-01-16", "2024-02-05", None, UTC)
     for keyword, compat, keep in ((None, False, True), ("H3", False, True), ("t_", True, False)):
-        with dashboard(v, span, "2024-02-01", UTC, keyword, compat=compat, keep_matches=keep) as panels:
-            assert (panels.matches is not None) == (keyword == "H3")
+        with dashboard(v, span, "2024-02-01", UTC, keyword, compat=compat, keep_counts=keep) as panels:
+            assert (panels.cells is not None) == (keyword == "H3")
             assert tuples(panels.daily) == tuples(A.daily_counts(v, span, keyword))
             assert tuples(panels.titles) == tuples(A.top_titles(v, span, keyword))
             assert tuples(panels.domains) == tuples(A.top_domains(v, span, keyword, compat=compat))
             assert tuples(panels.result_count) == tuples(search.result_count(v, span, keyword))
             assert tuples(panels.stats) == tuples(A.kpi_stats(v, span, R.today_range("2024-02-01", UTC)))
             assert tuples(panels.span) == tuples(A.time_span(v))
+
+
+def test_case_sensitive_panels(spark):
+    v = visits(spark, [("http://a/The", "x", NOON, 0), ("http://b/the", "y", NOON, 0), ("http://c/", "The", NOON + 1, 0)])
+    span = R.resolve_range("2024-01-15", "2024-01-16", None, UTC)
+    for sensitive, n in ((True, 2), (False, 3)):
+        assert tuples(search.result_count(v, span, "The", sensitive)) == [(n,)]
+        assert [r.cnt for r in A.daily_counts(v, span, "The", sensitive).collect()] == [n]
+        assert A.top_titles(v, span, "The", case_sensitive=sensitive).count() == n
+        assert A.url_counts(v, span, "The", case_sensitive=sensitive).count() == n
+        assert A.top_domains(v, span, "The", case_sensitive=sensitive).count() == n
+        assert search.day_details(v, "2024-01-15", UTC, "The", sensitive).count() == n
+        with dashboard(v, span, "2024-01-16", UTC, "The", case_sensitive=sensitive) as panels:
+            assert tuples(panels.result_count) == [(n,)] and panels.domains.count() == n

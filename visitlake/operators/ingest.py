@@ -19,6 +19,8 @@ VISIT_KEY = ["visit_time", "url"]
 # For the same reason urls are sorted and joined by their hash first. The url
 # stays in the key, so colliding hashes do no harm.
 URL_KEY = ["url_key", "url"]
+# Hashes of so many keys take some 100 MB as a broadcast relation.
+MAX_BROADCAST_HASHES = 2_000_000
 NO_URL = "ValueError: a visit without a readable url"
 
 
@@ -26,11 +28,6 @@ def _url_key():
     return F.xxhash64("url").alias("url_key")
 
 
-def key_bytes():
-    """Size of the visit keys of a frame, to be aggregated over it."""
-    return F.sum(F.octet_length("url") + F.lit(8))
-
-
 def accepted_visits(found: DataFrame, accepted: TimeRange) -> DataFrame:
     """Rows a backup takes: nothing before 1970 or after tomorrow midnight."""
     return found.filter(in_range(found, accepted))
@@ -53,17 +50,28 @@ def dedup_visits(found: DataFrame) -> DataFrame:
     return found.groupBy(*VISIT_KEY).agg(first.alias("row")).select(*VISIT_KEY, "row.*")
 
 
-def drop_stored_visits(candidates: DataFrame, stored: DataFrame, small_batch: bool = False) -> DataFrame:
+def _few(frame: DataFrame, n_rows: int | None) -> bool:
+    """Whether 8-byte hashes of the rows may be broadcast. ``n_rows`` is an upper
+    bound that is known already; else the rows are counted up to the limit."""
+    if n_rows is None:
+        n_rows = frame.limit(MAX_BROADCAST_HASHES + 1).count()
+    return n_rows <= MAX_BROADCAST_HASHES
+
+
+def drop_stored_visits(candidates: DataFrame, stored: DataFrame, n_rows: int | None = None) -> DataFrame:
     """Candidates whose (url, visit_time) is not in the store yet.
 
     The anti-join can only ever build its stored side, which is shuffled; the
-    candidates come out of ``dedup_visits`` partitioned by the same key. For a
-    ``small_batch``, one whose keys the caller knows to fit a broadcast, the
-    store is cut to those keys first and never shuffled.
+    candidates come out of ``dedup_visits`` partitioned by the same key. When
+    there are few enough, their hashes are broadcast and cut the store first, so
+    that hardly any of it is shuffled; the exact join stays last, and colliding
+    hashes do no harm.
     """
     known = stored.select(*VISIT_KEY)
-    if small_batch:
-        known = known.join(F.broadcast(candidates.select(*VISIT_KEY)), VISIT_KEY, "left_semi")
+    if _few(candidates, n_rows):
+        hashes = candidates.select(F.xxhash64(*VISIT_KEY).alias("key_hash"))
+        known = known.withColumn("key_hash", F.xxhash64(*VISIT_KEY))
+        known = known.join(F.broadcast(hashes), "key_hash", "left_semi").drop("key_hash")
     return candidates.join(known, VISIT_KEY, "left_anti")
 
 
@@ -77,16 +85,16 @@ def first_titles(visits: DataFrame) -> DataFrame:
     return visits.groupBy(_url_key(), "url").agg(F.min_by("title", order).alias("title"))
 
 
-def resolve_titles(titles: DataFrame, stored_urls: DataFrame, small_batch: bool = False) -> DataFrame:
+def resolve_titles(titles: DataFrame, stored_urls: DataFrame, n_rows: int | None = None) -> DataFrame:
     """url_key, url, title, is_new: a stored title wins, blank or not.
 
-    ``small_batch`` as in ``drop_stored_visits``.
+    The stored side is cut first as in ``drop_stored_visits``.
     """
     known = stored_urls.select(
         _url_key(), "url", F.col("title").alias("stored_title"), F.lit(True).alias("is_known")
     )
-    if small_batch:
-        known = known.join(F.broadcast(titles.select(*URL_KEY)), URL_KEY, "left_semi")
+    if _few(titles, n_rows):
+        known = known.join(F.broadcast(titles.select("url_key")), "url_key", "left_semi")
     return titles.join(known, URL_KEY, "left").select(
         *URL_KEY,
         F.when(F.col("is_known"), F.col("stored_title")).otherwise(F.col("title")).alias("title"),
@@ -160,15 +168,26 @@ def _per_file(profile: DataFrame) -> DataFrame:
     )
 
 
-def dry_run_report(files: DataFrame, profile: DataFrame) -> DataFrame:
-    """Report of a run that writes nothing: only ``found`` is counted."""
+def dry_run_report(rows: DataFrame, accepted: TimeRange) -> DataFrame:
+    """Report of a run that writes nothing: only ``found`` is counted.
+
+    ``rows`` are a run's input with the columns data_path, url, visit_time and
+    error; a row with an error fails its file. One pass with a map-side combine.
+    """
     zero = F.lit(0).cast("bigint")
-    return files.join(_per_file(profile), "data_path", "left").select(
+    counts = in_range(rows, accepted) & F.col("url").isNotNull()
+    files = rows.groupBy("data_path").agg(
+        F.count_if(counts).alias("n"),
+        F.max(F.when(counts, F.col("visit_time"))).alias("last"),
+        F.min("error").alias("error"),
+    )
+    fine = F.col("error").isNull()
+    return files.select(
         "data_path",
-        F.coalesce("n_found", zero).alias("found"),
+        F.when(fine, F.col("n")).otherwise(zero).alias("found"),
         zero.alias("imported"),
         zero.alias("duplicated"),
-        "last_import",
+        F.when(fine, F.col("last")).alias("last_import"),
         "error",
     )
 

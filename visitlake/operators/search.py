@@ -38,9 +38,11 @@ def search_visits(
     )
 
 
-def day_details(visits: DataFrame, ymd: str, tz: tzinfo, keyword: str | None = None) -> DataFrame:
+def day_details(
+    visits: DataFrame, ymd: str, tz: tzinfo, keyword: str | None = None, case_sensitive: bool = False
+) -> DataFrame:
     """One local day's visits with clock time and the title to show."""
-    found = search_visits(visits, ranges.day_range(ymd, tz), keyword)
+    found = search_visits(visits, ranges.day_range(ymd, tz), keyword, case_sensitive=case_sensitive)
     return found.select(
         "visit_ms",
         scalars.ms_to_hms(F.col("visit_ms")).alias("hms"),
@@ -56,5 +58,7 @@ def refine(found: DataFrame, query: str) -> DataFrame:
     return found.filter(refine_matches(query)) if query else found
 
 
-def result_count(visits: DataFrame, span: TimeRange, keyword: str | None = None) -> DataFrame:
-    return select_visits(visits, span, keyword).agg(F.count(F.lit(1)).alias("n_visits"))
+def result_count(
+    visits: DataFrame, span: TimeRange, keyword: str | None = None, case_sensitive: bool = False
+) -> DataFrame:
+    return select_visits(visits, span, keyword, case_sensitive).agg(F.count(F.lit(1)).alias("n_visits"))

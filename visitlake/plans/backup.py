@@ -19,8 +19,6 @@ from visitlake.sources.store import VisitStore
 
 # A broadcast of at most this many file names stays in the low megabytes.
 MAX_BROADCAST_FILES = 10_000
-# A batch whose keys take at most this much is broadcast to the stored side.
-MAX_BROADCAST_KEY_BYTES = 32 * 1024 * 1024
 # Above this many distinct days the partition filter becomes a plain range.
 MAX_LISTED_DAYS = 400
 
@@ -74,16 +72,18 @@ def backup_files(
     if not homes and not paths:
         raise ValueError("nothing to back up: give homes or paths")
     source = spark.read.format(history_files.FORMAT).options(**options).load()
+    if dry_run and not preview:
+        rows = normalize.normalize_history(source, keep_status=True)
+        return BackupResult(None, ingest.dry_run_report(rows, accepted))
     with Staging(spark, "backup") as staging:
         # Staged at once: reading the files again would cost more than Parquet
         # does, and a file may be replaced while the job runs. The few status
         # rows go to a partition of their own.
         source = source.withColumn("is_status", F.col("url").isNull())
-        raw, key_bytes = staging.write_measured(source, "source", ingest.key_bytes(), "is_status")
+        raw, seen = staging.write_observed(source, "source", {"n_rows": F.count(F.lit(1))}, "is_status")
         files = normalize.file_status(raw.filter("is_status")).select("data_path", "error")
         found = normalize.normalize_history(without_failed_files(raw.filter("NOT is_status"), files))
-        small = key_bytes <= MAX_BROADCAST_KEY_BYTES
-        return _run(store, staging, found, files, accepted, small, dry_run, preview)
+        return _run(store, staging, found, files, accepted, seen["n_rows"], dry_run)
 
 
 def backup_visits(
@@ -103,19 +103,21 @@ def backup_visits(
     it is during the run.
     """
     accepted = ranges.full_range(as_of, store.zone)
+    staged = found.select(*normalize.FOUND_COLUMNS)
+    bad = F.col("url").isNull() & in_range(staged, accepted)
+    if dry_run and not preview:
+        rows = staged.withColumn("error", F.when(bad, F.lit(ingest.NO_URL)))
+        return BackupResult(None, ingest.dry_run_report(rows, accepted))
     with Staging(store.spark, "backup") as staging:
-        staged = found.select(*normalize.FOUND_COLUMNS)
-        small, any_bad = False, True
+        n_rows, any_bad = None, True
         if stage_input:
-            bad = F.count_if(F.col("url").isNull() & in_range(staged, accepted))
-            figures = {"key_bytes": ingest.key_bytes(), "n_bad": bad}
+            figures = {"n_rows": F.count(F.lit(1)), "n_bad": F.count_if(bad)}
             staged, seen = staging.write_observed(staged, "source", figures)
-            small = (seen["key_bytes"] or 0) <= MAX_BROADCAST_KEY_BYTES
-            any_bad = seen["n_bad"] > 0
+            n_rows, any_bad = seen["n_rows"], seen["n_bad"] > 0
         files = ingest.landed_files(staged, accepted)
         if any_bad:
             staged = without_failed_files(staged, files)
-        return _run(store, staging, staged, files, accepted, small, dry_run, preview)
+        return _run(store, staging, staged, files, accepted, n_rows, dry_run)
 
 
 def without_failed_files(raw: DataFrame, files: DataFrame) -> DataFrame:
@@ -149,18 +151,14 @@ def _run(
     found: DataFrame,
     files: DataFrame,
     accepted: ranges.TimeRange,
-    small: bool,
+    n_rows: int | None,
     dry_run: bool,
-    preview: bool,
 ) -> BackupResult:
+    """``n_rows``: an upper bound of the rows, if known."""
     found = ingest.accepted_visits(found, accepted)
     profile = staging.write(ingest.profile_found(found), "profile")
-    if dry_run and not preview:
-        staging.kept = True
-        return BackupResult(None, ingest.dry_run_report(files, profile), staging)
-
     stored = stored_on(store, batch_days(profile))
-    new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored, small)
+    new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored, n_rows)
     new = staging.write(new, "new")
     report = ingest.file_report(files, profile, new)
     if dry_run:
@@ -169,7 +167,7 @@ def _run(
 
     run_seq = store.next_run_seq()
     if not new.isEmpty():
-        titles = ingest.resolve_titles(ingest.first_titles(new), store.urls(), small)
+        titles = ingest.resolve_titles(ingest.first_titles(new), store.urls(), n_rows)
         titles = staging.write(titles, "titles")
         store.append_urls(titles.filter("is_new"))
         store.append_visits(ingest.apply_titles(new, titles))

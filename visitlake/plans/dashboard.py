@@ -9,14 +9,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from visitlake.functions import ranges
-from visitlake.functions.predicates import select_visits
 from visitlake.functions.ranges import TimeRange
 from visitlake.operators import aggregates, search
 
 
 @dataclass
 class Dashboard:
-    """Lazy panels. Use as a context manager to free the shared rows."""
+    """Lazy panels. Use as a context manager to free the shared counts."""
 
     daily: DataFrame
     titles: DataFrame
@@ -24,14 +23,14 @@ class Dashboard:
     result_count: DataFrame
     span: DataFrame
     stats: DataFrame
-    matches: DataFrame | None
+    cells: DataFrame | None
 
     def __enter__(self) -> Dashboard:
         return self
 
     def __exit__(self, *exc) -> None:
-        if self.matches is not None:
-            self.matches.unpersist()
+        if self.cells is not None:
+            self.cells.unpersist()
 
 
 def dashboard(
@@ -43,27 +42,41 @@ def dashboard(
     *,
     k: int = aggregates.TOP_K,
     compat: bool = False,
-    keep_matches: bool = True,
+    case_sensitive: bool = False,
+    keep_counts: bool = True,
+    edges: DataFrame | None = None,
 ) -> Dashboard:
     """Daily counts, top lists and result count of the matching visits; key
     figures and time span ignore the keyword.
 
-    With a keyword the matching rows are kept for the four panels, so the text is
-    searched once; turn ``keep_matches`` off for a keyword that matches most of a
-    huge range. Without a keyword nothing is kept: each panel then reads only its
-    own columns, which is cheaper than holding the whole range.
+    With a keyword the text is searched once: the matches are counted by day, url
+    and title, these counts are kept, and four panels are sums over them. Turn
+    ``keep_counts`` off if nobody will close the dashboard. Without a keyword
+    nothing is kept: each panel then reads only its own columns, which is cheaper
+    than counting the whole range. ``edges`` are the visits of the first and last
+    day, which give the time span of a store.
     """
-    matches = None
-    rows, found_by = visits, keyword
-    if keyword is not None and keep_matches:
-        matches = select_visits(visits, span, keyword).select("url", "title", "visit_time")
-        rows, found_by = matches.persist(StorageLevel.MEMORY_AND_DISK), None
+    shared = {
+        "span": aggregates.time_span(visits if edges is None else edges, fallback=ranges.full_range(as_of, tz)),
+        "stats": aggregates.kpi_stats(visits, span, ranges.today_range(as_of, tz)),
+    }
+    if keyword is None:
+        return Dashboard(
+            daily=aggregates.daily_counts(visits, span),
+            titles=aggregates.top_titles(visits, span, None, k),
+            domains=aggregates.top_domains(visits, span, None, k, compat),
+            result_count=search.result_count(visits, span),
+            cells=None,
+            **shared,
+        )
+    cells = aggregates.visit_cells(visits, span, keyword, case_sensitive)
+    if keep_counts:
+        cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     return Dashboard(
-        daily=aggregates.daily_counts(rows, span, found_by),
-        titles=aggregates.top_titles(rows, span, found_by, k),
-        domains=aggregates.top_domains(rows, span, found_by, k, compat),
-        result_count=search.result_count(rows, span, found_by),
-        span=aggregates.time_span(visits, fallback=ranges.full_range(as_of, tz)),
-        stats=aggregates.kpi_stats(visits, span, ranges.today_range(as_of, tz)),
-        matches=matches,
+        daily=aggregates.daily_counts_of(cells),
+        titles=aggregates.top_titles_of(cells, k),
+        domains=aggregates.top_domains_of(cells, k, compat),
+        result_count=aggregates.result_count_of(cells),
+        cells=cells if keep_counts else None,
+        **shared,
     )

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from visitlake.functions import ranges
 from visitlake.operators import aggregates, ingest, search
-from visitlake.plans.backup import BackupResult, backup_files
+from visitlake.plans.backup import BackupResult, backup_files, backup_visits
+from visitlake.plans.compaction import compact
 from visitlake.plans.dashboard import Dashboard, dashboard
 from visitlake.sources.export import export_csv
 from visitlake.sources.store import VisitStore
+from visitlake.streaming.incremental import backup_file_stream, backup_visit_stream
 
 
 class History:
@@ -27,6 +34,16 @@ class History:
     def backup(self, **options) -> BackupResult:
         return backup_files(self.store, as_of=self.as_of, **options)
 
+    def backup_landed(self, found: DataFrame, **options) -> BackupResult:
+        """Back up normalised visits of landed tables."""
+        return backup_visits(self.store, found, as_of=self.as_of, **options)
+
+    def stream_landed(self, found: DataFrame, checkpoint: str, **options) -> StreamingQuery:
+        return backup_visit_stream(self.store, found, checkpoint, as_of=self.as_of, **options)
+
+    def stream_files(self, landing: str, checkpoint: str, **options) -> StreamingQuery:
+        return backup_file_stream(self.store, landing, checkpoint, as_of=self.as_of, **options)
+
     def search(
         self,
         start: str | None = None,
@@ -45,11 +62,16 @@ class History:
             compat=self.compat,
         )
 
-    def details(self, ymd: str, keyword: str | None = None) -> DataFrame:
-        return search.day_details(self.store.visits(), ymd, self.store.zone, keyword)
+    def details(self, ymd: str, keyword: str | None = None, *, case_sensitive: bool = False) -> DataFrame:
+        return search.day_details(self.store.visits(), ymd, self.store.zone, keyword, case_sensitive)
 
     def dashboard(
-        self, start: str | None = None, end: str | None = None, keyword: str | None = None
+        self,
+        start: str | None = None,
+        end: str | None = None,
+        keyword: str | None = None,
+        *,
+        case_sensitive: bool = False,
     ) -> Dashboard:
         return dashboard(
             self.store.visits(),
@@ -58,10 +80,16 @@ class History:
             self.store.zone,
             keyword,
             compat=self.compat,
+            case_sensitive=case_sensitive,
+            edges=self.store.edge_visits(),
         )
 
     def status(self) -> DataFrame:
-        return aggregates.store_status(self.store.visits(), self._imports())
+        """One row: totals, first and last visit, files, and the store's path and size."""
+        status = aggregates.store_status(self.store.visits(), self._imports(), self.store.edge_visits())
+        return status.withColumns(
+            {"path": F.lit(self.store.path), "size_bytes": F.lit(self.store.size_bytes()).cast("bigint")}
+        )
 
     def store_size(self) -> DataFrame:
         return self.store.size()
@@ -79,5 +107,8 @@ class History:
         everything = ranges.full_range(self.as_of, self.store.zone)
         export_csv(self.store.visits(), everything, folder, compat=self.compat)
 
+    def compact(self, days: Sequence[date] | None = None) -> None:
+        compact(self.store, days)
+
     def _imports(self) -> DataFrame:
         return ingest.latest_imports(self.store.import_log())

@@ -103,8 +103,9 @@ def normalize_landed(
     return reduce(DataFrame.unionByName, frames)
 
 
-def normalize_history(raw: DataFrame) -> DataFrame:
-    """Rows of the ``browser_history`` format to normalised visits."""
+def normalize_history(raw: DataFrame, keep_status: bool = False) -> DataFrame:
+    """Rows of the ``browser_history`` format to normalised visits; with
+    ``keep_status`` also the status rows of files, and their error."""
     time = (
         F.when(F.col("browser") == "chrome", scalars.webkit_to_us(F.col("native_time")))
         .when(F.col("browser") == "safari", scalars.nsdate_to_us(F.col("native_seconds")))
@@ -113,7 +114,8 @@ def normalize_history(raw: DataFrame) -> DataFrame:
     kind = F.when(
         F.col("browser") == "chrome", F.col("native_type").bitwiseAND(F.lit(0xFF))
     ).otherwise(F.col("native_type"))
-    return raw.filter(F.col("url").isNotNull()).select(
+    rows = raw if keep_status else raw.filter(F.col("url").isNotNull())
+    return rows.select(
         "url",
         scalars.title_or_blank(F.col("title")).alias("title"),
         time.alias("visit_time"),
@@ -122,6 +124,7 @@ def normalize_history(raw: DataFrame) -> DataFrame:
         "data_path",
         "file_seq",
         "src_row",
+        *(["error"] if keep_status else []),
     )
 
 

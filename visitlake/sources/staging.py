@@ -89,3 +89,38 @@ def make_folder(spark: SparkSession, folder: str) -> None:
 def delete_folder(spark: SparkSession, folder: str) -> None:
     fs, path = _hadoop(spark, folder)
     fs.delete(path, True)
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies directly in a folder."""
+    fs, path = _hadoop(spark, folder)
+    return [status.getPath().getName() for status in fs.listStatus(path)]
+
+
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    fs, path = _hadoop(spark, folder)
+    return fs.getContentSummary(path).getLength()
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    fs, path = _hadoop(spark, folder)
+    return fs.exists(path)
+
+
+def write_text(spark: SparkSession, file: str, text: str) -> None:
+    """A small file, which appears with all of its content."""
+    fs, path = _hadoop(spark, file)
+    part = path.suffix(".part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.rename(part, path)
+
+
+def read_text(spark: SparkSession, file: str) -> str:
+    fs, path = _hadoop(spark, file)
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

@@ -10,13 +10,15 @@ idempotent, so a run that died half-way is repaired by running it again.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from visitlake import schema
 from visitlake.functions import ranges, scalars
-from visitlake.sources.staging import make_folder
+from visitlake.sources.staging import folder_bytes, folder_names, make_folder
 
 TABLES = {
     "visits": schema.VISITS,
@@ -36,18 +38,23 @@ class VisitStore:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str) -> VisitStore:
-        """Open a store, making its tables when they do not exist."""
+        """Open a store, making its tables when they do not exist and finishing a
+        compaction that was interrupted."""
+        from visitlake.plans.compaction import recover  # it needs this module
+
         store = cls(spark, path)
         for name in TABLES:
             make_folder(spark, store._table(name))
+        recover(store)
         return store
 
     def _table(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def _read(self, name: str) -> DataFrame:
+    def read_table(self, name: str, path: str | None = None) -> DataFrame:
+        """A table by name, or a copy of it elsewhere."""
         layout: StructType = TABLES[name]
-        return self.spark.read.schema(layout).parquet(self._table(name))
+        return self.spark.read.schema(layout).parquet(path or self._table(name))
 
     # --- reading ---
 
@@ -56,27 +63,35 @@ class VisitStore:
         return ranges.session_zone(self.spark)
 
     def visits(self) -> DataFrame:
-        return self._read("visits")
+        return self.read_table("visits")
 
     def urls(self) -> DataFrame:
-        return self._read("urls")
+        return self.read_table("urls")
 
     def import_runs(self) -> DataFrame:
-        return self._read("import_runs")
+        return self.read_table("import_runs")
 
     def import_log(self) -> DataFrame:
         """Every run's import records; ``latest_imports`` gives the current ones."""
         return self.import_runs().filter("last_import IS NOT NULL").select("data_path", "last_import", "run_seq")
 
+    def visit_days(self) -> list[date]:
+        """Days that have visits, from the names of the partitions; bounded by the
+        calendar."""
+        names = folder_names(self.spark, self._table("visits"))
+        return sorted(date.fromisoformat(n.partition("=")[2]) for n in names if n.startswith("visit_day="))
+
+    def edge_visits(self) -> DataFrame:
+        """Visits of the first and the last day, which hold the first and last visit."""
+        days = self.visit_days()
+        return self.visits().filter(F.col("visit_day").isin(days[:1] + days[-1:]))
+
+    def size_bytes(self) -> int:
+        """Total bytes of the store's files, summed up by the file system."""
+        return sum(folder_bytes(self.spark, self._table(name)) for name in TABLES)
+
     def size(self) -> DataFrame:
-        """Total bytes of the store's data files; lists them, opens none."""
-        files = (
-            self.spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.parquet")
-            .load([self._table(name) for name in TABLES])
-        )
-        return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
+        return self.spark.range(1).select(F.lit(self.size_bytes()).cast("bigint").alias("size_bytes"))
 
     def next_run_seq(self) -> int:
         last = self.import_runs().agg(F.max("run_seq").alias("last")).first()["last"]
@@ -94,14 +109,25 @@ class VisitStore:
         others and merge small ones, so no writer task gets a whole hot day.
         """
         dated = visits.withColumn("visit_day", scalars.utc_day(F.col("visit_time")))
-        (
-            dated.select(*schema.VISITS.names)
+        self.write_visits(dated)
+
+    def write_visits(self, visits: DataFrame, path: str | None = None, replace: bool = False) -> None:
+        """Append to the table or to a copy elsewhere, or replace the days that occur."""
+        writer = (
+            visits.select(*schema.VISITS.names)
             .hint("rebalance", F.col("visit_day"))
             .sortWithinPartitions("visit_day", "visit_time")
-            .write.mode("append")
+            .write.mode("overwrite" if replace else "append")
             .partitionBy("visit_day")
-            .parquet(self._table("visits"), compression=COMPRESSION)
         )
+        if replace:
+            writer = writer.option("partitionOverwriteMode", "dynamic")
+        writer.parquet(path or self._table("visits"), compression=COMPRESSION)
+
+    def write_table(self, rows: DataFrame, path: str | None = None, replace: str | None = None) -> None:
+        """Write a copy elsewhere, or replace the table of the given name."""
+        target = self._table(replace) if replace else path
+        rows.write.mode("overwrite").parquet(target, compression=COMPRESSION)
 
     def append_runs(self, report: DataFrame) -> None:
         self._append(report, "import_runs")
