@@ -46,7 +46,7 @@ def test_equals_brute_force(spark, k):
 
 
 def test_full_bitmaps_and_frequent_grams(spark, monkeypatch):
-    monkeypatch.setattr(S, "MARK_BITS", 64)
+    monkeypatch.setattr(tables, "MARK_BITS", 64)
     monkeypatch.setattr(S, "SAMPLE_RATE", 1)
     monkeypatch.setattr(S, "SAMPLE_COUNT", 3)
     rng = random.Random(3)

@@ -35,13 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlake.llm import words
+from visitlake.llm.tables import marked
 from visitlake.sources.staging import Staging
 
 GRAM_WORDS = 6
 # Ordering of frequent grams: sample rate, least count in the sample, most grams.
 SAMPLE_RATE, SAMPLE_COUNT, MOST_GRAMS = 32, 16, 1 << 16
-# Bits that mark repeated minimisers: 8 MB.
-MARK_BITS = 1 << 26
 # Strings that are merged before they are sent on.
 MERGED_BYTES = 12 << 20
 
@@ -60,27 +59,10 @@ class Runs:
 
     def marked(self, marks: np.ndarray) -> Runs:
         """Those whose minimiser is marked."""
-        kept = _is_marked(self.key, marks)
+        kept = words.is_marked(self.key, marks)
         return Runs(self.key[kept], self.start[kept], self.windows[kept], self.content[kept])
 
 
-def _is_marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(64 * len(marks) - 1)
-    return (marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _marks(keys: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of the keys in a table; MARK_BITS bits come to the driver."""
-    at = keys.select(F.col(column).bitwiseAND(F.lit(MARK_BITS - 1)).alias("at"))
-    bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(at & 63 AS INT)))").alias("bits")
-    )
-    found = bits.toArrow()
-    marks = np.zeros(MARK_BITS // 64, np.uint64)
-    marks[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return marks
-
-
 def _leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """For each position the index of the leftmost minimum among the next ``width``."""
     n = len(values) - width + 1
@@ -183,7 +165,7 @@ def _repeated_marks(docs: DataFrame, k: int, frequent) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(words.signed(key)), pa.array(n, pa.int64())], ["key", "n"])
 
     counted = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return _marks(counted.filter("n > 1"), "key")
+    return marked(counted.filter("n > 1"), "key")
 
 
 def _strings(docs: DataFrame, k: int, frequent, marks) -> DataFrame:
@@ -386,7 +368,7 @@ def _by_marks(batch: pa.RecordBatch, marks: np.ndarray, marked: bool):
     for rows, data, offsets in words.chunks(batch):
         w = words.words(data, offsets)
         keys = row_keys(w, w.hashes(), rows.column("doc_id"))
-        at = np.flatnonzero(_is_marked(keys, marks) == marked)
+        at = np.flatnonzero(words.is_marked(keys, marks) == marked)
         whole = data.tobytes()
         ids = rows.column("doc_id").cast(pa.int64()).take(pa.array(at))
         yield ids, [whole[offsets[i] : offsets[i + 1]] for i in at], keys[at]
@@ -444,5 +426,5 @@ def remove_repeats(docs: DataFrame, staging: Staging, *, k: int = 50, with_text:
     )
     found = _places(docs, k, frequent, marks).join(repeated, ["key", "content"])
     spans = staging.write(_row_spans(found, k), "spans")
-    touched = spark.sparkContext.broadcast(_marks(spans, "row"))
+    touched = spark.sparkContext.broadcast(marked(spans, "row"))
     return _untouched(docs, touched, with_text).unionByName(_touched(docs, touched, spans, with_text))

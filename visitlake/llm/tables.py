@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +11,30 @@ from visitlake.sources.staging import Staging
 # A side with at most this many narrow rows (an id and a few numbers) is
 # broadcast: some tens of megabytes on each executor. Larger ones are shuffled.
 MAX_BROADCAST_ROWS = 400_000
+# Bits of a bitmap of keys, which is broadcast: 8 MB at any size of the corpus.
+MARK_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def marked(keys: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of fixed size of hashed keys, for ``words.is_marked``.
+
+    It lets work skip keys that are not among these. What passes is a superset: the
+    fuller the bitmap, the less is skipped, and results are the same.
+    """
+    at = keys.select(F.col(column).bitwiseAND(F.lit(MARK_BITS - 1)).alias("at"))
+    bits = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(at & 63 AS INT)))").alias("bits")
+    )
+    found = bits.toArrow()
+    marks = np.zeros(MARK_BITS // 64, np.uint64)
+    marks[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return marks
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of whole texts that stay in the megabytes. For this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")

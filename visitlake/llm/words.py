@@ -159,3 +159,9 @@ def words(
 def signed(h: np.ndarray) -> np.ndarray:
     """The same bits as Spark's bigint."""
     return h.view(np.int64)
+
+
+def is_marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether a bitmap of ``tables.marked`` has the keys; it may have others, too."""
+    at = keys & np.uint64(64 * len(marks) - 1)
+    return (marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
