@@ -35,7 +35,7 @@ RADIUS = 0  # 0 or 1: bits in which a substring looked up may differ from the on
 BLOCK = 512  # rows of a table entry that are compared at once
 # Codes further apart than this are not ranked again. At a cosine of 0.93 signs of
 # random projections differ in 12 % of the bits.
-NEAR_SHARE = 0.30
+NEAR_SHARE = 0.20
 
 
 def learn_rotation(x: np.ndarray, bits: int, seed: int) -> np.ndarray:

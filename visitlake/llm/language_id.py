@@ -152,11 +152,15 @@ def references(docs: DataFrame, usable) -> Model:
     rows and the same for any partitioning.
     """
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.filter(F.length("text") <= LONGEST_REFERENCE).select("lang", "text")
-    turn = F.xxhash64("text")
-    # A first choice of ids without texts would cost a join; a rank keeps few rows per language
-    # and is limited inside each task before the shuffle.
-    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(turn, "text")))
+    rows = rows.filter(F.length("text") <= LONGEST_REFERENCE).select("doc_id", "lang", "text")
+    turn = F.xxhash64("doc_id", "text")
+    # Some times the rows that are needed of each language; the rest never reaches
+    # the window, however large a language is. One count per language is broadcast.
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang"))
+    part = F.least(F.lit(1.0), F.lit(4.0 * REFERENCE_TEXTS) / F.col("n_lang"))
+    near = rows.join(F.broadcast(counts), "lang").filter(F.pmod(turn, F.lit(1_000_000)) < part * 1_000_000)
+    order = Window.partitionBy("lang").orderBy(turn, "text")
+    ranked = near.select("lang", "text", F.row_number().over(order).alias("at"))
     chosen = ranked.filter(F.col("at") <= REFERENCE_TEXTS).orderBy("lang", "at").collect()
     texts: dict[str, list[str]] = {}
     used: dict[str, int] = {}
