@@ -5,7 +5,7 @@ between, each hashed to one of DIMS slots. Every slot has a learning rate of its
 own, and the L1 term sets the weights of uninformative slots to zero, so scoring
 broadcasts a few non-zero weights. Training takes a bounded sample of the
 labelled rows. Shards of it are trained in parallel; between rounds their states,
-two numbers per slot, are averaged on the driver.
+two numbers per slot, are summed in Spark, and one state comes to the driver.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from visitlake.llm import tables, words
 
-DIMS = 1 << 20
+BITS = 19
+DIMS = 1 << BITS
 MAX_LABELLED = 24_000  # rows to fit on
 SHARDS, SHARD_ROWS = 6, 2_000  # shards, and the least rows in one
 ROUNDS = 3
+PIECES = 16  # that the state is summed in
 OFFSETS = ((0,), (0, 1), (0, 2))
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 POSITIVE = 2.0  # weight of a row with label 1
@@ -68,7 +70,7 @@ def slots_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for kind in OFFSETS:
         grams, at = w.grams(h, kind)
         grams = words.mix(grams + np.uint64(kind[-1]))
-        slots.append((grams >> np.uint64(44)).astype(np.int64))
+        slots.append((grams >> np.uint64(64 - BITS)).astype(np.int64))
         rows.append(row[at])
     return np.concatenate(slots), np.concatenate(rows), w.rows
 
@@ -89,7 +91,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable, lim
 
 def _train_shard(start, dims: int):
     def run(batches):
-        state = State(start.value.z.copy(), start.value.n.copy())
+        state = State(start.value.z.astype(float), start.value.n.astype(float))
         for batch in batches:
             for rows, data, offsets in words.chunks(batch):
                 slots, row, count = slots_of(data, offsets)
@@ -98,13 +100,28 @@ def _train_shard(start, dims: int):
                 for i, label in enumerate(rows.column("label").to_pylist()):
                     own = np.unique(slots[cuts[i] : cuts[i + 1]])
                     state.learn(np.append(own, dims), label)
+        pieces = [np.array_split(x.astype(np.float32), PIECES) for x in (state.z, state.n)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (state.z, state.n)], ["z", "n"]
+            [pa.array(range(PIECES), pa.int32())]
+            + [pa.array([x.tobytes() for x in own], pa.binary()) for own in pieces],
+            ["piece", "z", "n"],
         )
 
     return run
 
 
+def _summed(pieces: pa.Table) -> pa.Table:
+    """One piece of the state, summed over the shards."""
+    total = [
+        np.sum([np.frombuffer(x, np.float32) for x in pieces.column(c).to_pylist()], axis=0, dtype=np.float32)
+        for c in ("z", "n")
+    ]
+    return pa.table([pieces.column("piece")[:1], *(pa.array([t.tobytes()], pa.binary()) for t in total)], _PIECE)
+
+
+_PIECE = pa.schema([("piece", pa.int32()), ("z", pa.binary()), ("n", pa.binary())])
+
+
 def train(sample: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero weights as (slots, weights); the slot DIMS is the bias. Empty without rows."""
     context = sample.sparkSession.sparkContext
@@ -113,12 +130,16 @@ def train(sample: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
     dealt = dealt.repartition(shards, "turn").sortWithinPartitions("turn").select("text", "label")
     state = State.empty()
     for _ in range(rounds):
-        shared = context.broadcast(state)
+        shared = context.broadcast(State(state.z.astype(np.float32), state.n.astype(np.float32)))
         state = State.empty()
-        # One row per shard, bounded by DIMS.
-        for part in dealt.mapInArrow(_train_shard(shared, DIMS), "z binary, n binary").collect():
-            state.z += np.frombuffer(part["z"], np.float32) / shards
-            state.n += np.frombuffer(part["n"], np.float32) / shards
+        layout = "piece int, z binary, n binary"
+        trained = dealt.mapInArrow(_train_shard(shared, DIMS), layout)
+        rows = sorted(trained.groupBy("piece").applyInArrow(_summed, layout).collect())
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        state.z, state.n = (
+            np.concatenate([np.frombuffer(r[c], np.float32) for r in rows]).astype(float) / shards for c in ("z", "n")
+        )
         shared.unpersist()
     w = state.weights()
     nonzero = np.flatnonzero(w)
