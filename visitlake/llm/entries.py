@@ -63,7 +63,11 @@ def op2_substring_dedup(spark, sf):
 @_query()
 def op8_secret_scans(spark, sf):
     found = secret_scan.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
-    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def count(kind: str):
+        spans = F.filter("base_spans", lambda s: s["kind"] == kind)
+        return F.size(spans).cast("bigint").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
         count("assign"),
