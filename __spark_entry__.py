@@ -23,7 +23,7 @@ from visitlake.operators import aggregates, ingest, search  # noqa: E402
 from visitlake.plans import backup  # noqa: E402
 from visitlake.plans.compaction import compact  # noqa: E402
 from visitlake.plans.dashboard import dashboard  # noqa: E402
-from visitlake.sources import export, history_files, normalize, profiles, staging  # noqa: E402
+from visitlake.sources import detect, export, history_files, normalize, profiles, staging  # noqa: E402
 from visitlake.sources.store import VisitStore  # noqa: E402
 from visitlake.streaming.incremental import backup_file_stream, backup_visit_stream  # noqa: E402
 
@@ -648,6 +648,18 @@ def history_wal_scan(spark, sf):
     return _scanned(spark, _written_homes(spark, sf, wal=True))
 
 
+@_query(f"""{V} SELECT DISTINCT
+  CASE browser WHEN 'chrome' THEN '.config/google-chrome/Default/History'
+    WHEN 'firefox' THEN '.mozilla/firefox/p/places.sqlite' ELSE 'Library/Safari/History.db' END AS place,
+  browser AS product, CASE browser WHEN 'safari' THEN 'macos' ELSE 'linux' END AS packaging, true AS has_bytes
+FROM v""")
+def detected_files(spark, sf):
+    """Kinds of history files found below the homes that the visits were written to."""
+    files = detect.list_history_files(spark, [_written_homes(spark, sf)])
+    place = F.regexp_replace("data_path", "^.*/part[0-9]+/", "").alias("place")
+    return files.select(place, "product", "packaging", (F.col("size_bytes") > 0).alias("has_bytes")).distinct()
+
+
 @_query(f"""{V}, s AS (SELECT url, coalesce(title, '') AS title,
   CASE browser WHEN 'safari' THEN {_SAFARI_US} ELSE visit_time END AS visit_time,
   CASE browser WHEN 'safari' THEN CAST(-1 AS BIGINT) ELSE visit_type END AS visit_type, browser FROM v)

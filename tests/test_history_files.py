@@ -195,3 +195,13 @@ def test_rows_in_the_write_ahead_log_are_read(spark, tmp_path, writable):
     finally:
         path.parent.chmod(0o755)
     assert sorted(p.name for p in path.parent.iterdir()) == before
+
+
+def test_files_are_listed_without_reading(spark, homes):
+    api = History(VisitStore.create(spark, str(homes / "store")))
+    files = {r.data_path.split("/")[-1]: r for r in api.detected([f"{homes}/u*"]).collect()}
+    assert {n: (r.product, r.packaging) for n, r in files.items()} == {
+        "History": ("chrome", "linux"), "places.sqlite": ("firefox", "snap-linux"), "History.db": ("safari", "macos"),
+    }
+    assert all(r.size_bytes > 0 for r in files.values())
+    assert api.detected([f"{homes}/none*"]).count() == 0

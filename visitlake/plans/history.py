@@ -14,6 +14,7 @@ from visitlake.operators import aggregates, ingest, search
 from visitlake.plans.backup import BackupResult, backup_files, backup_visits
 from visitlake.plans.compaction import compact
 from visitlake.plans.dashboard import Dashboard, dashboard
+from visitlake.sources.detect import list_history_files
 from visitlake.sources.export import export_csv
 from visitlake.sources.store import VisitStore
 from visitlake.streaming.incremental import backup_file_stream, backup_visit_stream
@@ -107,6 +108,10 @@ class History:
         everything = ranges.full_range(self.as_of, self.store.zone)
         export_csv(self.store.visits(), everything, folder, compat=self.compat)
 
+    def detected(self, homes: Sequence[str]) -> DataFrame:
+        """History files below home directories, without importing them."""
+        return list_history_files(self.store.spark, homes)
+
     def compact(self, days: Sequence[date] | None = None) -> None:
         compact(self.store, days)
 
