@@ -65,3 +65,26 @@ def test_empty_tables(spark):
     docs, none = table(spark, [(1, "a b c")]), items(spark, [])
     assert D.find_leaks(docs, none).count() == 0 and D.drop_leaks(docs, none).count() == 1
     assert D.find_leaks(table(spark, []), items(spark, [(1, "a b c")])).count() == 0
+
+
+def test_heavily_edited_copies_are_found_whatever_else_leaked(spark):
+    """All copies that the plain recurrence puts over the least similarity, with and without a verbatim leak."""
+    rng = random.Random(5)
+    tests, rows, want = [], [], set()
+    for i in range(60):
+        item = prose(rng, rng.choice([15, 20, 30, 40, 60]), 4000)
+        tests.append((i, item))
+        copy = edited(rng, item, rng.choice([0.15, 0.2, 0.25, 0.3]))
+        rows.append((i, f"{prose(rng, 60, 4000)} {copy} {prose(rng, 60, 4000)}"))
+        if i % 2:
+            rows.append((100 + i, f"{prose(rng, 30, 4000)} {item}"))
+            want.add((100 + i, i))
+        if slow_align(item.split(), copy.split()) >= len(item.split()):
+            want.add((i, i))
+    rows.append((500, " ".join(f"{x} and" for x in tests[0][1].split())))  # a word after each
+    want.add((500, 0))
+    assert len(want) > 80
+    found = {(r.doc_id, r.item_id) for r in D.find_leaks(table(spark, rows), items(spark, tests)).collect()}
+    assert want <= found
+    texts, bench = dict(rows), dict(tests)
+    assert all(slow_align(bench[i].split(), texts[d].split()) >= len(bench[i].split()) for d, i in found - want)

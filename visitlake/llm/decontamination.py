@@ -1,11 +1,12 @@
-"""Benchmark passages in training texts: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark passages in training texts: counted word pairs, then Smith-Waterman.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, in lower
-case. The grams of each test item are looked up in all texts; of each item the
-rarer half, by the number of texts that hold them, are its seeds, so common
-phrases start no alignment while an item that leaked everywhere keeps its seeds.
-Around the seeds of an item in a text, item and passage are aligned word by word,
-which scores edited and paraphrased copies.
+case. All pairs of neighbouring words of each test item are looked up in the texts,
+with at most one word between them there. An alignment that reaches the least score
+holds a number of such pairs within a stretch of bounded length (``Block.need``), so
+an item is aligned just where a text has that many: nothing over the least score is
+left out, whatever is common or leaked elsewhere. Item and passage are aligned word
+by word, which scores edited and paraphrased copies.
 
 Items are taken in blocks of bounded size. A block is broadcast and each text is
 scanned where it lies, so no text and no word of one is ever shuffled.
@@ -19,15 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from visitlake.llm import words
 
-GRAM = 3
+SHORT = 3  # items of at most so many words are found as a whole
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SIMILARITY = 0.5  # alignment score over that of a full match
 BLOCK_WORDS = 400_000  # words of benchmark items per broadcast
 _SLOTS = 1 << 22
+_HITS_AT_ONCE = 1 << 22
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -49,22 +50,33 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class Block:
-    """Items of one broadcast: their word hashes and the place of each gram."""
+    """Items of one broadcast: their word hashes and the place of each gram, a pair
+    of neighbouring words or the whole of a short item."""
 
     ids: list[int | None]
     hashes: list[np.ndarray]
     grams: np.ndarray  # sorted
     owner: np.ndarray
-    sizes: tuple[int, ...]
 
     def filter_table(self) -> np.ndarray:
         table = np.zeros(_SLOTS, bool)
         table[(self.grams >> np.uint64(42)).astype(np.int64)] = True
         return table
 
-    def only(self, seeds: np.ndarray) -> Block:
-        """With the grams at the given places alone."""
-        return Block(self.ids, self.hashes, self.grams[seeds], self.owner[seeds], self.sizes)
+    def sizes(self) -> np.ndarray:
+        return np.array([len(h) for h in self.hashes])
+
+    def need(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that an alignment of each item has at least, and the words it spans at most.
+
+        Between two matches that are no such pair lies a word of the item, which
+        costs 1, or two words of the text, which cost 2. With m matches, g pairs and
+        a of the former, m + a words fit in n and the score is at most 2 + 2 g + a.
+        """
+        n = self.sizes()
+        score = MATCH * least * n
+        pairs = np.maximum(np.ceil((2 * score - n - 3) / 3 - 1e-9), 1).astype(np.int64)
+        return np.where(n > SHORT, pairs, 1), np.ceil(3 * n - score).astype(np.int64)
 
 
 def _grams(w: words.Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,17 +89,16 @@ def blocks(items: DataFrame) -> Iterator[Block]:
     hashes: list[np.ndarray] = []
 
     def closed() -> Block:
-        grams, owner, sizes = [], [], set()
+        grams, owner = [], []
         for i, h in enumerate(hashes):
-            size = min(GRAM, len(h))
-            sizes.add(size)
+            size = len(h) if len(h) <= SHORT else 2
             alone = words.Words(np.zeros(0, np.uint8), h, h, np.array([0, len(h)]), True)
             own = np.unique(_grams(alone, h, size)[0])
             grams.append(own)
             owner.append(np.full(len(own), i))
         joined, who = np.concatenate(grams), np.concatenate(owner)
         order = np.argsort(joined, kind="stable")
-        return Block(ids, hashes, joined[order], who[order], tuple(sorted(sizes)))
+        return Block(ids, hashes, joined[order], who[order])
 
     held = 0
     for row in items.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
@@ -105,99 +116,98 @@ def blocks(items: DataFrame) -> Iterator[Block]:
         yield closed()
 
 
-def _hits(block: Block, table: np.ndarray, w: words.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions and grams of a chunk that are among the block's."""
-    at, found = [], []
-    for size in block.sizes:
-        grams, start = _grams(w, h, size)
+def _hits(block: Block, table: np.ndarray, w: words.Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Word positions of a chunk at which a gram of the block begins, the range of
+    its places there, and whether a word lies between."""
+    sizes = set(block.sizes().tolist())
+    lookups = [tuple(range(size)) for size in range(1, SHORT + 1) if size in sizes or size == 2]
+    parts = []
+    for offsets in [*lookups, (0, 2)]:
+        grams, start = w.grams(h, offsets)
         maybe = np.flatnonzero(table[(grams >> np.uint64(42)).astype(np.int64)])
-        place = np.searchsorted(block.grams, grams[maybe])
-        place[place == len(block.grams)] = 0
-        sure = maybe[block.grams[place] == grams[maybe]]
-        at.append(start[sure])
-        found.append(grams[sure])
-    return np.concatenate(at), np.concatenate(found)
-
-
-def _rare(docs: DataFrame, block: Block) -> Block:
-    """The block with the rarer half of each item's grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches):
-        own = shared.value
-        table = own.filter_table()
-        for batch in batches:
-            seen = []
-            for _, data, offsets in words.chunks(batch):
-                w = words.words(data, offsets, words.NON_ALNUM, lower=True)
-                at, grams = _hits(own, table, w, w.hashes())
-                row = np.searchsorted(w.first, at, side="right") - 1
-                place = np.searchsorted(own.grams, grams)
-                seen.append(np.unique(row * len(own.grams) + place) % len(own.grams))
-            counts = np.bincount(np.concatenate(seen), minlength=len(own.grams)) if seen else np.zeros(0, np.int64)
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["place", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-    texts = np.zeros(len(block.grams), np.int64)
-    for row in counted.collect():  # at most one row per gram of the block
-        texts[row["place"]] = row["n"]
-    texts = texts[np.searchsorted(block.grams, block.grams)]  # equal grams of several items
-    keep = np.zeros(len(texts), bool)
-    order = np.lexsort((block.grams, texts, block.owner))
-    cuts = np.searchsorted(block.owner[order], np.arange(len(block.ids) + 1))
-    for low, high in zip(cuts[:-1], cuts[1:]):
-        keep[order[low : low + (high - low + 1) // 2]] = True
-    return block.only(np.flatnonzero(keep))
-
-
-def _leaks_of_row(block: Block, h: np.ndarray, at: np.ndarray, grams: np.ndarray, least: float) -> list[tuple]:
-    """(item, similarity, from, to) of one text, one per item, from its seed hits."""
-    places: dict[int, list[int]] = {}
-    low = np.searchsorted(block.grams, grams, side="left")
-    high = np.searchsorted(block.grams, grams, side="right")
-    for position, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
-        for item in block.owner[a:b].tolist():
-            places.setdefault(item, []).append(position)
-    out = []
-    for item, positions in places.items():
+        low = np.searchsorted(block.grams, grams[maybe], side="left")
+        high = np.searchsorted(block.grams, grams[maybe], side="right")
+        sure = np.flatnonzero(high > low)
+        parts.append((start[maybe[sure]], low[sure], high[sure], np.full(len(sure), offsets == (0, 2))))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _places(block: Block, hits: tuple[np.ndarray, ...], row: np.ndarray, need: np.ndarray, span: np.ndarray):
+    """(row, item, first, last) of each stretch of a text with enough pairs of an item."""
+    at, low, high, apart = hits
+    n = high - low
+    each = np.repeat(np.arange(len(at)), n)
+    item = block.owner[np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + low[each]]
+    fits = ~apart[each] | (block.sizes()[item] > SHORT)
+    each, item = each[fits], item[fits]
+    key, position = row[each] * len(block.ids) + item, at[each]
+    order = np.lexsort((position, key))
+    key, position = key[order], position[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (np.diff(key) != 0) | (np.diff(position) != 0)
+    key, position = key[new], position[new]
+    item = key % len(block.ids)
+    end = np.arange(len(key)) + need[item] - 1
+    begin = np.flatnonzero(end < len(key))
+    begin = begin[(key[end[begin]] == key[begin]) & (position[end[begin]] - position[begin] <= span[item[begin]])]
+    cover = np.zeros(len(key) + 1, np.int64)
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, end[begin] + 1, -1)
+    inside = np.cumsum(cover[:-1]) > 0
+    key, position, item = key[inside], position[inside], item[inside]
+    cut = np.ones(len(key), bool)
+    cut[1:] = (np.diff(key) != 0) | (np.diff(position) > span[item[1:]])
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(key))[: len(first)] - 1
+    return zip((key[first] // len(block.ids)).tolist(), item[first].tolist(), position[first].tolist(), position[last].tolist())
+
+
+def _most(item: np.ndarray, passage: np.ndarray) -> int:
+    """A score that no alignment exceeds: each word of the passage counts on its own."""
+    place = np.searchsorted(item, passage)
+    place[place == len(item)] = 0
+    sums = np.cumsum(np.where(item[place] == passage, MATCH, MISMATCH))
+    return int((sums - np.minimum.accumulate(np.minimum(np.append(0, sums[:-1]), 0))).max())
+
+
+def _leaks(block: Block, w: words.Words, h: np.ndarray, places, span: np.ndarray, least: float) -> list[tuple]:
+    """(row, item, similarity, from, to), one per row and item."""
+    best: dict[tuple[int, int], tuple] = {}
+    for row, item, first, last in places:
         own = block.hashes[item]
-        size = len(own)
-        positions.sort()
-        best: tuple | None = None
-        first = last = positions[0]
-        for p in [*positions[1:], None]:
-            if p is not None and p - last <= 2 * size:
-                last = p
-                continue
-            start = max(0, first - 2 * size)
-            passage = h[start : last + 2 * size + 1]
-            score, end = align(own, passage)
-            similarity = score / (MATCH * size)
-            if similarity >= least and (best is None or similarity > best[1]):
-                # The same score backwards gives where the part begins.
-                _, back = align(own[::-1], passage[:end][::-1])
-                best = (item, similarity, start + end - back, start + end)
-            first = last = p
-        if best is not None:
-            out.append(best)
-    return out
+        full = MATCH * len(own)
+        start = max(w.first[row], first - span[item])
+        passage = h[start : min(w.first[row + 1], last + span[item] + SHORT)]
+        if _most(np.sort(own), passage) < least * full:
+            continue
+        score, end = align(own, passage)
+        similarity = score / full
+        if similarity >= least and ((row, item) not in best or similarity > best[row, item][0]):
+            # The same score backwards gives where the part begins.
+            _, back = align(own[::-1], passage[:end][::-1])
+            begin = int(start - w.first[row])
+            best[row, item] = (similarity, begin + end - back, begin + end)
+    return [(*pair, *found) for pair, found in best.items()]
 
 
 def _scan(block: Block, table: np.ndarray, batch: pa.RecordBatch, least: float):
     """For chunks of rows: the chunk, and (row, item, similarity, from, to)."""
+    need, span = block.need(least)
     for rows, data, offsets in words.chunks(batch):
         w = words.words(data, offsets, words.NON_ALNUM, lower=True)
         h = w.hashes()
-        at, grams = _hits(block, table, w, h)
-        row = np.searchsorted(w.first, at, side="right") - 1
+        hits = _hits(block, table, w, h)
+        order = np.argsort(hits[0], kind="stable")
+        hits = tuple(x[order] for x in hits)
+        row = np.searchsorted(w.first, hits[0], side="right") - 1
+        # Whole rows together, up to a number of pairs of hit and item.
+        part = np.cumsum(hits[2] - hits[1]) // _HITS_AT_ONCE
+        part = part[np.searchsorted(row, row)] if len(row) else part
         found = []
-        order = np.argsort(row, kind="stable")
-        at, grams, row = at[order], grams[order], row[order]
-        for r in np.unique(row):
-            own = slice(np.searchsorted(row, r), np.searchsorted(row, r, side="right"))
-            low, high = w.first[r], w.first[r + 1]
-            found += [(int(r), *x) for x in _leaks_of_row(block, h[low:high], at[own] - low, grams[own], least)]
+        for k in np.unique(part):
+            own = slice(np.searchsorted(part, k), np.searchsorted(part, k, side="right"))
+            places = _places(block, tuple(x[own] for x in hits), row[own], need, span)
+            found += _leaks(block, w, h, places, span, least)
         yield rows, found
 
 
@@ -208,14 +218,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST_SIMILA
     """A row per text and item found in it: doc_id, item_id, similarity, and the
     best passage as a range of words (end exclusive).
 
-    Clean texts give no row, nor do null or empty texts or items. An item of
-    fewer than three words is one gram. Items with equal texts are all reported;
+    Clean texts give no row, nor do null or empty texts or items. An item of at
+    most three words is found as a whole. Items with equal texts are all reported;
     a repeated row is reported each time, a row without doc_id with a null one.
     Other columns are ignored.
     """
     out = None
     for block in blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(_rare(docs, block))
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             own = shared.value
@@ -239,7 +249,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST_SIMILA
     """The rows of ``docs`` in which no item is found, all columns as they are."""
     out = docs
     for block in blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(_rare(docs, block))
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             own = shared.value
