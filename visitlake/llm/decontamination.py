@@ -6,7 +6,8 @@ with at most one word between them there. An alignment that reaches the least sc
 holds a number of such pairs within a stretch of bounded length (``Block.need``), so
 an item is aligned just where a text has that many: nothing over the least score is
 left out, whatever is common or leaked elsewhere. Item and passage are aligned word
-by word, which scores edited and paraphrased copies.
+by word, which scores edited and paraphrased copies. A second alignment, in which
+edits cost more, finds long passages that are a small part of their item.
 
 Items are taken in blocks of bounded size. A block is broadcast and each text is
 scanned where it lies, so no text and no word of one is ever shuffled.
@@ -26,19 +27,22 @@ from visitlake.llm import words
 SHORT = 3  # items of at most so many words are found as a whole
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SIMILARITY = 0.5  # alignment score over that of a full match
+# A passage counts whatever its share of the item if so many more of its words match
+# than are edited. There an edit costs what a match gains, so most of it matches.
+LONG_WORDS, EDIT = 13, -2
 BLOCK_WORDS = 400_000  # words of benchmark items per broadcast
 _SLOTS = 1 << 22
 _HITS_AT_ONCE = 1 << 22
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
+def align(item: np.ndarray, passage: np.ndarray, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int]:
     """Best local alignment score and the end of the passage's part of it."""
-    steps = np.arange(len(passage) + 1) * -GAP
+    steps = np.arange(len(passage) + 1) * -gap
     row = np.zeros(len(passage) + 1, np.int64)
     best, end = 0, 0
     for word in item:
         fresh = np.zeros_like(row)
-        np.maximum(row[:-1] + np.where(passage == word, MATCH, MISMATCH), row[1:] + GAP, out=fresh[1:])
+        np.maximum(row[:-1] + np.where(passage == word, MATCH, mismatch), row[1:] + gap, out=fresh[1:])
         np.maximum(fresh, 0, out=fresh)
         # A gap in the item costs the same at each step, so a running maximum settles it.
         row = np.maximum.accumulate(fresh + steps) - steps
@@ -72,11 +76,13 @@ class Block:
         Between two matches that are no such pair lies a word of the item, which
         costs 1, or two words of the text, which cost 2. With m matches, g pairs and
         a of the former, m + a words fit in n and the score is at most 2 + 2 g + a.
+        In a long passage m exceeds the edits, a at least, by LONG_WORDS.
         """
         n = self.sizes()
         score = MATCH * least * n
         pairs = np.maximum(np.ceil((2 * score - n - 3) / 3 - 1e-9), 1).astype(np.int64)
-        return np.where(n > SHORT, pairs, 1), np.ceil(3 * n - score).astype(np.int64)
+        pairs = np.where(n >= LONG_WORDS, np.minimum(pairs, LONG_WORDS - 1), pairs)
+        return np.where(n > SHORT, pairs, 1), np.ceil(np.maximum(3 * n - score, 2 * n)).astype(np.int64)
 
 
 def _grams(w: words.Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +168,9 @@ def _places(block: Block, hits: tuple[np.ndarray, ...], row: np.ndarray, need: n
     return zip((key[first] // len(block.ids)).tolist(), item[first].tolist(), position[first].tolist(), position[last].tolist())
 
 
-def _most(item: np.ndarray, passage: np.ndarray) -> int:
+def _most(known: np.ndarray, edit: int) -> int:
     """A score that no alignment exceeds: each word of the passage counts on its own."""
-    place = np.searchsorted(item, passage)
-    place[place == len(item)] = 0
-    sums = np.cumsum(np.where(item[place] == passage, MATCH, MISMATCH))
+    sums = np.cumsum(np.where(known, MATCH, edit))
     return int((sums - np.minimum.accumulate(np.minimum(np.append(0, sums[:-1]), 0))).max())
 
 
@@ -178,15 +182,22 @@ def _leaks(block: Block, w: words.Words, h: np.ndarray, places, span: np.ndarray
         full = MATCH * len(own)
         start = max(w.first[row], first - span[item])
         passage = h[start : min(w.first[row + 1], last + span[item] + SHORT)]
-        if _most(np.sort(own), passage) < least * full:
-            continue
-        score, end = align(own, passage)
-        similarity = score / full
-        if similarity >= least and ((row, item) not in best or similarity > best[row, item][0]):
-            # The same score backwards gives where the part begins.
-            _, back = align(own[::-1], passage[:end][::-1])
-            begin = int(start - w.first[row])
-            best[row, item] = (similarity, begin + end - back, begin + end)
+        ordered = np.sort(own)
+        known = ordered[np.minimum(np.searchsorted(ordered, passage), len(own) - 1)] == passage
+        # The whole item first; a long passage that is less of it, otherwise.
+        for mismatch, gap, needed in ((MISMATCH, GAP, least * full), (EDIT, EDIT, MATCH * LONG_WORDS)):
+            if full < needed or _most(known, max(mismatch, gap)) < needed:
+                continue
+            score, end = align(own, passage, mismatch, gap)
+            if score < needed:
+                continue
+            similarity = score / full
+            if (row, item) not in best or similarity > best[row, item][0]:
+                # The same score backwards gives where the part begins.
+                _, back = align(own[::-1], passage[:end][::-1], mismatch, gap)
+                begin = int(start - w.first[row])
+                best[row, item] = (similarity, begin + end - back, begin + end)
+            break
     return [(*pair, *found) for pair, found in best.items()]
 
 
@@ -218,6 +229,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST_SIMILA
     """A row per text and item found in it: doc_id, item_id, similarity, and the
     best passage as a range of words (end exclusive).
 
+    An item is found when its similarity, a share of the whole item, reaches
+    ``least``, or by a passage in which LONG_WORDS more words match than are
+    edited; the similarity then is that passage's share and may be lower.
+
     Clean texts give no row, nor do null or empty texts or items. An item of at
     most three words is found as a whole. Items with equal texts are all reported;
     a repeated row is reported each time, a row without doc_id with a null one.
