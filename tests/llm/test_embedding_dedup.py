@@ -93,3 +93,14 @@ def test_recall_just_over_the_threshold(spark, monkeypatch, radius, rotations):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+@pytest.mark.parametrize("d,shift", [(16, 0), (24, 0), (31, 0), (64, 1.46), (64, 1.94), (64, 2.85), (24, 2.0)])
+def test_recall_with_few_dimensions_or_a_common_component(spark, d, shift):
+    rng = np.random.default_rng(d)
+    base = rng.standard_normal((500, d))
+    base = base / np.linalg.norm(base, axis=1)[:, None] + shift * np.eye(d)[0]
+    rows = [(i, [float(x) for x in v], i) for i, v in enumerate(base)]
+    rows += [(500 + i, [float(x) for x in near(rng, v, rng.uniform(0.932, 0.94))], i) for i, v in enumerate(base)]
+    found = E.near_duplicates(frame(spark, rows), tables.stage(spark, "t")).collect()
+    assert sum(r.n_links for r in found) >= 0.95 * 1000

@@ -8,7 +8,10 @@ in every table under its substring and looked up under its own, and with RADIUS
 also under those that differ in one bit: fewer rotations then do, but each costs
 seventeen lookups instead of one. Pairs that meet and whose whole codes are near
 are ranked again by their exact cosine in double precision; only pairs that reach
-the threshold become links.
+the threshold become links. How wide the substrings are, how many rotations there
+are and how near codes have to be follows from pairs made at the threshold out of
+the sample: a common component of the vectors moves the codes of such pairs apart,
+and few dimensions give few substrings.
 
 Equal vectors of one label are one *vertex*, with the number of its copies, so a
 group of copies costs one row. A table entry is cut into blocks when it is large,
@@ -30,12 +33,14 @@ from visitlake.sources.staging import Staging
 
 SAMPLE_VECTORS = 20_000  # vectors that rotations are learned on
 ROTATIONS, TURNS = 10, 30
-SUBSTRING_BITS = 16
+SUBSTRING_BITS = (16, 12, 8, 6, 4)  # the first with which enough of the pairs made are found
+LEAST_TABLES = 40
+MADE_PAIRS, FOUND_SHARE = 2_000, 0.98
 RADIUS = 0  # 0 or 1: bits in which a substring looked up may differ from the one stored
 BLOCK = 512  # rows of a table entry that are compared at once
-# Codes further apart than this are not ranked again. At a cosine of 0.93 signs of
-# random projections differ in 12 % of the bits.
-NEAR_SHARE = 0.20
+# Codes further apart than this, and than all but a few of the pairs made, are not
+# ranked again. At a cosine of 0.93 signs of random projections differ in 12 % of the bits.
+NEAR_SHARE, FAR_PAIRS = 0.20, 0.005
 
 
 def learn_rotation(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
@@ -55,11 +60,17 @@ def learn_rotation(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
 class Coder:
     mean: np.ndarray
     rotations: list[np.ndarray]
+    width: int = 0  # of substrings
+    most: int = 0  # bits in which near codes differ
 
     @property
     def bits(self) -> int:
         return self.rotations[0].shape[1]
 
+    @property
+    def strings(self) -> int:
+        return self.bits // self.width
+
     def codes(self, x: np.ndarray) -> np.ndarray:
         """rows x rotations, each code a 64-bit number."""
         out = []
@@ -94,7 +105,55 @@ def _usable() -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
-def train(vertices: DataFrame, n: int) -> Coder | None:
+def _made_pairs(x: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors with others at the cosine ``least``: away from them in any direction,
+    and towards other vectors of the sample."""
+    rng = np.random.default_rng(0)
+    x = x[rng.integers(0, len(x), MADE_PAIRS)]
+    out = []
+    for z in (rng.standard_normal(x.shape), x[rng.permutation(len(x))] + 1e-9 * rng.standard_normal(x.shape)):
+        z = z - (z * x).sum(1, keepdims=True) * x
+        z /= np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-300)
+        out.append((x, least * x + np.sqrt(max(1 - least * least, 0.0)) * z))
+    return out
+
+
+def _found(coder: Coder, differ: np.ndarray) -> float:
+    """Share of pairs, by the differing bits of their codes, that a table brings together."""
+    near = np.bitwise_count(differ) <= coder.most
+    met = np.zeros(len(differ), bool)
+    mask = np.uint64((1 << coder.width) - 1)
+    for k in range(coder.strings):
+        part = (differ >> np.uint64(k * coder.width)) & mask
+        met |= (near & (np.bitwise_count(part) <= RADIUS)).any(1)
+    return float(met.mean())
+
+
+def _fitted(x: np.ndarray, mean: np.ndarray, least: float) -> Coder:
+    """The coder with the widest substrings that finds enough of the pairs made, or the narrowest."""
+    bits = min(64, len(mean))
+    coder = Coder(mean, [])
+    made = _made_pairs(x, least) if len(x) else []
+    differ = [np.zeros((MADE_PAIRS, 0), np.uint64) for _ in made]
+    for width in sorted({min(w, bits) for w in SUBSTRING_BITS}, reverse=True):
+        coder.width = width
+        tables = LEAST_TABLES if RADIUS == 0 else 0
+        rotations = max(ROTATIONS, -(-tables // (bits // width)), len(coder.rotations))
+        new = [learn_rotation(x - mean, bits, seed) for seed in range(len(coder.rotations), rotations)]
+        coder.rotations += new
+        if not made:
+            break
+        if new:
+            added = Coder(mean, new)
+            differ = [np.concatenate([d, added.codes(a) ^ added.codes(b)], 1) for d, (a, b) in zip(differ, made)]
+        far = max(np.quantile(np.bitwise_count(d), 1 - FAR_PAIRS) for d in differ)
+        coder.most = max(int(NEAR_SHARE * bits), int(np.ceil(far)))
+        if min(_found(coder, d) for d in differ) >= FOUND_SHARE:
+            break
+    return coder
+
+
+def train(vertices: DataFrame, n: int, least: float) -> Coder | None:
     """Rotations learned on a bounded sample, chosen by hash, of the most common length."""
     length = vertices.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if length is None:
@@ -106,15 +165,13 @@ def train(vertices: DataFrame, n: int) -> Coder | None:
     column = table.column("embedding").combine_chunks()
     x = _unit(column) if len(column) else np.zeros((0, length["d"]))
     mean = x.mean(0) if len(x) else np.zeros(length["d"])
-    bits = min(64, length["d"])
-    return Coder(mean, [learn_rotation(x - mean, bits, seed) for seed in range(ROTATIONS)])
+    return _fitted(x, mean, least)
 
 
 def _entries(vertices: DataFrame, coder: Coder) -> DataFrame:
     """(label, entry, vertex, code, probe): the tables' rows and the lookups in them."""
     shared = vertices.sparkSession.sparkContext.broadcast(coder)
-    strings = max(1, coder.bits // SUBSTRING_BITS)
-    width = min(SUBSTRING_BITS, coder.bits)
+    strings, width = coder.strings, coder.width
 
     def run(batches):
         coder = shared.value
@@ -155,9 +212,8 @@ def _entries(vertices: DataFrame, coder: Coder) -> DataFrame:
     return vertices.select("vertex", "label", "embedding").mapInArrow(run, schema)
 
 
-def _near_pairs(entries: DataFrame, bits: int) -> DataFrame:
+def _near_pairs(entries: DataFrame, most: int) -> DataFrame:
     """Pairs that meet in an entry, one of them stored there, with near codes."""
-    most = int(NEAR_SHARE * bits)
     sizes = entries.groupBy("label", "entry").agg(
         F.count_if(~F.col("probe")).alias("n_stored"), F.count(F.lit(1)).alias("n_all")
     )
@@ -270,12 +326,12 @@ def near_duplicates(vectors: DataFrame, staging: Staging, *, least: float = 0.93
         ),
         "vertices",
     )
-    coder = train(vertices, vertices.count())
+    coder = train(vertices, vertices.count(), least)
     if coder is None:
         links = vectors.sparkSession.createDataFrame([], "u bigint, v bigint")
     else:
         entries = staging.write(_entries(vertices, coder), "entries")
-        pairs = staging.write(_near_pairs(entries, coder.bits), "pairs")
+        pairs = staging.write(_near_pairs(entries, coder.most), "pairs")
         links = staging.write(_exact(pairs, vertices, least), "links")
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     copies = vertices.select(F.col("vertex").alias("v"), "copies")
