@@ -61,3 +61,21 @@ def test_without_labels_or_rows(spark, data):
     assert got.columns == ["doc_id", *M.COLUMNS]
     assert {tuple(round(x, 6) for x in r.memberships) for r in got.collect()} == {(0.333333,) * 3}
     assert M.mix(table(spark, []), labels, TARGETS, tables.stage(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("concentration", [3, 10])
+def test_targets_are_met_with_soft_memberships(spark, concentration):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(concentration * np.array([0.1, 0.3, 0.6]), 5000)
+    n = rng.integers(1, 500, 5000)
+    rows = [(int(a), [float(x) for x in b]) for a, b in zip(n, p)]
+    frame = spark.createDataFrame(rows, "n_tokens long, memberships array<double>")
+    shares = [0.02, 0.08, 0.9]
+    rate = M._rates(p, M.solve(frame, shares))
+    assert np.abs((n * rate) @ p / n.sum() - shares).max() < 1.1e-4 and (rate >= 0).all()
+
+
+def test_targets_out_of_reach_are_told(spark, caplog):
+    frame = spark.createDataFrame([(10, [0.4, 0.6])] * 5, "n_tokens long, memberships array<double>")
+    rate = M._rates(np.array([[0.4, 0.6]]), M.solve(frame, [0.9, 0.1]))
+    assert np.isfinite(rate).all() and "cannot be met" in caplog.text

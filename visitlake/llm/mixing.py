@@ -7,14 +7,16 @@ sample). Rates r >= 0 per text, near 1, then solve least squares on
 
     sum over texts of r * tokens * P(domain | text) = target tokens of the domain
 
-by projected gradient descent. A step moves each rate along its own memberships
-and cuts it at zero, so a rate is a function of the text's memberships and the
-steps so far: only the steps, a number per domain each, pass through the driver,
-and an iteration is one sum over a table of a few numbers per text.
+with the rates that are nearest to 1, r = max(0, 1 - memberships . multipliers).
+The multipliers, a number per domain, are found by Newton steps: an iteration is
+one sum over a table of a few numbers per text, and nothing else passes through
+the driver. Steps end at the tolerance, or where they change the residual no more,
+which is then logged: the targets cannot be met.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +29,13 @@ from visitlake.sources.staging import Staging
 
 MAX_LABELLED = 24_000  # rows to fit on
 NEWTON_STEPS, RIDGE = 8, 1e-3
-ITERATIONS, TOLERANCE = 60, 1e-4
+TOLERANCE, DAMPING = 1e-4, 1e-9
 COLUMNS = ("n_tokens", "memberships", "rate", "n_copies")
 
 
+_LOG = logging.getLogger(__name__)
+
+
 @dataclass
 class Classifier:
     """Softmax regression on figures and the logits of the lexical domains."""
@@ -160,40 +165,57 @@ def _rates(memberships: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return rate
 
 
-def _expected(table: DataFrame, k: int, steps: list[np.ndarray]) -> np.ndarray:
-    """Tokens of each domain that the rates after these steps give."""
+def _expected(table: DataFrame, k: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each domain that the rates after these steps give, and what they
+    lose by the multiplier of each, over texts whose rate is not cut at zero."""
 
     def run(batches):
-        total = np.zeros(k)
+        total = np.zeros(k + k * k)
         for b in batches:
             if b.num_rows:
-                p = _rows(b.column("memberships"), k)
-                total += (_rates(p, steps) * b.column("n_tokens").to_numpy()) @ p
+                p, n = _rows(b.column("memberships"), k), b.column("n_tokens").to_numpy()
+                rate = _rates(p, steps)
+                total[:k] += (rate * n) @ p
+                total[k:] += (p.T @ (p * ((rate > 0) * n)[:, None])).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["total"])
 
     parts = table.select("n_tokens", "memberships").mapInArrow(run, "total array<double>").collect()
-    return np.sum([np.array(p["total"]) for p in parts], axis=0) if parts else np.zeros(k)
+    sums = np.sum([np.array(p["total"]) for p in parts], axis=0) if parts else np.zeros(k + k * k)
+    return sums[:k], sums[k:].reshape(k, k)
 
 
 def solve(table: DataFrame, shares: list[float]) -> list[np.ndarray]:
-    """Steps of projected gradient descent towards the target shares of all tokens.
+    """Multipliers of the rates for the target shares of all tokens; a list of one, or none.
 
-    A step is scaled by each domain's tokens, with which it cannot overshoot:
-    the memberships of a text add up to one. Domains without tokens are left alone.
+    The sum of n * max(0, 1 - p . x)^2 / 2 + target . x is convex in the multipliers
+    x and its slope is the residual, so a damped Newton step that does not lower the
+    residual is halved, and the damping raised. Domains without tokens are left alone.
     """
     k = len(shares)
-    steps: list[np.ndarray] = []
-    mass = _expected(table, k, steps)
-    total = mass.sum()
+    x = np.zeros(k)
+    now, curvature = _expected(table, k, [])
+    mass, total = now, now.sum()
+    if not total:
+        return []
     target = np.array(shares) / sum(shares) * total
-    now = mass
-    while total and len(steps) < ITERATIONS:
-        residual = now - target
-        if np.abs(residual).max() <= TOLERANCE * total:
-            break
-        steps.append(np.where(mass > 1e-9 * total, residual / np.maximum(mass, 1e-12), 0.0))
-        now = _expected(table, k, steps)
-    return steps
+    some = mass > 1e-9 * total
+    residual = np.where(some, now - target, 0.0)
+    damping = DAMPING
+    while np.abs(residual).max() > TOLERANCE * total and damping < 1e3:
+        step = np.linalg.solve(curvature + damping * total * np.eye(k), residual)
+        for _ in range(4):
+            found, bent = _expected(table, k, [x + step])
+            left = np.where(some, found - target, 0.0)
+            if np.linalg.norm(left) < (1 - 1e-4) * np.linalg.norm(residual):
+                x, residual, curvature = x + step, left, bent
+                damping = max(damping / 10, DAMPING)
+                break
+            step = step / 2
+        else:
+            damping *= 100
+    if np.abs(residual).max() > TOLERANCE * total:
+        _LOG.warning("targets cannot be met; shares of the tokens: %s", ((residual + target) / total).tolist())
+    return [x] if x.any() else []
 
 
 def mix(
