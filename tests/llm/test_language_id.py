@@ -56,3 +56,11 @@ def test_memory_of_words_is_bounded(monkeypatch):
     model.prepare()
     first = [model.predict(t) for t in ("abc abd", "xyz q", "abd r s t u v w", "abc abd")]
     assert first[0] == first[3] and first[0][0] == "aa" and first[1][0] == "bb"
+
+
+def test_language_of_long_texts_alone_is_learned(spark):
+    rows = [(i, "the house and the garden " * 20, "en") for i in range(5)]
+    rows += [(10 + i, "das haus und der garten " * 900, "de") for i in range(3)]
+    rows += [(20, "123 " * 4000 + "das haus und der garten", "de"), (30, "das haus und der garten", None)]
+    found = {r.doc_id: r.lang_pred for r in L.identify(table(spark, rows), F.lit(True)).collect()}
+    assert found[30] == "de" and found[0] == "en"

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-# Reference text per language: so many characters, of texts of limited length.
+# Reference text per language: so many characters, of longer texts a slice.
 REFERENCE_CHARS = 60_000
 REFERENCE_TEXTS = 400
 LONGEST_REFERENCE = 8_000
@@ -152,8 +152,15 @@ def references(docs: DataFrame, usable) -> Model:
     rows and the same for any partitioning.
     """
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.filter(F.length("text") <= LONGEST_REFERENCE).select("doc_id", "lang", "text")
     turn = F.xxhash64("doc_id", "text")
+    start = F.pmod(turn, F.greatest(F.length("text") - LONGEST_REFERENCE + 1, F.lit(1))) + 1
+    piece = F.substring(F.col("text"), start.cast("int"), F.lit(LONGEST_REFERENCE))
+    # A slice that has no letter gives way to the one at the first letter.
+    lettered = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, LONGEST_REFERENCE)
+    piece = F.when(F.length("text") <= LONGEST_REFERENCE, F.col("text")).otherwise(
+        F.when(piece.rlike(r"\p{L}"), piece).otherwise(lettered)
+    )
+    rows = rows.select("doc_id", "lang", piece.alias("text"))
     # Some times the rows that are needed of each language; the rest never reaches
     # the window, however large a language is. One count per language is broadcast.
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang"))
