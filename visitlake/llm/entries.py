@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlake.llm import (
+    conversation_repair,
     decontamination,
     embedding_dedup,
     language_id,
@@ -151,6 +152,17 @@ def op9_mixing(spark, sf):
     )
 
 
+@_query()
+def op11_conversation_repair(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = conversation_repair.repair(conversation_repair.damaged(turns), stage(spark, "op11"))
+    everyone = turns.select(F.col("conv_id").alias("id")).distinct()
+    zero, text = F.lit(0).cast("bigint"), {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    figures = [F.coalesce(c, text.get(c, zero)).alias(c) for c in fixed.columns if c != "conv_id"]
+    found = everyone.join(fixed, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    return found.select(F.col("id").alias("conv_id"), *figures)
+
+
 @_query()
 def pipeline(spark, sf):
     import corpus_pipeline  # it imports this module
