@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlake.llm import (
+    byte_bpe,
     conversation_repair,
     decontamination,
     embedding_dedup,
@@ -163,6 +164,22 @@ def op11_conversation_repair(spark, sf):
     return found.select(F.col("id").alias("conv_id"), *figures)
 
 
+@_query()
+def op12_byte_bpe(spark, sf):
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, stage(spark, "op12"))
+    ids = F.col("token_ids")
+    return coded.select(
+        "doc_id",
+        F.size(ids).cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decoded(ids, ranks), 256).alias("decoded_sha256"),
+    )
+
+
 @_query()
 def pipeline(spark, sf):
     import corpus_pipeline  # it imports this module
