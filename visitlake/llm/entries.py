@@ -14,6 +14,7 @@ from visitlake.llm import (
     decontamination,
     embedding_dedup,
     language_id,
+    lexical_search,
     maxent_lm,
     mixing,
     ngram_jaccard,
@@ -180,6 +181,13 @@ def op12_byte_bpe(spark, sf):
     )
 
 
+@_query(oracles.OP13)
+def op13_lexical_search(spark, sf):
+    return lexical_search.search(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark"), stage(spark, "op13"), k=50
+    )
+
+
 @_query()
 def pipeline(spark, sf):
     import corpus_pipeline  # it imports this module

@@ -56,3 +56,29 @@ k AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings e JOIN k ON k.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id
 """
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+def _terms(source: str) -> str:
+    lower = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
+    return f"SELECT row_number() OVER () AS r, *, regexp_extract_all({lower}, {_TERMS}) AS t FROM {source}"
+
+
+OP13 = f"""
+WITH d AS ({_terms("documents")}),
+i AS ({_terms("benchmark")}),
+c AS (SELECT count(*) AS nn, sum(len(t)) AS ll FROM d WHERE len(t) > 0),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM f CROSS JOIN c GROUP BY term, nn),
+m AS (SELECT r, doc_id, 50 + (50 * len(t) * nn) // ll AS m FROM d CROSS JOIN c WHERE len(t) > 0),
+q AS (SELECT DISTINCT r AS k, item_id, unnest(t) AS term FROM i),
+s AS (
+  SELECT k, item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 50
+"""
