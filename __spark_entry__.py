@@ -523,7 +523,8 @@ def file_report(spark, sf):
 @_query(f"""{V}, s AS (SELECT url, visit_time FROM v WHERE visit_time < {SPLIT_MS * 1000})
 SELECT url, visit_time, visit_type FROM v ANTI JOIN s USING (url, visit_time)""")
 def incremental_new_visits(spark, sf):
-    """A batch with everything against a store that has the first half month."""
+    """A batch with everything against a store that has the first half month, cut by
+    a Bloom filter of the batch."""
     visits = _visits(spark, sf)
     stored = visits.filter(F.col("visit_time") < SPLIT_MS * 1000)
     n_rows = ingest.MAX_BROADCAST_HASHES + 1  # as a batch that is too large for hashes
@@ -555,6 +556,17 @@ def url_titles_resolved(spark, sf):
     return ingest.resolve_titles(ingest.first_titles(visits), stored).drop("url_key")
 
 
+@_query(ORACLES["url_titles_resolved"])
+def url_titles_bucketed(spark, sf):
+    """The same against a store's own url index."""
+    blank = scalars.title_or_blank(F.col("title"))
+    visits = _visits(spark, sf).withColumn("title", blank)
+    earlier = visits.filter((F.col("visit_time") < SPLIT_MS * 1000) & (F.col("browser") == "safari"))
+    store = _new_store(spark)
+    store.append_urls(ingest.first_titles(earlier).withColumn("title", F.concat("title", F.lit(" (stored)"))))
+    return ingest.resolve_titles(ingest.first_titles(visits), store.url_index()).drop("url_key")
+
+
 # --- whole jobs ---------------------------------------------------------------
 
 _STORED = """SELECT w.url, t.title, w.visit_time, w.visit_type, w.browser, w.data_path,
@@ -592,6 +604,17 @@ def streaming_backup(spark, sf):
     return store.visits()
 
 
+@_query("SELECT true AS has_bytes, true AS is_sum_of_files FROM (SELECT count(*) FROM events)")
+def store_size(spark, sf):
+    """Size of a written store against the lengths of its files, as Spark lists them."""
+    store = _new_store(spark)
+    backup.backup_visits(store, fixtures.found_visits(spark, sf), as_of=AS_OF)
+    folders = [f"{store.path}/{name}" for name in staging.folder_names(spark, store.path) if not name.startswith("_")]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    size = F.lit(store.size_bytes())
+    return files.agg((size > 0).alias("has_bytes"), (size == F.sum("length")).alias("is_sum_of_files"))
+
+
 def _written_homes(spark: SparkSession, sf: str, **layout: bool) -> str:
     """Browser history files written by Spark tasks; the glob of their homes."""
     folder = staging.new_folder(spark, "homes")
@@ -613,13 +636,15 @@ def compacted_store(spark, sf):
 
 
 @_query(f"""{V2} SELECT count(*) AS total_visits, min(visit_time) // 1000 AS min_ms,
-  max(visit_time) // 1000 AS max_ms, (SELECT count(DISTINCT data_path) FROM r) AS n_files FROM w""")
+  max(visit_time) // 1000 AS max_ms, (SELECT count(DISTINCT data_path) FROM r) AS n_files,
+  true AS has_size FROM w""")
 def stored_status(spark, sf):
     """Status of a written store, its ends read from the first and last day."""
     store = _new_store(spark)
     backup.backup_visits(store, fixtures.repeated_visits(spark, sf), as_of=AS_OF)
     imports = ingest.latest_imports(store.import_log())
-    return aggregates.store_status(store.visits(), imports, store.edge_visits())
+    status = aggregates.store_status(store.visits(), imports, store.edge_visits(), store.size_bytes())
+    return status.withColumn("has_size", F.col("size_bytes") > 0).drop("size_bytes")
 
 
 @_query(f"""{V} SELECT url, coalesce(title, '') AS title,

@@ -28,6 +28,27 @@ def tuples(frame):
     return [tuple(row) for row in frame.collect()]
 
 
+def plan_nodes(node):
+    """All nodes of an executed plan, whatever adaptive execution wraps them in."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        yield from plan_nodes(node.executedPlan())
+        return
+    yield node
+    if name.endswith("QueryStage"):
+        yield from plan_nodes(node.plan())
+    for i in range(node.children().size()):
+        yield from plan_nodes(node.children().apply(i))
+
+
+def scanned(frame, metric="numFiles"):
+    """How many files, or by another metric rows, the frame's scans have read."""
+    frame.collect()
+    scans = [n for n in plan_nodes(frame._jdf.queryExecution().executedPlan()) if "Scan" in n.nodeName()]
+    metrics = [n.metrics().get(metric) for n in scans]
+    return sum(m.get().value() for m in metrics if m.isDefined())
+
+
 class ModelStore:
     """What a row-by-row backup into one SQLite file leaves behind."""
 

@@ -6,7 +6,8 @@ from helpers import DAY_US, NOON, found, tuples
 from test_ingest import rows_of
 from visitlake.plans import compaction
 from visitlake.plans.backup import backup_visits
-from visitlake.sources.store import TABLES, VisitStore
+from visitlake.sources import staging
+from visitlake.sources.store import TABLES, URL_BUCKETS, VisitStore
 
 AS_OF = "2024-01-30"
 
@@ -33,11 +34,34 @@ def test_rows_stay_and_files_become_few(store):
     assert files(store) >= 12
     compaction.compact(store)
     assert content(store) == before
-    assert files(store) == 3 and files(store, "urls") <= 2 and files(store, "import_runs") <= 2
+    assert files(store) == 3 and files(store, "urls") <= URL_BUCKETS and files(store, "import_runs") <= 2
     compaction.compact(store, store.visit_days()[:1])
     assert content(store) == before
 
 
+def test_readers_keep_the_generation_they_have(spark, store):
+    before = content(store)
+    titles, runs = store.urls(), store.import_runs()
+    n_titles, n_runs = titles.count(), runs.count()
+    compaction.compact(store)
+    assert (titles.count(), runs.count()) == (n_titles, n_runs)
+    compaction.compact(store)
+    assert sorted((g.table, g.number) for g in store.generations()) == [
+        ("import_runs", 1), ("import_runs", 2), ("urls", 1), ("urls", 2),
+    ]
+    names = staging.folder_names(spark, store.path)
+    assert {n for n in names if n.startswith(("urls", "import"))} == {"urls-1", "urls-2", "import_runs-1", "import_runs-2"}
+    assert content(store) == before
+
+
+def test_buckets_double_with_the_bytes(store, monkeypatch):
+    before = content(store)
+    monkeypatch.setattr(compaction, "BUCKET_BYTES", 100)
+    compaction.compact(store)
+    assert store.generation("urls").buckets > URL_BUCKETS
+    assert content(store) == before
+
+
 def test_a_compaction_that_dies_is_finished_or_dropped(spark, store, monkeypatch):
     before = content(store)
     for broken in ("write_text", "_put_in_place"):
@@ -54,7 +78,6 @@ def test_a_compaction_that_dies_is_finished_or_dropped(spark, store, monkeypatch
         patch.setattr(compaction, "_put_in_place", lambda s, work: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             compaction.compact(store)
-    for folder in (f"{store.path}/visits/visit_day=2024-01-15", f"{store.path}/urls"):
-        compaction.delete_folder(spark, folder)
+    compaction.delete_folder(spark, f"{store.path}/visits/visit_day=2024-01-15")
     assert compaction._put_in_place is put
     assert content(VisitStore.create(spark, store.path)) == before

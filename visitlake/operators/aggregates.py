@@ -210,8 +210,11 @@ def source_record_counts(visits: DataFrame, imports: DataFrame) -> DataFrame:
     )
 
 
-def store_status(visits: DataFrame, imports: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """One row: visit total, first and last visit (0 when empty), files imported.
+def store_status(
+    visits: DataFrame, imports: DataFrame, edges: DataFrame | None = None, size_bytes: int | None = None
+) -> DataFrame:
+    """One row: visit total, first and last visit (0 when empty), files imported and,
+    if given, the store's size.
 
     ``imports`` is the latest record per file. The records themselves are the
     separate frame ``import_history``: their number is not bounded, so they do
@@ -229,7 +232,8 @@ def store_status(visits: DataFrame, imports: DataFrame, edges: DataFrame | None
     else:
         totals = _side_by_side(visits.agg(total), edges.agg(*ends))
     files = imports.agg(F.count(F.lit(1)).alias("n_files"))
-    return _side_by_side(totals, files)
+    status = _side_by_side(totals, files)
+    return status if size_bytes is None else status.withColumn("size_bytes", F.lit(size_bytes).cast("bigint"))
 
 
 def import_history(imports: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from visitlake.functions import scalars
 from visitlake.functions.predicates import in_range
 from visitlake.functions.ranges import TimeRange
+from visitlake.operators import bloom
+from visitlake.sources.staging import Staging
 
 # The time goes first: it decides nearly every comparison of a sort by this key,
 # while urls share their first bytes, all that a sort prefix can hold.
@@ -21,6 +23,8 @@ VISIT_KEY = ["visit_time", "url"]
 URL_KEY = ["url_key", "url"]
 # Hashes of so many keys take some 100 MB as a broadcast relation.
 MAX_BROADCAST_HASHES = 2_000_000
+# So few keys go into the plan as literals, which prune buckets and row groups.
+MAX_LISTED_KEYS = 1_000
 NO_URL = "ValueError: a visit without a readable url"
 
 
@@ -58,20 +62,31 @@ def _few(frame: DataFrame, n_rows: int | None) -> bool:
     return n_rows <= MAX_BROADCAST_HASHES
 
 
-def drop_stored_visits(candidates: DataFrame, stored: DataFrame, n_rows: int | None = None) -> DataFrame:
+def drop_stored_visits(
+    candidates: DataFrame,
+    stored: DataFrame,
+    n_rows: int | None = None,
+    batch: DataFrame | None = None,
+    staging: Staging | None = None,
+) -> DataFrame:
     """Candidates whose (url, visit_time) is not in the store yet.
 
     The anti-join can only ever build its stored side, which is shuffled; the
-    candidates come out of ``dedup_visits`` partitioned by the same key. When
-    there are few enough, their hashes are broadcast and cut the store first, so
-    that hardly any of it is shuffled; the exact join stays last, and colliding
-    hashes do no harm.
+    candidates come out of ``dedup_visits`` partitioned by the same key. So the
+    store is cut first and hardly any of it is shuffled: by the broadcast hashes of
+    the candidates when there are few enough, else by Bloom filters of ``batch``,
+    any cheaper frame with the candidates' keys (repeats do no harm). The exact join
+    stays last, and colliding hashes do no harm.
     """
     known = stored.select(*VISIT_KEY)
     if _few(candidates, n_rows):
         hashes = candidates.select(F.xxhash64(*VISIT_KEY).alias("key_hash"))
         known = known.withColumn("key_hash", F.xxhash64(*VISIT_KEY))
         known = known.join(F.broadcast(hashes), "key_hash", "left_semi").drop("key_hash")
+    else:
+        keys = candidates if batch is None else batch
+        n_keys = candidates.count() if n_rows is None else n_rows
+        known = bloom.cut(known, keys.select(*VISIT_KEY), VISIT_KEY, "visit_time", n_keys, staging)
     return candidates.join(known, VISIT_KEY, "left_anti")
 
 
@@ -88,14 +103,24 @@ def first_titles(visits: DataFrame) -> DataFrame:
 def resolve_titles(titles: DataFrame, stored_urls: DataFrame, n_rows: int | None = None) -> DataFrame:
     """url_key, url, title, is_new: a stored title wins, blank or not.
 
-    The stored side is cut first as in ``drop_stored_visits``.
+    ``stored_urls`` has url_key, url and title. The store keeps them in buckets by
+    url_key, so only the batch is shuffled, to the buckets. Very few keys name their
+    buckets, and no other is read; few ones cut the stored side as in
+    ``drop_stored_visits`` before it is sorted.
     """
     known = stored_urls.select(
-        _url_key(), "url", F.col("title").alias("stored_title"), F.lit(True).alias("is_known")
-    )
-    if _few(titles, n_rows):
-        known = known.join(F.broadcast(titles.select("url_key")), "url_key", "left_semi")
-    return titles.join(known, URL_KEY, "left").select(
+        F.col("url_key").alias("known_key"), F.col("url").alias("known_url"),
+        F.col("title").alias("stored_title"), F.lit(True).alias("is_known"),
+    )
+    if n_rows is not None and n_rows <= MAX_LISTED_KEYS:
+        keys = [row["url_key"] for row in titles.select("url_key").distinct().collect()]
+        known = known.filter(F.col("known_key").isin(keys))
+    elif _few(titles, n_rows):
+        keys = titles.select(F.col("url_key").alias("known_key"))
+        known = known.join(F.broadcast(keys), "known_key", "left_semi")
+    # Two bounds, not an equality, as the buckets go by the first key alone.
+    same_url = (F.col("known_url") <= F.col("url")) & (F.col("known_url") >= F.col("url"))
+    return titles.join(known, (F.col("url_key") == F.col("known_key")) & same_url, "left").select(
         *URL_KEY,
         F.when(F.col("is_known"), F.col("stored_title")).otherwise(F.col("title")).alias("title"),
         F.col("is_known").isNull().alias("is_new"),

@@ -158,16 +158,16 @@ def _run(
     found = ingest.accepted_visits(found, accepted)
     profile = staging.write(ingest.profile_found(found), "profile")
     stored = stored_on(store, batch_days(profile))
-    new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored, n_rows)
-    new = staging.write(new, "new")
+    new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored, n_rows, found, staging)
+    new, n_new = staging.write_measured(new, "new", F.count(F.lit(1)))
     report = ingest.file_report(files, profile, new)
     if dry_run:
         staging.kept = True
         return BackupResult(None, report, staging)
 
     run_seq = store.next_run_seq()
-    if not new.isEmpty():
-        titles = ingest.resolve_titles(ingest.first_titles(new), store.urls(), n_rows)
+    if n_new:
+        titles = ingest.resolve_titles(ingest.first_titles(new), store.url_index(), n_new)
         titles = staging.write(titles, "titles")
         store.append_urls(titles.filter("is_new"))
         store.append_visits(ingest.apply_titles(new, titles))

@@ -1,9 +1,10 @@
 """Fewer and larger files in a store that many runs have appended to.
 
 The new files are first written beside the tables, then marked complete, and only
-then put in place of the old ones. A run that dies before the mark changes
-nothing; one that dies after it is finished by ``recover``, which opening the
-store calls. Like all writes it has the store to itself.
+then put in place: days replace their partitions, the smaller tables become the next
+generation. A run that dies before the mark changes nothing; one that dies after it is
+finished by ``recover``, which opening the store calls. Like all writes it has the store
+to itself; readers of the smaller tables see the old generation until it is replaced.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from visitlake.sources.staging import delete_folder, folder_exists, folder_names, read_text, write_text
-from visitlake.sources.store import VisitStore
+from visitlake.sources.staging import delete_folder, folder_bytes, folder_exists, folder_names, make_folder, read_text, write_text
+from visitlake.sources.store import BUCKET_BYTES, Generation, VisitStore
 
 FOLDER = "_compaction"
 READY = "READY"
@@ -34,12 +35,28 @@ def compact(store: VisitStore, days: Sequence[date] | None = None) -> None:
     work = f"{store.path}/{FOLDER}/{uuid.uuid4().hex}"
     rows = store.visits().filter(F.col(DAY).isin(list(chosen)))
     store.write_visits(rows, f"{work}/visits")
-    for name in ("urls", "import_runs"):
-        store.write_table(store.read_table(name).hint("rebalance"), f"{work}/{name}")
-    write_text(store.spark, f"{work}/{READY}", json.dumps([d.isoformat() for d in chosen]))
+    after = [_next_generation(store, name) for name in ("urls", "import_runs")]
+    # Read as plain files: Spark drops a repartition that buckets seem to make needless,
+    # and then the buckets.
+    store.write_urls(store.read_table("urls", f"{store.path}/{store.generation('urls').folder}"), after[0])
+    store.write_runs(store.import_runs().hint("rebalance"), after[1])
+    ready = {"days": [d.isoformat() for d in chosen], "pointers": [g.pointer for g in after]}
+    write_text(store.spark, f"{work}/{READY}", json.dumps(ready))
     _put_in_place(store, work)
 
 
+def _next_generation(store: VisitStore, name: str) -> Generation:
+    now = store.generation(name)
+    buckets = now.buckets
+    while buckets * BUCKET_BYTES < folder_bytes(store.spark, f"{store.path}/{now.folder}") and buckets:
+        buckets *= 2
+    new = Generation(name, now.number + 1, buckets)
+    # What a run that died has left there.
+    delete_folder(store.spark, f"{store.path}/{new.folder}")
+    make_folder(store.spark, f"{store.path}/{new.folder}")
+    return new
+
+
 def recover(store: VisitStore) -> None:
     """Finish compactions that were complete and drop the others."""
     root = f"{store.path}/{FOLDER}"
@@ -54,10 +71,11 @@ def recover(store: VisitStore) -> None:
 
 def _put_in_place(store: VisitStore, work: str) -> None:
     """Replace the marked days and tables by their copies; may be repeated."""
-    days = json.loads(read_text(store.spark, f"{work}/{READY}"))
-    if days:
+    ready = json.loads(read_text(store.spark, f"{work}/{READY}"))
+    if ready["days"]:
         # Only days that the copy has are replaced.
         store.write_visits(store.read_table("visits", f"{work}/visits"), replace=True)
-    for name in ("urls", "import_runs"):
-        store.write_table(store.read_table(name, f"{work}/{name}"), replace=name)
+    for pointer in ready["pointers"]:
+        store.switch_to(Generation.named(pointer))
+        store.drop_older(Generation.named(pointer).table)
     delete_folder(store.spark, work)

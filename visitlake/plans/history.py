@@ -87,9 +87,11 @@ class History:
 
     def status(self) -> DataFrame:
         """One row: totals, first and last visit, files, and the store's path and size."""
-        status = aggregates.store_status(self.store.visits(), self._imports(), self.store.edge_visits())
-        return status.withColumns(
-            {"path": F.lit(self.store.path), "size_bytes": F.lit(self.store.size_bytes()).cast("bigint")}
+        status = aggregates.store_status(
+            self.store.visits(), self._imports(), self.store.edge_visits(), self.store.size_bytes()
+        )
+        return status.select(
+            "total_visits", "min_ms", "max_ms", "n_files", F.lit(self.store.path).alias("path"), "size_bytes"
         )
 
     def store_size(self) -> DataFrame:

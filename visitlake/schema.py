@@ -39,7 +39,8 @@ FOUND_VISITS = _struct(
     ("src_row", T.LongType()),
 )
 
-URLS = _struct(("url", T.StringType()), ("title", T.StringType()))
+# ``url_key`` is the url's hash, by which the table is bucketed and sorted.
+URLS = _struct(("url_key", T.LongType()), ("url", T.StringType()), ("title", T.StringType()))
 
 VISITS = _struct(
     ("url", T.StringType()),

@@ -1,15 +1,22 @@
 """The visit store: three Parquet tables below one folder.
 
 ``visits``       fact, partitioned by UTC day, sorted by time inside a day
-``urls``         one row per url with its first title
+``urls``         one row per url with its first title, in buckets by the url's hash
 ``import_runs``  append-only: what each run did with each file
 
 There is one writer at a time. Appends go urls, visits, runs; each step is
 idempotent, so a run that died half-way is repaired by running it again.
+
+The two smaller tables have generations, each in a folder of its own. An empty file in
+``_tables`` names the current one, e.g. ``urls.3.64`` for the folder ``urls-3`` with 64
+buckets. Compaction writes the next generation beside it and then that file, so a reader
+sees one or the other; the generation before stays until the next compaction.
 """
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,42 +25,113 @@ from pyspark.sql.types import StructType
 
 from visitlake import schema
 from visitlake.functions import ranges, scalars
-from visitlake.sources.staging import folder_bytes, folder_names, make_folder
+from visitlake.sources.staging import delete_folder, folder_bytes, folder_names, make_folder, write_text
 
 TABLES = {
     "visits": schema.VISITS,
     "urls": schema.URLS,
     "import_runs": schema.IMPORT_RUNS,
 }
-
+POINTERS = "_tables"
+# Buckets of ``urls`` in a new store. Compaction doubles their number while one holds more
+# bytes than this.
+URL_BUCKETS, BUCKET_BYTES = 16, 128 << 20
 
 # The store is written once and read by every query.
 COMPRESSION = "zstd"
 
 
+@dataclass(frozen=True)
+class Generation:
+    """One version of a table; ``buckets`` is 0 for a table without."""
+
+    table: str
+    number: int
+    buckets: int
+
+    @property
+    def folder(self) -> str:
+        return f"{self.table}-{self.number}"
+
+    @property
+    def pointer(self) -> str:
+        return f"{self.table}.{self.number}.{self.buckets}"
+
+    @classmethod
+    def named(cls, pointer: str) -> Generation:
+        table, number, buckets = pointer.split(".")
+        return cls(table, int(number), int(buckets))
+
+
 class VisitStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str) -> VisitStore:
+    def create(cls, spark: SparkSession, path: str, url_buckets: int = URL_BUCKETS) -> VisitStore:
         """Open a store, making its tables when they do not exist and finishing a
-        compaction that was interrupted."""
+        compaction that was interrupted. ``url_buckets`` holds for a new store."""
         from visitlake.plans.compaction import recover  # it needs this module
 
         store = cls(spark, path)
-        for name in TABLES:
-            make_folder(spark, store._table(name))
+        make_folder(spark, f"{store.path}/visits")
+        make_folder(spark, f"{store.path}/{POINTERS}")
+        there = {generation.table for generation in store.generations()}
+        for name, buckets in (("urls", url_buckets), ("import_runs", 0)):
+            if name not in there:
+                first = Generation(name, 0, buckets)
+                make_folder(spark, f"{store.path}/{first.folder}")
+                store.switch_to(first)
         recover(store)
         return store
 
+    # --- generations ---
+
+    def generations(self) -> list[Generation]:
+        names = folder_names(self.spark, f"{self.path}/{POINTERS}")
+        return [Generation.named(name) for name in names if not name.endswith(".part")]
+
+    def generation(self, name: str) -> Generation:
+        return max((g for g in self.generations() if g.table == name), key=lambda g: g.number)
+
+    def switch_to(self, generation: Generation) -> None:
+        if generation not in self.generations():
+            write_text(self.spark, f"{self.path}/{POINTERS}/{generation.pointer}", "")
+
+    def drop_older(self, name: str) -> None:
+        """Removes the generations before the previous one."""
+        now = self.generation(name).number
+        for old in self.generations():
+            if old.table == name and old.number < now - 1:
+                delete_folder(self.spark, f"{self.path}/{POINTERS}/{old.pointer}")
+                delete_folder(self.spark, f"{self.path}/{old.folder}")
+
     def _table(self, name: str) -> str:
-        return f"{self.path}/{name}"
+        return f"{self.path}/{name if name == 'visits' else self.generation(name).folder}"
+
+    def _bucketed(self, generation: Generation) -> str:
+        """Name under which the session's catalog knows a generation of ``urls``.
+
+        Buckets are known to the catalog only; the definition is made again in each
+        session and holds nothing but the place and the layout.
+        """
+        place = f"{self.path}/{generation.folder}"
+        name = f"spark_catalog.default.visitlake_urls_{hashlib.md5(place.encode()).hexdigest()}"
+        quoted = place.replace("\\", "\\\\").replace("'", "\\'")
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.URLS)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet OPTIONS (compression '{COMPRESSION}')"
+            f" CLUSTERED BY (url_key) SORTED BY (url_key) INTO {generation.buckets} BUCKETS LOCATION '{quoted}'"
+        )
+        self.spark.catalog.refreshTable(name)
+        return name
 
     def read_table(self, name: str, path: str | None = None) -> DataFrame:
         """A table by name, or a copy of it elsewhere."""
         layout: StructType = TABLES[name]
+        if name == "urls" and path is None:
+            return self.spark.table(self._bucketed(self.generation(name)))
         return self.spark.read.schema(layout).parquet(path or self._table(name))
 
     # --- reading ---
@@ -66,6 +144,11 @@ class VisitStore:
         return self.read_table("visits")
 
     def urls(self) -> DataFrame:
+        return self.url_index().select("url", "title")
+
+    def url_index(self) -> DataFrame:
+        """url_key, url, title. A join by url_key does not shuffle this side, and literal
+        keys read their buckets alone."""
         return self.read_table("urls")
 
     def import_runs(self) -> DataFrame:
@@ -100,7 +183,12 @@ class VisitStore:
     # --- appending ---
 
     def append_urls(self, urls: DataFrame) -> None:
-        self._append(urls, "urls")
+        """``urls`` has url_key, url and title. Each bucket gets one file."""
+        self.write_urls(urls, self.generation("urls"))
+
+    def write_urls(self, urls: DataFrame, generation: Generation) -> None:
+        rows = urls.select(*schema.URLS.names).repartition(generation.buckets, "url_key")
+        rows.write.insertInto(self._bucketed(generation))
 
     def append_visits(self, visits: DataFrame) -> None:
         """Append with few, evenly sized files per day.
@@ -124,14 +212,9 @@ class VisitStore:
             writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.parquet(path or self._table("visits"), compression=COMPRESSION)
 
-    def write_table(self, rows: DataFrame, path: str | None = None, replace: str | None = None) -> None:
-        """Write a copy elsewhere, or replace the table of the given name."""
-        target = self._table(replace) if replace else path
-        rows.write.mode("overwrite").parquet(target, compression=COMPRESSION)
+    def write_runs(self, runs: DataFrame, generation: Generation) -> None:
+        place = f"{self.path}/{generation.folder}"
+        runs.select(*schema.IMPORT_RUNS.names).write.mode("append").parquet(place, compression=COMPRESSION)
 
     def append_runs(self, report: DataFrame) -> None:
-        self._append(report, "import_runs")
-
-    def _append(self, rows: DataFrame, name: str) -> None:
-        columns = TABLES[name].names
-        rows.select(*columns).write.mode("append").parquet(self._table(name), compression=COMPRESSION)
+        self.write_runs(report, self.generation("import_runs"))
