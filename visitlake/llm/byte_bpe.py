@@ -1,11 +1,11 @@
 """Byte-level BPE by the rank file of a public tokenizer: texts to ids and back.
 
-Text is cut by the tokenizer's pattern; each word is a byte array, held as a string of
-the code points 0 to 255. A fold of Spark's higher-order functions merges it: the
-neighbours whose joined bytes have the lowest rank become one, the first of equal ones,
-until no joined pair has a rank. Ranks come from a literal map in the expression, dealt
-into small maps by a hash of the key, as Spark searches a map from its start. Decoding
-puts the byte strings of the ids, a literal array, one after the other.
+Text is cut by the tokenizer's pattern; each word is a byte array, held as a string with
+a character for each token, at first each byte. A fold of Spark's higher-order functions
+merges it: the neighbours whose joined bytes have the lowest rank become one, the first of
+equal ones, until no joined pair has a rank. Ranks come from a literal map in the
+expression, dealt into small maps by a hash of the key, as Spark searches a map from its
+start. Decoding puts the byte strings of the ids, a literal array, one after the other.
 
 *Distinct words.* Words are counted over all texts with a map-side combine. Those that
 occur most, at most ``FREQUENT`` of them with at most ``LONG`` bytes each, are folded
@@ -36,10 +36,11 @@ from pyspark.sql import types as T
 
 from visitlake.sources.staging import Staging
 
-FREQUENT = 200_000
+FREQUENT = 400_000
 LONG = 64  # bytes
 _SLOTS = 1 << 16
-_NONE = (1 << 31) - 1
+# Symbols are characters beyond the basic plane, which no surrogate can be.
+_FIRST, _NONE = 0x10000, "\U0010ffff"
 _LATIN = "ISO-8859-1"
 
 
@@ -62,70 +63,89 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _symbol(token: int) -> str:
+    """A token within a word under work: a character, so that a merge is one change of a string."""
+    return chr(_FIRST + token)
+
+
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: small maps by the key's hash."""
-    slots: list[dict[str, int]] = [{} for _ in range(_SLOTS)]
+    """The ranks as a literal: small maps by the key's hash. Keys are two symbols whose
+    joined bytes have a rank, and the symbols of the bytes of a longer token; values are
+    the symbol of the token."""
+    if max(ranks.values()) >= ord(_NONE) - _FIRST:
+        raise ValueError("too many ranks")
+    byte = [_symbol(ranks[bytes([b])]) for b in range(256)]
+    slots: list[dict[str, str]] = [{} for _ in range(_SLOTS)]
     for token, rank in ranks.items():
-        key = token.decode(_LATIN)
-        slots[zlib.crc32(key.encode()) % _SLOTS][key] = rank
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+        keys = {"".join(byte[b] for b in token)} if len(token) > 2 else set()
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                keys.add(_symbol(left) + _symbol(right))
+        for key in keys:
+            slots[zlib.crc32(key.encode()) % _SLOTS][key] = _symbol(rank)
+    return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,string>>")
 
 
-def _rank(table: Column, piece: Column) -> Column:
-    slot = F.get(table, (F.crc32(piece.cast("binary")) % _SLOTS).cast("int"))
-    return F.element_at(slot, piece)
+def _rank(table: Column, key: Column) -> Column:
+    slot = F.get(table, (F.crc32(key.cast("binary")) % _SLOTS).cast("int"))
+    return F.element_at(slot, key)
 
 
-def _pair(table: Column, left: Column, right: Column) -> Column:
-    return F.coalesce(_rank(table, F.concat(left, right)), F.lit(_NONE))
+def _pair(table: Column, pair: Column) -> Column:
+    return F.coalesce(_rank(table, pair), F.lit(_NONE))
 
 
 def _merged(table: Column, state: Column) -> Column:
-    """The state after the merge with the lowest rank; the same if there is none."""
-    pieces, ranks = state["pieces"], state["ranks"]
-    nothing = F.expr("cast(array() as array<int>)")
-
-    def at(p: Column) -> Column:
-        """``p``: where the pair starts, from 1."""
-
-        def joined(piece: Column) -> Column:
-            left = F.concat(F.slice(ranks, F.lit(1), p - 2), F.array(_pair(table, F.get(pieces, p - 2), piece)))
-            right = F.concat(F.array(_pair(table, piece, F.get(pieces, p + 1))), F.slice(ranks, p + 2, F.size(ranks)))
+    """The state after the merge with the lowest rank, the first of equal ones; the same
+    if there is none. ``pairs`` has the symbol that each neighbours' pair would become."""
+    word, pairs = state["word"], state["pairs"]
+
+    def merge(least: Column) -> Column:
+        def at(p: Column) -> Column:
+            # The pair before now ends with the new symbol, the one after starts with it.
+            before = F.when(p > 1, _pair(table, F.concat(F.substring(word, p - 1, F.lit(1)), least))).otherwise("")
+            after = F.when(p < F.length(pairs), _pair(table, F.concat(least, F.substring(word, p + 2, F.lit(1))))).otherwise("")
+            low = F.greatest(p - 1, F.lit(1))
             return F.struct(
-                F.concat(F.slice(pieces, F.lit(1), p - 1), F.array(piece), F.slice(pieces, p + 2, F.size(pieces))).alias("pieces"),
-                F.concat(F.when(p > 1, left).otherwise(nothing), F.when(p < F.size(ranks), right).otherwise(nothing)).alias("ranks"),
+                F.overlay(word, least, p, F.lit(2)).alias("word"),
+                F.overlay(pairs, F.concat(before, after), low, p + 2 - low).alias("pairs"),
             )
 
-        return _let(F.concat(F.get(pieces, p - 1), F.get(pieces, p)), joined)
+        ended = F.struct(word.alias("word"), F.lit("").alias("pairs"))
+        return F.when(least == _NONE, ended).otherwise(_let(F.instr(pairs, least), at))
 
-    least = F.coalesce(F.array_min(ranks), F.lit(_NONE))
-    return F.when(least == _NONE, state).otherwise(_let(F.array_position(ranks, least).cast("int"), at))
+    return F.when(pairs == "", state).otherwise(_let(F.array_min(F.split(pairs, "")), merge))
 
 
-def _fold(table: Column, word: Column) -> Column:
-    """Ids of a word; a word that is a token is taken as it is."""
+def _fold(table: Column, symbols: Column) -> Column:
+    """Symbols of the tokens of a word; a word that is a token is taken as it is."""
 
-    def merged(pieces: Column) -> Column:
-        ranks = F.transform(
-            F.slice(pieces, F.lit(2), F.size(pieces)), lambda right, i: _pair(table, F.get(pieces, i), right)
-        )
-        return F.aggregate(
-            F.array_repeat(F.lit(0), F.size(pieces) - 1),
-            F.struct(pieces.alias("pieces"), ranks.alias("ranks")),
+    def merged(word: Column) -> Column:
+        n = F.length(word)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: i < n)
+        pairs = F.array_join(F.transform(starts, lambda i: _pair(table, F.substring(word, i, F.lit(2)))), "")
+        folded = F.aggregate(
+            F.array_repeat(F.lit(0), n - 1),
+            F.struct(word.alias("word"), pairs.alias("pairs")),
             lambda state, _: _merged(table, state),
-            lambda state: F.transform(state["pieces"], lambda piece: _rank(table, piece)),
+            lambda state: state["word"],
         )
+        return F.coalesce(_rank(table, word), folded)
 
-    def ids(raw: Column) -> Column:
-        whole = _rank(table, raw)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(F.split(raw, ""), merged))
-
-    return _let(F.decode(F.encode(word, "UTF-8"), _LATIN), ids)
+    return _let(symbols, merged)
 
 
 def word_ids(words: Column, ranks: dict[bytes, int]) -> Column:
     """The ids of each word of an array of short words."""
-    return _let(rank_map(ranks), lambda table: F.transform(words, lambda word: _fold(table, word)))
+    byte = "".join(_symbol(ranks[bytes([b])]) for b in range(256))
+    latin = bytes(range(256)).decode(_LATIN)
+
+    def ids(table: Column, word: Column) -> Column:
+        symbols = F.translate(F.decode(F.encode(word, "UTF-8"), _LATIN), latin, byte)
+        return F.transform(F.split(_fold(table, symbols), ""), lambda x: F.ascii(x) - _FIRST)
+
+    return _let(rank_map(ranks), lambda table: F.transform(words, lambda word: ids(table, word)))
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -184,64 +204,63 @@ class Frequent:
     """The frequent words with their ids, and ranks for long words."""
 
     def __init__(self, found: pa.Table, ranks: dict[bytes, int]):
-        self.words = found.column("word").combine_chunks().cast(pa.string())
-        ids = [np.asarray(x, np.int32) for x in found.column("ids").to_pylist()]
-        self.lengths = np.array([len(x) for x in ids], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        self.place = {word: i for i, word in enumerate(found.column("word").to_pylist())}
+        ids = found.column("ids").combine_chunks()
+        self.lengths = pc.list_value_length(ids).to_numpy().astype(np.int64)
+        self.ids = ids.flatten().to_numpy()
         self.ranks = ranks
 
+    def _ids_of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: whether they are rare, the number of their ids, where these
+        start, and what they start in."""
+        texts = words.to_pylist()
+        place = np.array([self.place.get(w, -1) for w in texts], np.int64)
+        lengths, own = [self.lengths], [self.ids]
+        sizes = pc.binary_length(words).to_numpy()
+        long = np.flatnonzero((place < 0) & (sizes > LONG))
+        for i, at in enumerate(long):
+            merged = merge_long(texts[at].encode(), self.ranks)
+            place[at] = len(self.lengths) + i
+            lengths.append(np.array([len(merged)]))
+            own.append(np.array(merged, np.int32))
+        # The last entry, without ids, is for rare words.
+        every = np.concatenate([*lengths, np.zeros(1, np.int64)])
+        starts = np.cumsum(every) - every
+        return place < 0, every[place], starts[place], np.concatenate(own)
+
     def look_up(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """Ids of the words of each row, in runs that end before a rare word; the row's
         distinct rare words, and which of them follows each run (-1: the last run)."""
-        column = batch.column(1)
-        words = column.flatten().cast(pa.string())
-        first = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
-        places = np.maximum(known, 0)
-        lengths = np.where(known >= 0, self.lengths[places] if len(self.lengths) else 0, 0)
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(self.starts[places] if len(self.starts) else places, lengths)
-        flat = self.ids[at]
-        # Rare words, one by one.
-        runs, run_rows, rare, rare_rows, follows = [], [], [], [], []
-        unknown = np.flatnonzero(known < 0)
-        texts = words.take(pa.array(unknown)).to_pylist()
-        row_of = np.searchsorted(first, unknown, side="right") - 1
-        low, k = 0, 0
-        offsets = np.concatenate([[0], ends])
-        for row in range(batch.num_rows):
-            own: dict[str, int] = {}
-            held: list[np.ndarray] = []
-            low, n_runs = int(offsets[first[row]]), 0
-            while k < len(unknown) and row_of[k] == row:
-                high = int(offsets[unknown[k]])
-                held.append(flat[low:high])
-                low = high
-                raw = texts[k].encode()
-                if len(raw) > LONG:
-                    held.append(np.asarray(merge_long(raw, self.ranks), np.int32))
-                else:
-                    runs.append(held)
-                    held = []
-                    n_runs += 1
-                    follows.append(own.setdefault(texts[k], len(own)))
-                k += 1
-            held.append(flat[low : int(offsets[first[row + 1]])])
-            runs.append(held)
-            follows.append(-1)
-            run_rows.append(n_runs + 1)
-            rare.extend(own)
-            rare_rows.append(len(own))
-        sizes = np.array([sum(map(len, run)) for run in runs], np.int64)
-        values = np.concatenate([part for run in runs for part in run]) if runs else np.zeros(0, np.int32)
+        column, n_rows = batch.column(1), batch.num_rows
+        words = column.flatten().dictionary_encode()
+        code = words.indices.to_numpy()
+        counts = pc.list_value_length(column).to_numpy()
+        first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        is_rare, lengths, starts, table = self._ids_of(words.dictionary)
+        lengths, starts = lengths[code], starts[code]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        flat = table[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)]
+
+        rare = np.flatnonzero(is_rare[code])
+        row_of = np.searchsorted(first, rare, side="right") - 1
+        distinct, which = np.unique(row_of * max(len(words.dictionary), 1) + code[rare], return_inverse=True)
+        owner, distinct = np.divmod(distinct, max(len(words.dictionary), 1))
+        own = np.bincount(owner, minlength=n_rows)
+        before = np.bincount(row_of, minlength=n_rows)
+        # A run starts with each row and with each rare word.
+        run = np.arange(len(rare)) + row_of
+        bounds = np.empty(n_rows + len(rare) + 1, np.int64)
+        bounds[np.arange(n_rows) + np.cumsum(before) - before] = offsets[first[:-1]]
+        bounds[run + 1] = offsets[rare]
+        bounds[-1] = offsets[-1]
+        follows = np.full(n_rows + len(rare), -1, np.int32)
+        follows[run] = which - (np.cumsum(own) - own)[row_of]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                _lists(np.array(run_rows), _lists(sizes, pa.array(values, pa.int32()))),
-                _lists(np.array(rare_rows), pa.array(rare, pa.string())),
-                _lists(np.array(run_rows), pa.array(follows, pa.int32())),
+                _lists(before + 1, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))),
+                _lists(own, words.dictionary.take(pa.array(distinct))),
+                _lists(before + 1, pa.array(follows)),
             ],
             names=["row", "runs", "rare", "follows"],
         )
