@@ -23,9 +23,9 @@ from visitlake.operators import aggregates, ingest, search  # noqa: E402
 from visitlake.plans import backup  # noqa: E402
 from visitlake.plans.compaction import compact  # noqa: E402
 from visitlake.plans.dashboard import dashboard  # noqa: E402
-from visitlake.sources import detect, export, history_files, normalize, profiles, staging  # noqa: E402
+from visitlake.sources import detect, export, hadoop_files, history_files, normalize, profiles, staging  # noqa: E402
 from visitlake.sources.store import VisitStore  # noqa: E402
-from visitlake.streaming.incremental import backup_file_stream, backup_visit_stream  # noqa: E402
+from visitlake.streaming.incremental import backup_file_stream, backup_history_stream, backup_visit_stream  # noqa: E402
 
 UTC = ranges.zone("UTC")
 AS_OF = fixtures.AS_OF
@@ -685,6 +685,51 @@ def detected_files(spark, sf):
     return files.select(place, "product", "packaging", (F.col("size_bytes") > 0).alias("has_bytes")).distinct()
 
 
+_SCANNED = ORACLES["history_file_scan"]
+
+
+@_query(f"SELECT * FROM ({_SCANNED}) WHERE visit_time BETWEEN {WEEK.start_us} AND {WEEK.end_us} AND browser <> 'firefox'")
+def history_pushed_scan(spark, sf):
+    """The files read under filters that reach SQLite: a week of two browsers."""
+    homes = _written_homes(spark, sf)
+    history_files.register(spark)
+    raw = spark.read.format(history_files.FORMAT).options(homes=homes).load()
+    week = F.col("visit_time").between(WEEK.start_us, WEEK.end_us) & F.col("browser").isin("chrome", "safari")
+    return _visit_columns(normalize.normalize_history(raw.filter(week)))
+
+
+def _visit_columns(found: DataFrame) -> DataFrame:
+    return found.select("url", "title", "visit_time", "visit_type", "browser")
+
+
+@_query(_SCANNED)
+def history_planned_scan(spark, sf):
+    """The files found by tasks, cut and dealt to readers."""
+    staged = staging.Staging(spark, "planned")
+    raw = detect.read_files(spark, staged, [_written_homes(spark, sf)], split_bytes=1 << 20)
+    return _visit_columns(normalize.normalize_history(raw))
+
+
+@_query(_SCANNED)
+def history_landing_scan(spark, sf):
+    """The files, some with a write-ahead log, read through Hadoop's file system alone."""
+    homes = _written_homes(spark, sf, wal=True)
+    uri = homes if "://" in homes else f"file://{homes}"
+    raw = hadoop_files.read_landing(spark, staging.Staging(spark, "landing"), [uri])
+    return _visit_columns(normalize.normalize_history(raw))
+
+
+@_query(_SCANNED)
+def streaming_history_source(spark, sf):
+    """The files streamed by the source itself, hidden folders and all."""
+    landing = _written_homes(spark, sf).removesuffix("/*")
+    store = _new_store(spark)
+    for _ in range(2):  # the second run finds nothing new
+        query = backup_history_stream(store, landing, f"{store.path}/_stream", as_of=AS_OF, settle_ms=0)
+        query.awaitTermination()
+    return _visit_columns(store.visits())
+
+
 @_query(f"""{V}, s AS (SELECT url, coalesce(title, '') AS title,
   CASE browser WHEN 'safari' THEN {_SAFARI_US} ELSE visit_time END AS visit_time,
   CASE browser WHEN 'safari' THEN CAST(-1 AS BIGINT) ELSE visit_type END AS visit_type, browser FROM v)

@@ -205,3 +205,134 @@ def test_files_are_listed_without_reading(spark, homes):
     }
     assert all(r.size_bytes > 0 for r in files.values())
     assert api.detected([f"{homes}/none*"]).count() == 0
+
+
+def test_filters_become_native_bounds(spark, homes):
+    from pyspark.sql import datasource as D
+
+    low, high = US + 3_000_000, US + 9_000_000
+    time, browser = ("visit_time",), ("browser",)
+    filters = [D.GreaterThan(time, low - 1), D.LessThanOrEqual(time, high), D.In(browser, ("safari", "chrome"))]
+    wanted = H.pushed(H.Wanted(), [*filters, D.EqualTo(browser, "safari"), D.EqualTo(("url",), "x")])
+    assert (wanted.low_us, wanted.high_us, wanted.browsers) == (low, high, frozenset(["safari"]))
+    chrome, firefox, safari = (wanted.native_bounds(b) for b in ("chrome", "firefox", "safari"))
+    assert firefox == (low, high) and chrome == tuple(t + 11644473600 * 10**6 for t in (low, high))
+    assert safari == pytest.approx(tuple(t / 1e6 - 978307200 for t in (low, high)), abs=1e-4)
+    wide = H.pushed(H.Wanted(start_ms=0, end_ms=US // 1000), [D.GreaterThanOrEqual(time, 0), D.LessThan(time, 2**62)])
+    assert wide.native_bounds("firefox") == (0, US // 1000 * 1000)
+
+    reader = H.HistoryFileReader({"homes": f"{homes}/*"})
+    every = [*filters, D.LessThan(time, high), D.EqualTo(time, low)]
+    assert list(reader.pushFilters(every)) == every  # Spark applies them again
+    rows = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist() if r["url"]]
+    # Safari's bounds leave room for rounding.
+    assert {(r["browser"], r["visit_time"]) for r in rows} == {("chrome", low), ("safari", low + 7)}
+
+
+def test_spark_pushes_filters_into_the_source(spark, homes):
+    from pyspark.sql import functions as F
+
+    rows = load(spark, homes=f"{homes}/*").filter(
+        F.col("visit_time").between(US, US + 5_000_000) & F.col("browser").isin("chrome", "safari")
+    )
+    got = sorted((r.browser, r.visit_time - US) for r in rows.collect())
+    assert got == [("chrome", i * 1_000_000) for i in range(6)] + [("safari", 7 + i * 1_000_000) for i in range(5)]
+    from helpers import scanned
+
+    # The source itself gives no others; Spark's own filter would come later.
+    assert len(got) < scanned(rows, "numOutputRows") <= len(got) + 3 + 1  # files, and rounding
+
+
+def test_visit_time_is_that_of_normalised_rows(spark, homes):
+    from pyspark.sql import functions as F
+
+    raw = load(spark, homes=f"{homes}/*").filter("url IS NOT NULL")
+    from visitlake.functions import scalars
+
+    time = (
+        F.when(F.col("browser") == "chrome", scalars.webkit_to_us(F.col("native_time")))
+        .when(F.col("browser") == "safari", scalars.nsdate_to_us(F.col("native_seconds")))
+        .otherwise(F.col("native_time"))
+    )
+    assert raw.filter(F.col("visit_time") != time).count() == 0 and raw.count() == 90
+
+
+def test_the_driver_opens_no_home_folder(spark, tmp_path, monkeypatch):
+    import glob
+    import os
+
+    n = 10_000
+    for i in range(n):
+        (tmp_path / "homes" / f"u{i}").mkdir(parents=True)
+    for i in (3, 4_711, 9_999):
+        history(tmp_path / "homes" / f"u{i}" / fixtures.PROFILE_PATH["firefox"], "firefox", entries(5, i))
+    store = VisitStore.create(spark, str(tmp_path / "store"))
+
+    def refuse(path=None, *args, **kwargs):
+        raise AssertionError(f"the driver looked into {path}")
+
+    with monkeypatch.context() as patch:
+        for module, name in ((glob, "glob"), (glob, "iglob"), (os, "scandir"), (os, "listdir"), (os.path, "getsize")):
+            patch.setattr(module, name, refuse)
+        result = backup_files(store, homes=[f"{tmp_path}/homes/*"], as_of=AS_OF)
+        assert tuples(result.summary) == [(15, 15, 0, 0)]
+    assert store.visits().count() == 15
+
+
+def test_listed_files_keep_the_order_of_homes_and_places(spark, homes, tmp_path):
+    from visitlake.sources import detect
+    from visitlake.sources.staging import Staging
+
+    named = history(tmp_path / "named" / "History", "chrome", entries(3))
+    listed = H.list_files([f"{homes}/u2", f"{homes}/*"], [named, "/missing"])
+    staging = Staging(spark, "t")
+    files = detect.listed_files(spark, [f"{homes}/u2", f"{homes}/*"], [named, "/missing"], staging)
+    slices, n_tasks = detect.planned_slices(files, 2_000, staging)
+    rows = sorted(slices.collect(), key=lambda r: (r.file_seq, r.k))
+    order = list(dict.fromkeys(r.data_path for r in rows))
+    assert order == list(dict.fromkeys(path for path, _ in listed)) and order[-1] == "/missing"
+    assert n_tasks == len(rows) == sum(max(1, -(-size // 2_000)) for size in dict(listed).values())
+    empty, n_tasks = detect.planned_slices(files.limit(0), 2_000, Staging(spark, "t"))
+    assert (empty.count(), n_tasks) == (0, 1)
+
+
+@pytest.fixture
+def landing(tmp_path):
+    """Homes with and without logs, a torn file and one that is no database."""
+    history(tmp_path / "u1" / fixtures.PROFILE_PATH["chrome"], "chrome", entries(40))
+    out = fixtures.HistoryFile(str(tmp_path / "u2" / fixtures.PROFILE_PATH["firefox"]), "firefox", wal=True)
+    for row in entries(21, 5):
+        out.add(*row)
+    out.close()
+    logged = tmp_path / "u3" / fixtures.PROFILE_PATH["safari"]
+    history(logged, "safari", entries(20, 7))
+    with sqlite3.connect(logged) as db:  # a log that is empty, as its database is closed
+        db.execute("PRAGMA journal_mode=WAL")
+    db.close()
+    torn = tmp_path / "u4" / fixtures.PROFILE_PATH["firefox"]
+    torn.parent.mkdir(parents=True)
+    torn.write_bytes(b"SQLite format 3\0 torn")
+    return tmp_path
+
+
+def test_files_are_read_through_hadoop(spark, landing, tmp_path, monkeypatch):
+    from visitlake.sources import hadoop_files
+    from visitlake.sources.staging import Staging
+
+    rows = hadoop_files.read_landing(spark, Staging(spark, "t"), [f"file://{landing}/*"])
+    found = normalize.normalize_history(rows)
+    want = [("chrome", *e) for e in entries(40)] + [("firefox", *e) for e in entries(21, 5)]
+    want += [("safari", *e[:3], -1) for e in entries(20, 7)]
+    assert sorted(tuples(found.select("browser", "url", "title", "visit_time", "visit_type"))) == sorted(want)
+    status = {r.data_path.rsplit("/u", 1)[1][0]: r.error for r in rows.filter("url IS NULL").collect()}
+    assert set(status) == set("1234") and [k for k, error in status.items() if error] == ["4"]
+
+    api = History(VisitStore.create(spark, str(tmp_path / "store")), as_of=AS_OF)
+    assert tuples(api.backup_landing([f"file://{landing}/*"]).summary) == [(81, 81, 0, 1)]
+    assert tuples(api.backup_landing(paths=[f"file://{landing}/u1/.config/google-chrome/Default/History"]).summary) == [(40, 0, 40, 0)]
+    assert tuples(api.backup_landing(["file:///none/*"]).summary) == [(0, 0, 0, 0)]
+
+    monkeypatch.setattr(hadoop_files, "MOST_BYTES", 9_000)
+    rows = hadoop_files.read_landing(spark, Staging(spark, "t"), [f"file://{landing}/*"])
+    errors = {r.error for r in rows.filter("error IS NOT NULL").collect()}
+    assert any(e == hadoop_files._TOO_LARGE for e in errors)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from visitlake.functions import ranges
 from visitlake.functions.predicates import in_range
 from visitlake.operators import ingest
-from visitlake.sources import history_files, normalize
+from visitlake.sources import detect, history_files, normalize
 from visitlake.sources.staging import Staging
 from visitlake.sources.store import VisitStore
 
@@ -59,23 +58,23 @@ def backup_files(
     also counts what would be imported.
     """
     spark = store.spark
-    history_files.register(spark)
     accepted = ranges.full_range(as_of, store.zone)
-    options = {
-        "homes": json.dumps(list(homes)),
-        "paths": json.dumps(list(paths)),
-        "start_ms": accepted.start_ms,
-        "end_ms": accepted.end_ms,
-    }
-    if split_bytes is not None:
-        options["split_bytes"] = split_bytes
     if not homes and not paths:
         raise ValueError("nothing to back up: give homes or paths")
-    source = spark.read.format(history_files.FORMAT).options(**options).load()
+    wanted = history_files.Wanted(accepted.start_ms, accepted.end_ms)
+    staging = Staging(spark, "files")
+    source = detect.read_files(spark, staging, homes, paths, wanted, split_bytes)
     if dry_run and not preview:
         rows = normalize.normalize_history(source, keep_status=True)
-        return BackupResult(None, ingest.dry_run_report(rows, accepted))
-    with Staging(spark, "backup") as staging:
+        return BackupResult(None, ingest.dry_run_report(rows, accepted), staging)
+    with staging:
+        return backup_source(store, source, as_of=as_of, dry_run=dry_run)
+
+
+def backup_source(store: VisitStore, source: DataFrame, *, as_of=None, dry_run: bool = False) -> BackupResult:
+    """Back up rows as the ``browser_history`` format or ``hadoop_files`` give them."""
+    accepted = ranges.full_range(as_of, store.zone)
+    with Staging(store.spark, "backup") as staging:
         # Staged at once: reading the files again would cost more than Parquet
         # does, and a file may be replaced while the job runs. The few status
         # rows go to a partition of their own.

@@ -11,13 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from visitlake.functions import ranges
 from visitlake.operators import aggregates, ingest, search
-from visitlake.plans.backup import BackupResult, backup_files, backup_visits
+from visitlake.plans.backup import BackupResult, backup_files, backup_source, backup_visits
 from visitlake.plans.compaction import compact
 from visitlake.plans.dashboard import Dashboard, dashboard
 from visitlake.sources.detect import list_history_files
 from visitlake.sources.export import export_csv
+from visitlake.sources.hadoop_files import read_landing
+from visitlake.sources.staging import Staging
 from visitlake.sources.store import VisitStore
-from visitlake.streaming.incremental import backup_file_stream, backup_visit_stream
+from visitlake.streaming.incremental import backup_file_stream, backup_history_stream, backup_visit_stream
 
 
 class History:
@@ -45,6 +47,16 @@ class History:
     def stream_files(self, landing: str, checkpoint: str, **options) -> StreamingQuery:
         return backup_file_stream(self.store, landing, checkpoint, as_of=self.as_of, **options)
 
+    def stream_history(self, landing: str, checkpoint: str, **options) -> StreamingQuery:
+        """Back up history files below a folder whenever they land or change."""
+        return backup_history_stream(self.store, landing, checkpoint, as_of=self.as_of, **options)
+
+    def backup_landing(self, homes: Sequence[str] = (), paths: Sequence[str] = (), **options) -> BackupResult:
+        """Back up history files from any file system that Spark reads, by URIs."""
+        with Staging(self.store.spark, "landing") as staging:
+            source = read_landing(self.store.spark, staging, homes, paths)
+            return backup_source(self.store, source, as_of=self.as_of, **options)
+
     def search(
         self,
         start: str | None = None,

@@ -106,11 +106,6 @@ def normalize_landed(
 def normalize_history(raw: DataFrame, keep_status: bool = False) -> DataFrame:
     """Rows of the ``browser_history`` format to normalised visits; with
     ``keep_status`` also the status rows of files, and their error."""
-    time = (
-        F.when(F.col("browser") == "chrome", scalars.webkit_to_us(F.col("native_time")))
-        .when(F.col("browser") == "safari", scalars.nsdate_to_us(F.col("native_seconds")))
-        .otherwise(F.col("native_time"))
-    )
     kind = F.when(
         F.col("browser") == "chrome", F.col("native_type").bitwiseAND(F.lit(0xFF))
     ).otherwise(F.col("native_type"))
@@ -118,7 +113,7 @@ def normalize_history(raw: DataFrame, keep_status: bool = False) -> DataFrame:
     return rows.select(
         "url",
         scalars.title_or_blank(F.col("title")).alias("title"),
-        time.alias("visit_time"),
+        "visit_time",
         kind.cast("bigint").alias("visit_type"),
         "browser",
         "data_path",
