@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 from llm_helpers import AWKWARD, table
 from pyspark.sql import functions as F
@@ -19,21 +20,31 @@ def base(text):
     return sorted(out)
 
 
+def allowed(c):
+    shapes = (
+        S.UUID, r"^[+/_=-]*([A-Za-z]+[+/_=-]+)*[A-Za-z]*[0-9]{1,8}[+/_=-]*$",
+        r"^([A-Za-z]+|[0-9]{1,8})([+/_=-]+([A-Za-z]+|[0-9]{1,8}))*[+/_=-]*$",
+    )
+    return any(re.search(p, c) for p in shapes)
+
+
 def entropy(text):
     out = []
     for m in re.finditer(S.CANDIDATE, text):
         c = m[0]
-        if not re.search("[0-9]", c) or not re.search("[A-Za-z]", c) or any(re.search(p, c) for p in S.ALLOWED):
+        if not re.search("[0-9]", c) or not re.search("[A-Za-z]", c) or allowed(c):
             continue
         least = next(t for p, t in S.THRESHOLDS if re.search(p, c))
-        hot = []
-        for i in range(len(c) - S.WINDOW + 1):
-            w = c[i : i + S.WINDOW]
-            bits = -sum(w.count(x) / len(w) * math.log2(w.count(x) / len(w)) for x in set(w))
-            if round(bits, 6) >= least:
-                hot.append(i)
-        if hot:
-            out.append((m.start() + hot[0], 3, "entropy", m.start() + hot[-1] + S.WINDOW))
+        cuts = [0] + [x for f in re.finditer(S.FRAGMENT, c) for x in f.span()] + [len(c)]
+        for low, high in zip(cuts[::2], cuts[1::2]):
+            hot = []
+            for i in range(low, high - S.WINDOW + 1):
+                w = c[i : i + S.WINDOW]
+                bits = -sum(w.count(x) / len(w) * math.log2(w.count(x) / len(w)) for x in set(w))
+                if round(bits, 6) >= least:
+                    hot.append(i)
+            if hot:
+                out.append((m.start() + hot[0], 3, "entropy", m.start() + hot[-1] + S.WINDOW))
     return out
 
 
@@ -55,6 +66,10 @@ def texts():
                 ][kind]
             )
         out.append(rng.choice([" ", "\n", ""]).join(parts))
+    # A key with a run of one character, cut-out words, and shapes on the edge of the list.
+    blob = "".join(rng.choices(S.ALPHABET, k=900))
+    out += [blob[:300] + "A" * 9 + blob[300:], blob[:40] + "EXAMPLE" + blob[40:60], blob[:25] + "xxxXXXx" + blob[50:65] + "Placeholder1"]
+    out += ["ab-12-" * 40 + "!", "ab-12-" * 40, "-ab-12-" * 9, "one-two-three-four-123456789", "a/b/c/d/e/f/g/h/i/j/k/12", "12-ab-34-cd-56-ef-78-gh", "".join(rng.choices("ab1-_", k=5_000))]
     return out + ["AKIA" + "Z" * 14 + " " + "0123456789abcdef " * 700]
 
 
@@ -95,3 +110,26 @@ def test_redaction_replaces_merged_spans(spark):
 
 def test_empty_table(spark):
     assert S.find_secrets(table(spark, [])).count() == 0
+
+
+def test_a_megabyte_of_anything_takes_seconds(spark):
+    rng = random.Random(8)
+    n = 1 << 20
+    long = {
+        "token": "".join(rng.choices(S.ALPHABET, k=n)),
+        "shape": "ab-12-" * (n // 6) + "!",
+        "shape and end": "ab-12-" * (n // 6) + "c",
+        "hex words": " ".join("%016x" % rng.getrandbits(64) for _ in range(n // 17)),
+        "one letter": "x" * n,
+        "assignments": "token=abcdefgh1234 " * (n // 19),
+        "keywords": "token  " * (n // 7),
+        "uuids": "01234567-89ab-cdef-0123-456789abcdef " * (n // 37),
+        "fragments": "q1example" * (n // 9),
+    }
+    for name, text in long.items():
+        docs = S.find_secrets(table(spark, [(1, text)]))
+        started = time.time()
+        row = docs.select("secret_spans", S.redacted(F.col("text"), F.col("secret_spans"), "").alias("clean")).first()
+        assert time.time() - started < 60, name
+        assert len(row.clean) <= n
+        assert len(row.secret_spans) >= {"token": 1, "hex words": n // 17, "assignments": n // 19}.get(name, 0), name

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visitlake.llm.tables import let
 from visitlake.sources.staging import Staging
 
 FREQUENT = 400_000
@@ -58,11 +59,6 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _symbol(token: int) -> str:
     """A token within a word under work: a character, so that a merge is one change of a string."""
     return chr(_FIRST + token)
@@ -113,9 +109,9 @@ def _merged(table: Column, state: Column) -> Column:
             )
 
         ended = F.struct(word.alias("word"), F.lit("").alias("pairs"))
-        return F.when(least == _NONE, ended).otherwise(_let(F.instr(pairs, least), at))
+        return F.when(least == _NONE, ended).otherwise(let(F.instr(pairs, least), at))
 
-    return F.when(pairs == "", state).otherwise(_let(F.array_min(F.split(pairs, "")), merge))
+    return F.when(pairs == "", state).otherwise(let(F.array_min(F.split(pairs, "")), merge))
 
 
 def _fold(table: Column, symbols: Column) -> Column:
@@ -133,7 +129,7 @@ def _fold(table: Column, symbols: Column) -> Column:
         )
         return F.coalesce(_rank(table, word), folded)
 
-    return _let(symbols, merged)
+    return let(symbols, merged)
 
 
 def word_ids(words: Column, ranks: dict[bytes, int]) -> Column:
@@ -145,7 +141,7 @@ def word_ids(words: Column, ranks: dict[bytes, int]) -> Column:
         symbols = F.translate(F.decode(F.encode(word, "UTF-8"), _LATIN), latin, byte)
         return F.transform(F.split(_fold(table, symbols), ""), lambda x: F.ascii(x) - _FIRST)
 
-    return _let(rank_map(ranks), lambda table: F.transform(words, lambda word: ids(table, word)))
+    return let(rank_map(ranks), lambda table: F.transform(words, lambda word: ids(table, word)))
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -154,7 +150,7 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     for token, rank in ranks.items():
         pieces[rank] = token.decode(_LATIN)
     table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    joined = _let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))
+    joined = let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))
     return F.encode(joined, _LATIN)
 
 
@@ -316,5 +312,5 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, staging: Stag
 
         return F.flatten(F.transform("runs", run))
 
-    ids = F.when(F.size("rare") > 0, _let(word_ids(F.col("rare"), ranks), joined)).otherwise(F.flatten("runs"))
+    ids = F.when(F.size("rare") > 0, let(word_ids(F.col("rare"), ranks), joined)).otherwise(F.flatten("runs"))
     return coded.select("row.*", ids.alias("token_ids"))

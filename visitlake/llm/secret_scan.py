@@ -5,12 +5,17 @@ of a pattern, so each match is set between marks, the text is split at the marks
 (every second piece is then a match), and positions are running sums of lengths.
 
 *Entropy.* Candidates are long runs of token characters with a letter and a
-digit. A window of fixed width slides over each; the counts of its characters,
-and from them the Shannon entropy, are updated for the one that enters and the
+digit. Some shapes are on an allow-list and suppressed whole; fragments such as
+a run of one character are cut out of a candidate, and what is left of it is
+scanned. A window of fixed width slides over each part. Its Shannon entropy is
+updated by the counts, within the window, of the character that enters and the
 one that leaves. The span from the first to the last window whose entropy
-reaches the threshold of the candidate's character class is reported, unless
-the candidate is on the allow-list. All steps stay within a row: nothing is
-shuffled, and no value of any column can make a task large but a long text.
+reaches the threshold of the candidate's character class is reported.
+
+All steps stay within a row: nothing is shuffled, and no value of any column can
+make a task large but a long text. Time grows in proportion to a text's length,
+whatever is in it: arrays that a step looks into are made once per row, and no
+pattern repeats a group, for which Java's matcher would take a stack frame each.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitlake.llm.tables import let
+
 # Patterns by kind, in the order in which kinds are listed, and the
 # least length of the part that counts.
 ASSIGN = (
@@ -34,13 +41,13 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 # Bits per character that a window has to reach, by character class.
 THRESHOLDS = (("^[0-9a-f]+$|^[0-9A-F]+$", 3.0), ("^[A-Z0-9=]+$", 3.6), ("^[A-Za-z0-9]+$", 3.7), ("", 3.8))
-# Candidates that only look random: numbered words, dates and paths, and UUIDs.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[+/_=-]*([A-Za-z]+[+/_=-]+)*[A-Za-z]*[0-9]{1,8}[+/_=-]*$",
-    r"^([A-Za-z]+|[0-9]{1,8})([+/_=-]+([A-Za-z]+|[0-9]{1,8}))*[+/_=-]*$",
-    r"(?i)example|placeholder|x{6}|(.)\1{7}",
-)
+# Candidates that only look random: UUIDs, and by what lies between separators words
+# with a number at the end, or words and numbers with no separator before them.
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+SEPARATORS = "[+/_=-]+"
+WORD, WORD_OR_NUMBER, NUMBERED = "^[A-Za-z]+$", "^([A-Za-z]+|[0-9]{1,8})$", "^[A-Za-z]*[0-9]{1,8}$"
+# Parts of a candidate that are no secret.
+FRAGMENT = r"(?i)example|placeholder|x{6,}|(.)\1{7,}"
 
 # A private-use character that no pattern matches marks the edges of matches;
 # where a text holds it, another of the same kind takes its place.
@@ -53,37 +60,68 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.split(marked, _MARK)
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums of an array, in blocks so that long arrays stay cheap."""
+_INTS = "cast(array() as array<int>)"
 
-    def inner(block: Column) -> Column:
-        empty = F.expr("cast(array() as array<int>)")
-        return F.aggregate(
-            block, empty, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
-        )
 
-    numbers = F.sequence(F.lit(0), F.ceil(F.size(lengths) / _BLOCK).cast("int") - 1)
-    blocks = F.transform(numbers, lambda b: inner(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
-    return F.aggregate(
-        blocks,
-        F.expr("cast(array() as array<int>)"),
-        lambda acc, block: F.concat(
-            acc, F.transform(block, lambda x: x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))
-        ),
-    )
+def _running(numbers: Column, op) -> Column:
+    """Running values of an associative ``op`` over an array of int, by blocks and then
+    blocks of blocks, so that long arrays take linear time."""
+
+    def within(block: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            last = F.try_element_at(acc, F.lit(-1))
+            return F.concat(acc, F.array(F.when(last.isNull(), x).otherwise(op(last, x))))
+
+        return F.aggregate(block, F.expr(_INTS), add)
+
+    def joined(blocks: Column) -> Column:
+        lasts = F.transform(blocks, lambda block: F.element_at(block, -1))
+
+        def shifted(before: Column) -> Column:
+            return F.flatten(
+                F.transform(
+                    blocks,
+                    lambda block, i: F.when(i == 0, block).otherwise(
+                        F.transform(block, lambda x: op(F.get(before, i - 1), x))
+                    ),
+                )
+            )
+
+        return let(within(lasts), shifted)
+
+    def blocked(values: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.ceil(F.size(values) / _BLOCK).cast("int") - 1)
+        blocks = F.transform(starts, lambda b: within(F.slice(values, b * _BLOCK + 1, _BLOCK)))
+        return F.when(F.size(values) > 0, let(blocks, joined)).otherwise(F.expr(_INTS))
+
+    return let(numbers, blocked)
 
 
 _NO_MATCHES = "cast(array() as array<struct<start:int,match:string>>)"
 
 
+def _alternate(pieces: Column, first: int) -> Column:
+    """array<struct<start, match>> of every second piece: from the first match on with
+    ``first`` 2, from what lies before it with 1."""
+
+    def located(parts: Column) -> Column:
+        def placed(ends: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(first), F.size(parts), F.lit(2)),
+                lambda i: F.struct(
+                    F.coalesce(F.get(ends, i - 2), F.lit(0)).alias("start"), F.element_at(parts, i).alias("match")
+                ),
+            )
+
+        ends = _running(F.transform(parts, F.length), lambda a, b: a + b)
+        return F.when(F.size(parts) >= first, let(ends, placed)).otherwise(F.expr(_NO_MATCHES))
+
+    return let(pieces, located)
+
+
 def _matches(pieces: Column) -> Column:
-    """array<struct<start, match>> from alternating pieces, the first outside a match."""
-    ends = _ends(F.transform(pieces, F.length))
-    found = F.transform(
-        F.sequence(F.lit(2), F.size(pieces), F.lit(2)),
-        lambda i: F.struct(F.element_at(ends, i - 1).alias("start"), F.element_at(pieces, i).alias("match")),
-    )
-    return F.when(F.size(pieces) > 1, found).otherwise(F.expr(_NO_MATCHES))
+    """Matches with their places, from alternating pieces, the first outside a match."""
+    return _alternate(pieces, 2)
 
 
 def _span(kind: str, start: Column, end: Column) -> Column:
@@ -101,67 +139,92 @@ def _plogp(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count)).otherwise(0.0)
 
 
-def _hot_windows(match: Column) -> Column:
+def _threshold(match: Column) -> Column:
+    return F.coalesce(*(F.when(match.rlike(p), F.lit(t)) for p, t in THRESHOLDS))
+
+
+def _hot_windows(part: Column, threshold: Column) -> Column:
     """struct<first, last>: starts of the first and last window at or over the threshold; null if none."""
-    chars = F.split(match, "")
-    threshold = F.coalesce(*(F.when(match.rlike(p), F.lit(t)) for p, t in THRESHOLDS))
     start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"),
         F.lit(0.0).alias("total"),  # sum of count * log2(count)
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
     )
 
-    def count(state: Column, at: Column) -> Column:
-        return F.element_at(state["counts"], at)
-
-    def step(state: Column, i: Column) -> Column:
-        enters = F.instr(F.lit(ALPHABET), F.element_at(chars, i))
-        leaves = F.when(i > WINDOW, F.instr(F.lit(ALPHABET), F.element_at(chars, F.greatest(i - WINDOW, F.lit(1)))))
-        same = F.coalesce(enters == leaves, F.lit(False))
-        gained = _plogp(count(state, enters) + 1) - _plogp(count(state, enters))
-        lost = F.when(
-            leaves.isNotNull(),
-            _plogp(count(state, F.coalesce(leaves, F.lit(1)))) - _plogp(count(state, F.coalesce(leaves, F.lit(1))) - 1),
-        ).otherwise(0.0)
-        total = F.when(same, state["total"]).otherwise(state["total"] + gained - lost)
-        counts = F.transform(
-            state["counts"],
-            lambda c, k: c
-            + F.when(k + 1 == enters, 1).otherwise(0)
-            - F.when(F.coalesce(k + 1 == leaves, F.lit(False)), 1).otherwise(0),
-        )
-        # Rounding keeps the order of additions from deciding at the threshold.
-        entropy = F.round(F.lit(math.log2(WINDOW)) - total / WINDOW, 6)
-        hot = (i >= WINDOW) & (entropy >= threshold)
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("total"),
-            F.coalesce(state["first"], F.when(hot, i - WINDOW)).alias("first"),
-            F.coalesce(F.when(hot, i - WINDOW), state["last"]).alias("last"),
+    def scanned(chars: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            """``i``: place of the character that enters, from 1."""
+            leaves = F.get(chars, i - WINDOW - 1)
+            # The window before, less the one that leaves.
+            kept = F.slice(chars, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i - 1, F.lit(WINDOW - 1)))
+
+            def count(x: Column) -> Column:
+                return F.size(F.filter(kept, lambda y: y == x))
+
+            def changed(c_in: Column) -> Column:
+                return _plogp(c_in + 1) - _plogp(c_in)
+
+            lost = F.when(leaves.isNotNull(), let(count(leaves), changed)).otherwise(0.0)
+            total = state["total"] + let(count(F.element_at(chars, i)), changed) - lost
+            return let(total, lambda t: after(state, i, t))
+
+        def after(state: Column, i: Column, total: Column) -> Column:
+            # Rounding keeps the order of additions from deciding at the threshold.
+            entropy = F.round(F.lit(math.log2(WINDOW)) - total / WINDOW, 6)
+            hot = (i >= WINDOW) & (entropy >= threshold)
+            return F.struct(
+                total.alias("total"),
+                F.coalesce(state["first"], F.when(hot, i - WINDOW)).alias("first"),
+                F.coalesce(F.when(hot, i - WINDOW), state["last"]).alias("last"),
+            )
+
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(chars)),
+            start,
+            step,
+            lambda s: F.when(s["first"].isNotNull(), F.struct(s["first"].alias("first"), s["last"].alias("last"))),
         )
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(match)),
-        start,
-        step,
-        lambda s: F.when(s["first"].isNotNull(), F.struct(s["first"].alias("first"), s["last"].alias("last"))),
-    )
+    return let(F.split(part, ""), scanned)
+
+
+def _allowed(match: Column) -> Column:
+    """Whether a candidate has a shape of the allow-list."""
+
+    def shaped(parts: Column) -> Column:
+        words = F.forall(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.rlike(WORD))
+        numbered = words & F.element_at(parts, -1).rlike(NUMBERED)
+        plain = F.forall(parts, lambda p: p.rlike(WORD_OR_NUMBER)) & ~match.rlike("^" + SEPARATORS)
+        return (F.size(parts) > 0) & (numbered | plain)
+
+    return match.rlike(UUID) | let(F.filter(F.split(match, SEPARATORS), lambda p: p != ""), shaped)
 
 
 def _entropy_spans(text: Column) -> Column:
     candidates = F.filter(
         _matches(_pieces(text, CANDIDATE)),
-        lambda m: m["match"].rlike("[0-9]")
-        & m["match"].rlike("[A-Za-z]")
-        & ~F.coalesce(*(F.when(m["match"].rlike(p), F.lit(True)) for p in ALLOWED), F.lit(False)),
-    )
-    hot = F.transform(candidates, lambda m: F.struct(m["start"].alias("start"), _hot_windows(m["match"]).alias("hot")))
-    return F.transform(
-        F.filter(hot, lambda m: m["hot"].isNotNull()),
-        lambda m: _span("entropy", m["start"] + m["hot"]["first"], m["start"] + m["hot"]["last"] + WINDOW),
+        lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]") & ~_allowed(m["match"]),
     )
 
+    def spans(m: Column) -> Column:
+        parts = F.filter(_alternate(_pieces(m["match"], FRAGMENT), 1), lambda p: F.length(p["match"]) >= WINDOW)
+
+        def scanned(threshold: Column) -> Column:
+            hot = F.transform(
+                parts,
+                lambda p: F.struct(
+                    (m["start"] + p["start"]).alias("start"), _hot_windows(p["match"], threshold).alias("hot")
+                ),
+            )
+            return F.transform(
+                F.filter(hot, lambda p: p["hot"].isNotNull()),
+                lambda p: _span("entropy", p["start"] + p["hot"]["first"], p["start"] + p["hot"]["last"] + WINDOW),
+            )
+
+        return let(_threshold(m["match"]), scanned)
+
+    return F.flatten(F.transform(candidates, spans))
+
 
 def span_list(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
@@ -175,7 +238,8 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     the entropy spans, both array<struct<start, rank, kind, end>> in code points,
     sorted by start, then kind; columns of these names are replaced. Spans of
     different kinds may overlap. A null or empty text has none. Rows are taken
-    one by one: repeats and ties have no influence.
+    one by one: repeats and ties have no influence. A text, a token or a number of
+    matches of any size takes time in proportion.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(
@@ -196,30 +260,22 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
-    """The text with every span, overlapping ones as one, replaced by a mask."""
-    merged = F.aggregate(
-        spans,
-        F.expr("cast(array() as array<struct<low:int,high:int>>)"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["high"] >= s["start"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(acc, -1)["low"].alias("low"),
-                        F.greatest(F.element_at(acc, -1)["high"], s["end"]).alias("high"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("low"), s["end"].alias("high"))))),
-    )
-    parts = F.transform(
-        F.sequence(F.lit(0), F.size(merged)),
-        lambda i: F.substring(
-            text,
-            F.coalesce(F.try_element_at(merged, F.greatest(i, F.lit(1)))["high"] * (i > 0).cast("int"), F.lit(0)) + 1,
-            F.coalesce(F.try_element_at(merged, i + 1)["low"], F.length(text))
-            - F.coalesce(F.try_element_at(merged, F.greatest(i, F.lit(1)))["high"] * (i > 0).cast("int"), F.lit(0)),
-        ),
-    )
-    return F.when(F.size(spans) > 0, F.array_join(parts, mask)).otherwise(text)
+    """The text with every span, overlapping and touching ones as one, replaced by a mask."""
+
+    def cut(chars: Column) -> Column:
+        def parted(ends: Column) -> Column:
+            # What lies before each span that starts after all earlier ones have ended.
+            before = F.transform(
+                spans, lambda s, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("low"), s["start"].alias("high"), i.alias("i"))
+            )
+            gaps = F.filter(before, lambda g: (g["i"] == 0) | (g["high"] > g["low"]))
+            tail = F.struct(F.element_at(ends, -1).alias("low"), F.size(chars).alias("high"), F.lit(0).alias("i"))
+            parts = F.transform(
+                F.concat(gaps, F.array(tail)),
+                lambda g: F.array_join(F.slice(chars, g["low"] + 1, F.greatest(g["high"] - g["low"], F.lit(0))), ""),
+            )
+            return F.array_join(parts, mask)
+
+        return let(_running(F.transform(spans, lambda s: s["end"]), F.greatest), parted)
+
+    return F.when(F.size(spans) > 0, let(F.split(text, ""), cut)).otherwise(text)

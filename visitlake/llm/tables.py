@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlake.sources.staging import Staging
@@ -15,6 +15,11 @@ MAX_BROADCAST_ROWS = 400_000
 MARK_BITS = 1 << 26
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once per row, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
