@@ -47,6 +47,20 @@ def data(spark):
     return table(spark, rows), labels(spark, toxic, good), rows, toxic, good
 
 
+def test_weights_do_not_depend_on_the_number_of_tasks(spark, data, monkeypatch):
+    docs, given, _, _, _ = data
+    monkeypatch.setattr(T, "SHARD_ROWS", 100)
+    sample = T.labelled_sample(docs, given, "toxic", F.lit(True), 10_000).cache()
+    frame, models = type(sample), []
+    deal = frame.repartition
+    for tasks in (None, 1, 50):
+        monkeypatch.setattr(frame, "repartition", lambda self, n, *by: deal(self, tasks or n, *by))
+        models.append(T.train(sample))
+    for slots, weights in models[1:]:
+        assert np.array_equal(slots, models[0][0]) and np.allclose(weights, models[0][1], atol=1e-4)
+    assert len(models[0][0]) > 5
+
+
 def test_held_out_toxicity(data):
     docs, given, rows, toxic, _ = data
     found = T.toxicity(docs, given, F.col("doc_id") % 5 != 0).collect()

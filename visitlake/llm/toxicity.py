@@ -89,23 +89,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable, lim
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
-def _train_shard(start, dims: int):
+def _train_shards(start, dims: int):
+    """Rows that come shard by shard to one state per shard, in pieces. How many shards a
+    task gets, and how many tasks there are, has no influence."""
+
+    def fresh() -> State:
+        return State(start.value.z.astype(float), start.value.n.astype(float))
+
+    def in_pieces(state: State) -> pa.RecordBatch:
+        pieces = [np.array_split(x.astype(np.float32), PIECES) for x in (state.z, state.n)]
+        arrays = [pa.array(range(PIECES), pa.int32()), pa.array([1] * PIECES, pa.int32())]
+        arrays += [pa.array([x.tobytes() for x in own], pa.binary()) for own in pieces]
+        return pa.RecordBatch.from_arrays(arrays, schema=_PIECE)
+
     def run(batches):
-        state = State(start.value.z.astype(float), start.value.n.astype(float))
+        state, shard = None, None
         for batch in batches:
             for rows, data, offsets in words.chunks(batch):
                 slots, row, count = slots_of(data, offsets)
                 order = np.argsort(row, kind="stable")
                 slots, cuts = slots[order], np.searchsorted(row[order], np.arange(count + 1))
-                for i, label in enumerate(rows.column("label").to_pylist()):
-                    own = np.unique(slots[cuts[i] : cuts[i + 1]])
-                    state.learn(np.append(own, dims), label)
-        pieces = [np.array_split(x.astype(np.float32), PIECES) for x in (state.z, state.n)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(PIECES), pa.int32())]
-            + [pa.array([x.tobytes() for x in own], pa.binary()) for own in pieces],
-            ["piece", "z", "n"],
-        )
+                for i, (label, own) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("label", "shard")))):
+                    if state is None or own != shard:
+                        if state is not None:
+                            yield in_pieces(state)
+                        state, shard = fresh(), own
+                    state.learn(np.append(np.unique(slots[cuts[i] : cuts[i + 1]]), dims), label)
+        if state is not None:
+            yield in_pieces(state)
 
     return run
 
@@ -116,29 +127,31 @@ def _summed(pieces: pa.Table) -> pa.Table:
         np.sum([np.frombuffer(x, np.float32) for x in pieces.column(c).to_pylist()], axis=0, dtype=np.float32)
         for c in ("z", "n")
     ]
-    return pa.table([pieces.column("piece")[:1], *(pa.array([t.tobytes()], pa.binary()) for t in total)], _PIECE)
+    held = pa.array([sum(pieces.column("shards").to_pylist())], pa.int32())
+    return pa.table([pieces.column("piece")[:1], held, *(pa.array([t.tobytes()], pa.binary()) for t in total)], _PIECE)
 
 
-_PIECE = pa.schema([("piece", pa.int32()), ("z", pa.binary()), ("n", pa.binary())])
+_PIECE = pa.schema([("piece", pa.int32()), ("shards", pa.int32()), ("z", pa.binary()), ("n", pa.binary())])
 
 
 def train(sample: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero weights as (slots, weights); the slot DIMS is the bias. Empty without rows."""
     context = sample.sparkSession.sparkContext
     shards = max(1, min(SHARDS, sample.count() // SHARD_ROWS))
-    dealt = sample.select("text", "label", F.xxhash64("doc_id", F.lit(2)).alias("turn"))
-    dealt = dealt.repartition(shards, "turn").sortWithinPartitions("turn").select("text", "label")
+    turn = F.xxhash64("doc_id", F.lit(2))
+    dealt = sample.select("text", "label", turn.alias("turn"), F.pmod(turn, F.lit(shards)).cast("int").alias("shard"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "turn").select("text", "label", "shard")
     state = State.empty()
     for _ in range(rounds):
         shared = context.broadcast(State(state.z.astype(np.float32), state.n.astype(np.float32)))
         state = State.empty()
-        layout = "piece int, z binary, n binary"
-        trained = dealt.mapInArrow(_train_shard(shared, DIMS), layout)
+        layout = "piece int, shards int, z binary, n binary"
+        trained = dealt.mapInArrow(_train_shards(shared, DIMS), layout)
         rows = sorted(trained.groupBy("piece").applyInArrow(_summed, layout).collect())
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
         state.z, state.n = (
-            np.concatenate([np.frombuffer(r[c], np.float32) for r in rows]).astype(float) / shards for c in ("z", "n")
+            np.concatenate([np.frombuffer(r[c], np.float32) / r["shards"] for r in rows]).astype(float) for c in ("z", "n")
         )
         shared.unpersist()
     w = state.weights()
