@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from visitlake import fixtures  # noqa: E402
 from visitlake.functions import ranges, scalars  # noqa: E402
 from visitlake.functions.ranges import TimeRange  # noqa: E402
-from visitlake.operators import aggregates, ingest, search  # noqa: E402
+from visitlake.operators import aggregates, ingest, rollups, search  # noqa: E402
 from visitlake.plans import backup  # noqa: E402
 from visitlake.plans.compaction import compact  # noqa: E402
 from visitlake.plans.dashboard import dashboard  # noqa: E402
@@ -604,6 +604,38 @@ def streaming_backup(spark, sf):
     return store.visits()
 
 
+def _store_with_figures(spark, sf) -> VisitStore:
+    """A store of overlapping backups, compacted between them."""
+    store = _new_store(spark)
+    found = fixtures.found_visits(spark, sf).withColumn("title", scalars.title_or_blank(F.col("title")))
+    backup.backup_visits(store, found.filter(F.col("visit_time") < SPLIT_MS * 1000), as_of=AS_OF)
+    compact(store)
+    backup.backup_visits(store, found, as_of=AS_OF)
+    return store
+
+
+@_query(ORACLES["daily_counts"])
+def daily_counts_rolled(spark, sf):
+    """Daily counts from the figures that backups keep."""
+    store = _store_with_figures(spark, sf)
+    return rollups.daily_counts(store.rollups(), store.visits(), MONTH)
+
+
+@_query(f"""{V} SELECT count(*) FILTER ({_within(WEEK)}) AS total_visits,
+  count(DISTINCT {DAY}) FILTER ({_within(WEEK)}) AS active_days,
+  count(*) FILTER ({_within(TODAY)}) AS today_visits, true AS urls_close, true AS domains_close FROM v""")
+def kpi_stats_rolled(spark, sf):
+    """Key figures from these; distinct values within five per cent of the exact ones."""
+    store = _store_with_figures(spark, sf)
+    rolled = rollups.kpi_stats(store.rollups(), store.visits(), WEEK, TODAY)
+    exact = aggregates.kpi_stats(store.visits(), WEEK, TODAY, with_domains=True).first()
+
+    def close(name: str):
+        return (F.abs(F.col(name) - exact[name]) <= 0.05 * exact[name]).alias(name.removeprefix("unique_") + "_close")
+
+    return rolled.select("total_visits", "active_days", "today_visits", close("unique_urls"), close("unique_domains"))
+
+
 @_query("SELECT true AS has_bytes, true AS is_sum_of_files FROM (SELECT count(*) FROM events)")
 def store_size(spark, sf):
     """Size of a written store against the lengths of its files, as Spark lists them."""

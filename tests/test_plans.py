@@ -261,7 +261,7 @@ def test_landed_range_stays_on_the_raw_column(spark):
 def test_no_cross_join_and_no_python_in_the_queries(spark):
     import __spark_entry__ as entry
 
-    jobs = re.compile(r"backup|streaming|history_(file|wal)_scan|stored_status|compacted|detected|op\d+_|pipeline$")
+    jobs = re.compile(r"backup|streaming|history_\w+_scan|stored_status|compacted|detected|op\d+_|pipeline$")
     for name, query in entry.queries().items():
         if jobs.match(name):
             continue

@@ -156,7 +156,8 @@ def _run(
     """``n_rows``: an upper bound of the rows, if known."""
     found = ingest.accepted_visits(found, accepted)
     profile = staging.write(ingest.profile_found(found), "profile")
-    stored = stored_on(store, batch_days(profile))
+    days = batch_days(profile)
+    stored = stored_on(store, days)
     new = ingest.drop_stored_visits(ingest.dedup_visits(found), stored, n_rows, found, staging)
     new, n_new = staging.write_measured(new, "new", F.count(F.lit(1)))
     report = ingest.file_report(files, profile, new)
@@ -164,12 +165,16 @@ def _run(
         staging.kept = True
         return BackupResult(None, report, staging)
 
+    store.repair_rollups()
     run_seq = store.next_run_seq()
     if n_new:
         titles = ingest.resolve_titles(ingest.first_titles(new), store.url_index(), n_new)
         titles = staging.write(titles, "titles")
         store.append_urls(titles.filter("is_new"))
+        note = store.note_days(days)
         store.append_visits(ingest.apply_titles(new, titles))
+        store.append_rollups(new, run_seq)
+        store.drop_note(note)
     store.append_runs(report.withColumn("run_seq", F.lit(run_seq).cast("bigint")))
     written = store.import_runs().filter(F.col("run_seq") == run_seq)
     return BackupResult(run_seq, written.drop("run_seq"))

@@ -16,6 +16,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from visitlake.operators import rollups
 from visitlake.sources.staging import delete_folder, folder_bytes, folder_exists, folder_names, make_folder, read_text, write_text
 from visitlake.sources.store import BUCKET_BYTES, Generation, VisitStore
 
@@ -35,11 +36,15 @@ def compact(store: VisitStore, days: Sequence[date] | None = None) -> None:
     work = f"{store.path}/{FOLDER}/{uuid.uuid4().hex}"
     rows = store.visits().filter(F.col(DAY).isin(list(chosen)))
     store.write_visits(rows, f"{work}/visits")
-    after = [_next_generation(store, name) for name in ("urls", "import_runs")]
+    after = [_next_generation(store, name) for name in ("urls", "import_runs", "rollups")]
     # Read as plain files: Spark drops a repartition that buckets seem to make needless,
     # and then the buckets.
     store.write_urls(store.read_table("urls", f"{store.path}/{store.generation('urls').folder}"), after[0])
-    store.write_runs(store.import_runs().hint("rebalance"), after[1])
+    store.write_small(store.import_runs().hint("rebalance"), after[1])
+    days_figures = rollups.merged(store.rollups()).withColumns(
+        {"seq": F.lit(store.snapshot_seq()).cast("bigint"), "snapshot": F.lit(True)}
+    )
+    store.write_small(days_figures.hint("rebalance"), after[2])
     ready = {"days": [d.isoformat() for d in chosen], "pointers": [g.pointer for g in after]}
     write_text(store.spark, f"{work}/{READY}", json.dumps(ready))
     _put_in_place(store, work)

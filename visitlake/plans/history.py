@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from visitlake.functions import ranges
-from visitlake.operators import aggregates, ingest, search
+from visitlake.operators import aggregates, ingest, rollups, search
 from visitlake.plans.backup import BackupResult, backup_files, backup_source, backup_visits
 from visitlake.plans.compaction import compact
 from visitlake.plans.dashboard import Dashboard, dashboard
@@ -97,6 +97,15 @@ class History:
             edges=self.store.edge_visits(),
         )
 
+    def daily(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Visits per day, from the figures that backups keep."""
+        return rollups.daily_counts(self.store.rollups(), self.store.visits(), self._range(start, end))
+
+    def key_figures(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Key figures from these; distinct counts are estimates."""
+        today = ranges.today_range(self.as_of, self.store.zone)
+        return rollups.kpi_stats(self.store.rollups(), self.store.visits(), self._range(start, end), today)
+
     def status(self) -> DataFrame:
         """One row: totals, first and last visit, files, and the store's path and size."""
         status = aggregates.store_status(

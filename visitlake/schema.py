@@ -64,3 +64,14 @@ IMPORT_RUNS = _struct(
     ("last_import", T.LongType()),
     ("error", T.StringType()),
 )
+
+# What ``operators.rollups`` keeps of each day; the sketches are in its row with quarter -1.
+ROLLUPS = _struct(
+    ("visit_day", T.DateType()),
+    ("quarter", T.IntegerType()),
+    ("n_visits", T.LongType()),
+    ("urls", T.BinaryType()),
+    ("domains", T.BinaryType()),
+    ("seq", T.LongType()),
+    ("snapshot", T.BooleanType()),
+)

@@ -1,13 +1,15 @@
-"""The visit store: three Parquet tables below one folder.
+"""The visit store: four Parquet tables below one folder.
 
 ``visits``       fact, partitioned by UTC day, sorted by time inside a day
 ``urls``         one row per url with its first title, in buckets by the url's hash
 ``import_runs``  append-only: what each run did with each file
+``rollups``      append-only: figures per day of what each run has stored
 
-There is one writer at a time. Appends go urls, visits, runs; each step is
-idempotent, so a run that died half-way is repaired by running it again.
+There is one writer at a time. Appends go urls, visits, rollups, runs. Urls and visits
+are not appended twice, so a run that died half-way is repaired by running it again; days
+whose rollups it may not have written are noted before and counted anew by the next run.
 
-The two smaller tables have generations, each in a folder of its own. An empty file in
+The smaller tables have generations, each in a folder of its own. An empty file in
 ``_tables`` names the current one, e.g. ``urls.3.64`` for the folder ``urls-3`` with 64
 buckets. Compaction writes the next generation beside it and then that file, so a reader
 sees one or the other; the generation before stays until the next compaction.
@@ -16,6 +18,8 @@ sees one or the other; the generation before stays until the next compaction.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from dataclasses import dataclass
 from datetime import date
 
@@ -25,14 +29,25 @@ from pyspark.sql.types import StructType
 
 from visitlake import schema
 from visitlake.functions import ranges, scalars
-from visitlake.sources.staging import delete_folder, folder_bytes, folder_names, make_folder, write_text
+from visitlake.operators import rollups
+from visitlake.sources.staging import (
+    delete_folder,
+    folder_bytes,
+    folder_exists,
+    folder_names,
+    make_folder,
+    read_text,
+    write_text,
+)
 
 TABLES = {
     "visits": schema.VISITS,
     "urls": schema.URLS,
     "import_runs": schema.IMPORT_RUNS,
+    "rollups": schema.ROLLUPS,
 }
 POINTERS = "_tables"
+LAGGING = "_lagging"
 # Buckets of ``urls`` in a new store. Compaction doubles their number while one holds more
 # bytes than this.
 URL_BUCKETS, BUCKET_BYTES = 16, 128 << 20
@@ -78,7 +93,7 @@ class VisitStore:
         make_folder(spark, f"{store.path}/visits")
         make_folder(spark, f"{store.path}/{POINTERS}")
         there = {generation.table for generation in store.generations()}
-        for name, buckets in (("urls", url_buckets), ("import_runs", 0)):
+        for name, buckets in (("urls", url_buckets), ("import_runs", 0), ("rollups", 0)):
             if name not in there:
                 first = Generation(name, 0, buckets)
                 make_folder(spark, f"{store.path}/{first.folder}")
@@ -212,9 +227,49 @@ class VisitStore:
             writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.parquet(path or self._table("visits"), compression=COMPRESSION)
 
-    def write_runs(self, runs: DataFrame, generation: Generation) -> None:
+    def write_small(self, rows: DataFrame, generation: Generation) -> None:
+        """Append to a generation of ``import_runs`` or ``rollups``."""
         place = f"{self.path}/{generation.folder}"
-        runs.select(*schema.IMPORT_RUNS.names).write.mode("append").parquet(place, compression=COMPRESSION)
+        rows.select(*TABLES[generation.table].names).write.mode("append").parquet(place, compression=COMPRESSION)
 
     def append_runs(self, report: DataFrame) -> None:
-        self.write_runs(report, self.generation("import_runs"))
+        self.write_small(report, self.generation("import_runs"))
+
+    # --- rollups ---
+
+    def rollups(self) -> DataFrame:
+        return self.read_table("rollups")
+
+    def append_rollups(self, visits: DataFrame, run_seq: int) -> None:
+        """Figures of visits that a run has newly stored."""
+        rows = rollups.figures(visits).withColumn("seq", F.lit(2 * run_seq).cast("bigint"))
+        self.write_small(rows.withColumn("snapshot", F.lit(False)).coalesce(1), self.generation("rollups"))
+
+    def snapshot_seq(self) -> int:
+        """Between the last run and the next one."""
+        return 2 * self.next_run_seq() - 1
+
+    def note_days(self, days: list[date]) -> str:
+        """Notes days whose rollups are about to lag behind; gives the note's name."""
+        make_folder(self.spark, f"{self.path}/{LAGGING}")
+        note = uuid.uuid4().hex
+        write_text(self.spark, f"{self.path}/{LAGGING}/{note}", json.dumps([day.isoformat() for day in days]))
+        return note
+
+    def drop_note(self, note: str) -> None:
+        delete_folder(self.spark, f"{self.path}/{LAGGING}/{note}")
+
+    def repair_rollups(self) -> None:
+        """Counts the noted days anew. Only a run that died leaves notes."""
+        if not folder_exists(self.spark, f"{self.path}/{LAGGING}"):
+            return
+        notes = [name for name in folder_names(self.spark, f"{self.path}/{LAGGING}") if not name.endswith(".part")]
+        if not notes:
+            return
+        read = (json.loads(read_text(self.spark, f"{self.path}/{LAGGING}/{note}")) for note in notes)
+        days = sorted({date.fromisoformat(day) for note in read for day in note})
+        rows = rollups.figures(self.visits().filter(F.col("visit_day").isin(days)))
+        rows = rows.withColumns({"seq": F.lit(self.snapshot_seq()).cast("bigint"), "snapshot": F.lit(True)})
+        self.write_small(rows.coalesce(1), self.generation("rollups"))
+        for note in notes:
+            self.drop_note(note)
