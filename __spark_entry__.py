@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from visitlake import fixtures  # noqa: E402
 from visitlake.functions import ranges, scalars  # noqa: E402
 from visitlake.functions.ranges import TimeRange  # noqa: E402
-from visitlake.operators import aggregates, ingest, rollups, search  # noqa: E402
+from visitlake.operators import aggregates, ingest, paging, rollups, search  # noqa: E402
 from visitlake.plans import backup  # noqa: E402
 from visitlake.plans.compaction import compact  # noqa: E402
 from visitlake.plans.dashboard import dashboard  # noqa: E402
@@ -604,6 +604,44 @@ def streaming_backup(spark, sf):
     return store.visits()
 
 
+def _searched(store: VisitStore) -> DataFrame:
+    rows = store.visits().filter(F.lit(False))
+    columns = ["url", "title", "visit_time", "visit_type"]
+    days = store.visit_days()
+
+    def fetch(cursor):
+        return paging.search_page(lambda some: store.visits_matching(some, None), days, MONTH, after=cursor, size=5_000)
+
+    for page in paging.pages(fetch):
+        found = [tuple(row[c] for c in columns) for row in page.rows]
+        part = store.spark.createDataFrame(found, rows.select(*columns).schema)
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.select("url", "title", scalars.us_to_ms(F.col("visit_time")).alias("visit_ms"), "visit_type")
+
+
+_FIRST_TITLES = V + """, f AS (SELECT url, min_by(coalesce(title, ''), (file_seq, visit_time, src_row)) AS title FROM v GROUP BY url),
+s AS (SELECT v.url, f.title, visit_time, visit_type FROM v JOIN f USING (url))"""
+
+
+@_query(f"""{_FIRST_TITLES} SELECT url, title, visit_time // 1000 AS visit_ms, visit_type FROM s
+WHERE {_within(MONTH)}""")
+def search_paged(spark, sf):
+    """All pages of a month, one after the other."""
+    store = _new_store(spark)
+    backup.backup_visits(store, fixtures.found_visits(spark, sf).withColumn("title", scalars.title_or_blank(F.col("title"))), as_of=AS_OF)
+    return _searched(store)
+
+
+@_query(f"""{_FIRST_TITLES} SELECT url, title, visit_time // 1000 AS visit_ms, visit_type FROM s
+WHERE {_within(MONTH)} AND {_like(KEYWORD)}""")
+def search_keyword_indexed(spark, sf):
+    """A search that reads only files whose trigrams allow the keyword."""
+    store = _new_store(spark)
+    backup.backup_visits(store, fixtures.found_visits(spark, sf).withColumn("title", scalars.title_or_blank(F.col("title"))), as_of=AS_OF)
+    store.index_keywords()
+    return search.search_visits(store.visits_matching(MONTH, KEYWORD), MONTH, KEYWORD)
+
+
 def _store_with_figures(spark, sf) -> VisitStore:
     """A store of overlapping backups, compacted between them."""
     store = _new_store(spark)

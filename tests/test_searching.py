@@ -1,0 +1,113 @@
+"""Pages and the keyword index give the rows of a plain search and read less."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from helpers import DAY_US, NOON, found, scanned, tuples
+from test_ingest import rows_of
+from visitlake.functions import ranges as R
+from visitlake.operators import paging, search, trigrams
+from visitlake.plans import compaction
+from visitlake.plans.backup import backup_visits
+from visitlake.plans.history import History
+from visitlake.sources.store import VisitStore
+
+AS_OF = "2024-01-30"
+UTC = R.zone("UTC")
+SPAN = R.resolve_range("2024-01-01", "2024-01-30", AS_OF, UTC)
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    store = VisitStore.create(spark, str(tmp_path_factory.mktemp("store")))
+    rng, rows = random.Random(2), []
+    for day in range(12):
+        for i in range(40):
+            host = f"Day{day}.example" if i % 4 else "shared.example"
+            title = rng.choice([f"Title {day}", "", "Überblick", "a\u0130b"])
+            rows.append((f"http://{host}/p{i}", title, NOON + (day - 6) * DAY_US + rng.randrange(9) * 1000, 1))
+    backup_visits(store, found(spark, rows_of(0, "/f", rows)), as_of=AS_OF)
+    store.index_keywords()
+    return store
+
+
+KEYWORDS = [None, "day3.example", "DAY1", "Day1", "shared", "title 7", "no such thing", "ay1_.ex", "day%p7", "_b", "%%", "Überb", "überb", "aİb", "p3"]
+
+
+@pytest.mark.parametrize("case", [False, True])
+def test_the_index_changes_no_result(store, case):
+    for keyword in KEYWORDS:
+        plain = search.search_visits(store.visits(), SPAN, keyword, case_sensitive=case)
+        pruned = search.search_visits(store.visits_matching(SPAN, keyword), SPAN, keyword, case_sensitive=case)
+        assert tuples(pruned) == tuples(plain), keyword
+
+
+def test_files_without_the_keyword_are_not_read(store):
+    every = len(store.visits().inputFiles())
+    assert every == 12
+    for keyword, files in (("day3.example", 1), ("shared.ex", 12), ("no such thing", 0), ("y3_e", 12), ("%day3%", 1)):
+        assert len(store.visits_matching(SPAN, keyword).inputFiles()) == files or files == 0, keyword
+        assert scanned(search.search_visits(store.visits_matching(SPAN, keyword), SPAN, keyword)) == files, keyword
+    days = store.visit_days()[:2]
+    assert {r.visit_day for r in store.visits_matching(days, "day1").collect()} <= set(days)
+
+
+def test_files_that_are_not_indexed_are_read(spark, store, tmp_path):
+    other = VisitStore.create(spark, str(tmp_path))
+    for run in range(2):
+        rows = [(f"http://run{run}.example/{i}", "t", NOON + run * 9 + i * 1000, 1) for i in range(5)]
+        backup_visits(other, found(spark, rows_of(run, f"/f{run}", rows)), as_of=AS_OF)
+        if run == 0:
+            other.index_keywords()
+    assert History(other, as_of=AS_OF).search(keyword="run1.ex").count() == 5
+    assert len(other.visits_matching(SPAN, "nothing").inputFiles()) == 1
+    compaction.compact(other)
+    assert other.read_table("trigrams").select("file").distinct().count() == len(other.visits().inputFiles()) == 1
+    assert History(other, as_of=AS_OF).search(keyword="run1.ex").count() == 5
+    assert other.visits_matching(SPAN, "nothing").count() == 0
+
+
+def test_trigrams_stay_within_values():
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "visit_day": pa.array([None] * 4, pa.date32()), "file": ["f", "g", "f", "f"],
+            "url": ["abc", "xyz", "de", None], "title": ["", None, "fgh", "ABx"],
+        }
+    )
+    entries = {b.column(1)[0].as_py(): np.array(b.column(2)[0].as_py()) for b in trigrams.entries([batch])}
+    held = {f: {i for i in range(trigrams.BITS) if w[i // 64] >> (i % 64) & 1} for f, w in entries.items()}
+    want = {t: trigrams.keyword_bits(t)[0] for t in ("abc", "fgh", "abx", "xyz")}
+    assert held == {"f": {want["abc"], want["fgh"], want["abx"]}, "g": {want["xyz"]}}
+    assert trigrams.keyword_bits("ab%cd_e") == [] and len(trigrams.keyword_bits("abcd_xyz")) == 3
+
+
+@pytest.mark.parametrize("keyword", [None, "shared", "day3", "no such thing"])
+def test_pages_add_up_to_the_search(store, keyword):
+    api = History(store, as_of=AS_OF)
+    want = [(r.visit_ms, r.url) for r in api.search("2024-01-01", "2024-01-30", keyword).collect()]
+    for size in (7, 40, 1_000):
+        got = list(paging.pages(lambda cursor: api.page("2024-01-01", "2024-01-30", keyword, after=cursor, size=size)))
+        assert [(r.visit_time // 1000, r.url) for page in got for r in page.rows] == want
+        assert all(len(page.rows) == size for page in got[:-1]) and len(got) == max(1, -(-len(want) // size))
+    for size in (0, paging.MOST_ROWS + 1):
+        with pytest.raises(ValueError):
+            api.page(size=size)
+
+
+def test_the_first_page_reads_one_day(store):
+    read = []
+
+    def visits(days):
+        read.append(list(days))
+        return store.visits_matching(days, None)
+
+    page = paging.search_page(visits, store.visit_days(), SPAN, size=10)
+    assert read == [store.visit_days()[:1]]
+    paging.search_page(visits, store.visit_days(), SPAN, after=page.next, size=10)
+    assert read[1] == store.visit_days()[:1]
+    read.clear()
+    assert paging.search_page(visits, store.visit_days(), SPAN, "no such thing").rows == []
+    assert [len(days) for days in read] == [1, 2, 4, 5]

@@ -84,3 +84,17 @@ def _put_in_place(store: VisitStore, work: str) -> None:
         store.switch_to(Generation.named(pointer))
         store.drop_older(Generation.named(pointer).table)
     delete_folder(store.spark, work)
+    _index_again(store)
+
+
+def _index_again(store: VisitStore) -> None:
+    """The keyword index without files that are gone, and with the new ones."""
+    here = store._below_visits(store.visits().inputFiles())
+    old = store.read_table("trigrams")
+    if old.select("file").distinct().count() > 0:
+        new = _next_generation(store, "trigrams")
+        names = store.spark.createDataFrame([(file,) for file in here], "file string")
+        store.write_small(old.join(names, "file", "left_semi"), new)
+        store.switch_to(new)
+        store.drop_older("trigrams")
+    store.index_keywords()

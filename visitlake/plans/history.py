@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from visitlake.functions import ranges
-from visitlake.operators import aggregates, ingest, rollups, search
+from visitlake.operators import aggregates, ingest, paging, rollups, search
 from visitlake.plans.backup import BackupResult, backup_files, backup_source, backup_visits
 from visitlake.plans.compaction import compact
 from visitlake.plans.dashboard import Dashboard, dashboard
@@ -66,15 +66,41 @@ class History:
         case_sensitive: bool = False,
         limit: int | None = None,
     ) -> DataFrame:
+        span = self._range(start, end)
         return search.search_visits(
-            self.store.visits(),
-            self._range(start, end),
+            self.store.visits_matching(span, keyword),
+            span,
             keyword,
             case_sensitive=case_sensitive,
             limit=limit,
             compat=self.compat,
         )
 
+    def page(
+        self,
+        start: str | None = None,
+        end: str | None = None,
+        keyword: str | None = None,
+        *,
+        case_sensitive: bool = False,
+        after: paging.Cursor | None = None,
+        size: int = 500,
+    ) -> paging.Page:
+        """One page of a search in time order; pass its ``next`` to get the following one."""
+        return paging.search_page(
+            lambda days: self.store.visits_matching(days, keyword),
+            self.store.visit_days(),
+            self._range(start, end),
+            keyword,
+            case_sensitive=case_sensitive,
+            after=after,
+            size=size,
+        )
+
+    def index_keywords(self) -> None:
+        """Let searches skip files that cannot hold their keyword. Compaction does it, too."""
+        self.store.index_keywords()
+
     def details(self, ymd: str, keyword: str | None = None, *, case_sensitive: bool = False) -> DataFrame:
         return search.day_details(self.store.visits(), ymd, self.store.zone, keyword, case_sensitive)
 

@@ -75,3 +75,10 @@ ROLLUPS = _struct(
     ("seq", T.LongType()),
     ("snapshot", T.BooleanType()),
 )
+
+# Bitmaps of ``operators.trigrams``; ``file`` is the path below the store's visits.
+TRIGRAMS = _struct(
+    ("visit_day", T.DateType()),
+    ("file", T.StringType()),
+    ("bits", T.ArrayType(T.LongType())),
+)

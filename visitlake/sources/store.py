@@ -1,9 +1,10 @@
-"""The visit store: four Parquet tables below one folder.
+"""The visit store: five Parquet tables below one folder.
 
 ``visits``       fact, partitioned by UTC day, sorted by time inside a day
 ``urls``         one row per url with its first title, in buckets by the url's hash
 ``import_runs``  append-only: what each run did with each file
 ``rollups``      append-only: figures per day of what each run has stored
+``trigrams``     append-only: what keywords a file of visits may hold
 
 There is one writer at a time. Appends go urls, visits, rollups, runs. Urls and visits
 are not appended twice, so a run that died half-way is repaired by running it again; days
@@ -20,8 +21,10 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +32,8 @@ from pyspark.sql.types import StructType
 
 from visitlake import schema
 from visitlake.functions import ranges, scalars
-from visitlake.operators import rollups
+from visitlake.functions.ranges import TimeRange
+from visitlake.operators import rollups, trigrams
 from visitlake.sources.staging import (
     delete_folder,
     folder_bytes,
@@ -45,6 +49,7 @@ TABLES = {
     "urls": schema.URLS,
     "import_runs": schema.IMPORT_RUNS,
     "rollups": schema.ROLLUPS,
+    "trigrams": schema.TRIGRAMS,
 }
 POINTERS = "_tables"
 LAGGING = "_lagging"
@@ -52,6 +57,9 @@ LAGGING = "_lagging"
 # bytes than this.
 URL_BUCKETS, BUCKET_BYTES = 16, 128 << 20
 
+# Names of files that a search leaves out, some hundred bytes each; it reads the others.
+MOST_SKIPPED = 500_000
+
 # The store is written once and read by every query.
 COMPRESSION = "zstd"
 
@@ -93,7 +101,7 @@ class VisitStore:
         make_folder(spark, f"{store.path}/visits")
         make_folder(spark, f"{store.path}/{POINTERS}")
         there = {generation.table for generation in store.generations()}
-        for name, buckets in (("urls", url_buckets), ("import_runs", 0), ("rollups", 0)):
+        for name, buckets in (("urls", url_buckets), ("import_runs", 0), ("rollups", 0), ("trigrams", 0)):
             if name not in there:
                 first = Generation(name, 0, buckets)
                 make_folder(spark, f"{store.path}/{first.folder}")
@@ -228,13 +236,57 @@ class VisitStore:
         writer.parquet(path or self._table("visits"), compression=COMPRESSION)
 
     def write_small(self, rows: DataFrame, generation: Generation) -> None:
-        """Append to a generation of ``import_runs`` or ``rollups``."""
+        """Append to a generation of a table without buckets."""
         place = f"{self.path}/{generation.folder}"
         rows.select(*TABLES[generation.table].names).write.mode("append").parquet(place, compression=COMPRESSION)
 
     def append_runs(self, report: DataFrame) -> None:
         self.write_small(report, self.generation("import_runs"))
 
+    # --- keywords ---
+
+    def _on(self, days: list[date] | TimeRange):
+        day = F.col("visit_day")
+        return day.between(*days.utc_days) if isinstance(days, TimeRange) else day.isin(days)
+
+    def _below_visits(self, files: Iterable[str]) -> list[str]:
+        """Paths below the folder of visits, as the index has them."""
+        return [unquote(file[file.rindex("visit_day=") :]) for file in files]
+
+    def index_keywords(self) -> None:
+        """Adds the files that the keyword index does not have yet."""
+        place = self._table("visits")
+        known = {row["file"] for row in self.read_table("trigrams").select("file").distinct().collect()}
+        fresh = [f for f in self._below_visits(self.visits().inputFiles()) if f not in known]
+        if fresh:
+            self._write_entries(fresh, place, self.generation("trigrams"))
+
+    def _write_entries(self, files: list[str], place: str, generation: Generation) -> None:
+        rows = self.spark.read.schema(schema.VISITS).option("basePath", place).parquet(*(f"{place}/{f}" for f in files))
+        path = F.col("_metadata.file_path")
+        file = F.url_decode(F.substring(path, F.instr(path, F.lit("visit_day=")), F.length(path)))
+        found = rows.select("visit_day", file.alias("file"), "url", "title").mapInArrow(trigrams.entries, trigrams.ENTRIES)
+        self.write_small(found, generation)
+
+    def visits_matching(self, days: list[date] | TimeRange, keyword: str | None) -> DataFrame:
+        """Visits of some days, without files that cannot hold the keyword."""
+        rows = self.visits().filter(self._on(days))
+        bits = trigrams.keyword_bits(keyword) if keyword else []
+        if not bits:
+            return rows
+        index = self.read_table("trigrams").filter(self._on(days))
+        skipped = trigrams.skippable(index, bits).limit(MOST_SKIPPED).collect()
+        gone = {row["file"] for row in skipped}
+        every = self._below_visits(rows.inputFiles())
+        left = [file for file in every if file not in gone]
+        if len(left) == len(every):
+            return rows
+        place = self._table("visits")
+        if not left:
+            return rows.filter(F.lit(False))
+        read = self.spark.read.schema(schema.VISITS).option("basePath", place)
+        return read.parquet(*(f"{place}/{file}" for file in left)).filter(self._on(days))
+
     # --- rollups ---
 
     def rollups(self) -> DataFrame:
