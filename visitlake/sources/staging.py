@@ -6,6 +6,7 @@ the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -72,6 +73,15 @@ class Staging:
         frame.write.partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def discard(self, *names: str) -> None:
+        """Removes tables that nothing reads any more, and lets Spark do the same with
+        shuffle files: it keeps those of a job until the driver has collected what
+        referred to them, which in a long job can take until its end."""
+        for name in names:
+            delete_folder(self.spark, f"{self.folder}/{name}")
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self) -> None:
         delete_folder(self.spark, self.folder)
 
