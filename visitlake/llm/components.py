@@ -43,6 +43,7 @@ def components(links: DataFrame, staging: Staging, label: str = "cc") -> DataFra
     while True:
         step += 1
         edges = staging.write(_small_star(_large_star(edges)), f"{label}-{step}")
+        staging.discard(f"{label}-{step - 1}")
         # The edges as a set, seen through two order-free sums.
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("max(v)")).first()
         if now == state:
