@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from visitlake import fixtures  # noqa: E402
 from visitlake.functions import ranges, scalars  # noqa: E402
 from visitlake.functions.ranges import TimeRange  # noqa: E402
-from visitlake.operators import aggregates, ingest, paging, rollups, search  # noqa: E402
+from visitlake.operators import aggregates, ingest, paging, rollups, search, toplists  # noqa: E402
 from visitlake.plans import backup  # noqa: E402
 from visitlake.plans.compaction import compact  # noqa: E402
 from visitlake.plans.dashboard import dashboard  # noqa: E402
@@ -642,6 +642,36 @@ def search_keyword_indexed(spark, sf):
     return search.search_visits(store.visits_matching(MONTH, KEYWORD), MONTH, KEYWORD)
 
 
+def _store_with_lists(spark, sf) -> VisitStore:
+    """A store whose first half has top lists per day; the second came later."""
+    store = _new_store(spark)
+    found = fixtures.found_visits(spark, sf).withColumn("title", scalars.title_or_blank(F.col("title")))
+    backup.backup_visits(store, found.filter(F.col("visit_time") < SPLIT_MS * 1000), as_of=AS_OF)
+    store.list_tops()
+    backup.backup_visits(store, found, as_of=AS_OF)
+    return store
+
+
+def _listed(store: VisitStore, kind: str) -> DataFrame:
+    return toplists.top(store.read_table("toplists"), store.rollups(), store.visits(), MONTH, kind, 100)[0]
+
+
+# Titles are those stored first, of the first half month if the url is in it.
+_STORED_TITLES = V + f""", f AS (SELECT url, min_by(coalesce(title, ''), (visit_time >= {SPLIT_MS * 1000}, file_seq, visit_time, src_row)) AS title FROM v GROUP BY url),
+s AS (SELECT v.url, f.title, visit_time FROM v JOIN f USING (url) WHERE {_within(MONTH)} AND f.title != '')"""
+
+
+@_query(f"{_STORED_TITLES} SELECT title, count(*) AS cnt FROM s GROUP BY title ORDER BY cnt DESC, title LIMIT 100")
+def title_top_listed(spark, sf):
+    """Top titles of a month, from lists per day and days read in full."""
+    return _listed(_store_with_lists(spark, sf), "title")
+
+
+@_query(f"{_STORED_TITLES} SELECT {DOMAIN} AS domain, count(*) AS cnt FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+def domain_top_listed(spark, sf):
+    return _listed(_store_with_lists(spark, sf), "domain")
+
+
 def _store_with_figures(spark, sf) -> VisitStore:
     """A store of overlapping backups, compacted between them."""
     store = _new_store(spark)

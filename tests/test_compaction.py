@@ -8,6 +8,7 @@ from visitlake.operators import rollups
 from visitlake.plans import compaction
 from visitlake.plans.backup import backup_visits
 from visitlake.sources import staging
+from visitlake.sources import store as store_module
 from visitlake.sources.store import TABLES, URL_BUCKETS, VisitStore
 
 AS_OF = "2024-01-30"
@@ -53,7 +54,7 @@ def test_readers_keep_the_generation_they_have(spark, store):
     compaction.compact(store)
     assert sorted((g.table, g.number) for g in store.generations()) == [
         ("import_runs", 1), ("import_runs", 2), ("rollups", 1), ("rollups", 2),
-        ("trigrams", 0), ("trigrams", 1), ("urls", 1), ("urls", 2),
+        ("toplists", 0), ("toplists", 1), ("trigrams", 0), ("trigrams", 1), ("urls", 1), ("urls", 2),
     ]
     names = staging.folder_names(spark, store.path)
     assert {n for n in names if n.startswith(("urls", "import"))} == {"urls-1", "urls-2", "import_runs-1", "import_runs-2"}
@@ -62,7 +63,7 @@ def test_readers_keep_the_generation_they_have(spark, store):
 
 def test_buckets_double_with_the_bytes(store, monkeypatch):
     before = content(store)
-    monkeypatch.setattr(compaction, "BUCKET_BYTES", 100)
+    monkeypatch.setattr(store_module, "BUCKET_BYTES", 100)
     compaction.compact(store)
     assert store.generation("urls").buckets > URL_BUCKETS
     assert content(store) == before

@@ -1,0 +1,77 @@
+"""Top lists from lists per day equal those of a scan, on skewed and on flat data."""
+
+import random
+
+import pytest
+
+from helpers import DAY_US, NOON, found, tuples
+from test_ingest import rows_of
+from visitlake.functions import ranges as R
+from visitlake.functions.ranges import TimeRange
+from visitlake.operators import aggregates, toplists
+from visitlake.plans.backup import backup_visits
+from visitlake.plans.history import History
+from visitlake.sources.store import VisitStore
+
+AS_OF = "2024-01-30"
+SPAN = R.resolve_range("2024-01-01", "2024-01-30", AS_OF, R.zone("UTC"))
+
+
+def visits(rng, days, skewed):
+    rows = []
+    for day in days:
+        for _ in range(120):
+            i = int(60 * rng.random() ** (6 if skewed else 1))
+            title = "" if i % 11 == 5 else f"T{i}"
+            rows.append((f"http://d{i % 25}/{i}", title, NOON + day * DAY_US + rng.randrange(10**9), 1))
+    return rows
+
+
+@pytest.fixture(scope="module", params=[True, False])
+def store(spark, request, tmp_path_factory):
+    rng = random.Random(request.param)
+    store = VisitStore.create(spark, str(tmp_path_factory.mktemp("store")))
+    backup_visits(store, found(spark, rows_of(0, "/a", visits(rng, range(-6, 6), request.param))), as_of=AS_OF)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toplists.day_lists, "__defaults__", (20,))
+        store.list_tops()
+    # A day that has changed since, and one that is new.
+    backup_visits(store, found(spark, rows_of(1, "/b", visits(rng, (2, 8), request.param))), as_of=AS_OF)
+    store.skewed = request.param
+    return store
+
+
+def wanted(store, span, kind, k):
+    one = aggregates.top_titles if kind == "title" else aggregates.top_domains
+    return tuples(one(store.visits(), span, None, k))
+
+
+@pytest.mark.parametrize("kind", ["title", "domain"])
+def test_equal_to_a_scan(store, kind):
+    some = [SPAN, TimeRange(SPAN.start_ms + 9 * 86_400_000 + 40_000_000, SPAN.end_ms), TimeRange(5, 6)]
+    for span in some:
+        for k in (1, 5, 30, 100):
+            lists = store.read_table("toplists")
+            got, unread = toplists.top(lists, store.rollups(), store.visits(), span, kind, k)
+            assert got.columns == [kind, "cnt"] and tuples(got) == wanted(store, span, kind, k), (span, k)
+            if span is SPAN and k == 1 and store.skewed:
+                assert len(unread) == 11  # of 13 days: one has changed, one is new
+            if span is SPAN and k == 100 and kind == "title":
+                assert not unread  # fewer names than asked for: every day has to be read
+
+
+def test_lists_are_made_anew_for_days_that_changed(store):
+    before = toplists.valid_days(store.read_table("toplists"), store.rollups(), "title", SPAN)
+    store.list_tops()
+    after = toplists.valid_days(store.read_table("toplists"), store.rollups(), "title", SPAN)
+    assert (len(before), len(after)) == (11, 13)
+    number = store.generation("toplists").number
+    store.list_tops()
+    assert store.generation("toplists").number == number
+    assert tuples(History(store, as_of=AS_OF).top("title", "2024-01-01", "2024-01-30", 7)) == wanted(store, SPAN, "title", 7)
+
+
+def test_an_empty_store(spark, tmp_path):
+    store = VisitStore.create(spark, str(tmp_path))
+    store.list_tops()
+    assert History(store, as_of=AS_OF).top().count() == 0

@@ -17,8 +17,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from visitlake.operators import rollups
-from visitlake.sources.staging import delete_folder, folder_bytes, folder_exists, folder_names, make_folder, read_text, write_text
-from visitlake.sources.store import BUCKET_BYTES, Generation, VisitStore
+from visitlake.sources.staging import delete_folder, folder_exists, folder_names, read_text, write_text
+from visitlake.sources.store import Generation, VisitStore
 
 FOLDER = "_compaction"
 READY = "READY"
@@ -36,7 +36,7 @@ def compact(store: VisitStore, days: Sequence[date] | None = None) -> None:
     work = f"{store.path}/{FOLDER}/{uuid.uuid4().hex}"
     rows = store.visits().filter(F.col(DAY).isin(list(chosen)))
     store.write_visits(rows, f"{work}/visits")
-    after = [_next_generation(store, name) for name in ("urls", "import_runs", "rollups")]
+    after = [store.next_generation(name) for name in ("urls", "import_runs", "rollups")]
     # Read as plain files: Spark drops a repartition that buckets seem to make needless,
     # and then the buckets.
     store.write_urls(store.read_table("urls", f"{store.path}/{store.generation('urls').folder}"), after[0])
@@ -50,18 +50,6 @@ def compact(store: VisitStore, days: Sequence[date] | None = None) -> None:
     _put_in_place(store, work)
 
 
-def _next_generation(store: VisitStore, name: str) -> Generation:
-    now = store.generation(name)
-    buckets = now.buckets
-    while buckets * BUCKET_BYTES < folder_bytes(store.spark, f"{store.path}/{now.folder}") and buckets:
-        buckets *= 2
-    new = Generation(name, now.number + 1, buckets)
-    # What a run that died has left there.
-    delete_folder(store.spark, f"{store.path}/{new.folder}")
-    make_folder(store.spark, f"{store.path}/{new.folder}")
-    return new
-
-
 def recover(store: VisitStore) -> None:
     """Finish compactions that were complete and drop the others."""
     root = f"{store.path}/{FOLDER}"
@@ -85,6 +73,7 @@ def _put_in_place(store: VisitStore, work: str) -> None:
         store.drop_older(Generation.named(pointer).table)
     delete_folder(store.spark, work)
     _index_again(store)
+    store.list_tops()
 
 
 def _index_again(store: VisitStore) -> None:
@@ -92,7 +81,7 @@ def _index_again(store: VisitStore) -> None:
     here = store._below_visits(store.visits().inputFiles())
     old = store.read_table("trigrams")
     if old.select("file").distinct().count() > 0:
-        new = _next_generation(store, "trigrams")
+        new = store.next_generation("trigrams")
         names = store.spark.createDataFrame([(file,) for file in here], "file string")
         store.write_small(old.join(names, "file", "left_semi"), new)
         store.switch_to(new)

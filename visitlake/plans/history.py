@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from visitlake.functions import ranges
-from visitlake.operators import aggregates, ingest, paging, rollups, search
+from visitlake.operators import aggregates, ingest, paging, rollups, search, toplists
 from visitlake.plans.backup import BackupResult, backup_files, backup_source, backup_visits
 from visitlake.plans.compaction import compact
 from visitlake.plans.dashboard import Dashboard, dashboard
@@ -127,6 +127,12 @@ class History:
         """Visits per day, from the figures that backups keep."""
         return rollups.daily_counts(self.store.rollups(), self.store.visits(), self._range(start, end))
 
+    def top(self, kind: str = "domain", start: str | None = None, end: str | None = None, k: int = aggregates.TOP_K) -> DataFrame:
+        """The most frequent titles or domains, from the lists per day where these decide."""
+        store = self.store
+        lists = store.read_table("toplists")
+        return toplists.top(lists, store.rollups(), store.visits(), self._range(start, end), kind, k)[0]
+
     def key_figures(self, start: str | None = None, end: str | None = None) -> DataFrame:
         """Key figures from these; distinct counts are estimates."""
         today = ranges.today_range(self.as_of, self.store.zone)

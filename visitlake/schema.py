@@ -82,3 +82,13 @@ TRIGRAMS = _struct(
     ("file", T.StringType()),
     ("bits", T.ArrayType(T.LongType())),
 )
+
+# The most frequent titles and domains of a day, as ``operators.toplists`` makes them.
+TOPLISTS = _struct(
+    ("visit_day", T.DateType()),
+    ("kind", T.StringType()),
+    ("name", T.StringType()),
+    ("n", T.LongType()),
+    ("rest", T.LongType()),
+    ("n_visits", T.LongType()),
+)

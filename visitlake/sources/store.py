@@ -1,10 +1,11 @@
-"""The visit store: five Parquet tables below one folder.
+"""The visit store: six Parquet tables below one folder.
 
 ``visits``       fact, partitioned by UTC day, sorted by time inside a day
 ``urls``         one row per url with its first title, in buckets by the url's hash
 ``import_runs``  append-only: what each run did with each file
 ``rollups``      append-only: figures per day of what each run has stored
 ``trigrams``     append-only: what keywords a file of visits may hold
+``toplists``     the most frequent titles and domains of days
 
 There is one writer at a time. Appends go urls, visits, rollups, runs. Urls and visits
 are not appended twice, so a run that died half-way is repaired by running it again; days
@@ -33,7 +34,7 @@ from pyspark.sql.types import StructType
 from visitlake import schema
 from visitlake.functions import ranges, scalars
 from visitlake.functions.ranges import TimeRange
-from visitlake.operators import rollups, trigrams
+from visitlake.operators import rollups, toplists, trigrams
 from visitlake.sources.staging import (
     delete_folder,
     folder_bytes,
@@ -50,7 +51,9 @@ TABLES = {
     "import_runs": schema.IMPORT_RUNS,
     "rollups": schema.ROLLUPS,
     "trigrams": schema.TRIGRAMS,
+    "toplists": schema.TOPLISTS,
 }
+_EPOCH = date(1970, 1, 1)
 POINTERS = "_tables"
 LAGGING = "_lagging"
 # Buckets of ``urls`` in a new store. Compaction doubles their number while one holds more
@@ -101,9 +104,9 @@ class VisitStore:
         make_folder(spark, f"{store.path}/visits")
         make_folder(spark, f"{store.path}/{POINTERS}")
         there = {generation.table for generation in store.generations()}
-        for name, buckets in (("urls", url_buckets), ("import_runs", 0), ("rollups", 0), ("trigrams", 0)):
-            if name not in there:
-                first = Generation(name, 0, buckets)
+        for name in TABLES:
+            if name not in there and name != "visits":
+                first = Generation(name, 0, url_buckets if name == "urls" else 0)
                 make_folder(spark, f"{store.path}/{first.folder}")
                 store.switch_to(first)
         recover(store)
@@ -287,6 +290,37 @@ class VisitStore:
         read = self.spark.read.schema(schema.VISITS).option("basePath", place)
         return read.parquet(*(f"{place}/{file}" for file in left)).filter(self._on(days))
 
+    # --- top lists ---
+
+    def list_tops(self) -> None:
+        """Makes the top lists of days that have none or have changed, as a new generation."""
+        have = self.read_table("toplists")
+        every = self.visit_days()
+        if not every:
+            return
+        whole = TimeRange(scalars.DAY_MS * (every[0] - _EPOCH).days, scalars.DAY_MS * ((every[-1] - _EPOCH).days + 1))
+        valid = [day.day for day in toplists.valid_days(have, self.rollups(), "title", whole)]
+        stale = sorted(set(every) - set(valid))
+        if not stale:
+            return
+        after = self.next_generation("toplists")
+        self.write_small(have.filter(F.col("visit_day").isin(valid)).coalesce(1), after)
+        self.write_small(toplists.day_lists(self.visits().filter(F.col("visit_day").isin(stale))), after)
+        self.switch_to(after)
+        self.drop_older("toplists")
+
+    def next_generation(self, name: str) -> Generation:
+        """An empty folder for the next version of a table."""
+        now = self.generation(name)
+        buckets = now.buckets
+        while buckets and buckets * BUCKET_BYTES < folder_bytes(self.spark, f"{self.path}/{now.folder}"):
+            buckets *= 2
+        new = Generation(name, now.number + 1, buckets)
+        # What a run that died has left there.
+        delete_folder(self.spark, f"{self.path}/{new.folder}")
+        make_folder(self.spark, f"{self.path}/{new.folder}")
+        return new
+
     # --- rollups ---
 
     def rollups(self) -> DataFrame:
