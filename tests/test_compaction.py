@@ -27,7 +27,7 @@ def content(store):
     tables = {name: store.read_table(name) for name in TABLES}
     # Sketches and run numbers of figures may differ, not the figures.
     tables["rollups"] = rollups.merged(tables["rollups"]).drop("urls", "domains")
-    del tables["trigrams"]  # names of files
+    del tables["trigrams"], tables["toplists"]  # made by compaction
     return {name: sorted(tuples(rows), key=repr) for name, rows in tables.items()}
 
 
