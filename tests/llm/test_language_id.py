@@ -64,3 +64,20 @@ def test_language_of_long_texts_alone_is_learned(spark):
     rows += [(20, "123 " * 4000 + "das haus und der garten", "de"), (30, "das haus und der garten", None)]
     found = {r.doc_id: r.lang_pred for r in L.identify(table(spark, rows), F.lit(True)).collect()}
     assert found[30] == "de" and found[0] == "en"
+
+
+def test_other_numbers_are_no_letters(spark):
+    rows = [(1, "the house and the garden", "en"), (2, "½ ²", None), (3, "Ⅷ ⑤ ٣", None), (4, "x²", None), (5, "ªº", None)]
+    found = {r.doc_id: r.lang_pred for r in L.identify(table(spark, rows), F.lit(True)).collect()}
+    assert found == {1: "en", 2: "und", 3: "und", 4: "en", 5: "en"}
+
+
+def test_only_texts_that_fit_no_language_are_unfit(spark):
+    words = {"en": "the house and a garden", "de": "das haus und der garten", "fr": "la maison et le jardin", "es": "la casa y el huerto"}
+    rows = [(i, t + " ", lang) for i, (lang, t) in enumerate(words.items())]
+    # Each learned word alone, one that fits all alike, and scripts that none has.
+    alone = [w for t in words.values() for w in t.split()] + ["A.", "e", "De.", "La"]
+    rows += [(100 + i, w, None) for i, w in enumerate(alone)]
+    rows += [(200, "Съешь же ещё этих мягких", None), (201, "ж", None), (202, "日本語の文章", None), (203, "42", None)]
+    found = {r.doc_id: r.fits for r in L.identify(table(spark, rows), F.lit(True)).collect()}
+    assert {i for i, fits in found.items() if not fits} == {200, 201, 202, 203}

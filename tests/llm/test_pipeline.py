@@ -7,7 +7,8 @@ from test_ngram_jaccard import brute
 from test_secret_scan import base, entropy
 
 import corpus_pipeline as P
-from visitlake.llm import tables
+from pyspark.sql import functions as F
+from visitlake.llm import language_id, tables
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,7 +42,27 @@ def test_letterless_texts_go_and_clean_ones_stay(steps):
     for r in before:
         if not any(c.isalpha() for c in r.text or ""):
             assert r.doc_id not in after
-    assert len(after) >= 0.98 * len({r.doc_id for r in before if r.doc_id < 90_000})
+    lettered = {r.doc_id for r in before if r.doc_id < 90_000 and any(c.isalpha() for c in r.text or "")}
+    assert len(after & lettered) >= 0.995 * len(lettered)
+
+
+def test_columns_with_the_names_of_results_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    names = ["lang_pred", "score", "fits", "base_spans", "secret_spans", "row", "clean", "vertex"]
+    more = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    for step in (P.identify_language, P.drop_near_duplicates, P.drop_benchmark_leaks, P.redact_secrets):
+        kept = step(spark, more, SF)
+        assert kept.columns == more.columns
+        assert all(row[n] == f"own {n}" for row in kept.collect() for n in names), step
+
+
+def test_every_word_of_the_labelled_texts_fits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL").limit(60)
+    words = docs.select("lang", F.explode(F.split(F.col("text"), r"\s+")).alias("text")).filter(F.col("text").rlike(r"\p{L}"))
+    words = words.distinct().withColumn("doc_id", F.monotonically_increasing_id())
+    model = language_id.references(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), F.lit(True))
+    found = language_id.predict(words, model)
+    assert found.filter("NOT fits").count() <= 0.01 * found.count()
 
 
 def test_one_document_of_each_class_stays(steps):

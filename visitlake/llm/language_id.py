@@ -13,6 +13,7 @@ table of the Python worker, so the cost follows the number of different words.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from dataclasses import dataclass, field
@@ -29,10 +30,18 @@ REFERENCE_TEXTS = 400
 LONGEST_REFERENCE = 8_000
 # Words kept per worker, and the longest word that is kept.
 KEPT_WORDS, LONGEST_KEPT = 600_000, 48
-_LETTERS = re.compile(r"[^\W\d_]+")
+_SHORTEST = 0.75  # phrases per character of a text that fits no language
 _SHIFT = 21  # bits of a code point
 
 
+@functools.cache
+def _letters() -> re.Pattern:
+    """Runs of letters. The classes of ``re`` count fractions, superscripts and the like
+    as part of words, so these are taken out one by one."""
+    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{re.escape(numbers)}]+")
+
+
 class SuffixAutomaton:
     """All substrings of a text; ``phrases`` parses a word against them."""
 
@@ -133,16 +142,19 @@ class Model:
             rows.append(at)
         return total + self.counts[rows].sum(0) if rows else total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = _LETTERS.findall(text.lower()) if text else []
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text fits it at all."""
+        found = _letters().findall(text.lower()) if text else []
         if not found or not self.texts:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         # Bits that the phrases of each language cost; the score is the winner's
         # share when languages are weighed by them, tempered as phrases depend.
-        bits = self.phrases(found) * self.rates
+        phrases = self.phrases(found)
+        bits = phrases * self.rates
         best = int(np.argmin(bits))
         share = 1.0 / np.exp2(np.maximum((bits[best] - bits) / 16, -60)).sum()
-        return list(self.texts)[best], float(share)
+        fits = phrases[best] <= _SHORTEST * (sum(map(len, found)) + len(found))
+        return list(self.texts)[best], float(share), bool(fits)
 
 
 def references(docs: DataFrame, usable) -> Model:
@@ -173,22 +185,25 @@ def references(docs: DataFrame, usable) -> Model:
     used: dict[str, int] = {}
     for row in chosen:
         if used.get(row["lang"], 0) < REFERENCE_CHARS:
-            text = " " + " ".join(_LETTERS.findall(row["text"].lower())) + " "
+            text = " " + " ".join(_letters().findall(row["text"].lower())) + " "
             texts.setdefault(row["lang"], []).append(text)
             used[row["lang"]] = used.get(row["lang"], 0) + len(text)
     return Model({lang: "".join(parts)[:REFERENCE_CHARS] for lang, parts in sorted(texts.items())})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced.
+    """``docs`` with lang_pred, score and fits; columns of these names are replaced.
 
     A text that is null or has no letter is ``und`` with score 0, as is every
-    text when nothing could be learned. Rows are judged one by one.
+    text when nothing could be learned. ``fits`` is false for these and for a text
+    whose phrases are hardly longer than a character in every language, as in a
+    script that none has. Of languages that need equally many bits the first by name
+    wins. Rows are judged one by one; a very long text takes time in proportion.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "fits")]
     rows = docs.select(*kept)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, lang_pred string, score double"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, lang_pred string, score double, fits boolean"
 
     def run(batches):
         model = shared.value
@@ -200,8 +215,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     *batch.columns,
                     pa.array([f[0] for f in found], pa.string()),
                     pa.array([f[1] for f in found], pa.float64()),
+                    pa.array([f[2] for f in found], pa.bool_()),
                 ],
-                [*kept, "lang_pred", "score"],
+                [*kept, "lang_pred", "score", "fits"],
             )
 
     return rows.mapInArrow(run, schema)
