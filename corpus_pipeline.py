@@ -14,20 +14,20 @@ from visitlake.llm import decontamination, language_id, mixing, ngram_jaccard, s
 from visitlake.llm.entries import TARGET_SHARES, labelled_domains
 from visitlake.llm.tables import bounded_batches, small, stage, table
 
-# A text whose winning language has a smaller share than this is rejected.
-LEAST_LANGUAGE_SHARE = 0.3
+
+def _boxed(docs: DataFrame) -> DataFrame:
+    """The text, and the whole row in one column, so that no name of it can clash."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts that fit no learned language better
-    than another. Learns from all documents that have a lang."""
+    """Drops texts without a letter and texts that fit no learned language. A text that
+    fits several equally well stays. Learns from all documents that have a lang."""
     bounded_batches(spark)
     model = language_id.references(docs, F.lit(True))
-    found = language_id.predict(docs, model)
     if not model.texts:
-        return found.filter(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
-    fits = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)
-    return found.filter(fits).select(*docs.columns)
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return language_id.predict(_boxed(docs), model).filter("fits").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +61,15 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with a mask in place of each secret, and n_chars to match."""
-    found = secret_scan.find_secrets(docs)
+    found = secret_scan.find_secrets(_boxed(docs))
     hidden = F.size("secret_spans") > 0
-    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("secret_spans")))
-    return clean.withColumn(
-        "n_chars", F.when(hidden, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    clean = {
+        "text": secret_scan.redacted(F.col("text"), F.col("secret_spans")),
+        "n_chars": F.when(hidden, F.length("clean").cast("bigint")).otherwise(F.col("row.n_chars")),
+    }
+    found = found.withColumn("clean", clean.pop("text"))
+    kept = [F.col("clean").alias(c) if c == "text" else clean.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+    return found.select(*kept)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
