@@ -22,6 +22,7 @@ from visitlake.functions import ranges
 from visitlake.operators import aggregates, search
 from visitlake.plans.backup import backup_files, backup_visits
 from visitlake.plans.dashboard import dashboard
+from visitlake.plans.history import History
 from visitlake.session import build_session
 from visitlake.sources import normalize
 from visitlake.sources.export import export_csv
@@ -103,6 +104,9 @@ def main() -> None:
             for panel in ("daily", "titles", "domains", "result_count", "span", "stats"):
                 run(getattr(board, panel))
 
+    api = History(store, as_of=AS_OF)
+    record("index_keywords", store.index_keywords)
+    record("list_tops", store.list_tops)
     queries = {
         "search": lambda: run(search.search_visits(store.visits(), month)),
         "search_keyword": lambda: run(search.search_visits(store.visits(), month, "EXAMPLE.n_t")),
@@ -116,6 +120,11 @@ def main() -> None:
         "time_span": lambda: run(aggregates.time_span(store.edge_visits())),
         "status": lambda: run(aggregates.store_status(store.visits(), store.import_log(), store.edge_visits())),
         "dashboard": panels,
+        "page": lambda: api.page(size=500),
+        "search_indexed": lambda: run(api.search(keyword="EXAMPLE.n_t")),
+        "daily_rolled": lambda: run(api.daily()),
+        "kpi_rolled": lambda: run(api.key_figures()),
+        "domain_top_listed": lambda: run(api.top("domain")),
         "export_csv": lambda: export_csv(store.visits(), everything, f"{folder}/csv"),
     }
     for _ in range(ROUNDS):
