@@ -34,12 +34,23 @@ _SHORTEST = 0.75  # phrases per character of a text that fits no language
 _SHIFT = 21  # bits of a code point
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
 @functools.cache
-def _letters() -> re.Pattern:
-    """Runs of letters. The classes of ``re`` count fractions, superscripts and the like
-    as part of words, so these are taken out one by one."""
-    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{re.escape(numbers)}]+")
+def _numbers() -> tuple[frozenset[str], re.Pattern]:
+    """Fractions, superscripts and the like, which ``re`` counts as parts of words, and
+    words without them. That pattern is slow, so few texts are searched by it."""
+    found = [c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
+    return frozenset(found), re.compile(rf"[^\W\d_{re.escape(''.join(found))}]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    if not text.isascii():
+        numbers, pattern = _numbers()
+        if not numbers.isdisjoint(text):
+            return pattern.findall(text)
+    return _WORDS.findall(text)
 
 
 class SuffixAutomaton:
@@ -144,7 +155,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, and whether the text fits it at all."""
-        found = _letters().findall(text.lower()) if text else []
+        found = letter_runs(text.lower()) if text else []
         if not found or not self.texts:
             return UNKNOWN, 0.0, False
         # Bits that the phrases of each language cost; the score is the winner's
@@ -185,7 +196,7 @@ def references(docs: DataFrame, usable) -> Model:
     used: dict[str, int] = {}
     for row in chosen:
         if used.get(row["lang"], 0) < REFERENCE_CHARS:
-            text = " " + " ".join(_letters().findall(row["text"].lower())) + " "
+            text = " " + " ".join(letter_runs(row["text"].lower())) + " "
             texts.setdefault(row["lang"], []).append(text)
             used[row["lang"]] = used.get(row["lang"], 0) + len(text)
     return Model({lang: "".join(parts)[:REFERENCE_CHARS] for lang, parts in sorted(texts.items())})
