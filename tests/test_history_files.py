@@ -336,3 +336,23 @@ def test_files_are_read_through_hadoop(spark, landing, tmp_path, monkeypatch):
     rows = hadoop_files.read_landing(spark, Staging(spark, "t"), [f"file://{landing}/*"])
     errors = {r.error for r in rows.filter("error IS NOT NULL").collect()}
     assert any(e == hadoop_files._TOO_LARGE for e in errors)
+
+
+def test_queries_write_their_files_where_a_uri_says(spark, tmp_path, monkeypatch):
+    """The shared folder may be named by a ``file:`` URI, which SQLite does not open."""
+    import __spark_entry__ as entry
+
+    events = [(i, i % 4, f"2024-01-{1 + i % 28:02d} 08:00:{i:02d}") for i in range(40)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts string").selectExpr(
+        "event_id", "user_id", "cast(ts AS timestamp_ntz) AS ts"
+    ).write.parquet(f"{tmp_path}/sf/events.parquet")
+    pages = [(i, f"http://h{i}.example/", f"<title>T{i}</title>") for i in range(5)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/sf/pages.parquet")
+    monkeypatch.setattr(entry.staging, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    queries = entry.queries()
+    want = None
+    for name in ("history_file_scan", "history_landing_scan", "streaming_file_backup"):
+        rows = sorted(map(str, queries[name](spark, f"{tmp_path}/sf").collect()))
+        assert len(rows) == 40 and (want or rows) == rows, name
+        want = rows
+    assert queries["detected_files"](spark, f"{tmp_path}/sf").count() == 3

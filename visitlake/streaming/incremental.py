@@ -6,14 +6,13 @@ a micro-batch that is replayed after a failure imports nothing twice.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from visitlake.plans.backup import BackupResult, backup_files, backup_source, backup_visits
 from visitlake.sources import history_files
+from visitlake.sources.history_files import local_path
 from visitlake.sources.store import VisitStore
 from visitlake.streaming.progress import Progress, follow, observed
 
@@ -27,17 +26,6 @@ HISTORY_FILE_NAMES = "{History,places.sqlite,History.db}"
 MOST_RUNS_BETWEEN = 64
 
 
-def local_path(path: str) -> str:
-    """The path as the tasks open it. Spark's paths are not URL-encoded, so only a
-    ``file:`` scheme goes; paths of other file systems are refused, not rewritten."""
-    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]+):(/.*)", path)
-    if scheme is None:
-        return path
-    if scheme[1] != "file":
-        raise ValueError(f"history files are opened through a mounted path, not {path}")
-    return "/" + scheme[2].lstrip("/")
-
-
 def failed_files(store: VisitStore, below: str = "/", before_run: int | None = None) -> DataFrame:
     """data_path and last_run of files whose latest import failed.
 
