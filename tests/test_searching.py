@@ -84,6 +84,27 @@ def test_trigrams_stay_within_values():
     assert trigrams.keyword_bits("ab%cd_e") == [] and len(trigrams.keyword_bits("abcd_xyz")) == 3
 
 
+def api_page(store, keyword, cursor, size, ahead, read=None):
+    def visits(days):
+        (read if read is not None else []).append(list(days))
+        return store.visits_matching(days, keyword)
+
+    return paging.search_page(visits, store.visit_days(), SPAN, keyword, after=cursor, size=size, ahead=ahead)
+
+
+def test_one_job_brings_the_rows_of_several_pages(store):
+    """Reading page after page takes jobs by rows, not by pages."""
+    plain, further = [], []
+    pages = list(paging.pages(lambda cursor: api_page(store, None, cursor, 5, None, plain)))
+    ahead = paging.Ahead(30)
+    assert list(paging.pages(lambda cursor: api_page(store, None, cursor, 5, ahead, further))) == pages
+    assert 4 * len(further) < len(plain)
+    # A cursor that is not the next page's is read anew, and no more is held than was asked for.
+    api_page(store, None, pages[0].next, 5, ahead, further)
+    assert len(ahead.rows) <= 30
+    assert api_page(store, None, pages[3].next, 5, ahead) == pages[4]
+
+
 @pytest.mark.parametrize("keyword", [None, "shared", "day3", "no such thing"])
 def test_pages_add_up_to_the_search(store, keyword):
     api = History(store, as_of=AS_OF)
@@ -92,6 +113,11 @@ def test_pages_add_up_to_the_search(store, keyword):
         got = list(paging.pages(lambda cursor: api.page("2024-01-01", "2024-01-30", keyword, after=cursor, size=size)))
         assert [(r.visit_time // 1000, r.url) for page in got for r in page.rows] == want
         assert all(len(page.rows) == size for page in got[:-1]) and len(got) == max(1, -(-len(want) // size))
+    for most in (1, 13, 100, paging.MOST_AHEAD):
+        ahead = paging.Ahead(most)
+        got = list(paging.pages(lambda cursor: api_page(store, keyword, cursor, 7, ahead)))
+        assert [(r.visit_time // 1000, r.url) for page in got for r in page.rows] == want
+        assert all(len(page.rows) == 7 for page in got[:-1]) and len(got) == max(1, -(-len(want) // 7))
     for size in (0, paging.MOST_ROWS + 1):
         with pytest.raises(ValueError):
             api.page(size=size)
