@@ -136,3 +136,18 @@ def test_words_match_python(spark):
         for word, h in zip(own, w.hashes()[span]):
             assert seen.setdefault(word, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    """More of them than were once sampled; each has its figures taken."""
+    n = 41_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "if(id % 5 = 0, 'X | X', 'some plain words here.') AS text")
+    given = docs.selectExpr("doc_id", "if(doc_id % 5 = 0, 0, 1) AS quality")
+    taken = []
+    train = Q.train
+    monkeypatch.setattr(Q, "train", lambda rows, staging: taken.append(rows.count()) or train(rows, staging))
+    found = Q.quality(docs, given, F.lit(True), tables.stage(spark, "t"))
+    assert taken == [n] and found.count() == n
+    # A bound still holds where one is given, and none is needed.
+    assert T.labelled_sample(docs, given, "quality", F.lit(True)).count() == n
+    assert T.labelled_sample(docs, given, "quality", F.lit(True), 1_000).count() < 2_000

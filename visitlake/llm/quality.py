@@ -5,8 +5,8 @@ preferred to a labelled bad one; pairs are drawn by a join on hashed buckets.
 Their logistic loss on differences of figures is minimised by Newton steps whose
 sums are taken in Spark, so the driver sees one small matrix per task and step.
 A document's score is the sum of its weighted figures; the threshold is the
-quantile of the sample's scores that matches its share of bad texts, and maps to
-a probability given by the caller.
+quantile of the labelled texts' scores that matches their share of bad ones, and maps
+to a probability given by the caller. All labelled texts that may be learned from count.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from visitlake.llm import words
 from visitlake.llm.toxicity import labelled_sample
 from visitlake.sources.staging import Staging
 
-MAX_LABELLED = 40_000  # rows to fit on
 DRAWS = 6  # pairs per bad text
 STEPS = 8
 RIDGE = 1e-3
@@ -207,12 +206,12 @@ def quality(
     """A row per row of ``docs``: doc_id, raw score, and score from 0 to 1.
 
     A score of at least ``threshold`` means that the raw score is at or over the
-    quantile of the labelled sample that parts its bad texts from its good ones.
+    quantile of the labelled texts that parts the bad ones from the good ones.
     ``usable`` is a condition on doc_id for the rows to learn from. A null text
     counts as an empty one, whose figures are zero. Without labels of both kinds
     every score is ``threshold``. Other columns are ignored.
     """
-    model = train(labelled_sample(docs, labels, column, usable, MAX_LABELLED), staging)
+    model = train(labelled_sample(docs, labels, column, usable), staging)
     if model is None:
         return docs.select(F.col("doc_id").cast("bigint"), F.lit(0.0).alias("raw"), F.lit(threshold).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

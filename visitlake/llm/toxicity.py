@@ -75,17 +75,18 @@ def slots_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(slots), np.concatenate(rows), w.rows
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable, limit: int) -> DataFrame:
-    """doc_id, text, label of about ``limit`` usable labelled rows, chosen by hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, usable, limit: int | None = None) -> DataFrame:
+    """doc_id, text, label of all usable labelled rows, or of about ``limit`` chosen by hash.
 
     Null labels and ids are left out; of several labels of one id the largest counts.
     """
     known = labels.filter(usable & F.col(column).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(column).cast("double").alias("label"))
     total = known.count()
-    if total > limit:
+    if limit is not None and total > limit:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < 1_000_000 * limit // total)
-    known = tables.small(known, min(total, limit))
+        total = limit
+    known = tables.small(known, total)
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
