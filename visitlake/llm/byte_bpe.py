@@ -39,6 +39,7 @@ from visitlake.sources.staging import Staging
 
 FREQUENT = 400_000
 LONG = 64  # bytes
+WORDS_AT_ONCE = 1 << 17  # whose runs are made together
 _SLOTS = 1 << 16
 # Symbols are characters beyond the basic plane, which no surrogate can be.
 _FIRST, _NONE = 0x10000, "\U0010ffff"
@@ -200,7 +201,7 @@ class Frequent:
     """The frequent words with their ids, and ranks for long words."""
 
     def __init__(self, found: pa.Table, ranks: dict[bytes, int]):
-        self.place = {word: i for i, word in enumerate(found.column("word").to_pylist())}
+        self.words = found.column("word").combine_chunks()
         ids = found.column("ids").combine_chunks()
         self.lengths = pc.list_value_length(ids).to_numpy().astype(np.int64)
         self.ids = ids.flatten().to_numpy()
@@ -209,13 +210,13 @@ class Frequent:
     def _ids_of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of distinct words: whether they are rare, the number of their ids, where these
         start, and what they start in."""
-        texts = words.to_pylist()
-        place = np.array([self.place.get(w, -1) for w in texts], np.int64)
+        # Arrow's own hash table, made for each batch, takes less memory than a dict that stays.
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
         lengths, own = [self.lengths], [self.ids]
         sizes = pc.binary_length(words).to_numpy()
         long = np.flatnonzero((place < 0) & (sizes > LONG))
         for i, at in enumerate(long):
-            merged = merge_long(texts[at].encode(), self.ranks)
+            merged = merge_long(words[int(at)].as_py().encode(), self.ranks)
             place[at] = len(self.lengths) + i
             lengths.append(np.array([len(merged)]))
             own.append(np.array(merged, np.int32))
@@ -224,23 +225,34 @@ class Frequent:
         starts = np.cumsum(every) - every
         return place < 0, every[place], starts[place], np.concatenate(own)
 
-    def look_up(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def look_up(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Ids of the words of each row, in runs that end before a rare word; the row's
-        distinct rare words, and which of them follows each run (-1: the last run)."""
-        column, n_rows = batch.column(1), batch.num_rows
-        words = column.flatten().dictionary_encode()
+        distinct rare words, and which of them follows each run (-1: the last run).
+        The words of a batch are looked up at once, the runs made for some rows at a time."""
+        words = batch.column(1).flatten().dictionary_encode()
         code = words.indices.to_numpy()
-        counts = pc.list_value_length(column).to_numpy()
+        counts = pc.list_value_length(batch.column(1)).to_numpy()
         first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        is_rare, lengths, starts, table = self._ids_of(words.dictionary)
+        found = self._ids_of(words.dictionary)
+        low = 0
+        while low < batch.num_rows:
+            high = int(np.searchsorted(first, first[low] + WORDS_AT_ONCE, side="right")) - 1
+            high = min(max(high, low + 1), batch.num_rows)
+            own = code[first[low] : first[high]]
+            yield self._runs(batch.column(0).slice(low, high - low), words.dictionary, own, first[low : high + 1] - first[low], *found)
+            low = high
+
+    @staticmethod
+    def _runs(rows, dictionary, code, first, is_rare, lengths, starts, table) -> pa.RecordBatch:
+        n_rows = len(rows)
         lengths, starts = lengths[code], starts[code]
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         flat = table[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)]
 
         rare = np.flatnonzero(is_rare[code])
         row_of = np.searchsorted(first, rare, side="right") - 1
-        distinct, which = np.unique(row_of * max(len(words.dictionary), 1) + code[rare], return_inverse=True)
-        owner, distinct = np.divmod(distinct, max(len(words.dictionary), 1))
+        distinct, which = np.unique(row_of * max(len(dictionary), 1) + code[rare], return_inverse=True)
+        owner, distinct = np.divmod(distinct, max(len(dictionary), 1))
         own = np.bincount(owner, minlength=n_rows)
         before = np.bincount(row_of, minlength=n_rows)
         # A run starts with each row and with each rare word.
@@ -253,9 +265,9 @@ class Frequent:
         follows[run] = which - (np.cumsum(own) - own)[row_of]
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                rows,
                 _lists(before + 1, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))),
-                _lists(own, words.dictionary.take(pa.array(distinct))),
+                _lists(own, dictionary.take(pa.array(distinct))),
                 _lists(before + 1, pa.array(follows)),
             ],
             names=["row", "runs", "rare", "follows"],
@@ -293,7 +305,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, staging: Stag
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Frequent(*sent.value)
         for batch in batches:
-            yield known.look_up(batch)
+            yield from known.look_up(batch)
 
     layout = T.StructType(
         [
