@@ -356,3 +356,23 @@ def test_queries_write_their_files_where_a_uri_says(spark, tmp_path, monkeypatch
         assert len(rows) == 40 and (want or rows) == rows, name
         want = rows
     assert queries["detected_files"](spark, f"{tmp_path}/sf").count() == 3
+
+
+def test_scans_read_their_files_where_a_uri_says(spark, tmp_path, monkeypatch):
+    """The same for files dealt by tasks, under filters and with a write-ahead log."""
+    import __spark_entry__ as entry
+
+    events = [(i, i % 4, f"2024-01-{1 + i % 28:02d} 08:00:{i:02d}") for i in range(40)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts string").selectExpr(
+        "event_id", "user_id", "cast(ts AS timestamp_ntz) AS ts"
+    ).write.parquet(f"{tmp_path}/sf/events.parquet")
+    pages = [(i, f"http://h{i}.example/", f"<title>T{i}</title>") for i in range(5)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/sf/pages.parquet")
+    monkeypatch.setattr(entry.staging, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    found = {}
+    for name in ("history_planned_scan", "history_wal_scan", "history_pushed_scan"):
+        found[name] = sorted(map(tuple, entry.queries()[name](spark, f"{tmp_path}/sf").collect()), key=str)
+    every = found["history_planned_scan"]
+    assert len(every) == 40 and every == found["history_wal_scan"]
+    week = [r for r in every if entry.WEEK.start_us <= r[2] <= entry.WEEK.end_us and r[4] != "firefox"]
+    assert week and week == found["history_pushed_scan"]
