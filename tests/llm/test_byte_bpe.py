@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from visitlake.llm import byte_bpe as B
 from visitlake.llm import entries, tables
+from visitlake.sources.staging import folder_exists
 
 RANKS = B.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 REFERENCE = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -65,6 +66,16 @@ def test_the_rank_map_is_a_literal(spark):
     assert "from_json" not in optimized and "crc32" in optimized
 
 
+def test_the_driver_holds_few_objects_and_no_staged_words(spark):
+    literal = spark.range(1).select(B.rank_map(RANKS).alias("x"))
+    assert literal.schema["x"].dataType.elementType.typeName() == "string"  # a map is four objects and one per key
+    staging = tables.stage(spark, "t")
+    docs = table(spark, [(1, "one word and one more"), (2, None)])
+    coded = B.encode(docs, RANKS, public_tokenizers.PATTERN, staging)
+    assert not any(folder_exists(spark, f"{staging.folder}/{name}") for name in ("words", "frequent"))
+    assert {r.doc_id: r.token_ids for r in coded.collect()} == {1: REFERENCE.encode_ordinary("one word and one more"), 2: []}
+
+
 def test_a_rank_file_without_all_bytes_is_refused(tmp_path):
     (tmp_path / "r").write_text("YQ== 0\n")
     with pytest.raises(ValueError):

@@ -4,8 +4,9 @@ Text is cut by the tokenizer's pattern; each word is a byte array, held as a str
 a character for each token, at first each byte. A fold of Spark's higher-order functions
 merges it: the neighbours whose joined bytes have the lowest rank become one, the first of
 equal ones, until no joined pair has a rank. Ranks come from a literal map in the
-expression, dealt into small maps by a hash of the key, as Spark searches a map from its
-start. Decoding puts the byte strings of the ids, a literal array, one after the other.
+expression, dealt into small ones by a hash of the key. Each is a string of entries, as a
+map of Spark's is searched from its start through an object per key. Decoding puts the
+byte strings of the ids, a literal array, one after the other.
 
 *Distinct words.* Words are counted over all texts with a map-side combine. Those that
 occur most, at most ``FREQUENT`` of them with at most ``LONG`` bytes each, are folded
@@ -43,6 +44,7 @@ WORDS_AT_ONCE = 1 << 17  # whose runs are made together
 _SLOTS = 1 << 16
 # Symbols are characters beyond the basic plane, which no surrogate can be.
 _FIRST, _NONE = 0x10000, "\U0010ffff"
+_BEGIN, _END = "\x01", "\x02"  # of a key in a slot
 _LATIN = "ISO-8859-1"
 
 
@@ -66,13 +68,13 @@ def _symbol(token: int) -> str:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: small maps by the key's hash. Keys are two symbols whose
-    joined bytes have a rank, and the symbols of the bytes of a longer token; values are
-    the symbol of the token."""
+    """The ranks as a literal: strings of entries by the key's hash. Keys are two symbols
+    whose joined bytes have a rank, and the symbols of the bytes of a longer token; values
+    are the symbol of the token."""
     if max(ranks.values()) >= ord(_NONE) - _FIRST:
         raise ValueError("too many ranks")
     byte = [_symbol(ranks[bytes([b])]) for b in range(256)]
-    slots: list[dict[str, str]] = [{} for _ in range(_SLOTS)]
+    slots = [[_NONE] for _ in range(_SLOTS)]
     for token, rank in ranks.items():
         keys = {"".join(byte[b] for b in token)} if len(token) > 2 else set()
         for cut in range(1, len(token)):
@@ -80,17 +82,20 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
             if left is not None and right is not None:
                 keys.add(_symbol(left) + _symbol(right))
         for key in keys:
-            slots[zlib.crc32(key.encode()) % _SLOTS][key] = _symbol(rank)
-    return F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,string>>")
+            entry = _BEGIN + key + _END
+            slots[zlib.crc32(entry.encode()) % _SLOTS].append(entry + _symbol(rank))
+    return F.from_json(F.lit(json.dumps(["".join(slot) for slot in slots], ensure_ascii=False)), "array<string>")
 
 
-def _rank(table: Column, key: Column) -> Column:
-    slot = F.get(table, (F.crc32(key.cast("binary")) % _SLOTS).cast("int"))
-    return F.element_at(slot, key)
+def _rank(table: Column, *key: Column) -> Column:
+    """The symbol that a key stands for, or _NONE."""
 
+    def of(entry: Column) -> Column:
+        slot = F.get(table, (F.crc32(entry.cast("binary")) % _SLOTS).cast("int"))
+        # What follows the entry, or all of the slot, which starts with _NONE.
+        return F.substring(F.call_function("substring_index", slot, entry, F.lit(-1)), 1, 1)
 
-def _pair(table: Column, pair: Column) -> Column:
-    return F.coalesce(_rank(table, pair), F.lit(_NONE))
+    return let(F.concat(F.lit(_BEGIN), *key, F.lit(_END)), of)
 
 
 def _merged(table: Column, state: Column) -> Column:
@@ -101,8 +106,8 @@ def _merged(table: Column, state: Column) -> Column:
     def merge(least: Column) -> Column:
         def at(p: Column) -> Column:
             # The pair before now ends with the new symbol, the one after starts with it.
-            before = F.when(p > 1, _pair(table, F.concat(F.substring(word, p - 1, F.lit(1)), least))).otherwise("")
-            after = F.when(p < F.length(pairs), _pair(table, F.concat(least, F.substring(word, p + 2, F.lit(1))))).otherwise("")
+            before = F.when(p > 1, _rank(table, F.substring(word, p - 1, F.lit(1)), least)).otherwise("")
+            after = F.when(p < F.length(pairs), _rank(table, least, F.substring(word, p + 2, F.lit(1)))).otherwise("")
             low = F.greatest(p - 1, F.lit(1))
             return F.struct(
                 F.overlay(word, least, p, F.lit(2)).alias("word"),
@@ -120,15 +125,15 @@ def _fold(table: Column, symbols: Column) -> Column:
 
     def merged(word: Column) -> Column:
         n = F.length(word)
-        starts = F.filter(F.sequence(F.lit(1), n), lambda i: i < n)
-        pairs = F.array_join(F.transform(starts, lambda i: _pair(table, F.substring(word, i, F.lit(2)))), "")
+        starts = F.slice(F.sequence(F.lit(1), n), F.lit(1), n - 1)
+        pairs = F.array_join(F.transform(starts, lambda i: _rank(table, F.substring(word, i, F.lit(2)))), "")
         folded = F.aggregate(
             F.array_repeat(F.lit(0), n - 1),
             F.struct(word.alias("word"), pairs.alias("pairs")),
             lambda state, _: _merged(table, state),
             lambda state: state["word"],
         )
-        return F.coalesce(_rank(table, word), folded)
+        return let(_rank(table, word), lambda whole: F.when(whole == _NONE, folded).otherwise(whole))
 
     return let(symbols, merged)
 
@@ -289,7 +294,9 @@ def frequent_words(words: DataFrame, ranks: dict[bytes, int], staging: Staging)
         least = at
     kept = counts.filter(step >= least if least is not None else F.lit(False))
     ids = F.get(word_ids(F.array("word"), ranks), F.lit(0))
-    return staging.write(kept.select("word", ids.alias("ids")), "frequent").toArrow()
+    found = staging.write(kept.select("word", ids.alias("ids")), "frequent").toArrow()
+    staging.discard("words", "frequent")
+    return found
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, staging: Staging, text: str = "text") -> DataFrame:
