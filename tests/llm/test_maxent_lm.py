@@ -110,3 +110,81 @@ def test_few_texts_are_learned_like_many(spark, monkeypatch):
     monkeypatch.setattr(M, "_update", counted)
     M.language_model(docs, F.lit(True), tables.stage(spark, "t"))
     assert seen.value == 300
+
+
+def _plain_model(rng, words_held=400):
+    hashes = np.sort(rng.integers(0, 1 << 63, words_held, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    counts = M.Counts(10 * words_held, words_held, hashes, np.full(words_held, 10))
+    place = np.arange(words_held)
+    members = np.zeros((M.CLASSES, M.CLASS_SIZE), np.uint64)
+    word_bias = np.full(members.shape, -np.inf, np.float32)
+    word_class, slot = place % M.CLASSES, place // M.CLASSES
+    word_class[350:] = M.CLASSES
+    members[word_class[:350], slot[:350]] = hashes[:350]
+    word_bias[word_class[:350], slot[:350]] = -1.0
+    return M.Model(
+        counts, word_class, slot, members, np.full(M.CLASSES + 1, -4.0, np.float32), word_bias,
+        np.zeros((M._TEMPLATES * M.SLOTS, M.CLASSES + 1), np.float32), np.zeros(1 << 10, np.float32),
+    )
+
+
+def _plain_update(model, h, first, squares):
+    """The steps with every group sorted and added up at once."""
+    at = model.counts.find(h)
+    classes = np.where(at >= 0, model.word_class[at], M.CLASSES)
+    slot = np.where(at >= 0, model.word_slot[at], 0)
+    features = model.features(h, first)
+    slots = model.slots(features)
+
+    def step(weights, gathered, places, error):
+        order = np.argsort(places, kind="stable")
+        begin = np.flatnonzero(np.diff(places[order], prepend=-1))
+        used, total = places[order[begin]], np.add.reduceat(error[order], begin, axis=0)
+        gathered[used] += total * total
+        weights[used] += M.STEP * total / np.sqrt(gathered[used] + 1.0)
+
+    for low in range(0, len(h), 4096):
+        part = slice(low, low + 4096)
+        own = classes[part]
+        error = -np.exp(model.class_log(slots[part]))
+        error[np.arange(len(own)), own] += 1
+        for t in range(M._TEMPLATES):
+            step(model.class_weights, squares[0], slots[part][:, t], error)
+        inside = np.flatnonzero(own < M.CLASSES)
+        pairs = model.pair_slots(features[part][inside], own[inside])
+        error = -np.exp(model.word_log(pairs, own[inside]))
+        error[np.arange(len(inside)), slot[part][inside]] += 1
+        step(model.pair_weights, squares[1], pairs.ravel(), error.ravel())
+
+
+def test_steps_need_no_sort_of_pairs_and_equal_plain_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    fast, plain = (_plain_model(np.random.default_rng(4)) for _ in range(2))
+    pairs = np.zeros((len(fast.pair_weights), 2), np.float32)
+    squares = [np.zeros_like(plain.class_weights), np.zeros_like(plain.pair_weights)]
+    gathered = [np.zeros_like(fast.class_weights), pairs]
+    sorted_at_once, argsort = [], np.argsort
+    for n in (1, 9_000, 5_000):
+        h = fast.counts.hashes[np.minimum(rng.geometric(0.02, n), 399)]
+        first = np.array([0, n // 2, n])
+        with monkeypatch.context() as patch:
+            patch.setattr(M.np, "argsort", lambda x, **how: (sorted_at_once.append(x.size), argsort(x, **how))[1])
+            M._update(fast, h, first, gathered)
+        _plain_update(plain, h, first, squares)
+    assert max(sorted_at_once) <= 4096  # a block's pairs are up to 48 times as many
+    assert np.abs(plain.pair_weights).max() > 0.1
+    assert np.array_equal(fast.class_weights, plain.class_weights)
+    assert np.array_equal(pairs[:, 0], plain.pair_weights)
+    assert np.array_equal(pairs[:, 1], squares[1]) and np.array_equal(gathered[0], squares[0])
+
+
+def test_frequent_words_are_found_by_their_first_bits():
+    rng = np.random.default_rng(6)
+    near = np.arange(50, dtype=np.uint64) + (np.uint64(7) << np.uint64(60))
+    ends = np.array([0, 2**64 - 1], np.uint64)
+    hashes = np.unique(np.concatenate([near, rng.integers(0, 1 << 63, 3_000, dtype=np.uint64) * np.uint64(2), ends]))
+    counts = M.Counts(1, 1, hashes, np.ones(len(hashes), np.int64))
+    assert np.array_equal(counts.find(hashes), np.arange(len(hashes)))
+    other = np.setdiff1d(np.concatenate([hashes + np.uint64(1), near - np.uint64(60)]), hashes)
+    assert (counts.find(other) == -1).all()
+    assert (M.Counts(0, 0, np.zeros(1, np.uint64), np.zeros(1, np.int64)).find(hashes[1:]) == -1).all()

@@ -12,13 +12,14 @@ the others are joined by hash. The softmax weights are fitted on all training te
 by rounds of distributed gradient updates: each shard, some partitions where they
 lie, runs through its texts and the changes are averaged, summed in pieces in Spark.
 Texts are dealt to the rounds by hash, each to one, however many there are. Texts
-are scored in numpy, some ten thousand tokens at
+are scored in numpy, some thousand tokens at
 a time, with one gather of a weight row per feature.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,10 @@ PAIR_BITS, MOST_PAIR_BITS, TOKENS_A_SLOT = 18, 22, 32
 SHARDS, SHARD_TEXTS, ROUNDS = 6, 16_000, 3  # least number of shards, texts in each of more
 PIECES = 64  # that changes are summed in
 STEP = 0.25
-TOKENS_AT_ONCE = 1 << 15
+FIND_BITS = 20  # several times as many places as there are frequent words
+BLOCK_TOKENS = 4096  # of a step; their scores stay in a core's cache
+IN_TURN = 8  # rows of a group, at most, that are added by turns: the first ones, the second ones, ...
+_PLACE_BITS = (BLOCK_TOKENS * CLASS_SIZE).bit_length()
 _BIGRAM = np.uint64(0xC2B2AE3D27D4EB4F)
 _TEMPLATES = 3
 
@@ -62,11 +66,26 @@ class Counts:
     hashes: np.ndarray
     counts: np.ndarray
 
+    @cached_property
+    def _starts(self) -> np.ndarray:
+        """Places from which to look for hashes, by their first bits."""
+        bits = np.arange(1 << FIND_BITS, dtype=np.uint64) << np.uint64(64 - FIND_BITS)
+        return np.searchsorted(self.hashes, bits).astype(np.int32)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each token, or -1."""
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == h, at, -1)
+        at = self._starts[h >> np.uint64(64 - FIND_BITS)].astype(np.int64)
+        last = len(self.hashes) - 1
+        np.minimum(at, last, out=at)
+        found = self.hashes[at]
+        left = np.flatnonzero(found < h)
+        while len(left):
+            left = left[at[left] < last]
+            at[left] += 1
+            found[left] = self.hashes[at[left]]
+            left = left[found[left] < h[left]]
+        at[found != h] = -1
+        return at
 
 
 def count_tokens(docs: DataFrame, staging: Staging) -> tuple[DataFrame, Counts]:
@@ -122,11 +141,15 @@ class Model:
     def slots(self, features: np.ndarray) -> np.ndarray:
         return (features >> np.uint64(52)).astype(np.int64) + np.arange(_TEMPLATES) * SLOTS
 
-    def class_log(self, slots: np.ndarray) -> np.ndarray:
-        x = self.class_bias + self.class_weights[slots[:, 0]]
+    def class_scores(self, slots: np.ndarray) -> np.ndarray:
+        x = self.class_weights.take(slots[:, 0], 0)
+        x += self.class_bias
         for t in range(1, _TEMPLATES):
-            x += self.class_weights[slots[:, t]]
-        return _log_softmax(x)
+            x += self.class_weights.take(slots[:, t], 0)
+        return x
+
+    def class_log(self, slots: np.ndarray) -> np.ndarray:
+        return _log_softmax(self.class_scores(slots))
 
     def pair_slots(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Slots of (last word, member) for all members of each token's class."""
@@ -134,13 +157,37 @@ class Model:
         bits = len(self.pair_weights).bit_length() - 1
         return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
+    def word_scores(self, pairs: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        x = self.pair_weights.take(pairs)
+        x += self.word_bias.take(classes, 0)
+        return x
+
     def word_log(self, pairs: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        return _log_softmax(self.word_bias[classes] + self.pair_weights[pairs])
+        return _log_softmax(self.word_scores(pairs, classes))
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
+    """``x`` is used up."""
+    x -= x.max(1, keepdims=True)
+    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    return x
+
+
+def _log_of(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """One entry of each row's log softmax; ``x`` is used up."""
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    picked = x[np.arange(len(own)), own]
+    np.exp(x, out=x)
+    return picked - np.log(x.sum(1))
+
+
+def _error_of(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What is missing from the softmax of each row to certainty of one entry."""
+    x = _log_softmax(x)
+    np.exp(x, out=x)
+    np.negative(x, out=x)
+    x[np.arange(len(own)), own] += 1
+    return x
 
 
 def _company(docs: DataFrame, counts: Counts, vocabulary: np.ndarray) -> np.ndarray:
@@ -160,12 +207,12 @@ def _company(docs: DataFrame, counts: Counts, vocabulary: np.ndarray) -> np.ndar
                 h, _ = tokens(data, offsets)
                 at = counts.find(h)
                 ctx, who = np.where(at >= 0, context[at], -1), np.where(at >= 0, place[at], -1)
-                cells = []
+                cells = np.zeros(int(place.max() + 1) * width, np.int64)
                 for a, b, shift in ((who[1:], ctx[:-1], 0), (who[:-1], ctx[1:], CONTEXT_WORDS)):
                     both = (a >= 0) & (b >= 0)
-                    cells.append(a[both] * width + b[both] + shift)
-                cell, n = np.unique(np.concatenate(cells), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+                    cells += np.bincount(a[both] * width + b[both] + shift, minlength=len(cells))
+                cell = np.flatnonzero(cells)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(cells[cell])], ["cell", "n"])
 
     summed = docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     table = summed.orderBy("cell").toArrow()  # bounded: vocabulary x contexts
@@ -223,54 +270,105 @@ def _start(docs: DataFrame, counts: Counts) -> Model:
     )
 
 
-def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different values, an order that brings equal ones together, and where each begins in it."""
-    order = np.argsort(x, kind="stable")
-    begin = np.flatnonzero(np.diff(x[order], prepend=-1))
-    return x[order[begin]], order, begin
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Whether a group of equal values begins here."""
+    out = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=out[1:])
+    return out
+
+
+def _sums(x: np.ndarray, order: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of the groups that begin at these places of the order, each the first entry
+    and what ``np.add.reduce`` makes of the others."""
+    begin = np.flatnonzero(begins)
+    sums = x.take(order[begin], 0)
+    # Most groups have one entry; only the others are added up.
+    several = ~begins
+    several[:-1] |= ~begins[1:]
+    if x.ndim == 1:
+        if several.any():
+            sums[several[begin]] = np.add.reduceat(x[order[several]], np.flatnonzero(begins[several]))
+        return sums
+    sizes = np.diff(begin, append=len(order))
+    few = np.flatnonzero((sizes > 1) & (sizes <= IN_TURN))
+    few = few[np.argsort(-sizes[few], kind="stable")]
+    if len(few):
+        rest = x.take(order[begin[few] + 1], 0)
+        for nth in range(2, sizes[few[0]]):
+            longer = few[: np.searchsorted(-sizes[few], -nth)]
+            rest[: len(longer)] += x.take(order[begin[longer] + nth], 0)
+        sums[few] += rest
+    many = sizes > IN_TURN
+    if many.any():
+        several = np.repeat(many, sizes)
+        sums[many] = np.add.reduceat(x.take(order[several], 0), np.flatnonzero(begins[several]), axis=0)
+    return sums
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Weights after an Adagrad step, in place of it; the gathered squares grow."""
+    root = step * step
+    squares += root
+    np.add(squares, np.float32(1), out=root)
+    np.sqrt(root, out=root)
+    step *= np.float32(STEP)
+    step /= root
+    step += weights
+    return step
 
 
 def _update(model: Model, h: np.ndarray, first: np.ndarray, gathered: list[np.ndarray]) -> None:
-    """Adagrad steps over a chunk of tokens, in blocks."""
+    """Adagrad steps over a chunk of tokens, in blocks. ``gathered`` has the squares of
+    classes, and the weights and squares of pairs, which move together as 64 bits."""
+    class_squares, pair_state = gathered
+    moved = pair_state.view(np.int64)[:, 0]
     at = model.counts.find(h)
     classes = np.where(at >= 0, model.word_class[at], CLASSES)
     slot = np.where(at >= 0, model.word_slot[at], 0)
     features = model.features(h, first)
     slots = model.slots(features)
-    for low in range(0, len(h), 4096):
-        part = slice(low, low + 4096)
+    for low in range(0, len(h), BLOCK_TOKENS):
+        part = slice(low, low + BLOCK_TOKENS)
         own, s = classes[part], slots[part]
-        error = -np.exp(model.class_log(s))
-        error[np.arange(len(own)), own] += 1
+        error = _error_of(model.class_scores(s), own)
         for t in range(_TEMPLATES):
-            used, order, begin = _grouped(s[:, t])
-            step = np.add.reduceat(error[order], begin, axis=0)
-            gathered[0][used] += step * step
-            model.class_weights[used] += STEP * step / np.sqrt(gathered[0][used] + 1.0)
+            # NumPy sorts numbers of 16 bits by radix.
+            order = np.argsort(s[:, t].astype(np.uint16), kind="stable")
+            ordered = s[order, t]
+            begins = _begins(ordered)
+            used = ordered[begins]
+            squares = class_squares.take(used, 0)
+            model.class_weights[used] = _step(model.class_weights.take(used, 0), squares, _sums(error, order, begins))
+            class_squares[used] = squares
         inside = np.flatnonzero(own < CLASSES)
-        pairs = model.pair_slots(features[part][inside], own[inside])
-        error = -np.exp(model.word_log(pairs, own[inside]))
-        error[np.arange(len(inside)), slot[part][inside]] += 1
         if not len(inside):
             continue
-        used, order, begin = _grouped(pairs.ravel())
-        step = np.add.reduceat(error.ravel()[order], begin)
-        gathered[1][used] += step * step
-        model.pair_weights[used] += STEP * step / np.sqrt(gathered[1][used] + 1.0)
+        pairs = model.pair_slots(features[part][inside], own[inside])
+        before = moved.take(pairs.ravel()).view(np.float32).reshape(-1, 2)
+        scores = before[:, 0].reshape(pairs.shape) + model.word_bias.take(own[inside], 0)
+        error = _error_of(scores, slot[part][inside]).ravel()
+        # Slot and place in one number, as plain sorting is several times as fast as argsort.
+        ordered = np.sort(pairs.ravel() << _PLACE_BITS | np.arange(pairs.size))
+        order, ordered = ordered & (1 << _PLACE_BITS) - 1, ordered >> _PLACE_BITS
+        begins = _begins(ordered)
+        state = before.take(order[begins], 0)
+        state[:, 0] = _step(state[:, 0], state[:, 1], _sums(error, order, begins))
+        moved[ordered[begins]] = state.view(np.int64)[:, 0]
 
 
 def _shard(shared):
     def run(batches):
         model = shared.value
-        model.class_weights = model.class_weights.copy()
-        model.pair_weights = model.pair_weights.copy()
-        before = model.class_weights.copy(), model.pair_weights.copy()
-        gathered = [np.zeros_like(before[0]), np.zeros_like(before[1])]
+        before = model.class_weights, model.pair_weights
+        model.class_weights = before[0].copy()
+        pairs = np.zeros((len(before[1]), 2), np.float32)
+        pairs[:, 0] = before[1]
+        gathered = [np.zeros_like(before[0]), pairs]
         for batch in batches:
             for _, data, offsets in words.chunks(batch):
                 _update(model, *tokens(data, offsets), gathered)
-        change = np.concatenate([(model.class_weights - before[0]).ravel(), model.pair_weights - before[1]])
-        model.class_weights, model.pair_weights = before
+        change = np.concatenate([(model.class_weights - before[0]).ravel(), pairs[:, 0] - before[1]])
+        model.class_weights = before[0]
         pieces = [x.tobytes() for x in np.array_split(change.astype(np.float16), PIECES)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "change"]
@@ -332,14 +430,26 @@ def _score_parts(model: Model):
         features = model.features(h, first)
         slots = model.slots(features)
         out = np.zeros(len(h))
-        for low in range(0, len(h), TOKENS_AT_ONCE):
-            part = slice(low, low + TOKENS_AT_ONCE)
-            own = classes[part]
-            logs = model.class_log(slots[part])[np.arange(len(own)), own].astype(float)
-            inside = np.flatnonzero(own < CLASSES)
-            pairs = model.pair_slots(features[part][inside], own[inside])
-            logs[inside] += model.word_log(pairs, own[inside])[np.arange(len(inside)), slot[part][inside]]
-            out[part] = logs
+        for low in range(0, len(h), BLOCK_TOKENS):
+            part = slice(low, low + BLOCK_TOKENS)
+            out[part] = _log_of(model.class_scores(slots[part]), classes[part])
+        # Words of a class after the same word share a softmax.
+        inside = np.flatnonzero(classes < CLASSES)
+        key = words.mix(features[inside, 0] ^ (classes[inside].astype(np.uint64) * _BIGRAM))
+        bits = np.uint64(max(len(inside), 1).bit_length())
+        # Sorted by hash with the place in the last bits, as that sorts several times as fast.
+        ordered = np.sort(key >> bits << bits | np.arange(len(inside), dtype=np.uint64))
+        order = (ordered & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        inside = inside[order]
+        begins = _begins(features[inside, 0]) | _begins(classes[inside])
+        begin = np.flatnonzero(begins)
+        for low in range(0, len(begin), BLOCK_TOKENS):
+            first_of = inside[begin[low : low + BLOCK_TOKENS]]
+            high = begin[low + BLOCK_TOKENS] if low + BLOCK_TOKENS < len(begin) else len(inside)
+            own = inside[begin[low] : high]
+            pairs = model.pair_slots(features[first_of], classes[first_of])
+            logs = _log_softmax(model.word_scores(pairs, classes[first_of]))
+            out[own] += logs[np.cumsum(begins[begin[low] : high]) - 1, slot[own]]
         return at, out / np.log(10)
 
     return scored, base_log
